@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm.bpe import bpe_stage
 from tidewell.llm.langid import language_stage
+from tidewell.llm.mixing import mixing_stage
 from tidewell.llm.quality import quality_stage
 from tidewell.llm.simhash import dedup_stage
 
@@ -16,6 +17,7 @@ STAGES = [
     ("language ID", language_stage),
     ("quality", quality_stage),
     ("near-duplicates", dedup_stage),
+    ("mixing", mixing_stage),
     ("BPE", bpe_stage),
 ]
 

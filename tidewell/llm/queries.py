@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from tidewell.llm import bpe, langid, quality, simhash, topk
+from tidewell.llm import bpe, chat, langid, mixing, quality, sharding, simhash, topk, urls
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
     "op2_language_id": langid.op2_language_id,
     "op4_quality": quality.op4_quality,
+    "op5_chat": chat.op5_chat,
+    "op6_mixing": mixing.op6_mixing,
+    "op7_sharding": sharding.op7_sharding,
     "op8_bpe": bpe.op8_bpe,
+    "op9_url_filter": urls.op9_url_filter,
     "op10_simhash": simhash.op10_simhash,
 }
 
-SQL = {"op1_exact_topk": topk.OP1_SQL}
+SQL = {"op1_exact_topk": topk.OP1_SQL, "op5_chat": chat.OP5_SQL, "op9_url_filter": urls.OP9_SQL}
