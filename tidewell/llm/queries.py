@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidewell.llm import bpe, chat, langid, mixing, quality, sharding, simhash, topk, urls
+from tidewell.llm import bpe, chat, embed_dedup, langid, mixing, quality, sharding, simhash, topk, urls
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
     "op2_language_id": langid.op2_language_id,
+    "op3_embedding_dedup": embed_dedup.op3_embedding_dedup,
     "op4_quality": quality.op4_quality,
     "op5_chat": chat.op5_chat,
     "op6_mixing": mixing.op6_mixing,
@@ -16,4 +17,4 @@ QUERIES = {
     "op10_simhash": simhash.op10_simhash,
 }
 
-SQL = {"op1_exact_topk": topk.OP1_SQL, "op5_chat": chat.OP5_SQL, "op9_url_filter": urls.OP9_SQL}
+SQL = {"op1_exact_topk": topk.OP1_SQL, "op3_embedding_dedup": embed_dedup.OP3_SQL, "op5_chat": chat.OP5_SQL, "op9_url_filter": urls.OP9_SQL}
