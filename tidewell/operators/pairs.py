@@ -64,8 +64,8 @@ def shared_cells(membership: DataFrame, pathway0: DataFrame, pathway1: DataFrame
     """(src0, dst0, src1, dst1, cat0, cat1, n): trials in which a pair of one pathway has cat0 and one of the other cat1.
 
     The trials of a pair and category are packed into one bitmap first, so the pathways meet once a pair of pairs and
-    category, not once a trial, and the count is a population count. Trial ids are taken modulo 64 into words of
-    their own, which keeps bitmaps whole for any number of trials.
+    category, not once a trial, and the count is a population count. A bitmap holds 62 trials; further trials have
+    bitmaps of their own.
     """
     def packed(pathway: DataFrame, i: int) -> DataFrame:
         cells = membership.where("group_id is not null").join(pathway, ["src", "dst"], "left_semi")

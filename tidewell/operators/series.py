@@ -62,10 +62,13 @@ def _spectra(series: DataFrame, keys: tuple[str, ...], n_bins: int, fs: float, l
 
 
 def covariance(vectors: DataFrame, value: str = "embedding") -> DataFrame:
-    """(i, j, cov): the covariance of array elements, i <= j: sums of products that are combined before they move."""
-    x = vectors.select(F.monotonically_increasing_id().alias("row"), F.posexplode(value).alias("i", "x"))
-    a, b = x, x.select("row", F.col("i").alias("j"), F.col("x").alias("y"))
-    return a.join(b, "row").where("i <= j").groupBy("i", "j").agg(F.covar_pop("x", "y").alias("cov"))
+    """(i, j, cov): the covariance of array elements, i <= j.
+
+    Each row makes its own products, whose moments are combined before anything moves; no row meets another.
+    """
+    first = vectors.select(F.col(value).alias("v"), F.posexplode(value).alias("i", "x"))
+    second = first.select("i", "x", F.posexplode(F.slice("v", F.col("i") + 1, F.size("v"))).alias("k", "y"))
+    return second.groupBy("i", (F.col("i") + F.col("k")).alias("j")).agg(F.covar_pop("x", "y").alias("cov"))
 
 
 def correlations(cov: DataFrame) -> DataFrame:
