@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from tidewell.functions.columns import uniform
 from tidewell.functions.numeric import newton
 from tidewell.operators.testing import wald_p
+from tidewell.sources.shared import settle
 
 FIT = "beta array<double>, hessian array<array<double>>, nll double, n_iter int, converged boolean, skipped int"
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.sources.shared import settle
+
 
 def split_by_correlation(corrs: DataFrame, least: float = 0.2, quantile: float = 0.3) -> DataFrame:
     """(unit_id, probe_from, probe_to, group_id): 0 for units whose correlations above ``least`` with the other probe
@@ -42,7 +44,7 @@ def search(bins: DataFrame, units: DataFrame, start: DataFrame, rounds: int = 5,
         scores = match_scores(bins, psth, ("probe",)).groupBy("unit_id", "probe").agg(F.sum("score").alias("score"))
         found = split_by_score(scores, quantile, ("probe",)).where("group_id = 0").select("unit_id", "probe")
         if enough <= 1:
-            found = found.checkpoint()
+            found = settle(found)
             shared = found.join(group, ["unit_id", "probe"], "left_semi").count()
             size = max(1, group.count())
             group = found

@@ -211,7 +211,7 @@ def subgroups(t: Tables) -> DataFrame:
     return t.units.join(F.broadcast(to), F.col("probe") != F.col("probe_to")).select("unit_id", F.col("probe").alias("probe_from"), "probe_to", group.alias("group_id"))
 
 
-@query("d4_subgroup_activity", SUB + " SELECT probe_from, probe_to, group_id, trial_id, t_us // 300000000 AS bin, round(count(*) * 300.0, 6) AS psth FROM points JOIN subgroups USING (unit_id) GROUP BY ALL")
+@query("d4_subgroup_activity", SUB + " SELECT probe_from, probe_to, group_id, trial_id, t_us // 300000000 AS bin, round(CAST(count(*) * 300.0 AS DOUBLE), 6) AS psth FROM points JOIN subgroups USING (unit_id) GROUP BY ALL")
 def d4(t: Tables) -> DataFrame:
     return rounded(binning.group_trace(t.points, subgroups(t), BIN, 300.0, ("probe_from", "probe_to", "group_id")), "psth")
 

@@ -25,7 +25,7 @@ points AS (SELECT CAST(user_id % 6 * 10 + CASE event_type WHEN 'click' THEN 0 WH
 units AS (SELECT DISTINCT unit_id, 'probe' || chr(CAST(65 + unit_id // 10 AS INTEGER)) AS probe,
   ['VISam', 'VISpm', 'VISp', 'VISl', 'VISal', 'VISrl'][CAST(unit_id // 10 + 1 AS INTEGER)] AS area FROM points),
 trials AS (SELECT DISTINCT trial_id, trial_id * 86400000000 AS start_us, trial_id % 5 AS condition_id,
-  CASE WHEN trial_id % 5 < 4 THEN 45.0 * (trial_id % 5) END AS orientation, CASE WHEN trial_id % 5 < 4 THEN 4.0 END AS temporal_frequency, 1.0 AS contrast FROM points),
+  CASE WHEN trial_id % 5 < 4 THEN CAST(45.0 * (trial_id % 5) AS DOUBLE) END AS orientation, CASE WHEN trial_id % 5 < 4 THEN CAST(4.0 AS DOUBLE) END AS temporal_frequency, CAST(1.0 AS DOUBLE) AS contrast FROM points),
 grid AS (SELECT unit_id, trial_id FROM units, trials),
 counts AS (SELECT g.unit_id, g.trial_id, count(p.t_us) AS n FROM grid g LEFT JOIN points p ON p.unit_id = g.unit_id AND p.trial_id = g.trial_id GROUP BY ALL),
 bins AS (SELECT unit_id, trial_id, t_us // 300000000 AS bin, count(*) AS n FROM points GROUP BY ALL),
