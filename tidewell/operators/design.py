@@ -87,8 +87,8 @@ def square_kernel(points: DataFrame, pairs: DataFrame, width: int, trial: int, u
 
 def triangle_kernel(points: DataFrame, pairs: DataFrame, width: int, trial: int, unit: float) -> tuple[DataFrame, DataFrame]:
     half, t = width // 2, F.col("t_us")
-    value = (half - F.abs("d")) * unit / (half * half)
-    lost = lambda gap: F.when(gap < half, (half - gap) * (half - gap) / (2.0 * half * half)).otherwise(0.0)
+    value = (half - F.abs("d")) * (unit / half / half)
+    lost = lambda gap: F.when(gap < half, ((half - gap) / half) ** 2 / 2).otherwise(0.0)
     return around(points, pairs, -half, half, value, "nuisance"), per_source(points, 1 - lost(t) - lost(trial - t))
 
 

@@ -26,7 +26,7 @@ TRAINS = ", tr AS (SELECT unit_id, trial_id, t_us, count(*) AS c FROM points GRO
 
 
 def around_sql(low: int, high: int, value: str, name: str) -> str:
-    return f"""(SELECT p.src, p.dst, x.trial_id, y.t_us AS y_us, sum(({value}) * x.c) AS {name} FROM pairs p JOIN tr x ON x.unit_id = p.src
+    return f"""(SELECT p.src, p.dst, x.trial_id, y.t_us AS y_us, sum(CAST(({value}) AS DOUBLE) * x.c) AS {name} FROM pairs p JOIN tr x ON x.unit_id = p.src
  JOIN tr y ON y.unit_id = p.dst AND y.trial_id = x.trial_id AND y.t_us - x.t_us > {low} AND y.t_us - x.t_us <= {high} GROUP BY ALL)"""
 
 
@@ -37,15 +37,15 @@ REGRESSORS = {
     "k6_square_kernel": (around_sql(-HOUR, HOUR, "0.5", "v"), f"(SELECT unit_id AS src, sum(1 - (greatest(0, {HOUR} - t_us) + greatest(0, {HOUR} - ({DAY} - t_us))) / {2 * HOUR}) AS integral FROM points GROUP BY ALL)"),
     "k7_triangle_kernel": (around_sql(-HOUR, HOUR, f"({HOUR} - abs({D})) / {UNIT}", "v"), f"""(SELECT unit_id AS src, sum(1 - CASE WHEN t_us < {HOUR} THEN (({HOUR} - t_us) / {UNIT}) ** 2 / 2 ELSE 0 END
    - CASE WHEN {DAY} - t_us < {HOUR} THEN (({HOUR} - ({DAY} - t_us)) / {UNIT}) ** 2 / 2 ELSE 0 END) AS integral FROM points GROUP BY ALL)"""),
-    "k8_laplacian_kernel": (around_sql(-3 * WIDTH, 3 * WIDTH, f"exp(-abs({D} / {UNIT}) / {2 / 2**0.5!r}) / {2 * 2 / 2**0.5!r}", "v"), f"(SELECT unit_id AS src, count(*) * {1 - math.exp(-3 * 2**0.5)!r} AS integral FROM points GROUP BY ALL)"),
-    "k9_gaussian_kernel": (around_sql(-5 * WIDTH, 5 * WIDTH, f"exp(-({D} / {float(WIDTH)}) ** 2 / 2) / {2 * NORM!r}", "v"), f"""(SELECT unit_id AS src, sum(1 - 2 * {sql_norm_cdf("CAST(-5.0 AS DOUBLE)")}
+    "k8_laplacian_kernel": (around_sql(-3 * WIDTH, 3 * WIDTH, f"exp(-abs({D} / {UNIT}) / {2 / 2**0.5!r}) / {2 * 2 / 2**0.5!r}", "v"), f"(SELECT unit_id AS src, count(*) * CAST({1 - math.exp(-3 * 2**0.5)!r} AS DOUBLE) AS integral FROM points GROUP BY ALL)"),
+    "k9_gaussian_kernel": (around_sql(-5 * WIDTH, 5 * WIDTH, f"exp(-(({D} / {float(WIDTH)}) ** 2) / 2) / {2 * NORM!r}", "v"), f"""(SELECT unit_id AS src, sum(1 - 2 * {sql_norm_cdf("CAST(-5.0 AS DOUBLE)")}
    - CASE WHEN t_us <= {5 * WIDTH} THEN {sql_norm_cdf(f"(-t_us / {float(WIDTH)})")} ELSE 0 END - CASE WHEN {DAY} - t_us <= {5 * WIDTH} THEN {sql_norm_cdf(f"(-({DAY} - t_us) / {float(WIDTH)})")} ELSE 0 END) AS integral FROM points GROUP BY ALL)"""),
 }
 
 
 def regressor_sql(name: str) -> str:
     sums, integral = REGRESSORS[name]
-    return TRAINS + f""", v AS {sums}, i AS {integral}, z AS (SELECT yr.src, yr.dst, yr.w, coalesce(v, 0) AS v FROM yr LEFT JOIN v USING (src, dst, trial_id, y_us))
+    return TRAINS + f""", v AS {sums}, i AS {integral}, z AS (SELECT yr.src, yr.dst, yr.w, coalesce(v, 0)::DOUBLE AS v FROM yr LEFT JOIN v USING (src, dst, trial_id, y_us))
 SELECT src, dst, CAST(sum(w) AS BIGINT) AS n_y, round(sum(w * v), 5) AS s1, round(sum(w * v * v), 5) AS s2, round(max(integral), 5) AS integral FROM z JOIN i USING (src) GROUP BY src, dst"""
 
 
@@ -239,7 +239,7 @@ def k19(t: Tables) -> DataFrame:
     return fit.reconstruct(fits, [[0.0, 0.0, 1.0 if i < 12 else 0.0] for i in range(24)])
 
 
-CONV = f""", gk AS (SELECT CAST(w AS DOUBLE) AS width, o AS off, exp(-(o / w) ** 2 / 2) / {NORM!r} / w AS wt FROM (SELECT unnest([12.0, 24.0, 48.0]) AS w) CROSS JOIN range(-240, 241) r(o) WHERE abs(o) <= round(5 * w)),
+CONV = f""", gk AS (SELECT CAST(w AS DOUBLE) AS width, o AS off, exp(-((o / w) ** 2) / 2) / {NORM!r} / w AS wt FROM (SELECT unnest([12.0, 24.0, 48.0]) AS w) CROSS JOIN range(-240, 241) r(o) WHERE abs(o) <= round(5 * w)),
 cw AS (SELECT unit_id, trial_id, width, bin + off AS bin, sum(n * wt) AS w FROM bins CROSS JOIN gk WHERE bin + off BETWEEN 0 AND 287 GROUP BY ALL),
 ch AS (SELECT unit_id, trial_id, bin + off AS bin, CAST(sum(n) AS DOUBLE) AS h FROM bins CROSS JOIN range(1, 13) r(off) WHERE bin + off BETWEEN 0 AND 287 GROUP BY ALL)"""
 
