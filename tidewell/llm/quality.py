@@ -82,10 +82,12 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     below zero its gradient is followed upward, as the non-negative estimator does, so the flexible part can't be
     driven below what a risk can be.
     """
-    both = np.vstack([positive, unlabelled])
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
-    p, u = (positive - mean) / scale, (unlabelled - mean) / scale
-    w, b = np.zeros(p.shape[1]), 0.0
+    n = len(positive) + len(unlabelled)
+    mean = (positive.sum(axis=0, dtype=np.float64) + unlabelled.sum(axis=0, dtype=np.float64)) / n
+    square = ((positive**2).sum(axis=0, dtype=np.float64) + (unlabelled**2).sum(axis=0, dtype=np.float64)) / n
+    scale = np.sqrt(np.maximum(square - mean**2, 0)) + 1e-3
+    p, u = (((part - mean) / scale).astype(np.float32) for part in (positive, unlabelled))
+    w, b = np.zeros(p.shape[1], np.float32), np.float32(0)
     first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for t in range(1, steps + 1):
@@ -99,11 +101,11 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
         grad = np.concatenate([p.T @ dp + u.T @ du + decay * w, [dp.sum() + du.sum()]])
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         step = rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
+        w, b = (w - step[:-1]).astype(np.float32), np.float32(b - step[-1])
     return Model(w, float(b), mean, scale, prior)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 8192) -> Model | None:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 4096) -> Model | None:
     """Fit on at most ``sample`` trusted positives and ``sample`` unlabelled texts (the first by a hash of doc_id).
 
     Only rows that are not held out (remainder 0 of 5) are used. The class prior is estimated as the share of
@@ -119,8 +121,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 8192) -> Model | Non
     got = texts.mapInPandas(_feature_rows, "positive boolean, x array<float>").toPandas()
     if prior is None or got.empty or got["positive"].all() or not got["positive"].any():
         return None
-    x = np.stack(got["x"].to_list()).astype(np.float64)
-    positive = got["positive"].to_numpy(bool)
+    x, positive = np.stack(got["x"].to_list()), got["positive"].to_numpy(bool)
+    del got
     return fit_nnpu(x[positive], x[~positive], float(np.clip(prior, 0.05, 0.95)))
 
 
