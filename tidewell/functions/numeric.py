@@ -159,7 +159,9 @@ def t_sf2(t: float, dof: float) -> float:
 def knots(n: int, length: float, offset: float = 0.1) -> np.ndarray:
     """``n`` knots on [0, length], closer together near 0: evenly spaced on a log scale shifted by ``offset`` x length."""
     shift = offset * length
-    return np.exp(np.linspace(math.log(shift), math.log(length + shift), n)) - shift
+    out = np.exp(np.linspace(math.log(shift), math.log(length + shift), n)) - shift
+    out[0], out[-1] = 0.0, length
+    return out
 
 
 def bspline(inner: np.ndarray, x: np.ndarray, order: int = 4) -> np.ndarray:
