@@ -31,6 +31,12 @@ def norm_cdf(x: Column) -> Column:
     return F.when(x >= 0, 1 - tail).otherwise(tail)
 
 
+def corr(x: str, y: str) -> Column:
+    """Pearson's r; null where a side doesn't vary."""
+    sd = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(sd > 0, F.covar_pop(x, y) / F.when(sd > 0, sd))
+
+
 def laplace_pdf(x: Column, scale: float) -> Column:
     return F.exp(-F.abs(x) / scale) / (2 * scale)
 
@@ -48,3 +54,7 @@ def sql_norm_cdf(x: str) -> str:
 
 def sql_uniform(s: str) -> str:
     return f"(CAST(('0x' || substr(md5({s}), 1, 8)) AS UBIGINT) / 4294967296.0)"
+
+
+def sql_corr(x: str, y: str) -> str:
+    return f"(CASE WHEN stddev_pop({x}) * stddev_pop({y}) > 0 THEN covar_pop({x}, {y}) / (stddev_pop({x}) * stddev_pop({y})) END)"

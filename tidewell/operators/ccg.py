@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewell.functions import numeric
-from tidewell.functions.columns import norm_cdf, uniform
+from tidewell.functions.columns import corr, norm_cdf, uniform
 from tidewell.operators.timejoin import delays
 
 
@@ -203,7 +203,7 @@ def peak(corr: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 def pearson_lags(a: DataFrame, b: DataFrame, keys: tuple[str, ...], low: int, high: int) -> DataFrame:
     """(keys, lag, r): Pearson's r of y1[b + lag] and y2[b]; the series must be dense."""
-    return lag_join(a, b, keys, low, high).groupBy(*keys, "lag").agg(F.corr("y1", "y2").alias("r"))
+    return lag_join(a, b, keys, low, high).groupBy(*keys, "lag").agg(corr("y1", "y2").alias("r"))
 
 
 def centred_xcorr(a: DataFrame, b: DataFrame, keys: tuple[str, ...], n_bins: int, low: int, high: int) -> DataFrame:

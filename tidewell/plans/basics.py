@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions.columns import sql_uniform
+from tidewell.functions.columns import corr, sql_corr, sql_uniform
 from tidewell.operators import binning, graph, pairs, select, series, timejoin
 from tidewell.plans.catalog import BIN, BINS, LENGTH, Tables, query, rounded
 from tidewell.sources import files
@@ -392,14 +392,14 @@ def g1(t: Tables) -> DataFrame:
     return select.active_units(r).select("unit_id", F.lit("probe").alias("kind")).unionAll(select.active_units(r, within_probe=False).select("unit_id", F.lit("all").alias("kind")))
 
 
-CORR = """, corrs AS (SELECT a.unit_id AS src, b.unit_id AS dst, ua.probe AS p0, ub.probe AS p1, coalesce(corr(a.n, b.n), 0) AS r FROM counts a JOIN counts b USING (trial_id)
+CORR = f""", corrs AS (SELECT a.unit_id AS src, b.unit_id AS dst, ua.probe AS p0, ub.probe AS p1, coalesce({sql_corr('a.n', 'b.n')}, 0) AS r FROM counts a JOIN counts b USING (trial_id)
  JOIN units ua ON ua.unit_id = a.unit_id JOIN units ub ON ub.unit_id = b.unit_id WHERE ua.probe < ub.probe GROUP BY ALL)"""
 
 
 def count_correlations(t: Tables) -> DataFrame:
     a = t.counts.join(t.units, "unit_id").select(F.col("unit_id").alias("src"), "trial_id", F.col("n").alias("x"), F.col("probe").alias("p0"))
     b = t.counts.join(t.units, "unit_id").select(F.col("unit_id").alias("dst"), "trial_id", F.col("n").alias("y"), F.col("probe").alias("p1"))
-    return a.join(b, "trial_id").where("p0 < p1").groupBy("src", "dst", "p0", "p1").agg(F.coalesce(F.corr("x", "y"), F.lit(0.0)).alias("r"))
+    return a.join(b, "trial_id").where("p0 < p1").groupBy("src", "dst", "p0", "p1").agg(F.coalesce(corr("x", "y"), F.lit(0.0)).alias("r"))
 
 
 @query("g2_split_by_correlation", CORR + """, s AS (SELECT src AS unit_id, p0 AS probe_from, p1 AS probe_to, sum(CASE WHEN r > 0.2 THEN r ELSE 0 END) AS s FROM corrs GROUP BY ALL

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import numeric
-from tidewell.functions.columns import sql_norm_cdf, sql_uniform
+from tidewell.functions.columns import corr, sql_corr, sql_norm_cdf, sql_uniform
 from tidewell.operators import binning, ccg, graph, pairs, synchrony
 from tidewell.plans.basics import SUB, subgroups
 from tidewell.plans.catalog import BINS, DELTA, LAGS, REPS, TRIALS, WINDOW_BINS, Tables, query, rounded
@@ -79,7 +79,7 @@ def dense_traces(t: Tables) -> tuple[DataFrame, DataFrame]:
     return binning.dense(a, frame, BINS, "y1"), binning.dense(b, frame, BINS, "y2")
 
 
-@query("e4_pearson_lags", DENSE + " SELECT a.trial_id, CAST(a.bin - b.bin AS INTEGER) AS lag, round(corr(y1, y2), 6) AS r FROM a JOIN b ON a.trial_id = b.trial_id AND a.bin - b.bin BETWEEN -12 AND 12 GROUP BY ALL")
+@query("e4_pearson_lags", DENSE + " SELECT a.trial_id, CAST(a.bin - b.bin AS INTEGER) AS lag, round(" + sql_corr("y1", "y2") + ", 6) AS r FROM a JOIN b ON a.trial_id = b.trial_id AND a.bin - b.bin BETWEEN -12 AND 12 GROUP BY ALL")
 def e4(t: Tables) -> DataFrame:
     return rounded(ccg.pearson_lags(*dense_traces(t), ("trial_id",), -LAGS, LAGS), "r")
 
@@ -241,7 +241,7 @@ def e20(t: Tables) -> DataFrame:
 @query("e21_group_correlation", SUB + """, g AS (SELECT probe_from, probe_to, group_id, trial_id, t_us // 3600000000 AS bin, count(*) AS n FROM points JOIN subgroups USING (unit_id) GROUP BY ALL),
 fr AS (SELECT DISTINCT a.probe_from, a.probe_to, a.group_id, t.trial_id, CAST(h AS BIGINT) AS bin FROM (SELECT DISTINCT probe_from, probe_to, group_id FROM g) a CROSS JOIN trials t CROSS JOIN range(0, 24) r(h)),
 d AS (SELECT fr.*, coalesce(n, 0) AS n FROM fr LEFT JOIN g USING (probe_from, probe_to, group_id, trial_id, bin))
-SELECT a.probe_from, a.probe_to, a.group_id AS g0, b.group_id AS g1, a.bin, round(corr(a.n, b.n), 6) AS r FROM d a JOIN d b ON b.probe_from = a.probe_to AND b.probe_to = a.probe_from AND b.trial_id = a.trial_id AND b.bin = a.bin WHERE a.probe_from < a.probe_to GROUP BY ALL""")
+SELECT a.probe_from, a.probe_to, a.group_id AS g0, b.group_id AS g1, a.bin, round(""" + sql_corr("a.n", "b.n") + """, 6) AS r FROM d a JOIN d b ON b.probe_from = a.probe_to AND b.probe_to = a.probe_from AND b.trial_id = a.trial_id AND b.bin = a.bin WHERE a.probe_from < a.probe_to GROUP BY ALL""")
 def e21(t: Tables) -> DataFrame:
     key = ("probe_from", "probe_to", "group_id")
     trace = binning.bins(t.points.join(subgroups(t), "unit_id"), HOUR, keys=(*key, "trial_id"))
@@ -249,12 +249,12 @@ def e21(t: Tables) -> DataFrame:
     d = binning.dense(trace, frame, 24)
     b = d.select(F.col("probe_from").alias("probe_to"), F.col("probe_to").alias("probe_from"), F.col("group_id").alias("g1"), "trial_id", "bin", F.col("n").alias("m"))
     met = d.where("probe_from < probe_to").withColumnRenamed("group_id", "g0").join(b, ["probe_from", "probe_to", "trial_id", "bin"])
-    return rounded(met.groupBy("probe_from", "probe_to", "g0", "g1", "bin").agg(F.corr("n", "m").alias("r")), "r")
+    return rounded(met.groupBy("probe_from", "probe_to", "g0", "g1", "bin").agg(corr("n", "m").alias("r")), "r")
 
 
 MEMCORR = """, c0 AS (SELECT trial_id, group_id, count(*) AS n FROM membership JOIN path0 USING (src, dst) WHERE group_id IS NOT NULL GROUP BY ALL), c1 AS (SELECT trial_id, group_id, count(*) AS n FROM membership JOIN path1 USING (src, dst) WHERE group_id IS NOT NULL GROUP BY ALL),
 fr AS (SELECT trial_id, CAST(g AS INTEGER) AS group_id FROM trials CROSS JOIN range(0, 5) r(g)), f0 AS (SELECT fr.*, coalesce(n, 0) AS n FROM fr LEFT JOIN c0 USING (trial_id, group_id)), f1 AS (SELECT fr.*, coalesce(n, 0) AS n FROM fr LEFT JOIN c1 USING (trial_id, group_id))
-SELECT a.group_id AS g0, b.group_id AS g1, round(corr(a.n, b.n), 6) AS r, count(*) AS trials FROM f0 a JOIN f1 b USING (trial_id) GROUP BY a.group_id, b.group_id"""
+SELECT a.group_id AS g0, b.group_id AS g1, round(""" + sql_corr("a.n", "b.n") + """, 6) AS r, count(*) AS trials FROM f0 a JOIN f1 b USING (trial_id) GROUP BY a.group_id, b.group_id"""
 
 
 @query("e22_membership_correlation", MEMCORR, ("pathways",))
@@ -264,7 +264,7 @@ def e22(t: Tables) -> DataFrame:
     for i, path in enumerate((t.pathway("probeA", "probeB"), t.pathway("probeB", "probeC"))):
         n = t.membership.join(path, ["src", "dst"], "left_semi").groupBy("trial_id", "group_id").agg(F.count("*").alias("n"))
         parts.append(frame.join(n, ["trial_id", "group_id"], "left").select("trial_id", F.col("group_id").alias(f"g{i}"), F.coalesce("n", F.lit(0)).alias(f"n{i}")))
-    return rounded(parts[0].join(parts[1], "trial_id").groupBy("g0", "g1").agg(F.corr("n0", "n1").alias("r"), F.count("*").alias("trials")), "r")
+    return rounded(parts[0].join(parts[1], "trial_id").groupBy("g0", "g1").agg(corr("n0", "n1").alias("r"), F.count("*").alias("trials")), "r")
 
 
 @query("e22_correlation_p")
