@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,18 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sampled(df: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """At most ``most`` rows, the first by a hash of ``keys``: the same rows wherever it is asked.
+
+    Rows beyond a share of the hash's range, about twice what is wanted, are dropped where they are read, so what
+    is sorted and moved is of a fixed size too, whatever the number of partitions.
+    """
+    place = F.pmod(F.xxhash64(*keys, F.lit("sample")), F.lit(1 << 40))
+    share = 2 * most / max(1, df.count())
+    kept = df if share >= 1 else df.where(place < int(share * (1 << 40)))
+    return kept.orderBy(place, *keys).limit(most)
+
+
 def spans(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Cut rows into runs whose lengths add up to about ``most``, so that a batch of long texts stays small in memory."""
     start, total = 0, 0

@@ -11,10 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm._common import spans, table
+from tidewell.llm._common import sampled, spans, table
 from tidewell.llm.langid import held_out
 
-CHARS_AT_ONCE = 1_000_000
+CHARS_AT_ONCE = 500_000
 #: Character classes: the signs that have a class of their own; other signs, letters, digits and blanks share one each.
 SIGNS = ".,;:!?'\"()|*#$%&@/-_<>=+"
 OTHER, LOWER, UPPER, DIGIT, BLANK, BREAK, LETTER = range(7)
@@ -59,7 +59,7 @@ def _feature_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         texts = pdf["text"].fillna("")
         for lo, hi in spans(texts.str.len().to_numpy(), CHARS_AT_ONCE):
-            yield pdf.iloc[lo:hi].drop(columns="text").assign(x=list(features(texts.iloc[lo:hi].to_list())))
+            yield pdf.iloc[lo:hi].drop(columns="text").assign(x=[x.tobytes() for x in features(texts.iloc[lo:hi].to_list())])
 
 
 @dataclass(frozen=True)
@@ -75,18 +75,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -40, 40)))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.03, decay: float = 1e-3) -> Model:
-    """Logistic model with the least non-negative unbiased risk.
+def fit_nnpu(x: np.ndarray, positives: int, prior: float, steps: int = 400, rate: float = 0.03, decay: float = 1e-3) -> Model:
+    """Logistic model with the least non-negative unbiased risk. ``x``: the positives' rows, then unlabelled ones, in
+    single precision; it is standardised in place.
 
     With l the logistic loss: risk = prior E_p l(g) + max(0, E_u l(-g) - prior E_p l(-g)). Where the bracket falls
     below zero its gradient is followed upward, as the non-negative estimator does, so the flexible part can't be
     driven below what a risk can be.
     """
-    n = len(positive) + len(unlabelled)
-    mean = (positive.sum(axis=0, dtype=np.float64) + unlabelled.sum(axis=0, dtype=np.float64)) / n
-    square = ((positive**2).sum(axis=0, dtype=np.float64) + (unlabelled**2).sum(axis=0, dtype=np.float64)) / n
+    mean = x.mean(axis=0, dtype=np.float64)
+    square = np.einsum("ij,ij->j", x, x, dtype=np.float64) / len(x)
     scale = np.sqrt(np.maximum(square - mean**2, 0)) + 1e-3
-    p, u = (((part - mean) / scale).astype(np.float32) for part in (positive, unlabelled))
+    x -= mean.astype(np.float32)
+    x /= scale.astype(np.float32)
+    p, u = x[:positives], x[positives:]
     w, b = np.zeros(p.shape[1], np.float32), np.float32(0)
     first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -113,21 +115,21 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 4096) -> Model | Non
     """
     labels = labels.where(~held_out(5, 0) & F.col("doc_id").isNotNull())
     prior = labels.where("quality is not null").agg(F.avg(F.when(F.col("quality") == 1, 1.0).otherwise(0.0))).first()[0]
-    rank = F.xxhash64("doc_id", F.lit("quality"))
-    p = labels.where("quality = 1").select("doc_id").distinct().orderBy(rank, "doc_id").limit(sample).withColumn("positive", F.lit(True))
-    u = docs.where(~held_out(5, 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(rank, "doc_id").limit(sample).withColumn("positive", F.lit(False))
+    p = sampled(labels.where("quality = 1").select("doc_id"), ["doc_id"], sample).distinct().withColumn("positive", F.lit(True))
+    u = sampled(docs.where(~held_out(5, 0) & F.col("doc_id").isNotNull()).select("doc_id"), ["doc_id"], sample).distinct().withColumn("positive", F.lit(False))
     ids = F.broadcast(p.unionByName(u))  # 2 x sample rows at most
     texts = docs.select("doc_id", "text").join(ids, "doc_id").select("positive", "text")
-    got = texts.mapInPandas(_feature_rows, "positive boolean, x array<float>").toPandas()
+    got = texts.mapInPandas(_feature_rows, "positive boolean, x binary").toPandas()
     if prior is None or got.empty or got["positive"].all() or not got["positive"].any():
         return None
-    x, positive = np.stack(got["x"].to_list()), got["positive"].to_numpy(bool)
+    got = got.sort_values("positive", ascending=False, kind="stable")
+    x, positives = np.frombuffer(bytearray().join(got["x"]), np.float32).reshape(len(got), WIDTH), int(got["positive"].sum())
     del got
-    return fit_nnpu(x[positive], x[~positive], float(np.clip(prior, 0.05, 0.95)))
+    return fit_nnpu(x, positives, float(np.clip(prior, 0.05, 0.95)))
 
 
-def score(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataFrame:
-    """Each row of ``docs`` without its text, plus score and predicted (1 if score >= threshold).
+def score(docs: DataFrame, model: Model | None, threshold: float = 0.3, keep_text: bool = False) -> DataFrame:
+    """Each row of ``docs``, without its text unless it is to be kept, plus score and predicted (1 if score >= threshold).
 
     Null and empty texts get the score of a text without characters; without a model every text gets 0.5.
     Columns that a caller named score or predicted are replaced.
@@ -139,9 +141,9 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataF
             texts, out = pdf["text"].fillna(""), np.full(len(pdf), 0.5)
             for lo, hi in spans(texts.str.len().to_numpy(), CHARS_AT_ONCE) if model else ():
                 out[lo:hi] = model.score(features(texts.iloc[lo:hi].to_list()))
-            yield pdf.drop(columns="text").assign(score=out, predicted=(out >= threshold).astype("int32"))
+            yield (pdf if keep_text else pdf.drop(columns="text")).assign(score=out, predicted=(out >= threshold).astype("int32"))
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if keep_text or f.name != "text")
     return docs.mapInPandas(run, ", ".join(x for x in (kept, "score double, predicted int") if x))
 
 
@@ -153,5 +155,6 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that are predicted to be of quality 1."""
-    judged = score(docs.withColumn("whole", F.col("text")), learn(docs, table(spark, sf_dir, "labels")))
-    return judged.where("predicted = 1").withColumnRenamed("whole", "text").select(docs.columns)
+    renamed = docs.toDF(*[c if c == "text" else f"d_{c}" for c in docs.columns])
+    judged = score(renamed, learn(docs, table(spark, sf_dir, "labels")), keep_text=True)
+    return judged.where("predicted = 1").select(*[F.col(c if c == "text" else f"d_{c}").alias(c) for c in docs.columns])
