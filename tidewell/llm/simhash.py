@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidewell.llm._common import settle, spans, table
 from tidewell.llm.components import connected_components
 
-WORDS_AT_ONCE = 500_000
+WORDS_AT_ONCE = 250_000
 #: Two-bit segments: the popcounts of all 32 lie side by side in one 64-bit number, two bits each.
 LOW_BITS = 0x5555555555555555
 #: Rows of one grid cell that a task compares among themselves; a larger cell is cut into chunks of so many.
@@ -277,14 +277,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group, that with the smallest doc_id.
 
-    Of rows that share this doc_id the first by (fingerprint, text digest) stays; groups without a doc_id keep one
-    row likewise. The choice is made on narrow rows, by minima that are combined before the shuffle.
+    Of the rows with this doc_id the one with the least digests stays; groups without a doc_id keep one row likewise.
+    The choice is made on narrow rows, by minima that are combined before the shuffle; then texts move once, to meet
+    the chosen digests (96 bits of doc_id and text).
     """
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
-    found = near_duplicates(keyed).select("doc_id", "fp", "digest", "component_id")
+    digests = {"k1": F.xxhash64("doc_id", "text"), "k2": F.hash("text", "doc_id")}
+    found = near_duplicates(docs.select("doc_id", "text", *[c.alias(k) for k, c in digests.items()]))
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = first.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("fp")).alias("g")).agg(F.min("digest").alias("digest"))
-    marked = docs.withColumn("__digest", F.xxhash64("text"))
-    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d")).distinct()
-    kept = marked.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__d")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__digest"]).select(docs.columns)
+    group = F.when(F.col("doc_id").isNull(), F.col("fp"))
+    chosen = first.groupBy("doc_id", group.alias("g")).agg(F.min(F.struct("k1", "k2")).alias("k")).select(F.col("k.k1").alias("__k1"), F.col("k.k2").alias("__k2")).distinct()
+    marked = docs.withColumns({f"__{k}": c for k, c in digests.items()})
+    return marked.join(chosen, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(docs.columns)
