@@ -10,15 +10,16 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm._common import spans, table
 
 #: Words, and runs between blanks, whose ids a worker remembers: the first it meets; others are merged anew, which bounds its memory.
-REMEMBERED = 500_000
-CHARS_AT_ONCE = 4_000_000
+REMEMBERED = 150_000
+CHARS_AT_ONCE = 1_000_000
 
 
 def byte_signs() -> list[str]:
@@ -135,36 +136,38 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     text is an empty one and has no tokens. Special tokens spelt out in a text become their ids, as the tokenizers
     library has it. Texts are encoded whole; a caller's columns named ids or decoded are replaced.
     """
-    with open(path, encoding="utf-8") as f:
-        source = docs.sparkSession.sparkContext.broadcast(f.read())
-    return _mapped(docs, source, "ids binary, decoded string", lambda t, ids: {"ids": ids, "decoded": [t.decode(x) for x in ids]})
+    return _mapped(docs, path, "ids binary, decoded string", lambda ids, decoded: (ids, decoded))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """The same, but only n_tokens and the digests of ids and decoded text, made where the text is."""
-    with open(path, encoding="utf-8") as f:
-        source = docs.sparkSession.sparkContext.broadcast(f.read())
     sha = lambda b: hashlib.sha256(b).hexdigest()
-    return _mapped(docs, source, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda t, ids: {
-        "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [sha(x) for x in ids],
-        "decoded_sha256": [sha(t.decode(x).encode("utf-8", "surrogatepass")) for x in ids],
-    })
+    row = lambda ids, decoded: (len(ids) // 4, sha(ids), sha(decoded.encode("utf-8", "surrogatepass")))
+    return _mapped(docs, path, "n_tokens long, ids_sha256 string, decoded_sha256 string", row)
 
 
-def _mapped(docs: DataFrame, source, fields: str, made) -> DataFrame:
-    names = [f.split()[0] for f in fields.split(", ")]
-    docs = docs.drop(*names)
+def _mapped(docs: DataFrame, path: str, fields: str, made) -> DataFrame:
+    """Texts leave their Arrow batch a few at a time, so a batch is never held twice."""
+    with open(path, encoding="utf-8") as f:
+        source = docs.sparkSession.sparkContext.broadcast(f.read())
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    added = [(n, kinds[k]) for n, k in (f.split() for f in fields.split(", "))]
+    docs = docs.drop(*[n for n, _ in added])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(source.value)
-        for pdf in batches:
-            texts = pdf["text"].fillna("")
-            for lo, hi in spans(texts.str.len().to_numpy(), CHARS_AT_ONCE):
-                ids = [tokenizer.encode(t) for t in texts.iloc[lo:hi]]
-                yield pdf.iloc[lo:hi].drop(columns="text").assign(**made(tokenizer, ids))
+        for batch in batches:
+            texts, kept = batch.column("text"), batch.drop_columns(["text"])
+            for lo, hi in spans(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False), CHARS_AT_ONCE):
+                rows = []
+                for i in range(lo, hi):
+                    ids = tokenizer.encode(texts[i].as_py() or "")
+                    rows.append(made(ids, tokenizer.decode(ids)))
+                columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), added, strict=True)]
+                yield pa.RecordBatch.from_arrays(kept.slice(lo, hi - lo).columns + columns, kept.schema.names + [n for n, _ in added])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInPandas(run, ", ".join(x for x in (kept, fields) if x))
+    return docs.mapInArrow(run, ", ".join(x for x in (kept, fields) if x))
 
 
 def vocabulary_path() -> str:

@@ -15,7 +15,7 @@ from tidewell.llm._common import spans, table
 
 #: log2 of the number of trigram buckets. The model is one float a bucket and language, whatever the corpus.
 BITS = 15
-CHARS_AT_ONCE = 1_000_000
+CHARS_AT_ONCE = 500_000
 
 
 @lru_cache(1)
@@ -128,7 +128,7 @@ class Mixture:
         return share
 
 
-def _predict(batches: Iterator[pd.DataFrame], langs: list[str], table: np.ndarray, steps: int, penalty: float) -> Iterator[pd.DataFrame]:
+def _predict(batches: Iterator[pd.DataFrame], langs: list[str], table: np.ndarray, steps: int, penalty: float, keep_text: bool) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         texts = pdf["text"].fillna("")
         pred, score = np.full(len(pdf), "und", object), np.zeros(len(pdf))
@@ -143,11 +143,11 @@ def _predict(batches: Iterator[pd.DataFrame], langs: list[str], table: np.ndarra
             top = share.argmax(axis=1)
             pred[lo + some], score[lo + some] = np.array(langs, object)[top], share[np.arange(len(top)), top]
             mix[lo + some] = [" ".join(f"{langs[j]}:{row[j]:.2f}" for j in np.flatnonzero(row)) for row in share]
-        yield pdf.drop(columns="text").assign(lang_pred=pred, score=np.clip(score, 0, 1), mixture=mix)
+        yield (pdf if keep_text else pdf.drop(columns="text")).assign(lang_pred=pred, score=np.clip(score, 0, 1), mixture=mix)
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], steps: int = 6, penalty: float = 2.0) -> DataFrame:
-    """Each row of ``docs`` without its text, plus lang_pred, score (its proportion of the text) and mixture.
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], steps: int = 6, penalty: float = 2.0, keep_text: bool = False) -> DataFrame:
+    """Each row of ``docs``, without its text unless it is to be kept, plus lang_pred, score (its proportion of the text) and mixture.
 
     Proportions come from EM over the words' trigram likelihoods; the set of languages grows from the best single
     one while the log-likelihood gains more than ``penalty`` x ln(words + 1) by a further one. A text that is null
@@ -157,9 +157,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], steps: int =
     langs, table = model
     shared = docs.sparkSession.sparkContext.broadcast(table)  # buckets x languages, a size fixed by BITS and most_langs
     docs = docs.drop("lang_pred", "score", "mixture")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if keep_text or f.name != "text")
     schema = ", ".join(x for x in (kept, "lang_pred string, score double, mixture string") if x)
-    return docs.mapInPandas(lambda it: _predict(it, langs, shared.value, steps, penalty), schema)
+    return docs.mapInPandas(lambda it: _predict(it, langs, shared.value, steps, penalty, keep_text), schema)
 
 
 def held_out(of: int, remainder: int):
@@ -180,8 +180,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
     """Keep the documents of which one language makes up at least ``least``.
 
-    The texts pass the model once; its verdict rides along as a column, so no row needs to be joined back.
+    The texts pass the model once and carry its verdict along, so no row needs to be joined back. Clashing columns
+    of a caller keep their values: the stage returns the columns that it was given.
     """
-    judged = identify(docs.withColumn("whole", F.col("text")), learn(docs))
+    renamed = docs.toDF(*[c if c == "text" else f"d_{c}" for c in docs.columns])
+    judged = identify(renamed, learn(docs), keep_text=True)
     kept = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return kept.withColumnRenamed("whole", "text").select(docs.columns)
+    return kept.select(*[F.col(c if c == "text" else f"d_{c}").alias(c) for c in docs.columns])
