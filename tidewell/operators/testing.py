@@ -105,9 +105,15 @@ def p_summary(tests: DataFrame, thresholds: list[float], p: str = "p") -> DataFr
 
 
 def hub_blocks(tests: DataFrame, alpha: float, fraction: float, block_cells: int) -> DataFrame:
-    """(mid, n, members): pathways that meet in one unit (dst0 = src1) with more than fraction x block_cells links."""
+    """(mid, n, n_src): pathways that meet in one unit (dst0 = src1) with more than fraction x block_cells links."""
     hit = tests.where((F.col("p") < alpha) & (F.col("dst0") == F.col("src1")))
-    return hit.groupBy(F.col("dst0").alias("mid")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("src0", "dst0", "src1", "dst1"))).alias("members")).where(F.col("n") > fraction * block_cells)
+    return hit.groupBy(F.col("dst0").alias("mid")).agg(F.count("*").alias("n"), F.count_distinct("src0").alias("n_src")).where(F.col("n") > fraction * block_cells)
+
+
+def hub_members(tests: DataFrame, hubs: DataFrame, alpha: float) -> DataFrame:
+    """(mid, src0, dst1, p): the pairs of pathways of each hub, one row each."""
+    hit = tests.where((F.col("p") < alpha) & (F.col("dst0") == F.col("src1"))).withColumnRenamed("dst0", "mid")
+    return hit.join(hubs, "mid", "left_semi").select("mid", "src0", "dst1", "p")
 
 
 def broadcast_blocks(tests: DataFrame, alpha: float, fraction: float, block_cells: int) -> DataFrame:

@@ -81,8 +81,14 @@ def hash_tests(t: Tables) -> DataFrame:
 
 @query("h6_hub_blocks", HASH_P + " SELECT dst0 AS mid, count(*) AS n, count(DISTINCT src0) AS n_src FROM tests WHERE p < 0.3 AND dst0 = src1 GROUP BY dst0 HAVING count(*) > 0.06 * 25", ("chi",))
 def h6(t: Tables) -> DataFrame:
-    hubs = testing.hub_blocks(hash_tests(t), 0.3, 0.06, 25)
-    return hubs.select("mid", "n", F.size(F.array_distinct(F.col("members.src0"))).cast("long").alias("n_src"))
+    return testing.hub_blocks(hash_tests(t), 0.3, 0.06, 25)
+
+
+@query("h6_hub_members", HASH_P + """, hubs AS (SELECT dst0 AS mid FROM tests WHERE p < 0.3 AND dst0 = src1 GROUP BY dst0 HAVING count(*) > 0.06 * 25)
+SELECT dst0 AS mid, src0, dst1, round(p, 6) AS p FROM tests JOIN hubs ON mid = dst0 WHERE p < 0.3 AND dst0 = src1""", ("chi",))
+def h6m(t: Tables) -> DataFrame:
+    tests = hash_tests(t)
+    return rounded(testing.hub_members(tests, testing.hub_blocks(tests, 0.3, 0.06, 25), 0.3), "p")
 
 
 @query("h6_broadcast_blocks", HASH_P + " SELECT src0 AS source, dst1 AS target, count(*) AS n, count(*) FILTER (dst0 = src1) AS n_hub FROM tests WHERE p < 0.3 GROUP BY ALL HAVING count(*) > 0.051 * 25", ("chi",))
