@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm._common import settle, table
+from tidewell.llm._common import sampled, settle, table
 from tidewell.llm.components import connected_components
 from tidewell.llm.simhash import Forest
 
@@ -35,7 +35,7 @@ def principal_axes(vectors: DataFrame, dims: int, sample: int = 4096) -> np.ndar
 
     They decide how well the grid prunes, never which pairs link.
     """
-    got = vectors.select("embedding").orderBy(F.xxhash64("embedding")).limit(sample).toPandas()
+    got = sampled(vectors.select("embedding"), ["embedding"], sample).toPandas()
     if got.empty:
         return np.zeros((dims, 0))
     unit = unit_rows(got["embedding"])
