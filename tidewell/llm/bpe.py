@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm._common import spans, table
 
-#: Words, and runs between blanks, whose ids a worker remembers: the first it meets; others are merged anew, which bounds its memory.
-REMEMBERED = 150_000
+#: Words, and runs between blanks, whose ids a task remembers: the first it meets; others are merged anew, which bounds its memory.
+REMEMBERED = 200_000
 CHARS_AT_ONCE = 1_000_000
 
 
@@ -112,6 +112,10 @@ class Tokenizer:
                 out += [known[r] if r in known else self._run(r) for r in plain.split(" ")]
         return b"".join(out)
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.runs.clear()
+
     def decode(self, packed: bytes) -> str:
         """The vocabulary strings of the ids with a blank between, as the file names no decoder of its own."""
         return " ".join(map(self.strings.__getitem__, np.frombuffer(packed, "<u4").tolist()))
@@ -121,7 +125,7 @@ _ready: dict[str, Tokenizer] = {}
 
 
 def _tokenizer(source: str) -> Tokenizer:
-    """One tokenizer a worker process and file, kept between tasks with the words it knows."""
+    """One tokenizer a worker process and file, kept between tasks."""
     name = hashlib.sha256(source.encode()).hexdigest()
     if name not in _ready:
         _ready.clear()
@@ -165,6 +169,7 @@ def _mapped(docs: DataFrame, path: str, fields: str, made) -> DataFrame:
                     rows.append(made(ids, tokenizer.decode(ids)))
                 columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), added, strict=True)]
                 yield pa.RecordBatch.from_arrays(kept.slice(lo, hi - lo).columns + columns, kept.schema.names + [n for n, _ in added])
+        tokenizer.forget()  # a worker's memory is free again for the next stage
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     return docs.mapInArrow(run, ", ".join(x for x in (kept, fields) if x))
