@@ -147,6 +147,25 @@ def test_schedule_is_even(spark):
     assert (slots.groupby(["number", "block", "turn"]).size() == 1).all()
 
 
+def test_small_sources_reach_their_targets_beside_a_huge_one(spark):
+    rows = [(i, "w " * n, s) for i, (s, n) in enumerate([("a", 1), ("b", 40), ("c", 300), ("d", 1500), ("huge", 180_000)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    assert {r.doc_id: r.taken for r in got} == {r.doc_id: int(r.target) for r in got}
+    assert {r.doc_id: r.taken for r in got if r.doc_id < 4} == {0: 2, 1: 80, 2: 600, 3: 3000}
+    kept = [r.doc_id for r in mixing.mixing_stage(spark, docs, "").select("doc_id").collect()]
+    assert [kept.count(i) for i in range(4)] == [2, 2, 2, 2]
+
+
+def test_schedule_completes_sources_at_its_end(spark):
+    plan = spark.createDataFrame([("a", 0, 1, 2.0), ("b", 1, 40, 80.0), ("c", 2, 300, 450.5), ("d", 3, 10**6, 1.5e6)], "source string, number int, source_size long, target double")
+    for slots in (0, 100, 6100):
+        got = mixing.schedule(plan, slots, 256).toPandas()
+        held = np.minimum(got.words, np.array([1, 40, 300, 10**6])[got.number] - got.block * 256)
+        assert held.groupby(got.number).sum().tolist() == [2, 80, 450, 1_500_000] and got.slot.is_unique
+        assert (got.groupby(["number", "block", "turn"]).size() == 1).all()
+
+
 def test_sharding_moves_rows_only_into_the_new_shard(spark, odd):
     got = sharding.assign(odd, sharding.tree(16)).collect()
     assert len(got) == 10 and all(r["shard"] == r.grown_shard or r.grown_shard == 16 for r in got)

@@ -80,7 +80,9 @@ def schedule(plan: DataFrame, slots: int, block: int) -> DataFrame:
     Slot i takes the source into whose stretch of the cumulative targets the fractional part of i x 0.618... falls.
     Every run of slots so holds each source nearly in proportion. A source's r-th slot takes its block r, starting
     anew (``turn``) at its end. ``words``: how many words of the block it takes, all but where the target ends; a
-    source that has met its target lets its further slots pass. Ranks are counted in runs of slots first.
+    source that has met its target lets its further slots pass. Ranks are counted in runs of slots first. What a source
+    still lacks after ``slots`` slots follows at the end, source after source: short sources need whole slots for less
+    than a block of words. So every source reaches the floor of its target.
     """
     one = Window.partitionBy(F.lit(1))
     ends = plan.where("target > 0").withColumns({
@@ -88,18 +90,26 @@ def schedule(plan: DataFrame, slots: int, block: int) -> DataFrame:
         "n_blocks": F.ceil(F.col("source_size") / block).cast("long"), "goal": F.floor("target"),
     }).withColumn("lo", F.coalesce(F.lag("hi").over(one.orderBy("number")), F.lit(0.0)))
     hi = F.when(F.row_number().over(one.orderBy(F.desc("number"))) == 1, F.lit(2.0)).otherwise(F.col("hi"))
+    need = F.col("n_blocks") * F.floor(F.col("goal") / F.col("source_size")) + F.ceil(F.col("goal") % F.col("source_size") / block)
+    sources = ends.select("number", "n_blocks", "source_size", "goal", need.alias("need"))
     cells = F.sequence(F.floor(F.col("lo") * CELLS), F.floor(F.least("hi", F.lit(1.0)) * CELLS))
     ends = ends.select("number", "n_blocks", "source_size", "goal", "lo", hi.alias("hi")).withColumn("cell", F.explode(cells))
     points = plan.sparkSession.range(slots).withColumnRenamed("id", "slot")
     u = F.col("slot") * GOLDEN - F.floor(F.col("slot") * GOLDEN)
     points = points.withColumns({"u": u, "cell": F.floor(u * CELLS), "run": F.floor(F.col("slot") / RUN)})
     placed = points.join(F.broadcast(ends), "cell").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
-    counts = placed.groupBy("number", "run").agg(F.count("*").alias("n"))
+    counts = settle(placed.groupBy("number", "run").agg(F.count("*").alias("n")))
+    had = counts.groupBy("number").agg(F.sum("n").alias("had"))
     ahead = Window.partitionBy("number").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("number", "run", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
     ranked = placed.join(counts, ["number", "run"]).withColumn(
         "rank", F.col("before") + F.row_number().over(Window.partitionBy("number", "run").orderBy("slot")) - 1
     )
+    lacking = sources.join(had, "number", "left").withColumn("had", F.coalesce("had", F.lit(0))).where("need > had")
+    before = F.sum(F.col("need") - F.col("had")).over(one.orderBy("number").rowsBetween(Window.unboundedPreceding, -1))
+    late = lacking.withColumn("first", slots + F.coalesce(before, F.lit(0))).withColumn("rank", F.explode(F.sequence(F.col("had"), F.col("need") - 1)))
+    columns = ["number", "n_blocks", "source_size", "goal", "slot", "rank"]
+    ranked = ranked.select(columns).unionByName(late.withColumn("slot", F.col("first") + F.col("rank") - F.col("had")).select(columns))
     turn, place = F.floor(F.col("rank") / F.col("n_blocks")), F.col("rank") % F.col("n_blocks")
     left = F.col("goal") - turn * F.col("source_size") - place * block
     return ranked.select("slot", "number", place.alias("block"), turn.alias("turn"), F.least(left, F.lit(block)).alias("words")).where("words > 0")
@@ -118,7 +128,7 @@ def mix(docs: DataFrame, block: int = 256, weights: Sequence[float] = (3, 1, 2),
         raise ValueError(f"more than {most_sources} sources")
     plan = settle(targets(sized, weights, share, most))
     pieces = blocks(sized, plan, block, count.rows)
-    # a few more slots than the words need, so that the points' small discrepancy leaves no source short
+    # a few more slots than the words need, so that the points' small discrepancy leaves few sources to be completed at the end
     slots = schedule(plan, math.ceil(1.01 * share * (count.words or 0) / block) + 64 * count.sources, block)
     hit = F.greatest(F.lit(0), F.least("high", "words") - F.col("low"))
     taken = pieces.join(slots.select("number", "block", "words"), ["number", "block"], "left").groupBy("number", "bucket", "k").agg(
