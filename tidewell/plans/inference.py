@@ -113,6 +113,41 @@ def h8(t: Tables) -> DataFrame:
     return testing.in_significant(t.pairs, hash_tests(t), 0.3)
 
 
+# The same on the chi-square tail of each pair of pathways. The six queries above keep the hash, which their SQL
+# repeats: they check the plumbing between engines and say nothing about the data.
+
+
+@query("h6_hub_blocks_p")
+def h6_p(t: Tables) -> DataFrame:
+    return testing.hub_blocks(tested(t), 0.3, 0.06, 25)
+
+
+@query("h6_hub_members_p")
+def h6m_p(t: Tables) -> DataFrame:
+    tests = tested(t)
+    return testing.hub_members(tests, testing.hub_blocks(tests, 0.3, 0.06, 25), 0.3)
+
+
+@query("h6_broadcast_blocks_p")
+def h6b_p(t: Tables) -> DataFrame:
+    return testing.broadcast_blocks(tested(t), 0.3, 0.051, 25)
+
+
+@query("h7_mean_contingency_p")
+def h7_p(t: Tables) -> DataFrame:
+    return testing.mean_contingency(t.cells, tested(t), 0.3)
+
+
+@query("h7_cramer_v_p")
+def h7b_p(t: Tables) -> DataFrame:
+    return tested(t).agg(F.avg("cramer_v").alias("mean_v"), F.avg(F.when(F.col("p") < 0.3, F.col("cramer_v"))).alias("mean_v_significant"))
+
+
+@query("h8_in_significant_p")
+def h8_p(t: Tables) -> DataFrame:
+    return testing.in_significant(t.pairs, tested(t), 0.3)
+
+
 @query("h9_bootstrap_table", f""", tab AS (SELECT cat0, cat1, CAST(sum(n) AS BIGINT) AS n FROM cells GROUP BY ALL), tot AS (SELECT CAST(sum(n) AS BIGINT) AS t FROM tab),
 r AS (SELECT cat0, (sum(s) OVER (ORDER BY cat0) - s) / (SELECT t FROM tot) AS lo, sum(s) OVER (ORDER BY cat0) / (SELECT t FROM tot) AS hi FROM (SELECT cat0, sum(n) AS s FROM tab GROUP BY ALL)),
 c AS (SELECT cat1, (sum(s) OVER (ORDER BY cat1) - s) / (SELECT t FROM tot) AS lo, sum(s) OVER (ORDER BY cat1) / (SELECT t FROM tot) AS hi FROM (SELECT cat1, sum(n) AS s FROM tab GROUP BY ALL)),
