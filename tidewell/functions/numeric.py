@@ -181,11 +181,12 @@ def bspline(inner: np.ndarray, x: np.ndarray, order: int = 4) -> np.ndarray:
 
 
 def newton(x: np.ndarray, weight: np.ndarray, integral: np.ndarray, offset: np.ndarray | None = None, start: np.ndarray | None = None,
-           steps: int = 60, rate: float = 0.9, epsilon: float = 1e-5, ridge: np.ndarray | None = None) -> dict:
+           steps: int = 60, rate: float = 0.9, epsilon: float = 1e-5, ridge: np.ndarray | None = None, inside: bool = False) -> dict:
     """The coefficients with the least -sum w log(x b + offset) + b.integral, by damped Newton steps.
 
     Rows whose intensity is not positive are left out of a step and counted. A singular Hessian gets 0.01 on its
-    diagonal; steps longer than 5 in all are scaled to 5.
+    diagonal; steps longer than 5 in all are scaled to 5. ``inside``: steps are halved until every intensity is positive
+    and the value does not rise, from a start where all are positive; no row is left out then.
     """
     k = x.shape[1]
     b = np.full(k, 0.1) if start is None else start.astype(float).copy()
@@ -208,6 +209,10 @@ def newton(x: np.ndarray, weight: np.ndarray, integral: np.ndarray, offset: np.n
             step = np.linalg.solve(hess + 0.01 * np.eye(k), grad)
         size = np.abs(step).sum()
         step *= rate * (5 / size if size > 5 else 1)
+        while inside and np.abs(step).sum() >= epsilon and ((x @ (b - step) + offset <= 0).any() or state(b - step)[0] > nll):
+            step /= 2
+        if inside and (x @ (b - step) + offset <= 0).any():
+            break
         b = b - step
         nll, grad, hess, skipped = state(b)
         if np.abs(step).sum() < epsilon:

@@ -186,10 +186,13 @@ def metropolis(design: DataFrame, columns: list[str], integral: list[float], sam
 
 
 def fit_exponential(points_pairs: DataFrame, trial: float, n_trials: int, rate: float = 1.0, steps: int = 40, learn: float = 0.1) -> DataFrame:
-    """(src, dst, beta0, alpha, rate, nll): intensity beta0 + alpha sum exp(-rate d), with the decay rate fitted too.
+    """(src, dst, beta0, alpha, rate, nll, n_iter, converged): intensity beta0 + alpha sum exp(-rate d), with the decay rate fitted too.
 
     ``points_pairs``: (src, dst, trial_id, x array, y array) of sorted times in units. The design changes with the
     rate, so a pair's trains meet in one call: by the recursion of the exponential, in one pass for each rate.
+    A step of ln(rate) grows by half after a success and is halved after a failure; ``converged`` says that it came
+    below 1e-3 in at most ``steps`` steps and that the coefficients at the rate have settled. Fits keep every intensity
+    positive: where rows could drop out of the likelihood, a worse rate would look better.
     """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         def design(rate: float) -> tuple[np.ndarray, float]:
@@ -209,24 +212,24 @@ def fit_exponential(points_pairs: DataFrame, trial: float, n_trials: int, rate:
         def fitted(rate: float) -> dict:
             f, area = design(rate)
             x = np.column_stack([np.ones(len(f)), f])
-            return newton(x, np.ones(len(f)), np.array([trial * n_trials, area]), start=np.array([max(len(f), 1) / (trial * n_trials), 0.1]))
+            return newton(x, np.ones(len(f)), np.array([trial * n_trials, area]), start=np.array([max(len(f), 1) / (trial * n_trials), 0.1]), steps=500, inside=True)
 
         if not sum(map(len, pdf["x"])) or not sum(map(len, pdf["y"])):
-            return pd.DataFrame({"src": [], "dst": [], "beta0": [], "alpha": [], "rate": [], "nll": []})
-        log_rate, best, size = np.log(rate), fitted(rate), learn
-        for _ in range(steps):
+            return pd.DataFrame({"src": [], "dst": [], "beta0": [], "alpha": [], "rate": [], "nll": [], "n_iter": [], "converged": []})
+        log_rate, best, size, n = np.log(rate), fitted(rate), learn, 0
+        for n in range(1, steps + 1):
             slope = (fitted(np.exp(log_rate + 1e-3))["nll"] - best["nll"]) / 1e-3
             trial_rate = log_rate - size * np.sign(slope)
             then = fitted(np.exp(trial_rate))
-            if then["nll"] < best["nll"]:
+            if then["converged"] and (then["nll"] < best["nll"] or not best["converged"]):
                 log_rate, best, size = trial_rate, then, size * 1.5
             else:
                 size /= 2
             if size < 1e-3:
                 break
-        return pd.DataFrame([{"src": pdf["src"].iloc[0], "dst": pdf["dst"].iloc[0], "beta0": best["beta"][0], "alpha": best["beta"][1], "rate": float(np.exp(log_rate)), "nll": best["nll"]}])
+        return pd.DataFrame([{"src": pdf["src"].iloc[0], "dst": pdf["dst"].iloc[0], "beta0": best["beta"][0], "alpha": best["beta"][1], "rate": float(np.exp(log_rate)), "nll": best["nll"], "n_iter": n, "converged": bool(size < 1e-3 and best["converged"])}])
 
-    return points_pairs.groupBy("src", "dst").applyInPandas(run, "src long, dst long, beta0 double, alpha double, rate double, nll double")
+    return points_pairs.groupBy("src", "dst").applyInPandas(run, "src long, dst long, beta0 double, alpha double, rate double, nll double, n_iter int, converged boolean")
 
 
 def fit_multivariate(design: DataFrame, columns: list[str], integral: list[float]) -> DataFrame:

@@ -207,7 +207,7 @@ def paired_trains(t: Tables) -> DataFrame:
 
 @query("k15_exponential_fit")
 def k15(t: Tables) -> DataFrame:
-    return fit.fit_exponential(paired_trains(t), HOURS, TRIALS, steps=6)
+    return fit.fit_exponential(paired_trains(t), HOURS, TRIALS, steps=200)
 
 
 @query("k16_multivariate_fit")
