@@ -255,18 +255,19 @@ def hamming_links(prints: DataFrame, bits: int = 4, chunk: int = CHUNK) -> DataF
 
 
 def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFrame:
-    """Each row of ``docs`` without its text, plus fp and component_id, its group's smallest doc_id.
+    """Each row of ``docs`` without its text, plus fp, component_id, its group's smallest doc_id, and component.
 
+    ``component`` is the group's smallest fingerprint: two groups may have the same smallest doc_id, where ids repeat.
     Rows with equal fingerprints are one node, so copies are never paired with each other. Repeated rows and rows
     that share a doc_id stay apart rows; a null doc_id is no group's smallest unless it has no other. No rows give
     none.
     """
-    rows = settle(fingerprint(docs.drop("component_id"), shingle))
+    rows = settle(fingerprint(docs.drop("component_id", "component"), shingle))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = connected_components(hamming_links(nodes.select("fp"), bits))
     member = settle(nodes.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp")))
     named = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.join(member.join(named, "component").select("fp", "component_id"), "fp")
+    return rows.join(member.join(named, "component").select("fp", "component_id", "component"), "fp")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,14 +278,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group, that with the smallest doc_id.
 
-    Of the rows with this doc_id the one with the least digests stays; groups without a doc_id keep one row likewise.
+    Of the group's rows with this doc_id the one with the least digests stays; groups without a doc_id keep one row likewise.
     The choice is made on narrow rows, by minima that are combined before the shuffle; then texts move once, to meet
     the chosen digests (96 bits of doc_id and text).
     """
     digests = {"k1": F.xxhash64("doc_id", "text"), "k2": F.hash("text", "doc_id")}
     found = near_duplicates(docs.select("doc_id", "text", *[c.alias(k) for k, c in digests.items()]))
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    group = F.when(F.col("doc_id").isNull(), F.col("fp"))
-    chosen = first.groupBy("doc_id", group.alias("g")).agg(F.min(F.struct("k1", "k2")).alias("k")).select(F.col("k.k1").alias("__k1"), F.col("k.k2").alias("__k2")).distinct()
+    chosen = first.groupBy("component").agg(F.min(F.struct("k1", "k2")).alias("k")).select(F.col("k.k1").alias("__k1"), F.col("k.k2").alias("__k2")).distinct()
     marked = docs.withColumns({f"__{k}": c for k, c in digests.items()})
     return marked.join(chosen, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(docs.columns)
