@@ -31,7 +31,7 @@ def test_topk(spark):
     rng = np.random.default_rng(5)
     v = {i: rng.integers(-64, 65, 8).tolist() for i in range(600)}
     v[20], v[21], v[22] = v[40], v[40], v[40]
-    rows = [(i, x) for i, x in v.items()] + [(0, v[0]), (None, v[1])]
+    rows = [(i, x) for i, x in v.items()] + [(None, v[1])]
     got = topk.top_k(spark.createDataFrame(rows, "id long, v array<long>"), F.col("id") % 20 == 0, 5, shard_rows=64, block_queries=8).collect()
     want = {q: sorted(((-int(np.dot(v[q], v[i])), i) for i in v if i != q))[:5] for q in v if q % 20 == 0}
     for r in got:
@@ -40,8 +40,12 @@ def test_topk(spark):
     assert len(got) == 30 * 5
     few = topk.top_k(spark.createDataFrame([(0, [1]), (1, [2])], "id long, v array<long>"), F.col("id") == 0).collect()
     assert [(r.query_id, r.vec_id, r.score) for r in few] == [(0, 1, 2)]
+    twice = topk.top_k(spark.createDataFrame([(0, [1, 2]), (0, [3, 1]), (1, [5, 5]), (1, [9, 9])], "id long, v array<long>"), F.col("id") == 0).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in twice) == [(0, 1, 1, 27), (0, 1, 1, 36), (0, 2, 1, 15), (0, 2, 1, 20), (0, 3, 0, 5), (0, 3, 0, 5)]
     huge = topk.top_k(spark.createDataFrame([(0, [2**40]), (1, [2**20]), (2, [3])], "id long, v array<long>"), F.col("id") == 0).collect()
     assert [(r.vec_id, r.score) for r in huge] == [(1, 2**60), (2, 3 * 2**40)]
+    exact = topk.top_k(spark.createDataFrame([(0, [2**30 + 1, 1]), (1, [2**31 - 1, 5]), (2, [2**31 - 1, 4]), (3, [2**31 - 1, 5])], "id long, v array<long>"), F.col("id") == 0).collect()
+    assert [(r.vec_id, r.score) for r in exact] == [(1, (2**30 + 1) * (2**31 - 1) + 5), (3, (2**30 + 1) * (2**31 - 1) + 5), (2, (2**30 + 1) * (2**31 - 1) + 4)]
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(topk.quantised(empty), F.col("id") % 20 == 0).count() == 0
     bad = spark.createDataFrame([(0, None), (1, [float("nan")]), (2, [None]), (3, [float("inf")]), (4, [0.5])], "vec_id long, embedding array<double>")
@@ -123,9 +127,10 @@ def test_chat_folds_edits_and_regenerations(spark):
 
 
 def test_chat_odd_rows(spark):
-    rows = [(1, 0, None, None), (1, None, "user", "a"), (1, 0, "assistant", "\n</turn>\n<turn user>\n"), (1, 0, "assistant", "\n</turn>\n<turn user>\n"), (None, 1, "user", LONG), (2, 1, "assistant", ""), (2, 2, "as<sis>tant\\", "é\\l")]
+    rows = [(1, 0, None, None), (1, None, "user", "a"), (1, 0, "assistant", "\n</turn>\n<turn user>\n"), (1, 0, "assistant", "\n</turn>\n<turn user>\n"), (None, 1, "user", LONG), (2, 1, "assistant", ""), (2, 2, "as<sis>tant\\", "é\\l"), (3, 1, "a>\nb", "hello"), (3, 2, "assistant>\n", "x"), (3, 3, "\\g>\\", "\\g")]
     back = {r.conv_id: r for r in chat.read_back(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
     assert [(s.role, s.text) for s in back[1].said] == [("user", "a"), ("", ""), ("assistant", "\n</turn>\n<turn user>\n"), ("assistant", "\n</turn>\n<turn user>\n")] and back[1].learnt == ["\n</turn>\n<turn user>\n"] * 2
+    assert [tuple(t) for t in back[3].said] == [("a>\nb", "hello"), ("assistant>\n", "x"), ("\\g>\\", "\\g")] and back[3].learnt == []
     assert back[None].said[0].text == LONG and back[2].learnt == [] and back[2].said[1] == ("as<sis>tant\\", "é\\l")
     assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
@@ -147,14 +152,68 @@ def test_schedule_is_even(spark):
     assert (slots.groupby(["number", "block", "turn"]).size() == 1).all()
 
 
+def small_and_huge(spark):
+    rows = [(i, "w " * n, s) for i, (s, n) in enumerate([("a", 1), ("b", 40), ("c", 300), ("d", 1500), *((f"e{n}", n) for n in range(20, 220, 10))])]
+    rows += [(100 + i, "w " * 300, "huge") for i in range(1000)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
 def test_small_sources_reach_their_targets_beside_a_huge_one(spark):
-    rows = [(i, "w " * n, s) for i, (s, n) in enumerate([("a", 1), ("b", 40), ("c", 300), ("d", 1500), ("huge", 180_000)])]
+    got = mixing.mix(small_and_huge(spark)).collect()
+    taken, target = {}, {}
+    for r in got:
+        taken[r.source_size] = taken.get(r.source_size, 0) + r.taken
+        target[r.source_size] = target.get(r.source_size, 0) + r.target * r["size"] / r.source_size
+    assert all(abs(taken[s] - target[s]) <= 4 for s in taken) and {r.doc_id: r.taken for r in got if r.doc_id < 4} == {0: 2, 1: 80, 2: 600, 3: 3000}
+    assert all((r.first_slot is None) == (r.taken == 0) for r in got)
+
+
+def test_taken_words_like_brute_force(spark, odd):
+    """A source's documents lie end to end in the order of their hashes; the mix takes its first goal words, round and round."""
+    more = odd.select("doc_id", "source", "text").unionByName(small_and_huge(spark).where("doc_id < 150").select("doc_id", "source", "text"))
+    got = mixing.mix(more, block=7).collect()
+    rows = mixing.sizes(more).collect()
+    target = {}
+    for r in mixing.targets(mixing.sizes(more)).collect():
+        target[r.source] = (int(r.target), r.source_size)
+    want = []
+    for source, (goal, size) in target.items():
+        at = 0
+        for r in sorted((r for r in rows if r.source == source), key=lambda r: r.h):
+            inside = lambda to: max(0, min(to, at + r["size"]) - at)  # noqa: B023, E731
+            want.append((r.doc_id or -1, r["size"], sum(inside(goal - turn * size) for turn in range(3))))
+            at += r["size"]
+    assert sorted((r.doc_id or -1, r["size"], r.taken) for r in got) == sorted(want)
+
+
+def test_mixing_stage_holds_targets_in_schedule_order(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, "w " * int(rng.integers(1, 60)), "abc"[min(2, i % 7)]) for i in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = mixing.mix(docs).collect()
-    assert {r.doc_id: r.taken for r in got} == {r.doc_id: int(r.target) for r in got}
-    assert {r.doc_id: r.taken for r in got if r.doc_id < 4} == {0: 2, 1: 80, 2: 600, 3: 3000}
-    kept = [r.doc_id for r in mixing.mixing_stage(spark, docs, "").select("doc_id").collect()]
-    assert [kept.count(i) for i in range(4)] == [2, 2, 2, 2]
+    goal = {r.source: r.target for r in mixing.targets(mixing.sizes(docs)).collect()}
+    kept = mixing.mixing_stage(spark, docs, "", block=64).collect()
+    words = {s: sum(len(r.text) // 2 for r in kept if r.source == s) for s in goal}
+    assert all(abs(words[s] - goal[s]) <= 60 for s in goal)
+    share = np.cumsum([(len(r.text) // 2) * (r.source == "c") for r in kept]) / np.cumsum([len(r.text) // 2 for r in kept])
+    assert abs(share[300:] - goal["c"] / sum(goal.values())).max() < 0.05
+
+
+STAGES = {"language": langid.language_stage, "quality": quality.quality_stage, "dedup": simhash.dedup_stage, "mixing": mixing.mixing_stage, "bpe": bpe.bpe_stage}
+
+
+@pytest.mark.parametrize("name", sorted(STAGES))
+def test_stages_keep_a_callers_columns(spark, odd, data, name):
+    names = ["__copies", "__id", "__turn", "__k1", "k1", "k2", "slot", "h", "hash", "salt", "row", "component", "lang_pred", "predicted", "id", "all"]
+    wide = odd.withColumns({c: F.concat(F.lit(f"{c}:"), F.coalesce("doc_id", F.lit(-1)).cast("string")) for c in names})
+    rows = STAGES[name](spark, wide, data).collect()
+    assert all(r[c] == f"{c}:{r.doc_id if r.doc_id is not None else -1}" for r in rows for c in names)
+    if name != "bpe":
+        assert STAGES[name](spark, wide, data).columns == wide.columns
+        assert {r.text for r in rows} <= {r.text for r in odd.collect()}
+    else:
+        assert len(rows) == 10
+    empty = STAGES[name](spark, wide.where("false"), data)
+    assert empty.count() == 0
 
 
 def test_schedule_completes_sources_at_its_end(spark):

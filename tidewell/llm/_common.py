@@ -14,14 +14,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder in spark.checkpoint.dir and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir. Where it is unset, one machine (tests) gets a temporary
+    one; a cluster is refused, as its executors would each write to a disk of their own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
+        folder = tempfile.mkdtemp(prefix="tidewell-")
+    return folder
 
-    The session names that folder on a cluster; where it is unset (tests on one machine) a temporary one is set.
-    """
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the folder in spark.checkpoint.dir and go on from there."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidewell-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

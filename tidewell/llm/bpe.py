@@ -186,5 +186,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its digests of ids and decoded text."""
-    return digests(docs.select("doc_id", "text"), vocabulary_path())
+    """Every document with its tokens in place of its text: ids (little-endian unsigned 32-bit numbers), n_tokens, and the
+    digests of ids and decoded text.
+
+    The caller's other columns stay; those named like the new ones are replaced. A null or empty text has no tokens;
+    texts are encoded whole, however long; repeated rows stay apart; no rows give none.
+    """
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    row = lambda ids, decoded: (ids, len(ids) // 4, sha(ids), sha(decoded.encode("utf-8", "surrogatepass")))
+    return _mapped(docs, vocabulary_path(), "ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string", row)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tidewell.llm._common import table
 
-#: The template of a turn: OPEN role HEAD text CLOSE. None of it can occur inside an escaped role or text.
+#: The template of a turn: OPEN role HEAD text CLOSE. An escaped role holds neither < nor >, an escaped text no <.
 OPEN, HEAD, CLOSE = "<turn ", ">\n", "\n</turn>\n"
 #: Signs of a streamed delta.
 DELTA = 2048
@@ -19,8 +19,14 @@ def escape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\s")), F.lit("<"), F.lit("\\l"))
 
 
+def escape_role(role: Column) -> Column:
+    r"""As a text, and > becomes \g: the first > after a turn's opening is that of HEAD, whatever the role."""
+    return F.replace(escape(role), F.lit(">"), F.lit("\\g"))
+
+
 def unescape(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\\l"), F.lit("<")), F.lit("\\s"), F.lit("\\"))
+    """The reverse of both; a text holds no \\g of its own, as each of its backslashes is followed by s or l."""
+    return F.replace(F.replace(F.replace(text, F.lit("\\g"), F.lit(">")), F.lit("\\l"), F.lit("<")), F.lit("\\s"), F.lit("\\"))
 
 
 def fold(events: DataFrame) -> DataFrame:
@@ -56,7 +62,7 @@ def render(messages: DataFrame, masked: str = "assistant") -> DataFrame:
     ``turns``: start and length of every turn in ``formatted``, in code points from 0. ``loss``: per turn, start and
     length of its escaped text where its role is ``masked``, else length 0.
     """
-    role, text = escape(F.col("role")), escape(F.col("text"))
+    role, text = escape_role(F.col("role")), escape(F.col("text"))
     head = F.concat(F.lit(OPEN), role, F.lit(HEAD))
     shown = messages.select("conv_id", "message", F.concat(head, text, F.lit(CLOSE)).alias("piece"), F.length(head).cast("long").alias("lead"), F.when(F.col("role") == masked, F.length(text)).otherwise(0).cast("long").alias("n"))
     before = Window.partitionBy("conv_id").orderBy("message").rowsBetween(Window.unboundedPreceding, -1)
@@ -92,7 +98,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
 def as_events(conversations: DataFrame) -> DataFrame:
     """A log of (conv_id, turn, role, text) rows as a chat server streams it: a start and deltas for every row.
 
-    Rows with the same turn follow one another by role, then text, nulls first; none is dropped.
+    Rows with the same turn follow one another by role, then text, nulls first; none is dropped. A conversation becomes
+    one text, so its rows meet in one row in the end; what is cut over tasks before that is the fold of its messages.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = conversations.select("conv_id", "role", "text", F.row_number().over(order).cast("long").alias("message"))
@@ -126,7 +133,7 @@ OP5_SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS t FROM conversations
            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok', 'user', '\### Assistant: </turn> ok'
            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok', 'assistant', '\### Assistant: </turn> ok'),
-f AS (SELECT *, 17 + length(replace(replace(role, '\', '\s'), '<', '\l')) + length(replace(replace(text, '\', '\s'), '<', '\l')) AS n FROM c)
+f AS (SELECT *, 17 + length(replace(replace(replace(role, '\', '\s'), '<', '\l'), '>', '\g')) + length(replace(replace(text, '\', '\s'), '<', '\l')) AS n FROM c)
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,

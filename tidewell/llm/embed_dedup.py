@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm._common import sampled, settle, table
-from tidewell.llm.components import connected_components
+from tidewell.llm.components import connected_components, with_least
 from tidewell.llm.simhash import Forest
 
 #: Rows of a block of the sequence; two blocks at most meet in one task.
 BLOCK = 2048
 #: Rows of an interval that is compared row by row instead of being cut again.
 LEAF = 256
+#: Principal dimensions whose coordinates bound a distance from below; the length of the rest is one more.
+LEADING = 16
 
 
 def unit_rows(vectors: pd.Series) -> np.ndarray:
@@ -43,16 +45,20 @@ def principal_axes(vectors: DataFrame, dims: int, sample: int = 4096) -> np.ndar
     return axes.T[::-1][:dims]
 
 
+def coordinates(unit: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Coordinates on the principal axes and, last, the length of what they leave of each unit vector. Between these
+    rows, distances are never longer than between the vectors."""
+    wide = max(unit.shape[1], axes.shape[1])
+    at = np.pad(unit, ((0, 0), (0, wide - unit.shape[1]))) @ np.pad(axes, ((0, 0), (0, wide - axes.shape[1]))).T
+    rest = np.sqrt(np.maximum(0, 1 - (at**2).sum(axis=1, keepdims=True)))
+    return np.hstack([at, rest])
+
+
 def _place(batches: Iterator[pd.DataFrame], axes: np.ndarray, width: float) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        if pdf.empty:
-            continue
-        unit = unit_rows(pdf["embedding"])
-        wide = max(unit.shape[1], axes.shape[1])
-        unit_wide = np.pad(unit, ((0, 0), (0, wide - unit.shape[1])))
-        at = unit_wide @ np.pad(axes, ((0, 0), (0, wide - axes.shape[1]))).T
-        cells = np.floor(at / width).astype("int32")
-        yield pdf[["label", "embedding", "least", "copies"]].assign(unit=list(unit), at=list(at), cells=list(cells))
+        if len(pdf):
+            cells = np.floor(coordinates(unit_rows(pdf["embedding"]), axes)[:, :-1] / width).astype("int32")
+            yield pdf[["label", "embedding", "least", "copies"]].assign(cells=list(cells))
 
 
 def _boxes_apart(a: np.ndarray, b: np.ndarray, epsilon: float) -> bool:
@@ -61,11 +67,14 @@ def _boxes_apart(a: np.ndarray, b: np.ndarray, epsilon: float) -> bool:
     return float((gap**2).sum()) > (epsilon + 1e-9) ** 2
 
 
-class _Join:
-    """Links between the rows of one label that are known to a task: counts of linked copies and a spanning forest."""
+class Join:
+    """Links between the rows of one label that are known to a task: counts of linked copies and a spanning forest.
+
+    ``compared`` counts the pairs of rows that were compared in all their dimensions.
+    """
 
     def __init__(self, unit: np.ndarray, at: np.ndarray, copies: np.ndarray, least: float) -> None:
-        self.unit, self.at, self.copies, self.least = unit, at, copies, least
+        self.unit, self.at, self.copies, self.least, self.compared = unit, at, copies, least, 0
         self.epsilon = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-9
         self.linked, self.forest = np.zeros(len(unit), np.int64), Forest(len(unit))
 
@@ -88,25 +97,30 @@ class _Join:
             self.intervals((mid, long[1]), short)
 
     def _rows(self, a: tuple[int, int], b: tuple[int, int]) -> None:
-        near = self.unit[slice(*a)] @ self.unit[slice(*b)].T >= self.least
-        if a == b:
-            np.fill_diagonal(near, False)
-        self.linked[slice(*a)] += near @ self.copies[slice(*b)]
-        if a != b:
-            self.linked[slice(*b)] += near.T @ self.copies[slice(*a)]
-        left, right = np.nonzero(np.triu(near) if a == b else near)
-        self.forest.add(left + a[0], right + b[0])
+        """The inner product of the short rows bounds the cosine from above; only pairs that it leaves open are compared."""
+        left, right = slice(*a), slice(*b)
+        open_ = self.at[left] @ self.at[right].T >= self.least - 1e-9
+        i, j = np.nonzero(np.triu(open_, 1) if a == b else open_)
+        self.compared += len(i)
+        if 8 * len(i) > open_.size:  # most pairs are open, as among near copies: one product for all of them
+            cosine = (self.unit[left] @ self.unit[right].T)[i, j]
+        else:
+            cosine = np.einsum("ij,ij->i", self.unit[left][i], self.unit[right][j])
+        near = cosine >= self.least
+        i, j = i[near] + a[0], j[near] + b[0]
+        for x, y in ((i, j), (j, i)):
+            np.add.at(self.linked, x, self.copies[y])
+        self.forest.add(i, j)
 
 
-def _pair(least: float):
+def _pair(least: float, axes: np.ndarray):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         first, last = pdf["block"].min(), pdf["block"].max()
         for _, own in pdf.groupby("label"):
             own = own.sort_values(["block", "node"])
-            wide = max(map(len, own["unit"]))
-            unit = np.stack([np.pad(u, (0, wide - len(u))) for u in own["unit"]])
-            join = _Join(unit, np.stack(own["at"].to_list()), own["copies"].to_numpy(), least)
+            unit = unit_rows(own["embedding"])
+            join = Join(unit, coordinates(unit, axes), own["copies"].to_numpy(), least)
             whole, cut = (0, len(own)), int((own["block"] == first).sum())
             if first == last:
                 join.intervals(whole, whole)
@@ -126,13 +140,18 @@ def epsilon_join(classes: DataFrame, least: float, dims: int = 4, block: int = B
     more lie within epsilon = sqrt(2 - 2 least). They are sorted by label and by their cells, epsilon wide, on the
     leading principal axes, and cut into blocks. Blocks of a label meet in a task of their own unless their cells
     are two or more apart on some axis; in the task, intervals are halved and skipped by the same argument on exact
-    coordinates. A task gives each vector its number of linked copies and one link of a spanning forest, so what
+    coordinates on 16 axes and the length of the rest. Of the pairs of two short intervals only those are compared whose
+    coordinates leave a cosine of ``least`` open. Blocks travel as the vectors they were given. A task gives each vector its number of linked copies and one link of a spanning forest, so what
     leaves it grows with its rows.
     """
     width = math.sqrt(max(1e-12, 2 - 2 * least)) + 1e-9
-    axes = principal_axes(classes, dims)
-    schema = "label int, embedding array<double>, least long, copies long, unit array<double>, at array<double>, cells array<int>"
-    placed = classes.mapInPandas(lambda it: _place(it, axes, width), schema)
+    axes = principal_axes(classes, max(dims, LEADING))
+    # missing axes are zero: every vector is then in cell 0 of them
+    first = np.zeros((dims, axes.shape[1]))
+    first[: len(axes[:dims])] = axes[:dims]
+    kind = classes.schema["embedding"].dataType.simpleString()
+    schema = f"label int, embedding {kind}, least long, copies long, cells array<int>"
+    placed = classes.mapInPandas(lambda it: _place(it, first, width), schema)
     # the last key spreads vectors of one cell over partitions; ids are stable once they are written
     order = ["label", *(F.col("cells")[i] for i in range(dims)), F.xxhash64("embedding")]
     nodes = settle(placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()))
@@ -148,8 +167,8 @@ def epsilon_join(classes: DataFrame, least: float, dims: int = 4, block: int = B
     meet = reach.join(other, ["label", "cell"]).where((F.col("a.block") <= F.col("b.block")) & close)
     pairs = meet.select(F.col("a.block").alias("i"), F.col("b.block").alias("j")).distinct()
     both = pairs.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
-    rows = both.join(nodes.select("block", "node", "label", "copies", "unit", "at"), "block")
-    found = settle(rows.groupBy("i", "j").applyInPandas(_pair(least), "node long, links long, other long"))
+    rows = both.join(nodes.select("block", "node", "label", "copies", "embedding"), "block")
+    found = settle(rows.groupBy("i", "j").applyInPandas(_pair(least, axes), "node long, links long, other long"))
     return nodes, found
 
 
@@ -162,7 +181,9 @@ def embedding_duplicates(embeddings: DataFrame, least: float = 0.93) -> DataFram
     filled up with zeros. ``kept`` marks the rows whose vec_id is their component's smallest.
     """
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
-    rows = embeddings.select("vec_id", F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = embeddings.schema["embedding"].dataType.simpleString()
+    vector = F.col("embedding") if kind == "array<float>" else F.col("embedding").cast("array<double>")
+    rows = embeddings.select("vec_id", F.col("label").cast("int").alias("label"), vector.alias("embedding"))
     rows = rows.withColumn("sound", F.col("label").isNotNull() & F.col("embedding").isNotNull() & sound)
     good, rest = rows.where("sound"), rows.where("not coalesce(sound, false)")
     classes = settle(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")))
@@ -171,10 +192,9 @@ def embedding_duplicates(embeddings: DataFrame, least: float = 0.93) -> DataFram
     parts = connected_components(found.select("node", "other"))
     member = settle(
         nodes.select("node", "label", "embedding", "least", "copies").join(parts, "node", "left").join(links, "node", "left")
-        .select("label", "embedding", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
+        .select("node", "label", "embedding", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component")
     )
-    named = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    done = good.join(member.join(named, "component"), ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    done = good.join(with_least(member, "node", "least"), ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return done.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 

@@ -180,8 +180,9 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
     """Keep the documents of which one language makes up at least ``least``.
 
-    The texts pass the model once and carry its verdict along, so no row needs to be joined back. Clashing columns
-    of a caller keep their values: the stage returns the columns that it was given.
+    The texts pass the model once and carry its verdict along, so no row needs to be joined back. Texts that are null or
+    have no letter go; texts are read whole, however long; repeated rows share their verdict; no rows give none. A
+    caller's columns keep their names and values, whatever they are called.
     """
     renamed = docs.toDF(*[c if c == "text" else f"d_{c}" for c in docs.columns])
     judged = identify(renamed, learn(docs), keep_text=True)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewell.llm._common import table
+from tidewell.llm._common import settle, table
 
 
 @dataclass(frozen=True)
@@ -74,26 +74,27 @@ def assign(docs: DataFrame, shards: list[Shard]) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row.
 
     A row's doc_id and the tree alone decide its shard; null ids are a key of their own, and rows that share an id,
-    or its hash, share a shard. A null text has size 1 and the digest of an empty one. Slots number a shard's rows
-    from 0, by the first three hex digits of the id's MD5, the high byte of the text's digest, the MD5, the digest
-    and the size. Counts of these buckets give each its first slot, and only rows of one bucket are sorted together,
-    so neither a shard nor an id that many rows share is in one task.
+    or its hash, share a shard. A null text has size 1 and the digest of an empty one; texts are read whole. No rows
+    give none; other columns are not looked at.
+
+    Slots number a shard's rows from 0 by the id's MD5, then the text's digest and the size; equal rows follow one
+    another. Rows are cut into ranges of this order, which ends with a row number, so neither a shard nor an id nor a
+    row that is repeated many times is in one task; the ranges' counts give each its first slot.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), F.md5(key).alias("m"), key.alias("key"))
     rows = rows.select(
-        "doc_id", "size", "text_crc32", "m", F.substring("m", 1, 3).alias("b"), F.shiftright("text_crc32", 24).alias("h"),
-        place(F.col("key"), shards).alias("shard"), place(F.col("key"), grow(shards)).alias("grown_shard"),
+        "doc_id", "size", "text_crc32", "m", place(F.col("key"), shards).alias("shard"), place(F.col("key"), grow(shards)).alias("grown_shard"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    ahead = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    fine = rows.groupBy("shard", "b", "h").agg(F.count("*").alias("n"))
-    coarse = fine.groupBy("shard", "b").agg(F.sum("n").alias("n"))
-    coarse = coarse.select("shard", "b", F.coalesce(F.sum("n").over(ahead("shard", "b")), F.lit(0)).alias("first"))
-    fine = fine.withColumn("after", F.coalesce(F.sum("n").over(ahead("shard", "b", "h")), F.lit(0)))
-    starts = fine.join(coarse, ["shard", "b"]).select("shard", "b", "h", (F.col("first") + F.col("after")).alias("start"))
-    within = Window.partitionBy("shard", "b", "h").orderBy("m", "text_crc32", "size")
-    numbered = rows.join(starts, ["shard", "b", "h"]).withColumn("r", F.row_number().over(within))
+    order = ["m", "text_crc32", "size", "row"]
+    dealt = settle(rows.repartitionByRange("shard", *order)).withColumn("part", F.spark_partition_id())
+    counts = dealt.groupBy("shard", "part").agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
+    within = Window.partitionBy("shard", "part").orderBy(*order)
+    numbered = dealt.join(starts, ["shard", "part"]).withColumn("r", F.row_number().over(within))
     return numbered.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("r") - 1).alias("slot"), "grown_shard",
     )

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm._common import settle, spans, table
-from tidewell.llm.components import connected_components
+from tidewell.llm.components import connected_components, with_least
 
 WORDS_AT_ONCE = 250_000
 #: Two-bit segments: the popcounts of all 32 lie side by side in one 64-bit number, two bits each.
@@ -241,7 +241,7 @@ def hamming_links(prints: DataFrame, bits: int = 4, chunk: int = CHUNK) -> DataF
     a, b = F.col("fp").bitwiseAND(F.lit(LOW_BITS)), F.shiftrightunsigned("fp", 1).bitwiseAND(F.lit(LOW_BITS))
     counts = a.bitwiseXOR(b).bitwiseOR(F.shiftleft(a.bitwiseAND(b), 1))  # a + b in every field, without a carry
     numbered = F.array(*[F.struct(F.lit(i).alias("mask"), counts.bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(masks)])
-    placed = prints.select("fp", F.explode(numbered).alias("at")).select(F.col("at.mask").alias("mask"), F.col("at.cell").alias("cell"), "fp")
+    placed = prints.select("fp").repartition("fp").select("fp", F.explode(numbered).alias("at")).select(F.col("at.mask").alias("mask"), F.col("at.cell").alias("cell"), "fp")
     dealt = placed.repartition("mask", "cell").sortWithinPartitions("mask", "cell")
     first = settle(dealt.mapInPandas(lambda it: _cells(it, bits, chunk), LINK_FIELDS))
     links, large = first.where("chunk < 0").select("x", "y"), first.where("chunk >= 0").select("mask", "cell", "chunk", "x")
@@ -259,15 +259,14 @@ def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFra
 
     ``component`` is the group's smallest fingerprint: two groups may have the same smallest doc_id, where ids repeat.
     Rows with equal fingerprints are one node, so copies are never paired with each other. Repeated rows and rows
-    that share a doc_id stay apart rows; a null doc_id is no group's smallest unless it has no other. No rows give
-    none.
+    that share a doc_id stay apart rows; a null doc_id is no group's smallest unless it has no other. Texts are read whole,
+    however long; columns of a caller named fp, component_id or component are replaced. No rows give none.
     """
     rows = settle(fingerprint(docs.drop("component_id", "component"), shingle))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = connected_components(hamming_links(nodes.select("fp"), bits))
-    member = settle(nodes.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp")))
-    named = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.join(member.join(named, "component").select("fp", "component_id", "component"), "fp")
+    member = settle(nodes.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left"))
+    return rows.join(with_least(member, "fp", "least").select("fp", "component_id", "component"), "fp")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,11 +279,15 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of the group's rows with this doc_id the one with the least digests stays; groups without a doc_id keep one row likewise.
     The choice is made on narrow rows, by minima that are combined before the shuffle; then texts move once, to meet
-    the chosen digests (96 bits of doc_id and text).
+    the chosen digests: 128 bits of doc_id and text stand for a row, texts are not compared. Null and empty texts are
+    one group, as all without words; no rows give none; a caller's columns keep their names and values, whatever they
+    are called.
     """
-    digests = {"k1": F.xxhash64("doc_id", "text"), "k2": F.hash("text", "doc_id")}
-    found = near_duplicates(docs.select("doc_id", "text", *[c.alias(k) for k, c in digests.items()]))
+    own = docs.toDF(*[f"d_{c}" for c in docs.columns])
+    digests = {"k1": F.xxhash64("d_doc_id", "d_text"), "k2": F.xxhash64("d_text", F.lit("second"), "d_doc_id")}
+    marked = own.withColumns(digests)
+    found = near_duplicates(marked.select(F.col("d_doc_id").alias("doc_id"), F.col("d_text").alias("text"), "k1", "k2"))
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = first.groupBy("component").agg(F.min(F.struct("k1", "k2")).alias("k")).select(F.col("k.k1").alias("__k1"), F.col("k.k2").alias("__k2")).distinct()
-    marked = docs.withColumns({f"__{k}": c for k, c in digests.items()})
-    return marked.join(chosen, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(docs.columns)
+    chosen = first.groupBy("component").agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2").distinct()
+    kept = marked.join(chosen, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    return kept.select(*[F.col(f"d_{c}").alias(c) for c in docs.columns])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,16 +17,22 @@ LEAF = 128
 
 
 def matrix(vectors: pd.Series) -> np.ndarray:
-    """Rows of float64; shorter vectors are filled up with zeros, which leave inner products as they are."""
+    """Rows of whole numbers; shorter vectors are filled up with zeros, which leave inner products as they are."""
     lengths = vectors.map(len).to_numpy()
-    out = np.zeros((len(vectors), int(lengths.max(initial=0))))
+    out = np.zeros((len(vectors), int(lengths.max(initial=0))), np.int64)
     if len(vectors) and (lengths == out.shape[1]).all():
-        return np.stack(vectors.to_list()).astype(np.float64).reshape(out.shape)
+        return np.stack(vectors.to_list()).astype(np.int64).reshape(out.shape)
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
     return out
 
 
+def number_kind(a: np.ndarray, b: np.ndarray) -> type:
+    """float64 where it holds every inner product of a row of ``a`` with one of ``b``, else 64 bits of mantissa."""
+    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(a.shape[1], 1)
+    return np.float64 if most < 2**52 else np.longdouble
+
+
 class BallTree:
     """Nodes in arrays: each holds a run of ``order``, a centre, a radius and its children (-1: leaf)."""
 
@@ -61,23 +66,24 @@ class BallTree:
 
 
 def search_block(
-    queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, kth: np.ndarray, k: int
+    queries: np.ndarray, query_rows: np.ndarray, points: np.ndarray, ids: np.ndarray, rows_: np.ndarray, kth: np.ndarray, k: int
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and ids, k per query, best first (-inf: none). ``kth``: a score that each query's k-th best reaches.
+    """Scores and ids, k per query, best first (-inf: none). ``kth``: a score that each query's k-th best reaches. A
+    query meets no point of its own row number.
 
     Nodes are taken by their upper bound q.c + |q| r, largest first; a node stays open only for the queries whose
     current k-th score its bound reaches, and every leaf raises that score for the nodes still waiting.
     """
     kth = kth.copy()
-    top = np.full((len(queries), k), -np.inf)
+    top = np.full((len(queries), k), -np.inf, queries.dtype)
     top_ids = np.full((len(queries), k), np.iinfo(np.int64).max)
     if not len(points):
         return top, top_ids
     tree, norms = BallTree(points), np.sqrt((queries**2).sum(axis=1))
 
     def bound(node: int, rows: np.ndarray) -> np.ndarray:
-        b = queries[rows] @ tree.centres[node] + norms[rows] * tree.radii[node]
-        return b + 1e-6 + 1e-9 * np.abs(b)  # rounding never closes a node that a tie could need
+        reach = norms[rows] * (tree.radii[node] + 1e-9 * np.sqrt((tree.centres[node] ** 2).sum()))
+        return queries[rows] @ tree.centres[node] + reach * (1 + 1e-9) + 1e-6  # rounding never closes a node that a tie could need
 
     rows = np.arange(len(queries))
     heap = [(0.0, 0, rows, bound(0, rows))]
@@ -96,7 +102,7 @@ def search_block(
             continue
         own = tree.order[slice(*tree.runs[node])]
         scores = queries[rows] @ points[own].T
-        scores[(scores < kth[rows][:, None]) | (query_ids[rows][:, None] == ids[own][None, :])] = -np.inf
+        scores[(scores < kth[rows][:, None]) | (query_rows[rows][:, None] == rows_[own][None, :])] = -np.inf
         hit = np.isfinite(scores).any(axis=1)
         if not hit.any():
             continue
@@ -110,30 +116,25 @@ def search_block(
     return top, top_ids
 
 
-def _exact_block(q: pd.DataFrame, p: pd.DataFrame, k: int) -> Iterator[tuple[int, int, int]]:
-    """The same in unlimited integers, for components so large that float64 can't hold their products."""
-    most = 2**63 - 1
-    for qid, v in zip(q["id"], q["v"], strict=True):
-        found = ((sum(int(a) * int(b) for a, b in zip(v, w, strict=False)), pid) for pid, w in zip(p["id"], p["v"], strict=True) if pid != qid)
-        for score, pid in heapq.nsmallest(k, ((-s, pid) for s, pid in found)):
-            yield qid, pid, max(-most - 1, min(most, -score))
+#: No score is known yet.
+LEAST = -(2**63)
 
 
 def _answer(k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         q, p = pdf[pdf["is_query"]].reset_index(drop=True), pdf[~pdf["is_query"]].reset_index(drop=True)
-        schema = {"query_id": "int64", "vec_id": "int64", "score": "int64"}
+        schema = {"query_row": "int64", "query_id": "int64", "vec_id": "int64", "score": "int64"}
         if q.empty or p.empty:
             return pd.DataFrame({c: pd.Series(dtype=t) for c, t in schema.items()})
         a, b = matrix(q["v"]), matrix(p["v"])
         wide = max(a.shape[1], b.shape[1])
         a, b = (np.pad(m, ((0, 0), (0, wide - m.shape[1]))) for m in (a, b))
-        if np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(wide, 1) >= 2**52:
-            return pd.DataFrame(list(_exact_block(q, p, k)), columns=list(schema)).astype(schema)
-        kth = q["kth"].astype("float64").fillna(-np.inf).to_numpy()
-        top, ids = search_block(a, q["id"].to_numpy(), b, p["id"].to_numpy(), kth, k)
+        kind = number_kind(a, b)
+        kth = np.where(q["kth"] == LEAST, -np.inf, q["kth"].to_numpy().astype(kind))
+        top, ids = search_block(a.astype(kind), q["row"].to_numpy(), b.astype(kind), p["id"].to_numpy(), p["row"].to_numpy(), kth, k)
         row, col = np.nonzero(np.isfinite(top))
-        return pd.DataFrame({"query_id": q["id"].to_numpy()[row], "vec_id": ids[row, col], "score": top[row, col].astype("int64")})
+        score = np.clip(top[row, col], -(2.0**63), np.nextafter(kind(2.0**63), kind(0)))
+        return pd.DataFrame({"query_row": q["row"].to_numpy()[row], "query_id": q["id"].to_numpy()[row], "vec_id": ids[row, col], "score": score.astype("int64")})
 
     return run
 
@@ -141,41 +142,46 @@ def _answer(k: int):
 def top_k(
     vectors: DataFrame, is_query: Column, k: int = 20, shard_rows: int = 8192, block_queries: int = 4096
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k largest inner products over all other rows.
-
-    ``vectors``: id long, v array of whole numbers. Ties go to the smaller id. Rows that share an id count once,
-    with the smallest array. Null ids take no part; no rows give no rows.
-
-    Every shard (rows dealt by a hash of the id, so that equal vectors spread) first answers its own queries. The
-    k-th score found there travels with each query to the other shards, where it closes nodes from the start.
-    Queries meet the other shards in blocks of a fixed size, so no task holds more than one block and one shard.
+    """(query_id, rank, vec_id, score): each query's k largest inner products over all rows but its own.
+
+    ``vectors``: id long, v array of whole numbers. Ties go to the smaller id. Rows that share an id are rows of their
+    own: each is a candidate of the others, and each query row has ranks of its own. Null ids take no part; no rows give
+    no rows; arrays of other columns are not looked at. Scores are exact while no sum passes 2^63; beyond, they are
+    rounded and end at the ends of a long.
+
+    Rows are dealt to shards by a hash of id and row number, so that equal vectors and ids spread. Every shard first
+    answers its own queries, then queries visit the other shards in two waves, an eighth of them first. Before each
+    wave a query takes along the k-th score that all shards so far have given it, which closes nodes from the start.
+    Queries meet other shards in blocks of a fixed size, so no task holds more than one block and one shard; a shard's
+    tree is made anew for each block, a small part of the search.
     """
-    fields = "query_id long, vec_id long, score long"
-    rows = settle(vectors.where("id is not null").groupBy("id").agg(F.min("v").alias("v")).withColumn("is_query", is_query))
+    fields = "query_row long, query_id long, vec_id long, score long"
+    rows = settle(vectors.where("id is not null").select("id", "v", is_query.alias("is_query"), F.monotonically_increasing_id().alias("row")))
     count = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()
     shards, blocks = max(1, math.ceil(count.n / shard_rows)), max(1, math.ceil(count.q / block_queries))
     # block numbers come from other bits than shard numbers, or a block would hold the queries of few shards
     rows = rows.withColumns({
-        "shard": F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"),
-        "block": F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int"),
-        "kth": F.lit(None).cast("long"),
+        "shard": F.pmod(F.xxhash64("id", "row"), F.lit(shards)).cast("int"),
+        "block": F.pmod(F.xxhash64("id", "row", F.lit("block")), F.lit(blocks)).cast("int"),
+        "kth": F.lit(LEAST).cast("long"),
     })
     points, queries = rows.withColumn("is_query", F.lit(False)), rows.where("is_query")
-    columns = ["shard", "block", "is_query", "id", "v", "kth"]
-    own = settle(
+    columns = ["shard", "block", "is_query", "id", "row", "v", "kth"]
+    found = settle(
         points.select(columns).unionByName(queries.select(columns)).groupBy("shard").applyInPandas(_answer(k), fields)
     )
-    if shards == 1:
-        found = own
-    else:
-        kth = own.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
-        seeded = queries.join(kth, queries.id == kth.query_id, "left").withColumn("kth", F.col("least"))
-        others = seeded.withColumn("home", F.col("shard")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home")
-        spread = points.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        found = own.unionByName(
-            spread.select(columns).unionByName(others.select(columns)).groupBy("shard", "block").applyInPandas(_answer(k), fields)
-        )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc("vec_id"))
+    spread = points.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(columns)
+    cut = (shards - 1 + 7) // 8
+    for low, high in ((1, cut), (cut + 1, shards - 1)):  # how many shards on from its own a query goes in the wave
+        if low > high:
+            continue
+        ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k)
+        kth = ranked.select(F.col("query_row").alias("row"), F.col("score").alias("least"))
+        seeded = queries.join(kth, "row", "left").withColumn("kth", F.coalesce("least", F.lit(LEAST)))
+        going = seeded.withColumn("step", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn("shard", F.pmod(F.col("shard") + F.col("step"), F.lit(shards))).select(columns)
+        answers = spread.unionByName(going).groupBy("shard", "block").applyInPandas(_answer(k), fields)
+        found = settle(found.unionByName(answers).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

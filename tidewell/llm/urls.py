@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -112,7 +114,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "a
         if verdict not in ("allow", "block") or not host or not path.startswith("/"):
             raise ValueError(f"not a rule: {verdict} {host}{path}")
     once = [(v, h, p) for (h, p), v in {(h, p): v for v, h, p in rules}.items()]
-    file = write_rules(once, tempfile.mkdtemp(prefix="tidewell-"))
+    folder = tempfile.mkdtemp(prefix="tidewell-")  # the driver serves the file from here as long as it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    file = write_rules(once, folder)
     pages.sparkSession.sparkContext.addFile(file)
     name, lengths = os.path.basename(file), sorted({len(p) for _, _, p in rules})
     rest = F.regexp_extract("url", r"(?s)^.*?://(.*)$", 1)
