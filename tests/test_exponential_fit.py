@@ -5,9 +5,10 @@ from types import SimpleNamespace
 import numpy as np
 
 from tidewell.plans import regressions
-from tidewell.plans.catalog import TRIALS
 from tidewell.sources.adapters import HOUR
 
+TRIALS = 30
+
 
 def grid_nll(x, y, rate):
     """The least nll at a decay rate: Newton steps from the definition, with every delay."""
@@ -34,7 +35,7 @@ def test_fast_decay_is_found_and_reported(spark):
     points = [(u, k, int(s * HOUR)) for u, trains in ((1, x), (2, y)) for k, t in enumerate(trains) for s in t]
     t = SimpleNamespace(
         points=spark.createDataFrame(points, "unit_id long, trial_id long, t_us long"), pairs=spark.createDataFrame([(1, 2), (1, 3)], "src long, dst long"),
-        trials=spark.range(TRIALS).withColumnRenamed("id", "trial_id"),
+        trials=spark.range(TRIALS).withColumnRenamed("id", "trial_id"), n_trials=TRIALS,
     )
     got = regressions.k15(t).collect()
     assert [(r.src, r.dst) for r in got] == [(1, 2)] and got[0].converged and 0 < got[0].n_iter < 200

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import numeric
-from tidewell.operators import binning, ccg, design, fit, graph, synchrony, testing, timejoin
+from tidewell.operators import binning, ccg, design, fit, graph, synchrony, testing, timejoin, trains
 
 
 def points(spark, rows):
@@ -63,8 +63,16 @@ def test_occupancy(m, delta, n, want):
     assert np.allclose(numeric.occupancy_pmf(m, delta, n), want)
 
 
-def test_stirling_numbers():
-    assert [numeric.stirling(*a) for a in ((3, 2), (4, 2), (4, 3), (5, 3))] == [3, 7, 6, 25]
+def stirling(n, k):
+    """Ways to part n things into k groups, none empty."""
+    return 0 if n == 0 or k == 0 or k > n else 1 if k == n else stirling(n - 1, k - 1) + k * stirling(n - 1, k)
+
+
+def test_occupancy_of_full_marks_counts_partitions():
+    assert [stirling(*a) for a in ((3, 2), (4, 2), (4, 3), (5, 3))] == [3, 7, 6, 25]
+    for n in range(1, 7):  # all bins marked: k bins are hit in ways falling(delta, k) x stirling(n, k)
+        want = [math.perm(5, k) * stirling(n, k) / 5**n for k in range(min(5, n) + 1)]
+        assert np.allclose(numeric.occupancy_pmf(5, 5, n), want)
 
 
 def test_tails():
@@ -130,8 +138,15 @@ def test_fit_recovers_a_coupling(spark):
     assert fit.inference(fits, 2).first().pval < 1e-4
     g = fit.gradient_at(d, ["src", "dst"], ["const", "nuisance", "filter"], fits.select("src", "dst", "beta"), integral).first()
     assert max(abs(g.g0), abs(g.g1), abs(g.g2)) < 1.0
-    pooled = fit.pooled_fit(d.withColumn("m", F.lit(1)), "m", ["const", "nuisance", "filter"], lambda _: integral)
-    assert np.allclose(pooled[1]["beta"], row.beta, atol=1e-3)
+    for most in (1, 10**6):  # by sums, and in one task
+        again = fit.fit_by_key(d, ["src", "dst"], ["const", "nuisance", "filter"], integral, most_rows=most).first()
+        assert np.allclose(again.beta, row.beta, atol=1e-9) and np.allclose(again.hessian, row.hessian) and (again.n_iter, again.converged, again.skipped) == (row.n_iter, True, row.skipped)
+        assert again.nll == pytest.approx(row.nll)
+    heights = trains.surrogate_fits(p, pairs, 100_000, 4, trials, length, lag, 500_000, 1e6).orderBy("rep").collect()
+    assert [r.rep for r in heights] == [0, 1, 2, 3, 4] and heights[0].h == pytest.approx(row.beta[2], abs=1e-4) and all(r.converged for r in heights)
+    moved = ccg.interval_jitter(p.where("unit_id = 1"), 100_000, 4).where("rep = 2").select("unit_id", "trial_id", "t_us")
+    other = design.standard_design(moved.unionByName(p.where("unit_id = 2")), pairs, trials, length, lag, 500_000, 1e6)
+    assert fit.fit_by_key(other, ["src", "dst"], ["const", "nuisance", "filter"], integral).first().beta[2] == pytest.approx(heights[2].h, abs=1e-4)
 
 
 def test_degrees_count_neighbours_once(spark):

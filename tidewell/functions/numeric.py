@@ -10,6 +10,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from tidewell.functions.columns import NORMAL, NORMAL_T
+
 
 def norm_cdf(x: float) -> float:
     return 0.5 * math.erfc(-x / math.sqrt(2))
@@ -87,25 +89,33 @@ def joint_binom_pmf(windows: list[tuple[int, int, int]], delta: int) -> np.ndarr
 
 
 @lru_cache(100_000)
-def stirling(n: int, k: int) -> int:
-    """Ways to part n things into k groups, none empty."""
-    if n == 0 or k == 0 or k > n:
-        return 0
-    return 1 if k == n else stirling(n - 1, k - 1) + k * stirling(n - 1, k)
+def occupancy_pmf(m: int, delta: int, n: int) -> tuple[float, ...]:
+    """How many of m marked bins of delta are hit by n uniform throws: one throw after another hits a new marked bin or not."""
+    m = min(m, delta)
+    p = np.zeros(min(m, n) + 1)
+    p[0] = 1
+    k = np.arange(len(p))
+    for _ in range(n):
+        p = p * (delta - m + k) / delta + np.concatenate([[0], p[:-1] * (m - k[:-1]) / delta])
+    return tuple(p.tolist())
 
 
-@lru_cache(100_000)
-def occupancy_pmf(m: int, delta: int, n: int) -> tuple[float, ...]:
-    """How many of m marked bins of delta are hit by n uniform throws."""
-    if m == 0 or n == 0:
-        return (1.0,)
-    if m >= delta:
-        m = delta
-    out = []
-    for k in range(min(m, n) + 1):
-        ways = (delta - m) ** n if k == 0 else sum(math.comb(n, c) * (delta - m) ** (n - c) * math.perm(m, k) * stirling(c, k) for c in range(k, n + 1))
-        out.append(ways / delta**n)
-    return tuple(out)
+def _law(p: np.ndarray) -> np.ndarray:
+    """A mass function without its parts of less than 1e-12."""
+    p = np.where(p > 1e-12, p, 0)
+    return p / p.sum()
+
+
+def poisson_law(mean: float, most: int) -> np.ndarray:
+    """Poisson masses at 0, ..., most - 1."""
+    k = np.arange(max(most, 1))
+    return _law(np.exp(k * math.log(mean) - mean - np.array([math.lgamma(i + 1) for i in k]))) if mean > 0 else np.ones(1)
+
+
+def normal_law(mean: float, sd: float, most: int) -> np.ndarray:
+    """Normal densities at 0, ..., most - 1, for bins of width 1; all at the mean if nothing varies."""
+    k = np.arange(max(most, 1))
+    return _law(np.exp(-(((k - mean) / sd) ** 2) / 2) / sd / math.sqrt(2 * math.pi)) if sd > 0 else _law((k == round(mean)).astype(float))
 
 
 def pmf_summary(pmf: np.ndarray, raw: float, alpha: float, u: float) -> tuple[float, float, float, float, float]:
@@ -216,6 +226,61 @@ def newton(x: np.ndarray, weight: np.ndarray, integral: np.ndarray, offset: np.n
         b = b - step
         nll, grad, hess, skipped = state(b)
         if np.abs(step).sum() < epsilon:
-            done = True
+            done = not inside or size < 10 * epsilon  # a step that had to be halved to nothing is no end
             break
     return {"beta": b, "hessian": hess, "nll": float(nll), "n_iter": n, "converged": done, "skipped": skipped, "gradient": grad}
+
+
+def newton_exp(x: np.ndarray, y: np.ndarray, exposure: np.ndarray, steps: int = 100, epsilon: float = 1e-8) -> dict:
+    """The coefficients with the least sum of exposure exp(x b) - y x b: an exponential link, by Newton steps that are
+    halved until the value does not rise. ``x``: a constant first."""
+    b = np.zeros(x.shape[1])
+    b[0] = math.log(max(y.sum(), 0.5) / exposure.sum())
+    value = lambda b: float((exposure * np.exp(np.minimum(x @ b, 50))).sum() - y @ (x @ b))
+    now, done = value(b), False
+    for _ in range(steps):
+        mu = exposure * np.exp(np.minimum(x @ b, 50))
+        step = np.linalg.lstsq((x * mu[:, None]).T @ x + 1e-9 * np.eye(len(b)), x.T @ (y - mu), rcond=None)[0]
+        while np.abs(step).sum() >= epsilon and value(b + step) > now:
+            step /= 2
+        b, now = b + step, value(b + step)
+        if np.abs(step).sum() < epsilon:
+            done = True
+            break
+    return {"beta": b, "nll": now, "converged": done}
+
+
+def newton_many(x: np.ndarray, weight: np.ndarray, time: float, steps: int = 60, rate: float = 0.9, epsilon: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """(coefficients, converged) of many fits with the same events: ``x`` is fit x column x event, a constant comes first.
+
+    Steps are those of newton(); fits that have converged are left alone.
+    """
+    fits, k = x.shape[0], x.shape[1] + 1
+    b, done = np.full((fits, k), 0.1), np.zeros(fits, bool)
+    b[:, 0] = weight.sum() / time
+    grad, hess = np.empty((fits, k)), np.empty((fits, k, k))
+    total = np.zeros(k)
+    total[0] = time
+    for _ in range(steps):
+        open_ = np.flatnonzero(~done)
+        if not len(open_):
+            break
+        for i in open_.tolist():
+            z = np.vstack([np.ones(x.shape[2]), x[i]])
+            lam = b[i] @ z
+            z = np.where(lam > 0, z / np.where(lam > 0, lam, 1), 0)
+            grad[i], hess[i] = total - z @ weight, (z * weight) @ z.T
+        ridge = np.where(np.linalg.matrix_rank(hess[open_]) == k, 0, 0.01)
+        step = np.linalg.solve(hess[open_] + ridge[:, None, None] * np.eye(k), grad[open_][..., None])[..., 0]
+        size = np.abs(step).sum(axis=1)
+        step *= (rate * np.where(size > 5, 5 / np.maximum(size, 5), 1))[:, None]
+        b[open_] -= step
+        done[open_] = np.abs(step).sum(axis=1) < epsilon
+    return b, done
+
+
+def norm_cdfs(x: np.ndarray) -> np.ndarray:
+    """The Normal distribution by the approximation of functions.columns, for arrays."""
+    t = 1 / (1 + NORMAL_T * np.abs(x))
+    tail = np.exp(-x * x / 2) / math.sqrt(2 * math.pi) * sum(c * t ** (i + 1) for i, c in enumerate(NORMAL))
+    return np.where(x >= 0, 1 - tail, tail)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,7 +14,9 @@ from pyspark.sql.window import Window
 
 from tidewell.functions import numeric
 from tidewell.functions.columns import corr, norm_cdf, uniform
+from tidewell.operators import binning, trains
 from tidewell.operators.timejoin import delays
+from tidewell.sources.shared import settle
 
 
 def ccg(bins: DataFrame, pairs: DataFrame, low: int, high: int, bins_x: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -25,7 +29,7 @@ def ccg(bins: DataFrame, pairs: DataFrame, low: int, high: int, bins_x: DataFram
     y = bins.select(F.col("unit_id").alias("dst"), "trial_id", F.col("bin").alias("t_us"), F.col("n").alias("ny"))
     met = delays(x.join(pairs, "src"), y, low - 1, high, ("dst", "trial_id"))
     products = met.groupBy("src", "dst", *keys, F.col("d").cast("int").alias("lag")).agg(F.sum(F.col("nx") * F.col("ny")).alias("raw"))
-    frame = pairs if not keys else pairs.join(F.broadcast(x.select(*keys).distinct()))
+    frame = pairs if not keys else pairs.join(x.select(*keys).distinct())  # every pair with every key: rows of the result
     full = frame.withColumn("lag", F.explode(F.sequence(F.lit(low), F.lit(high))))
     return full.join(products, ["src", "dst", *keys, "lag"], "left").withColumn("raw", F.coalesce("raw", F.lit(0)))
 
@@ -79,23 +83,64 @@ def poisson_test(raw: DataFrame, mean: DataFrame, alpha: float = 0.05, seed: int
     return both.mapInPandas(run, "src long, dst long, lag int, raw long, mu double, ci_lo double, ci_hi double, p double, p_rnd double")
 
 
-def binom_test(raw: DataFrame, windows: DataFrame, delta: int, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """The exact null: a sum of Binom(n, m / delta) over windows. Equal (m, n) are counted first and convolved by powers."""
+def mass_test(raw: DataFrame, windows: DataFrame, delta: int, law: str = "binom", alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """(src, dst, lag, raw, ci_lo, ci_hi, mean, p, p_rnd) by the mass function of the null.
+
+    ``binom``: the exact one, a sum of Binom(n, m / delta) over windows; ``poisson`` and ``normal``: that of their mean (and
+    variance), cut where it is below 1e-12. Equal (m, n) are counted first and convolved by powers.
+    """
     kinds = windows.groupBy("src", "dst", "lag", "m", "n").agg(F.count("*").cast("int").alias("times"))
     packed = kinds.groupBy("src", "dst", "lag").agg(F.array_sort(F.collect_list(F.struct("m", "n", "times"))).alias("windows"))
 
+    def mass(ws: list) -> np.ndarray:
+        if law == "binom":
+            return numeric.joint_binom_pmf([(w["m"], w["n"], w["times"]) for w in ws], delta)
+        most = sum((w["m"] + w["n"]) * w["times"] for w in ws)
+        mean = sum(w["m"] * w["n"] * w["times"] for w in ws) / delta
+        if law == "poisson":
+            return numeric.poisson_law(mean, most)
+        return numeric.normal_law(mean, math.sqrt(sum(w["m"] / delta * (1 - w["m"] / delta) * w["n"] * w["times"] for w in ws)), most)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for n, u, ws in zip(pdf["raw"], pdf["u"], pdf["windows"], strict=True):
-                pmf = numeric.joint_binom_pmf([(w["m"], w["n"], w["times"]) for w in (ws if ws is not None else [])], delta)
-                rows.append(numeric.pmf_summary(pmf, n, alpha, u))
+            rows = [numeric.pmf_summary(mass(ws if ws is not None else []), n, alpha, u) for n, u, ws in zip(pdf["raw"], pdf["u"], pdf["windows"], strict=True)]
             yield pdf.drop(columns=["u", "windows"]).assign(**dict(zip(("ci_lo", "ci_hi", "mean", "p", "p_rnd"), np.array(rows, float).reshape(-1, 5).T, strict=True)))
 
     both = raw.join(packed, ["src", "dst", "lag"], "left").select("src", "dst", "lag", "raw", uniform("src", "dst", "lag", seed).alias("u"), "windows")
     return both.mapInPandas(run, "src long, dst long, lag int, raw long, ci_lo double, ci_hi double, mean double, p double, p_rnd double")
 
 
+#: The tests of pair_tests.
+KINDS = ("mc", "mc_sim", "binom", "poisson", "poisson_pmf", "normal_pmf", "normal")
+
+
+def pair_tests(points: DataFrame, pairs: DataFrame, kinds: tuple[str, ...], bin_width: int, n_bins: int, low: int, high: int, delta: int, reps: int, alpha: float = 0.05) -> DataFrame:
+    """(src, dst, lag, raw, kind, mean, ci_lo, ci_hi, p): correlograms of all pairs against interval jitter in windows of
+    ``delta`` bins, by the tests named in ``kinds``.
+
+    Correlograms, surrogates and window counts are made once for all the tests that use them. ``mc_sim`` has one band over
+    all lags, and p is that of the pair's highest lag.
+    """
+    if set(kinds) - set(KINDS):
+        raise ValueError(f"no such test: {sorted(set(kinds) - set(KINDS))}")
+    bins = binning.bins(points, bin_width)
+    raw, key = ccg(bins, pairs, low, high), ["src", "dst", "lag"]
+    surrogate = trains.surrogate_ccg(points, pairs, delta * bin_width, reps, bin_width, n_bins, low, high) if {"mc", "mc_sim"} & set(kinds) else None
+    if surrogate is not None and {"mc", "mc_sim"} <= set(kinds):
+        surrogate = settle(surrogate)
+    windows = lambda: window_product(bins, pairs, low, high, delta)
+    made = {
+        "mc": lambda: mc_test(raw, surrogate, alpha),
+        "mc_sim": lambda: simultaneous_band(raw, surrogate, alpha).withColumnRenamed("p_up", "p"),
+        "binom": lambda: mass_test(raw, windows(), delta, "binom", alpha),
+        "poisson": lambda: poisson_test(raw, poisson_mean(bins, pairs, low, high, delta), alpha).withColumnRenamed("mu", "mean"),
+        "poisson_pmf": lambda: mass_test(raw, windows(), delta, "poisson", alpha),
+        "normal_pmf": lambda: mass_test(raw, windows(), delta, "normal", alpha),
+        "normal": lambda: normal_test(raw, normal_moments(bins, pairs, low, high, delta), numeric.norm_ppf(1 - alpha / 2)),
+    }
+    return reduce(DataFrame.unionAll, [made[k]().select(*key, "raw", F.lit(k).alias("kind"), "mean", "ci_lo", "ci_hi", "p") for k in kinds])
+
+
 def interval_jitter(points: DataFrame, width: int, reps: int, seed: int = 0) -> DataFrame:
     """(unit_id, trial_id, rep, t_us): every event anew, anywhere in its window [k width, (k + 1) width).
 
@@ -129,14 +174,16 @@ def mc_test(raw: DataFrame, surrogate: DataFrame, alpha: float = 0.05, seed: int
 
 
 def simultaneous_band(raw: DataFrame, surrogate: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """(src, dst, lag, raw, ci_lo, ci_hi, p_up, p_down): one band over all lags of a pair.
+    """(src, dst, lag, raw, mean, ci_lo, ci_hi, p_up, p_down): one band over all lags of a pair.
 
     Surrogates are standardised per lag, their largest and smallest value over the lags taken, and the quantiles of
     these put back on each lag's scale. Lags whose surrogates don't vary take no part.
     """
     lag = ["src", "dst", "lag"]
-    scale = surrogate.groupBy(*lag).agg(F.avg("raw").alias("mean"), F.stddev_pop("raw").alias("sd")).where("sd > 0")
-    z = (F.col("raw") - F.col("mean")) / F.col("sd")
+    # whole numbers until the last step, and values rounded before they are compared: equal ones stay equal in any order
+    sums = surrogate.groupBy(*lag).agg(F.count("*").alias("n"), F.sum("raw").alias("s"), F.sum(F.col("raw") * F.col("raw")).alias("q"))
+    scale = sums.where("n * q > s * s").withColumns({"mean": F.col("s") / F.col("n"), "root": F.sqrt(F.col("n") * F.col("q") - F.col("s") * F.col("s"))})
+    z = F.round((F.col("raw") * F.col("n") - F.col("s")) / F.col("root"), 9)
     ends = surrogate.join(scale, lag).groupBy("src", "dst", "rep").agg(F.max(z).alias("top"), F.min(z).alias("low"))
     seen = raw.join(scale, lag)
     own = seen.groupBy("src", "dst").agg(F.max(z).alias("raw_top"), F.min(z).alias("raw_low"))
@@ -144,8 +191,9 @@ def simultaneous_band(raw: DataFrame, surrogate: DataFrame, alpha: float = 0.05)
         F.percentile("top", F.lit(1 - alpha / 2)).alias("q_top"), F.percentile("low", F.lit(alpha / 2)).alias("q_low"),
         F.avg(F.when(F.col("raw_top") < F.col("top"), 1.0).otherwise(0.0)).alias("p_up"), F.avg(F.when(F.col("raw_low") > F.col("low"), 1.0).otherwise(0.0)).alias("p_down"),
     )
+    sd = F.col("root") / F.col("n")
     return seen.join(bounds, ["src", "dst"]).select(
-        *lag, "raw", (F.col("q_low") * F.col("sd") + F.col("mean")).alias("ci_lo"), (F.col("q_top") * F.col("sd") + F.col("mean")).alias("ci_hi"), "p_up", "p_down"
+        *lag, "raw", "mean", (F.col("q_low") * sd + F.col("mean")).alias("ci_lo"), (F.col("q_top") * sd + F.col("mean")).alias("ci_hi"), "p_up", "p_down"
     )
 
 

@@ -1,14 +1,15 @@
 """Design matrices of linear-intensity point-process regressions, in continuous and in binned time.
 
 Continuous: one row for each y event of a pair, (src, dst, trial_id, y_us, w) with w events at that instant, and a
-column for each regressor; besides, each regressor's integral over all trials. Times of regressors are in units of
-``unit`` microseconds, so that coefficients are of moderate size.
+column for each regressor; besides, each regressor's integral over all trials. Regressors are summed train against train
+in one pass (trains.regressors), not over joined pairs of events. Times of regressors are in units of ``unit``
+microseconds, so that coefficients are of moderate size.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -16,18 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewell.functions.columns import laplace_pdf, norm_cdf, norm_pdf
+from tidewell.functions import kernels
+from tidewell.functions.columns import norm_cdf, norm_pdf
 from tidewell.functions.numeric import bspline
 from tidewell.operators.timejoin import delays
+from tidewell.operators.trains import gaussian, own_square, regressors, square_filter, trains
 
 KEYS = ["src", "dst", "trial_id", "y_us"]
 
 
-def trains(points: DataFrame) -> DataFrame:
-    """(unit_id, trial_id, t_us, c): events at the same instant are one row."""
-    return points.groupBy("unit_id", "trial_id", "t_us").agg(F.count("*").alias("c"))
-
-
 def y_rows(points: DataFrame, pairs: DataFrame) -> DataFrame:
     """The frame: every y event of every pair, also those without an x event in reach."""
     return trains(points).withColumnRenamed("unit_id", "dst").join(pairs, "dst").select("src", "dst", "trial_id", F.col("t_us").alias("y_us"), F.col("c").alias("w"))
@@ -41,10 +39,6 @@ def around(points: DataFrame, pairs: DataFrame, low: int, high: int, value: Colu
     return delays(x, y, low, high, ("dst", "trial_id")).groupBy(*KEYS, *(extra or [])).agg(F.sum(value * F.col("cx")).alias(name))
 
 
-def _onto(frame: DataFrame, sums: DataFrame, name: str) -> DataFrame:
-    return frame.join(sums, KEYS, "left").withColumn(name, F.coalesce(name, F.lit(0.0)).cast("double"))
-
-
 def per_source(points: DataFrame, value: Column, name: str = "integral") -> DataFrame:
     """(src, name): a sum over all events of a unit, such as an integral less its losses at the edges."""
     return points.groupBy(F.col("unit_id").alias("src")).agg(F.sum(value).alias(name))
@@ -52,59 +46,63 @@ def per_source(points: DataFrame, value: Column, name: str = "integral") -> Data
 
 def square(points: DataFrame, pairs: DataFrame, length: int, trial: int, unit: float) -> tuple[DataFrame, DataFrame]:
     """x events in [y - length, y), and its integral: each x event's length, cut at the trial's end."""
+    return regressors(points, pairs, {"square": square_filter(length)}), square_integral(points, length, trial, unit)
+
+
+def square_integral(points: DataFrame, length: int, trial: int, unit: float) -> DataFrame:
     t = F.col("t_us")
     lost = F.when(t > trial - length, length - (trial - t)).otherwise(0)
-    return around(points, pairs, 0, length, F.lit(1.0), "square"), per_source(points, (length - lost) / unit)
+    return per_source(points, (length - lost) / unit)
 
 
 def exponential(points: DataFrame, pairs: DataFrame, rate: float, trial: int, unit: float) -> tuple[DataFrame, DataFrame]:
     """Sum of exp(-rate d) over all earlier x events of the trial, with d in units; integral (1 - exp(-rate rest)) / rate."""
-    d = F.col("d") / unit
     rest = (trial - F.col("t_us")) / unit
-    return around(points, pairs, 0, trial, F.exp(-rate * d), "exponential"), per_source(points, (1 - F.exp(-rate * rest)) / rate)
+    rows = regressors(points, pairs, {"exponential": partial(kernels.exponential, rate=rate, unit=unit)})
+    return rows, per_source(points, (1 - F.exp(-rate * rest)) / rate)
 
 
 def exponential_slope(points: DataFrame, pairs: DataFrame, rate: float, trial: int, unit: float) -> DataFrame:
     """The derivative of the exponential regressor by its rate: sum of -d exp(-rate d)."""
-    d = F.col("d") / unit
-    return around(points, pairs, 0, trial, -d * F.exp(-rate * d), "slope")
+    return regressors(points, pairs, {"slope": partial(kernels.exponential_slope, rate=rate, unit=unit)})
 
 
 def jitter_mean(points: DataFrame, pairs: DataFrame, width: int, unit: float) -> DataFrame:
     """x events in y's window of ``width``, per unit of time."""
-    window = F.floor(F.col("t_us") / width).alias("window")
-    x = points.groupBy(F.col("unit_id").alias("src"), "trial_id", window).agg(F.count("*").alias("n"))
-    y = y_rows(points, pairs).withColumn("window", F.floor(F.col("y_us") / width))
-    return y.join(x, ["src", "trial_id", "window"]).select(*KEYS, (F.col("n") * (unit / width)).alias("jitter_mean"))
+    return regressors(points, pairs, {"jitter_mean": partial(kernels.window_count, width=width, scale=unit / width)})
 
 
 def square_kernel(points: DataFrame, pairs: DataFrame, width: int, trial: int, unit: float) -> tuple[DataFrame, DataFrame]:
     """x events within half a width on both sides, per unit of time; its integral loses what lies outside the trial."""
     half, t = width // 2, F.col("t_us")
     lost = F.greatest(F.lit(0), half - t) + F.greatest(F.lit(0), half - (trial - t))
-    return around(points, pairs, -half, half, F.lit(unit / width), "nuisance"), per_source(points, 1 - lost / width)
+    return regressors(points, pairs, {"nuisance": partial(kernels.count, low=-half, high=half, scale=unit / width)}), per_source(points, 1 - lost / width)
 
 
 def triangle_kernel(points: DataFrame, pairs: DataFrame, width: int, trial: int, unit: float) -> tuple[DataFrame, DataFrame]:
     half, t = width // 2, F.col("t_us")
-    value = (half - F.abs("d")) * (unit / half / half)
     lost = lambda gap: F.when(gap < half, ((half - gap) / half) ** 2 / 2).otherwise(0.0)
-    return around(points, pairs, -half, half, value, "nuisance"), per_source(points, 1 - lost(t) - lost(trial - t))
+    rows = regressors(points, pairs, {"nuisance": partial(kernels.triangle, half=half, scale=unit / half / half)})
+    return rows, per_source(points, 1 - lost(t) - lost(trial - t))
 
 
 def laplacian_kernel(points: DataFrame, pairs: DataFrame, width: int, unit: float) -> tuple[DataFrame, DataFrame]:
-    """Within 3 widths, scale width / sqrt 2; the integral is not corrected at the edges."""
-    scale = width / unit / 2**0.5
-    inside = 1 - math.exp(-3 * 2**0.5)
-    return around(points, pairs, -3 * width, 3 * width, laplace_pdf(F.col("d") / unit, scale), "nuisance"), per_source(points, F.lit(inside))
+    """Within 3 widths, scale width / sqrt 2, per unit of time; the integral is not corrected at the edges."""
+    scale, inside = width / 2**0.5, 1 - math.exp(-3 * 2**0.5)
+    rows = regressors(points, pairs, {"nuisance": partial(kernels.laplacian, reach=3 * width, scale=scale)})
+    return rows.withColumn("nuisance", F.col("nuisance") * unit), per_source(points, F.lit(inside))
 
 
 def gaussian_kernel(points: DataFrame, pairs: DataFrame, width: int, trial: int, unit: float) -> tuple[DataFrame, DataFrame]:
     """Within 5 widths; its integral loses the Normal tails that lie outside the trial."""
+    return regressors(points, pairs, {"nuisance": gaussian(width, unit)}), gaussian_integral(points, width, trial)
+
+
+def gaussian_integral(points: DataFrame, width: int, trial: int) -> DataFrame:
     t = F.col("t_us")
     tail = lambda gap: F.when(gap <= 5 * width, norm_cdf(-gap / width)).otherwise(0.0)
     inside = 1 - 2 * norm_cdf(F.lit(-5.0))
-    return around(points, pairs, -5 * width, 5 * width, norm_pdf(F.col("d") / width) * (unit / width), "nuisance"), per_source(points, inside - tail(t) - tail(trial - t))
+    return per_source(points, inside - tail(t) - tail(trial - t))
 
 
 def bspline_filter(points: DataFrame, pairs: DataFrame, inner: list[float], length: int, drop: int = 1) -> DataFrame:
@@ -128,30 +126,43 @@ def bspline_filter(points: DataFrame, pairs: DataFrame, inner: list[float], leng
     return valued.groupBy(*KEYS).agg(F.array(*[F.sum(F.col("b")[i] * F.col("cx")) for i in range(k)]).alias("basis"))
 
 
-def normalised(frame: DataFrame, sums: DataFrame, integral: DataFrame, name: str, n_trials: int, trial_units: float) -> DataFrame:
-    """The regressor on the frame less its mean over all time, which makes its integral 0."""
-    mean = integral.select("src", (F.col("integral") / (n_trials * trial_units)).alias("__mean"))
-    return _onto(frame, sums, name).join(mean, "src", "left").withColumn(name, F.col(name) - F.coalesce("__mean", F.lit(0.0))).drop("__mean")
+def centred(rows: DataFrame, means: DataFrame, name: str) -> DataFrame:
+    """The regressor ``name`` less its mean over all time (src, mean), which makes its integral 0."""
+    return rows.join(means.withColumnRenamed("mean", "__mean"), "src", "left").withColumn(name, F.col(name) - F.coalesce("__mean", F.lit(0.0))).drop("__mean")
 
 
 def standard_design(points: DataFrame, pairs: DataFrame, n_trials: int, trial: int, length: int, width: int, unit: float, self_coupling: bool = False) -> DataFrame:
     """(src, dst, trial_id, y_us, w, const, nuisance, filter[, own]): constant, Gaussian nuisance, square filter.
 
     Nuisance and filter have mean 0 over all time, so the integrals are (n_trials x trial, 0, 0). ``own`` is y's
-    coupling to itself by the same square filter.
+    coupling to itself by the same square filter, with mean 0 too. All columns of a pair's trial are made at once.
     """
-    time = trial / unit
-    out = y_rows(points, pairs).withColumn("const", F.lit(1.0))
-    out = normalised(out, *gaussian_kernel(points, pairs, width, trial, unit), "nuisance", n_trials, time)
-    sums, integral = square(points, pairs, length, trial, unit)
-    out = normalised(out, sums.withColumnRenamed("square", "filter"), integral, "filter", n_trials, time)
+    area = n_trials * trial / unit
+    mean = lambda integral: integral.select("src", (F.col("integral") / area).alias("mean"))
+    named = {"nuisance": gaussian(width, unit), "filter": square_filter(length)} | ({"own": own_square(length)} if self_coupling else {})
+    rows = regressors(points, pairs, named).withColumn("const", F.lit(1.0))
+    rows = centred(rows, mean(gaussian_integral(points, width, trial)), "nuisance")
+    filters = mean(square_integral(points, length, trial, unit))
+    rows = centred(rows, filters, "filter")
     if self_coupling:
-        self_pairs = pairs.select(F.col("dst").alias("src"), "dst").distinct()
-        own, mean = square(points, self_pairs, length, trial, unit)
-        own = own.select("dst", "trial_id", "y_us", F.col("square").alias("own"))
-        mean = mean.select(F.col("src").alias("dst"), (F.col("integral") / (n_trials * time)).alias("__mean"))
-        out = out.join(own, ["dst", "trial_id", "y_us"], "left").join(mean, "dst", "left").withColumn("own", F.coalesce("own", F.lit(0.0)) - F.coalesce("__mean", F.lit(0.0))).drop("__mean")
-    return out
+        rows = rows.join(filters.select(F.col("src").alias("dst"), F.col("mean").alias("__mean")), "dst").withColumn("own", F.col("own") - F.col("__mean"))
+    return rows.select(*KEYS, "w", "const", *named)
+
+
+def width_designs(points: DataFrame, pairs: DataFrame, n_trials: int, trial: int, length: int, widths: list[int], unit: float, self_coupling: bool = False) -> DataFrame:
+    """The standard design for every kernel width at once: (src, dst, width, ..., const, nuisance, filter[, own])."""
+    area = n_trials * trial / unit
+    mean = lambda integral: integral.select("src", (F.col("integral") / area).alias("mean"))
+    named = {f"n{w}": gaussian(w, unit) for w in widths} | {"filter": square_filter(length)} | ({"own": own_square(length)} if self_coupling else {})
+    rows = centred(regressors(points, pairs, named).withColumn("const", F.lit(1.0)), mean(square_integral(points, length, trial, unit)), "filter")
+    for w in widths:
+        rows = centred(rows, mean(gaussian_integral(points, w, trial)), f"n{w}")
+    own = ["own"] if self_coupling else []
+    if own:
+        of_y = mean(square_integral(points, length, trial, unit)).select(F.col("src").alias("dst"), F.col("mean").alias("__mean"))
+        rows = rows.join(of_y, "dst").withColumn("own", F.col("own") - F.col("__mean"))
+    each = F.explode(F.array(*[F.struct(F.lit(w).cast("long").alias("width"), F.col(f"n{w}").alias("nuisance")) for w in widths])).alias("e")
+    return rows.select(*KEYS, "w", "const", "filter", *own, each).select(*KEYS, "w", "e.width", "const", "e.nuisance", "filter", *own)
 
 
 def convolve(bins: DataFrame, kernel: DataFrame, n_bins: int, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -199,7 +210,10 @@ def gram(bins: DataFrame, pairs: DataFrame, widths: list[float], length: int, n_
     own = ww.join(hh, "unit_id").join(wh, ["unit_id", "width"], "left").withColumn("swh", F.coalesce("swh", F.lit(0.0))).withColumnRenamed("unit_id", "src")
     y = bins.select(F.col("unit_id").alias("dst"), "trial_id", "bin", F.col("n").alias("y"))
     sy = y.groupBy("dst").agg(F.sum("y").alias("s_y"))
-    wy = w.withColumnRenamed("unit_id", "src").join(pairs, "src").join(y, ["dst", "trial_id", "bin"]).groupBy("src", "dst", "width").agg(F.sum(F.col("w") * F.col("y")).alias("swy"))
+    side = w.groupBy("unit_id", "trial_id", "bin").agg(*[F.sum(F.when(F.col("width") == v, F.col("w"))).alias(f"w{i}") for i, v in enumerate(widths)])
+    met = side.withColumnRenamed("unit_id", "src").join(pairs, "src").join(y, ["dst", "trial_id", "bin"])
+    each = F.explode(F.array(*[F.struct(F.lit(float(v)).alias("width"), F.col(f"s{i}").alias("swy")) for i, v in enumerate(widths)])).alias("e")
+    wy = met.groupBy("src", "dst").agg(*[F.sum(F.col(f"w{i}") * F.col("y")).alias(f"s{i}") for i in range(len(widths))]).select("src", "dst", each).select("src", "dst", "e.width", "e.swy")
     hy = h.withColumnRenamed("unit_id", "src").join(pairs, "src").join(y, ["dst", "trial_id", "bin"]).groupBy("src", "dst").agg(F.sum(F.col("h") * F.col("y")).alias("shy"))
     all_ = own.join(pairs, "src").join(sy, "dst").join(wy, ["src", "dst", "width"], "left").join(hy, ["src", "dst"], "left").fillna(0.0, ["swy", "shy"])
     c = F.col

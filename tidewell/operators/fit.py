@@ -1,4 +1,8 @@
-"""Fitting linear-intensity models: per pair, pooled, with memberships; intensities and goodness of fit."""
+"""Fitting linear-intensity models: per pair, pooled, with memberships; intensities and goodness of fit.
+
+fit_by_key and pooled_fit take keys of any size. Chains, memberships, baselines a trial, decay rates and multivariate
+fits work on the y events of one pair (of one target) in one task.
+"""
 
 from __future__ import annotations
 
@@ -22,15 +26,40 @@ def _row(fit: dict) -> dict:
     return {"beta": fit["beta"].tolist(), "hessian": fit["hessian"].tolist(), **{k: fit[k] for k in ("nll", "n_iter", "converged", "skipped")}}
 
 
+#: Design rows of a key that one task fits; keys with more are fitted by sums, pass after pass.
+MOST_ROWS = 2_000_000
+
+
 def compress(design: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Equal design rows of a key are one row with their summed weight, so less reaches a fit."""
     return design.groupBy(*keys, *columns).agg(F.sum("w").alias("w"))
 
 
-def fit_by_key(design: DataFrame, keys: list[str], columns: list[str], integral: list[float], **options) -> DataFrame:
+def fit_by_key(design: DataFrame, keys: list[str], columns: list[str], integral: list[float], most_rows: int = MOST_ROWS, **options) -> DataFrame:
     """(keys, beta, hessian, nll, n_iter, converged, skipped): a Newton fit for every key. Column 0 is the constant;
-    it starts at the key's mean rate, the others at 0.1."""
-    kinds = dict(design.dtypes)
+    it starts at the key's mean rate, the others at 0.1.
+
+    Keys of at most ``most_rows`` rows are fitted in a task each; larger ones by newton_by_sums, which comes to the same.
+    A fit in a task that does not converge, or leaves out events whose intensity is not positive, is done again from a
+    constant rate, with every intensity kept positive. Where no rate is best - the y events all lie to one side of the
+    columns' mean - no fit converges.
+    """
+    rows = settle(design.select(*keys, *columns, "w"))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("size"))
+    if (sizes.agg(F.max("size")).first()[0] or 0) <= most_rows:
+        return _fit_groups(rows, keys, columns, integral, **options)
+    large = sizes.where(F.col("size") > most_rows).select(*keys)
+    return _fit_groups(rows.join(large, keys, "left_anti"), keys, columns, integral, **options).unionByName(
+        newton_by_sums(rows.join(large, keys, "left_semi"), keys, columns, large.select(*keys, _array(integral).alias("total")), **options)
+    )
+
+
+def _array(values: list[float]) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values])
+
+
+def _fit_groups(rows: DataFrame, keys: list[str], columns: list[str], integral: list[float], **options) -> DataFrame:
+    kinds = dict(rows.dtypes)
     fields = ", ".join([*[f"{k} {kinds[k]}" for k in keys], FIT])
     total = np.array(integral, float)
 
@@ -38,24 +67,78 @@ def fit_by_key(design: DataFrame, keys: list[str], columns: list[str], integral:
         w = pdf["w"].to_numpy(float)
         start = np.full(len(columns), 0.1)
         start[0] = w.sum() / total[0]
-        fit = newton(pdf[columns].to_numpy(float), w, total, start=start, **options)
+        x = pdf[columns].to_numpy(float)
+        fit = newton(x, w, total, start=start, **options)
+        if not fit["converged"] or fit["skipped"]:
+            inside = newton(x, w, total, start=np.r_[start[0], np.zeros(len(start) - 1)], **options | {"steps": 500, "inside": True})
+            fit = inside if inside["converged"] or not fit["converged"] else fit
         return pd.DataFrame([{k: pdf[k].iloc[0] for k in keys} | _row(fit)])
 
-    return compress(design, keys, columns).groupBy(*keys).applyInPandas(run, fields)
+    return rows.groupBy(*keys).applyInPandas(run, fields)
 
 
-def inference(fits: DataFrame, index: int) -> DataFrame:
-    """(src, dst, h, se, pval): coefficient ``index`` with its standard error from the inverse Hessian."""
-    @F.pandas_udf("double")
-    def se(hessian: pd.Series) -> pd.Series:
-        def one(h) -> float:
-            v = np.linalg.pinv(np.array([list(r) for r in h]))[index, index]
-            return float(np.sqrt(v)) if v > 0 else float("nan")
+def newton_by_sums(rows: DataFrame, keys: list[str], columns: list[str], totals: DataFrame, steps: int = 60, rate: float = 0.9, epsilon: float = 1e-5,
+                   batch: Callable[[DataFrame, int], DataFrame] | None = None, flat: float | None = None) -> DataFrame:
+    """The same fits for keys of any size: a Newton step of all keys is one aggregation of k (k + 1) / 2 + k + 2 sums a key.
+
+    ``totals``: keys, total (the integral, an array). Coefficients stay a DataFrame, one row a key, joined back at each
+    step; a k x k system is solved in that row. ``batch``: the rows of a step, for training on samples of trials; then
+    ``flat`` ends a fit whose nll changes by less than that share in a step.
+    """
+    k, kinds = len(columns), dict(rows.dtypes)
+    fields = ", ".join([*[f"{c} {kinds[c]}" for c in keys], "total array<double>", FIT, "done boolean"])
+    begun = rows.groupBy(*keys).agg(F.sum("w").cast("double").alias("n")).join(totals, keys)
+    none = F.lit(None)
+    state = settle(begun.select(
+        *keys, "total", F.concat(F.array(F.col("n") / F.col("total")[0]), _array([0.1] * (k - 1))).alias("beta"), none.cast("array<array<double>>").alias("hessian"),
+        none.cast("double").alias("nll"), F.lit(0).alias("n_iter"), F.lit(False).alias("converged"), F.lit(0).alias("skipped"), F.lit(False).alias("done"),
+    ))
+    lam = sum((F.col(c) * F.col("beta")[i] for i, c in enumerate(columns)), F.lit(0.0))
+    ok = F.col("lam") > 0
+    z = [F.when(ok, F.col(c) / F.col("lam")) for c in columns]
+    sums = [F.sum(F.when(ok, -F.col("w") * F.ln("lam"))).alias("s_nll"), F.sum(F.when(ok, 0).otherwise(F.col("w"))).cast("double").alias("s_skipped")]
+    sums += [F.sum(F.col("w") * z[i]).alias(f"g{i}") for i in range(k)] + [F.sum(F.col("w") * z[i] * z[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
+
+    def moved(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf.iloc[0]
+        out = r[[*keys, "total", "beta", "nll", "n_iter", "converged", "skipped", "done"]].to_dict()
+        out["hessian"] = None if r["hessian"] is None else [list(row) for row in r["hessian"]]
+        if r["done"] or pd.isna(r["s_nll"]):
+            return pd.DataFrame([out | {"done": True}])
+        total, beta = np.array(r["total"]), np.array(r["beta"])
+        h = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
+        nll = float(r["s_nll"] + beta @ total)
+        steady = flat is not None and not pd.isna(r["nll"]) and abs(nll - r["nll"]) <= flat * abs(nll)
+        out |= {"hessian": h.tolist(), "nll": nll, "skipped": int(r["s_skipped"]), "converged": bool(r["converged"] or steady)}
+        if out["converged"] or r["n_iter"] == steps:
+            return pd.DataFrame([out | {"done": True}])
+        g = total - np.array([r[f"g{i}"] for i in range(k)], float)
+        move = np.linalg.solve(h if np.linalg.matrix_rank(h) == k else h + 0.01 * np.eye(k), g)
+        size = np.abs(move).sum()
+        move *= rate * (5 / size if size > 5 else 1)
+        return pd.DataFrame([out | {"beta": (beta - move).tolist(), "n_iter": int(r["n_iter"]) + 1, "converged": bool(np.abs(move).sum() < epsilon)}])
+
+    for step in range(steps + 1):
+        now = rows if batch is None else batch(rows, step)
+        met = now.join(state.where("not done").select(*keys, "beta"), keys).withColumn("lam", lam).groupBy(*keys).agg(*sums)
+        state = settle(state.join(met, keys, "left").groupBy(*keys).applyInPandas(moved, fields))
+        if not state.where("not done").limit(1).count():
+            break
+    return state.drop("total", "done")
 
-        return hessian.map(one)
 
-    found = fits.withColumn("h", F.col("beta")[index]).withColumn("se", se("hessian"))
-    return found.select("src", "dst", "h", "se", F.when(F.col("se") > 0, wald_p(F.col("h"), F.when(F.col("se") > 0, F.col("se")))).alias("pval"))
+def inference(fits: DataFrame, index: int) -> DataFrame:
+    """(src, dst, h, se, pval): coefficient ``index`` of three with its standard error from the inverse Hessian.
+
+    The variance is a cofactor over the determinant; a Hessian without inverse gives none.
+    """
+    m = lambda i, j: F.col("hessian")[i][j]
+    minor = lambda i, j: m((i + 1) % 3, (j + 1) % 3) * m((i + 2) % 3, (j + 2) % 3) - m((i + 1) % 3, (j + 2) % 3) * m((i + 2) % 3, (j + 1) % 3)
+    det = m(0, 0) * minor(0, 0) + m(0, 1) * minor(0, 1) + m(0, 2) * minor(0, 2)
+    scale = m(0, 0) * m(1, 1) * m(2, 2)
+    var = minor(index, index) / F.when(det > 1e-12 * scale, det)
+    found = fits.withColumn("h", F.col("beta")[index]).withColumn("se", F.sqrt(F.when(var > 0, var)))
+    return found.select("src", "dst", "h", "se", wald_p(F.col("h"), F.col("se")).alias("pval"))
 
 
 def nll_at(design: DataFrame, keys: list[str], columns: list[str], beta: DataFrame, integral: list[float]) -> DataFrame:
@@ -74,37 +157,10 @@ def gradient_at(design: DataFrame, keys: list[str], columns: list[str], beta: Da
     return joined.withColumn("lam", lam).where("lam > 0").groupBy(*keys).agg(*sums)
 
 
-def pooled_fit(design: DataFrame, key: str, columns: list[str], integral: Callable[[object], list[float]], steps: int = 25, rate: float = 0.9, epsilon: float = 1e-5, batch: Callable[[DataFrame, int], DataFrame] | None = None) -> dict:
-    """{key: fit} of a few pooled models whose rows are too many for one task.
-
-    Each Newton step is one aggregation for all models together, of k (k + 1) / 2 + k + 1 sums a model; only those
-    reach the driver. ``batch``: the rows of a step, for training on samples of trials.
-    """
-    rows = compress(design, [key], columns) if batch is None else design
-    rows = rows.persist()
-    spark, k = design.sparkSession, len(columns)
-    start = {r[0]: r[1] for r in rows.groupBy(key).agg(F.sum("w")).collect()}
-    fits = {m: {"beta": np.r_[n / integral(m)[0], np.full(k - 1, 0.1)], "converged": False, "n_iter": 0} for m, n in start.items()}
-    for step in range(steps):
-        open_ = [m for m, f in fits.items() if not f["converged"]]
-        if not open_:
-            break
-        betas = spark.createDataFrame([(m, fits[m]["beta"].tolist()) for m in open_], f"{key} {dict(design.dtypes)[key]}, b array<double>")
-        now = rows if batch is None else batch(rows, step)
-        lam = sum((F.col(c) * F.col("b")[i] for i, c in enumerate(columns)), F.lit(0.0))
-        z = [F.col(c) / F.col("lam") for c in columns]
-        sums = [(-F.sum(F.col("w") * F.ln("lam"))).alias("nll")] + [F.sum(F.col("w") * z[i]).alias(f"g{i}") for i in range(k)]
-        sums += [F.sum(F.col("w") * z[i] * z[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
-        for r in now.join(F.broadcast(betas), key).withColumn("lam", lam).where("lam > 0").groupBy(key).agg(*sums).collect():
-            f, total = fits[r[key]], np.array(integral(r[key]), float)
-            h = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-            g = total - np.array([r[f"g{i}"] for i in range(k)])
-            move = np.linalg.solve(h if np.linalg.matrix_rank(h) == k else h + 0.01 * np.eye(k), g)
-            size = np.abs(move).sum()
-            move *= rate * (5 / size if size > 5 else 1)
-            f |= {"beta": f["beta"] - move, "hessian": h, "nll": float(r["nll"] + f["beta"] @ total), "n_iter": step + 1, "converged": bool(np.abs(move).sum() < epsilon)}
-    rows.unpersist()
-    return fits
+def pooled_fit(design: DataFrame, keys: list[str], columns: list[str], totals: DataFrame, steps: int = 25, **options) -> DataFrame:
+    """(keys, beta, hessian, nll, n_iter, converged, skipped) of pooled models - a group, a (trial, group), a (pair, group) -
+    by newton_by_sums, however many rows a model or models there are."""
+    return newton_by_sums(settle(design), keys, columns, totals, steps=steps, **options)
 
 
 def trial_batch(share: float, seed: int = 0) -> Callable[[DataFrame, int], DataFrame]:

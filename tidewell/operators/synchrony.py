@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.operators.ccg import basic_jitter, interval_jitter
+from tidewell.functions.columns import uniform
+from tidewell.operators.ccg import poisson_test
 from tidewell.operators.timejoin import delays
+from tidewell.operators.trains import surrogate_synchrony
 
 
 def synchrony(points: DataFrame, pairs: DataFrame, delta: int, low: int | None = None, high: int | None = None, x_points: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -30,14 +32,16 @@ def binned_synchrony(bins: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def jitter_p(points: DataFrame, pairs: DataFrame, delta: int, width: int, reps: int, basic: bool = False, seed: int = 0) -> DataFrame:
-    """(src, dst, s, p): (surrogates with at least as much synchrony + 1) / (reps + 1)."""
-    moved = (basic_jitter if basic else interval_jitter)(points, width, reps, seed)
+    """(src, dst, s, p, p_rnd): (surrogates with at least as much synchrony + 1) / (reps + 1).
+
+    p_rnd: the same after a draw from [0, 0.5) is added to every count, as counts tie.
+    """
     raw = synchrony(points, pairs, delta).groupBy("src", "dst").agg(F.sum("n").alias("s"))
-    jit = synchrony(points, pairs, delta, x_points=moved, keys=("rep",)).groupBy("src", "dst", "rep").agg(F.sum("n").alias("j"))
     full = pairs.join(raw, ["src", "dst"], "left").withColumn("s", F.coalesce("s", F.lit(0)))
-    every = full.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).join(jit, ["src", "dst", "rep"], "left")
-    hits = F.count_if(F.coalesce("j", F.lit(0)) >= F.col("s"))
-    return every.groupBy("src", "dst", "s").agg(((hits + 1) / (reps + 1)).alias("p"))
+    every = full.join(surrogate_synchrony(points, pairs, width, reps, delta, basic, seed), ["src", "dst"])
+    more = F.col("n") + 0.5 * uniform("src", "dst", "rep", seed) >= F.col("s") + 0.5 * uniform("src", "dst", seed)
+    share = lambda hit: (F.count_if(hit) + 1) / (reps + 1)
+    return every.groupBy("src", "dst", "s").agg(share(F.col("n") >= F.col("s")).alias("p"), share(more).alias("p_rnd"))
 
 
 def closed_beta(bins: DataFrame, pairs: DataFrame, delta: int) -> DataFrame:
@@ -65,25 +69,40 @@ def closed_beta_mean(bins: DataFrame, pairs: DataFrame, delta: int) -> DataFrame
     x = bins.groupBy(F.col("unit_id").alias("src"), "trial_id", window).agg(F.sum("n").alias("c")).join(pairs, "src")
     y = bins.groupBy(F.col("unit_id").alias("dst"), "trial_id", window).agg(F.sum("n").alias("ny"))
     sums = x.join(y, ["dst", "trial_id", "window"]).groupBy("src", "dst").agg(
-        F.sum(F.col("ny") * (1 - F.pow(F.lit(1 - 1 / delta), F.col("c")))).alias("sb"), F.sum(F.col("ny") * F.col("c") / delta).alias("sc")
+        F.sum(F.col("ny") * (1 - F.pow(F.lit(1 - 1 / delta), F.col("c")))).alias("sb"), F.sum(F.col("ny") * F.col("c")).alias("sc")
     )
-    all_ = pairs.join(n_x, "src").join(sums, ["src", "dst"], "left").fillna(0.0, ["sb", "sc"])
-    return all_.select("src", "dst", (F.col("sb") / F.col("n_x")).alias("mean_binary"), (F.col("sc") / F.col("n_x")).alias("mean_cnt"))
+    all_ = pairs.join(n_x, "src").join(sums, ["src", "dst"], "left").fillna(0, ["sb", "sc"])
+    return all_.select("src", "dst", (F.col("sb") / F.col("n_x")).alias("mean_binary"), (F.col("sc") / (F.col("n_x") * delta)).alias("mean_cnt"))
 
 
-def beta_mc_test(bins: DataFrame, surrogate_bins: DataFrame, pairs: DataFrame, reps: int, alpha: float = 0.05) -> DataFrame:
-    """(src, dst, beta, mean, ci_lo, ci_hi, p): b1_cnt against surrogates of x (unit_id, trial_id, rep, bin, n)."""
+def beta_mc_test(bins: DataFrame, surrogate: DataFrame, pairs: DataFrame, reps: int, alpha: float = 0.05) -> DataFrame:
+    """(src, dst, beta, mean, ci_lo, ci_hi, p): b1_cnt against surrogates of x (src, dst, rep, raw: synchrony of the bins)."""
     n_x = bins.groupBy(F.col("unit_id").alias("src")).agg(F.sum("n").alias("n_x"))
     raw = binned_synchrony(bins, pairs).groupBy("src", "dst").agg(F.sum("n").alias("s"))
-    x = surrogate_bins.select(F.col("unit_id").alias("src"), "trial_id", "rep", "bin", F.col("n").alias("nx")).join(pairs, "src")
-    y = bins.select(F.col("unit_id").alias("dst"), "trial_id", "bin", F.col("n").alias("ny"))
-    jit = x.join(y, ["dst", "trial_id", "bin"]).groupBy("src", "dst", "rep").agg(F.sum(F.col("nx") * F.col("ny")).alias("j"))
-    full = pairs.join(n_x, "src").join(raw, ["src", "dst"], "left").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).join(jit, ["src", "dst", "rep"], "left")
-    b, j = F.coalesce("s", F.lit(0)) / F.col("n_x"), F.coalesce("j", F.lit(0)) / F.col("n_x")
+    full = pairs.join(n_x, "src").join(raw, ["src", "dst"], "left").join(surrogate.select("src", "dst", F.col("raw").alias("j")), ["src", "dst"])
+    b, j = F.coalesce("s", F.lit(0)) / F.col("n_x"), F.col("j") / F.col("n_x")
     band = F.percentile("j", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
     return full.select("src", "dst", b.alias("beta"), j.alias("j")).groupBy("src", "dst", "beta").agg(F.avg("j").alias("mean"), band[0].alias("ci_lo"), band[1].alias("ci_hi"), ((F.count_if(F.col("j") >= F.col("beta")) + 1) / (reps + 1)).alias("p"))
 
 
+def beta_poisson_test(bins: DataFrame, pairs: DataFrame, delta: int, correct: str | None = None, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """(src, dst, beta, mean, ci_lo, ci_hi, p, p_rnd): b1_cnt against a Poisson number of coincidences.
+
+    Its mean is that of x events moving freely in their windows. ``correct``: the null mean (``cnt`` or ``binary``) to take
+    off beta, mean and interval, which leaves p as it is.
+    """
+    mu = closed_beta_mean(bins, pairs, delta)
+    off = F.col(f"mean_{correct}") if correct else F.lit(0.0)
+    both = closed_beta(bins, pairs, delta).join(mu, ["src", "dst"]).select(
+        "src", "dst", F.lit(0).alias("lag"), F.col("s").alias("raw"), (F.col("mean_cnt") * F.col("n_x")).alias("mu"), "n_x", off.alias("off")
+    )
+    tested = poisson_test(both.select("src", "dst", "lag", "raw"), both.select("src", "dst", "lag", "mu"), alpha, seed)
+    scaled = lambda c: F.col(c) / F.col("n_x") - F.col("off")
+    return tested.join(both.select("src", "dst", "n_x", "off"), ["src", "dst"]).select(
+        "src", "dst", scaled("raw").alias("beta"), scaled("mu").alias("mean"), scaled("ci_lo").alias("ci_lo"), scaled("ci_hi").alias("ci_hi"), "p", "p_rnd"
+    )
+
+
 def train_nll(bins: DataFrame, log_rate: DataFrame) -> DataFrame:
     """(unit_id, trial_id, nll): -sum n log(rate) + sum rate over bins. log_rate: unit_id, trial_id, bin, log_rate, dense."""
     both = log_rate.join(bins, ["unit_id", "trial_id", "bin"], "left")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -13,12 +12,12 @@ from tidewell.operators import binning, graph, pairs, select, series, timejoin
 from tidewell.plans.catalog import BIN, BINS, LENGTH, Tables, query, rounded
 from tidewell.sources import files
 from tidewell.sources.adapters import DAY, HOUR
+from tidewell.sources.shared import shared_folder
 
 
 def scratch(t: Tables) -> str:
-    """A new folder in the session's shared folder, or in a temporary one where none is set."""
-    shared = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewell-")
-    return f"{shared}/{uuid.uuid4().hex}"
+    """A new folder in the session's shared folder."""
+    return f"{shared_folder(t.spark)}/{uuid.uuid4().hex}"
 
 
 EDGES = "src BIGINT, dst BIGINT, pval DOUBLE, h DOUBLE, src_area STRING, dst_area STRING, significant BOOLEAN, src_probe STRING, dst_probe STRING"

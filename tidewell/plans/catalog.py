@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.columns import uniform
 from tidewell.operators import binning, pairs
-from tidewell.operators.ccg import interval_jitter
 from tidewell.sources import adapters
 
 #: The windows of the queries, for trials of a day.
@@ -18,11 +17,12 @@ BIN = 5 * adapters.MINUTE
 BINS = 288
 LAGS = 12
 WINDOW_BINS = 48
-TRIALS = 30
 LENGTH = adapters.HOUR
 WIDTH = 2 * adapters.HOUR
 DELTA = 5 * adapters.MINUTE
-REPS = 10
+REPS = 200
+#: Surrogates that the queries of e6 and e7 return as rows.
+SHOWN = 10
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -49,10 +49,10 @@ PARTS = {
     edges AS (SELECT s.src, s.dst, 2 * least({phi_z}, 1 - {phi_z}) AS pval, h, a.probe AS src_probe, b.probe AS dst_probe, a.area AS src_area, b.area AS dst_area,
       2 * least({phi_z}, 1 - {phi_z}) < 0.05 AS significant FROM scores s JOIN units a ON a.unit_id = s.src JOIN units b ON b.unit_id = s.dst)""",
     "jitter": """moved AS (SELECT p.unit_id, p.trial_id, r.rep, CAST(floor(t_us / 14400000000.0) * 14400000000 + floor({u_event} * 14400000000) AS BIGINT) AS t_us
-      FROM points p CROSS JOIN (SELECT CAST(i AS INTEGER) AS rep FROM range(1, 11) t(i)) r),
+      FROM points p CROSS JOIN (SELECT CAST(i AS INTEGER) AS rep FROM range(1, 201) t(i)) r),
     moved_bins AS (SELECT unit_id, trial_id, rep, t_us // 300000000 AS bin, count(*) AS n FROM moved GROUP BY ALL)""",
     "surrogate": """surrogate AS (SELECT p.src, p.dst, r.rep, l.lag, CAST(coalesce(s.raw, 0) AS BIGINT) AS raw FROM pairs p CROSS JOIN lags l
-      CROSS JOIN (SELECT CAST(i AS INTEGER) AS rep FROM range(1, 11) t(i)) r LEFT JOIN (
+      CROSS JOIN (SELECT CAST(i AS INTEGER) AS rep FROM range(1, 201) t(i)) r LEFT JOIN (
       SELECT p.src, p.dst, x.rep, CAST(y.bin - x.bin AS INTEGER) AS lag, sum(x.n * y.n) AS raw FROM pairs p JOIN moved_bins x ON x.unit_id = p.src
       JOIN bins y ON y.unit_id = p.dst AND y.trial_id = x.trial_id AND y.bin - x.bin BETWEEN -12 AND 12 GROUP BY ALL) s
       ON s.src = p.src AND s.dst = p.dst AND s.rep = r.rep AND s.lag = l.lag)""",
@@ -150,12 +150,8 @@ class Tables:
         return pairs.init_membership(self.pairs, self.counts)
 
     @cached_property
-    def moved(self) -> DataFrame:
-        return interval_jitter(self.points, 4 * adapters.HOUR, REPS)
-
-    @cached_property
-    def moved_bins(self) -> DataFrame:
-        return binning.bins(self.moved, BIN, keys=("unit_id", "trial_id", "rep"))
+    def n_trials(self) -> int:
+        return self.trials.count()
 
     @cached_property
     def edges(self) -> DataFrame:

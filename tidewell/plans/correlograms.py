@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import numeric
 from tidewell.functions.columns import corr, sql_corr, sql_norm_cdf, sql_uniform
-from tidewell.operators import binning, ccg, graph, pairs, synchrony
+from tidewell.operators import binning, ccg, graph, pairs, synchrony, trains
 from tidewell.plans.basics import SUB, subgroups
-from tidewell.plans.catalog import BINS, DELTA, LAGS, REPS, TRIALS, WINDOW_BINS, Tables, query, rounded
+from tidewell.plans.catalog import BIN, BINS, DELTA, LAGS, REPS, SHOWN, WINDOW_BINS, Tables, query, rounded
 from tidewell.sources.adapters import HOUR
 
 Z = 1.959963984540054
@@ -26,7 +26,7 @@ def moments(t: Tables) -> DataFrame:
 
 
 def surrogate(t: Tables) -> DataFrame:
-    return ccg.ccg(t.bins, t.pairs, -LAGS, LAGS, t.moved_bins, ("rep",))
+    return trains.surrogate_ccg(t.points, t.pairs, WINDOW_BINS * BIN, REPS, BIN, BINS, -LAGS, LAGS)
 
 
 def normal(t: Tables) -> DataFrame:
@@ -38,69 +38,75 @@ def e1(t: Tables) -> DataFrame:
     return raw(t)
 
 
-TRACE = """, pt AS (SELECT trial_id, probe, bin, CAST(sum(n) AS DOUBLE) AS y FROM bins JOIN units USING (unit_id) GROUP BY ALL),
-a AS (SELECT trial_id, bin, y AS y1 FROM pt WHERE probe = 'probeA'), b AS (SELECT trial_id, bin, y AS y2 FROM pt WHERE probe = 'probeB'),
-tl AS (SELECT trial_id, CAST(i AS INTEGER) AS lag FROM (SELECT DISTINCT trial_id FROM a INTERSECT SELECT DISTINCT trial_id FROM b) CROSS JOIN range(-12, 13) r(i)),
-sp AS (SELECT a.trial_id, CAST(a.bin - b.bin AS INTEGER) AS lag, sum(y1 * y2) AS s FROM a JOIN b ON a.trial_id = b.trial_id AND a.bin - b.bin BETWEEN -12 AND 12 GROUP BY ALL),
-e AS (SELECT trial_id, (SELECT sum(y1 * y1) FROM a WHERE a.trial_id = x.trial_id) / 288.0 AS e1, (SELECT sum(y2 * y2) FROM b WHERE b.trial_id = x.trial_id) / 288.0 AS e2 FROM (SELECT DISTINCT trial_id FROM tl) x),
-cc AS (SELECT trial_id, lag, coalesce(s, 0) / (288 - abs(lag)) / sqrt(e1 * e2) AS corr, coalesce(s, 0) / (288 - abs(lag)) AS prod FROM tl LEFT JOIN sp USING (trial_id, lag) JOIN e USING (trial_id))"""
+TRACE = """, pt AS (SELECT trial_id, probe, bin, CAST(sum(n) AS DOUBLE) AS y FROM bins JOIN units USING (unit_id) GROUP BY ALL), pr AS (SELECT DISTINCT probe FROM units),
+pp AS (SELECT x.probe AS pa, y.probe AS pb FROM pr x JOIN pr y ON x.probe < y.probe),
+a AS (SELECT trial_id, pa, pb, bin, y AS y1 FROM pt JOIN pp ON probe = pa), b AS (SELECT trial_id, pa, pb, bin, y AS y2 FROM pt JOIN pp ON probe = pb),
+e1 AS (SELECT trial_id, pa, pb, sum(y1 * y1) / 288.0 AS e1 FROM a GROUP BY ALL), e2 AS (SELECT trial_id, pa, pb, sum(y2 * y2) / 288.0 AS e2 FROM b GROUP BY ALL),
+sp AS (SELECT a.trial_id, a.pa, a.pb, CAST(a.bin - b.bin AS INTEGER) AS lag, sum(y1 * y2) AS s FROM a JOIN b ON a.trial_id = b.trial_id AND a.pa = b.pa AND a.pb = b.pb AND a.bin - b.bin BETWEEN -12 AND 12 GROUP BY ALL),
+cc AS (SELECT e1.trial_id, e1.pa, e1.pb, CAST(i AS INTEGER) AS lag, coalesce(s, 0) / (288 - abs(i)) / sqrt(e1 * e2) AS corr, coalesce(s, 0) / (288 - abs(i)) AS prod
+ FROM e1 JOIN e2 USING (trial_id, pa, pb) CROSS JOIN range(-12, 13) r(i) LEFT JOIN sp ON sp.trial_id = e1.trial_id AND sp.pa = e1.pa AND sp.pb = e1.pb AND sp.lag = i)"""
+TRACES = ("trial_id", "pa", "pb")
 
 
 def two_traces(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Activity of two probes, per trial."""
-    total = t.bins.join(F.broadcast(t.units), "unit_id").groupBy("trial_id", "probe", "bin").agg(F.sum("n").cast("double").alias("y"))
-    return total.where("probe = 'probeA'").select("trial_id", "bin", F.col("y").alias("y1")), total.where("probe = 'probeB'").select("trial_id", "bin", F.col("y").alias("y2"))
+    """Activity of two probes, per trial, for every pair of probes."""
+    total = t.bins.join(t.units, "unit_id").groupBy("trial_id", "probe", "bin").agg(F.sum("n").cast("double").alias("y"))
+    probes = t.units.select("probe").distinct()
+    both = probes.select(F.col("probe").alias("pa")).join(probes.select(F.col("probe").alias("pb")), F.col("pa") < F.col("pb"))
+    a, b = total.withColumnRenamed("probe", "pa").join(both, "pa"), total.withColumnRenamed("probe", "pb").join(both, "pb")
+    return a.select(*TRACES, "bin", F.col("y").alias("y1")), b.select(*TRACES, "bin", F.col("y").alias("y2"))
 
 
-@query("e2_cross_corr", TRACE + " SELECT trial_id, lag, round(corr, 6) AS corr FROM cc")
+@query("e2_cross_corr", TRACE + " SELECT trial_id, pa, pb, lag, round(corr, 6) AS corr FROM cc")
 def e2(t: Tables) -> DataFrame:
-    return rounded(ccg.cross_corr(*two_traces(t), ("trial_id",), BINS, -LAGS, LAGS), "corr")
+    return rounded(ccg.cross_corr(*two_traces(t), TRACES, BINS, -LAGS, LAGS), "corr")
 
 
-@query("e2_cross_corr_peak", TRACE + " SELECT trial_id, arg_max(lag, (round(corr, 9), -lag)) AS lag, round(max(corr), 6) AS corr FROM cc GROUP BY ALL")
+@query("e2_cross_corr_peak", TRACE + " SELECT trial_id, pa, pb, arg_max(lag, (round(corr, 9), -lag)) AS lag, round(max(corr), 6) AS corr FROM cc GROUP BY ALL")
 def e2b(t: Tables) -> DataFrame:
-    return rounded(ccg.peak(rounded(ccg.cross_corr(*two_traces(t), ("trial_id",), BINS, -LAGS, LAGS), "corr", digits=9), ("trial_id",)), "corr")
+    return rounded(ccg.peak(rounded(ccg.cross_corr(*two_traces(t), TRACES, BINS, -LAGS, LAGS), "corr", digits=9), TRACES), "corr")
 
 
-@query("e3_cross_prod", TRACE + " SELECT trial_id, lag, round(prod, 6) AS corr FROM cc")
+@query("e3_cross_prod", TRACE + " SELECT trial_id, pa, pb, lag, round(prod, 6) AS corr FROM cc")
 def e3(t: Tables) -> DataFrame:
-    return rounded(ccg.cross_corr(*two_traces(t), ("trial_id",), BINS, -LAGS, LAGS, normalise=False), "corr")
+    return rounded(ccg.cross_corr(*two_traces(t), TRACES, BINS, -LAGS, LAGS, normalise=False), "corr")
 
 
-DENSE = """, line AS (SELECT trial_id, CAST(i AS BIGINT) AS bin FROM trials CROSS JOIN range(0, 288) r(i)),
+DENSE = """, pr AS (SELECT DISTINCT probe FROM units), pp AS (SELECT x.probe AS pa, y.probe AS pb FROM pr x JOIN pr y ON x.probe < y.probe),
+line AS (SELECT trial_id, pa, pb, CAST(i AS BIGINT) AS bin FROM trials CROSS JOIN pp CROSS JOIN range(0, 288) r(i)),
 pt AS (SELECT trial_id, probe, bin, CAST(sum(n) AS DOUBLE) AS y FROM bins JOIN units USING (unit_id) GROUP BY ALL),
-a AS (SELECT l.trial_id, l.bin, coalesce(y, 0) AS y1 FROM line l LEFT JOIN pt ON pt.trial_id = l.trial_id AND pt.bin = l.bin AND probe = 'probeA'),
-b AS (SELECT l.trial_id, l.bin, coalesce(y, 0) AS y2 FROM line l LEFT JOIN pt ON pt.trial_id = l.trial_id AND pt.bin = l.bin AND probe = 'probeB')"""
+a AS (SELECT l.trial_id, pa, pb, l.bin, coalesce(y, 0) AS y1 FROM line l LEFT JOIN pt ON pt.trial_id = l.trial_id AND pt.bin = l.bin AND probe = pa),
+b AS (SELECT l.trial_id, pa, pb, l.bin, coalesce(y, 0) AS y2 FROM line l LEFT JOIN pt ON pt.trial_id = l.trial_id AND pt.bin = l.bin AND probe = pb),
+ab AS (SELECT a.trial_id, a.pa, a.pb, CAST(a.bin - b.bin AS INTEGER) AS lag, y1, y2 FROM a JOIN b ON a.trial_id = b.trial_id AND a.pa = b.pa AND a.pb = b.pb AND a.bin - b.bin BETWEEN -12 AND 12)"""
 
 
 def dense_traces(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The same with a row for every bin: pairs of probes x trials x bins, a few rows for each event of a busy session."""
     a, b = two_traces(t)
-    frame = t.trials.select("trial_id")
+    frame = t.trials.select("trial_id").join(a.select("pa", "pb").distinct())
     return binning.dense(a, frame, BINS, "y1"), binning.dense(b, frame, BINS, "y2")
 
 
-@query("e4_pearson_lags", DENSE + " SELECT a.trial_id, CAST(a.bin - b.bin AS INTEGER) AS lag, round(" + sql_corr("y1", "y2") + ", 6) AS r FROM a JOIN b ON a.trial_id = b.trial_id AND a.bin - b.bin BETWEEN -12 AND 12 GROUP BY ALL")
+@query("e4_pearson_lags", DENSE + " SELECT trial_id, pa, pb, lag, round(" + sql_corr("y1", "y2") + ", 6) AS r FROM ab GROUP BY ALL")
 def e4(t: Tables) -> DataFrame:
-    return rounded(ccg.pearson_lags(*dense_traces(t), ("trial_id",), -LAGS, LAGS), "r")
+    return rounded(ccg.pearson_lags(*dense_traces(t), TRACES, -LAGS, LAGS), "r")
 
 
-@query("e5_centred_xcorr", DENSE + f""", ca AS (SELECT trial_id, bin, y1 - avg(y1) OVER (PARTITION BY trial_id) AS y1 FROM a), cb AS (SELECT trial_id, bin, y2 - avg(y2) OVER (PARTITION BY trial_id) AS y2 FROM b),
-ee AS (SELECT trial_id, sum(y1 * y1) AS e1 FROM ca GROUP BY ALL), ff AS (SELECT trial_id, sum(y2 * y2) AS e2 FROM cb GROUP BY ALL)
-SELECT ca.trial_id, CAST(ca.bin - cb.bin AS INTEGER) AS lag, round(sum(y1 * y2) / sqrt(max(e1) * max(e2)), 6) AS xcorr, round({Z} / sqrt(288), 6) AS level
-FROM ca JOIN cb ON ca.trial_id = cb.trial_id AND ca.bin - cb.bin BETWEEN -12 AND 12 JOIN ee ON ee.trial_id = ca.trial_id JOIN ff ON ff.trial_id = ca.trial_id WHERE e1 * e2 > 0 GROUP BY ca.trial_id, ca.bin - cb.bin""")
+@query("e5_centred_xcorr", DENSE + f""", ma AS (SELECT trial_id, pa, pb, avg(y1) AS m1, sum(y1 * y1) - sum(y1) * sum(y1) / 288 AS e1 FROM a GROUP BY ALL), mb AS (SELECT trial_id, pa, pb, avg(y2) AS m2, sum(y2 * y2) - sum(y2) * sum(y2) / 288 AS e2 FROM b GROUP BY ALL)
+SELECT trial_id, pa, pb, lag, round(sum((y1 - m1) * (y2 - m2)) / sqrt(max(e1) * max(e2)), 6) AS xcorr, round({Z} / sqrt(288), 6) AS level FROM ab JOIN ma USING (trial_id, pa, pb) JOIN mb USING (trial_id, pa, pb) WHERE e1 * e2 > 0 GROUP BY trial_id, pa, pb, lag""")
 def e5(t: Tables) -> DataFrame:
-    return rounded(ccg.centred_xcorr(*dense_traces(t), ("trial_id",), BINS, -LAGS, LAGS), "xcorr", "level")
+    return rounded(ccg.centred_xcorr(*dense_traces(t), TRACES, BINS, -LAGS, LAGS), "xcorr", "level")
 
 
-@query("e6_interval_jitter", " SELECT unit_id, trial_id, rep, t_us FROM moved", ("jitter",))
+@query("e6_interval_jitter", " SELECT unit_id, trial_id, rep, t_us FROM moved WHERE rep <= 10", ("jitter",))
 def e6(t: Tables) -> DataFrame:
-    return t.moved
+    return ccg.interval_jitter(t.points, 4 * HOUR, SHOWN)
 
 
 @query("e7_basic_jitter", f""" SELECT unit_id, trial_id, rep, CAST(t_us - 7200000000 + floor({sql_uniform("concat_ws('/', unit_id, trial_id, t_us, rep, 0)")} * 14400000000) AS BIGINT) AS t_us
  FROM points CROSS JOIN (SELECT CAST(i AS INTEGER) AS rep FROM range(1, 11) r(i))""")
 def e7(t: Tables) -> DataFrame:
-    return ccg.basic_jitter(t.points, 4 * HOUR, REPS)
+    return ccg.basic_jitter(t.points, 4 * HOUR, SHOWN)
 
 
 @query("e8_mc_test", f""", u AS (SELECT src, dst, lag, raw, {sql_uniform("concat_ws('/', src, dst, lag, 0)")} AS ur FROM ccg),
@@ -111,13 +117,17 @@ def e8(t: Tables) -> DataFrame:
     return rounded(ccg.mc_test(raw(t), surrogate(t)), "mean", "ci_lo", "ci_hi", "p", "p_rnd")
 
 
-@query("e9_simultaneous_band", """, sc AS (SELECT src, dst, lag, avg(raw) AS m, stddev_pop(raw) AS sd FROM surrogate GROUP BY ALL HAVING stddev_pop(raw) > 0),
-ends AS (SELECT src, dst, rep, max((raw - m) / sd) AS top, min((raw - m) / sd) AS low FROM surrogate JOIN sc USING (src, dst, lag) GROUP BY ALL),
-own AS (SELECT src, dst, max((raw - m) / sd) AS rt, min((raw - m) / sd) AS rl FROM ccg JOIN sc USING (src, dst, lag) GROUP BY ALL),
-q AS (SELECT src, dst, quantile_cont(top, 0.975) AS qt, quantile_cont(low, 0.025) AS ql, avg(CASE WHEN rt < top THEN 1.0 ELSE 0.0 END) AS pu, avg(CASE WHEN rl > low THEN 1.0 ELSE 0.0 END) AS pd FROM ends JOIN own USING (src, dst) GROUP BY ALL)
-SELECT src, dst, lag, raw, round(ql * sd + m, 6) AS ci_lo, round(qt * sd + m, 6) AS ci_hi, round(pu, 6) AS p_up, round(pd, 6) AS p_down FROM ccg JOIN sc USING (src, dst, lag) JOIN q USING (src, dst)""", ("surrogate",))
+BAND = """, sc AS (SELECT src, dst, lag, count(*) AS n, CAST(sum(raw) AS BIGINT) AS s, CAST(sum(raw * raw) AS BIGINT) AS q FROM surrogate GROUP BY ALL HAVING count(*) * sum(raw * raw) > sum(raw) * sum(raw)),
+zs AS (SELECT src, dst, lag, n, s, CAST(s AS DOUBLE) / n AS m, sqrt(CAST(n * q - s * s AS DOUBLE)) AS root FROM sc),
+ends AS (SELECT src, dst, rep, max(round((raw * n - s) / root, 9)) AS top, min(round((raw * n - s) / root, 9)) AS low FROM surrogate JOIN zs USING (src, dst, lag) GROUP BY ALL),
+own AS (SELECT src, dst, max(round((raw * n - s) / root, 9)) AS rt, min(round((raw * n - s) / root, 9)) AS rl FROM ccg JOIN zs USING (src, dst, lag) GROUP BY ALL),
+q AS (SELECT src, dst, quantile_cont(top, 0.975) AS qt, quantile_cont(low, 0.025) AS ql, avg(CASE WHEN rt < top THEN 1.0 ELSE 0.0 END) AS pu, avg(CASE WHEN rl > low THEN 1.0 ELSE 0.0 END) AS pd FROM ends JOIN own USING (src, dst) GROUP BY ALL),
+band AS (SELECT src, dst, lag, raw, m, ql * root / n + m AS ci_lo, qt * root / n + m AS ci_hi, pu, pd FROM ccg JOIN zs USING (src, dst, lag) JOIN q USING (src, dst))"""
+
+
+@query("e9_simultaneous_band", BAND + " SELECT src, dst, lag, raw, round(m, 6) AS mean, round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi, round(pu, 6) AS p_up, round(pd, 6) AS p_down FROM band", ("surrogate",))
 def e9(t: Tables) -> DataFrame:
-    return rounded(ccg.simultaneous_band(raw(t), surrogate(t)), "ci_lo", "ci_hi", "p_up", "p_down")
+    return rounded(ccg.simultaneous_band(raw(t), surrogate(t)), "mean", "ci_lo", "ci_hi", "p_up", "p_down")
 
 
 @query("e10_poisson_mean", " SELECT src, dst, lag, raw, round(mean, 6) AS mu FROM ccg JOIN moments USING (src, dst, lag)", ("moments",))
@@ -138,7 +148,7 @@ def e11(t: Tables) -> DataFrame:
 
 @query("e12_binom_test")
 def e12(t: Tables) -> DataFrame:
-    return ccg.binom_test(raw(t), ccg.window_product(t.bins, t.pairs, -LAGS, LAGS, WINDOW_BINS), WINDOW_BINS)
+    return ccg.mass_test(raw(t), ccg.window_product(t.bins, t.pairs, -LAGS, LAGS, WINDOW_BINS), WINDOW_BINS)
 
 
 @query("e12_binom_windows", " SELECT src, dst, lag, m, n, count(*) AS times FROM windows GROUP BY ALL", ("windows",))
@@ -162,14 +172,24 @@ def e13b(t: Tables) -> DataFrame:
     return rounded(ccg.poisson_mean(t.bins, t.pairs, -LAGS, LAGS, WINDOW_BINS), "mu")
 
 
-@query("e14_pair_tests", f""", m AS (SELECT src, dst, lag, avg(raw) AS mean, quantile_cont(raw, 0.975) AS hi, quantile_cont(raw, 0.025) AS lo FROM surrogate GROUP BY ALL)
-SELECT src, dst, lag, raw, 'normal' AS kind, round(mean, 6) AS mean, round(mean + {Z} * sqrt(var), 6) AS ci_hi FROM ccg JOIN moments USING (src, dst, lag) UNION ALL
-SELECT src, dst, lag, raw, 'mc', round(mean, 6), round(hi, 6) FROM ccg JOIN m USING (src, dst, lag)""", ("moments", "surrogate"))
+@query("e14_pair_tests", BAND + f""", mc AS (SELECT src, dst, lag, max(c.raw) AS raw, avg(s.raw) AS mean, quantile_cont(s.raw, 0.975) AS hi, quantile_cont(s.raw, 0.025) AS lo, (count(*) FILTER (s.raw > c.raw) + 1) / (count(*) + 1) AS p
+ FROM ccg c JOIN surrogate s USING (src, dst, lag) GROUP BY ALL)
+SELECT src, dst, lag, raw, 'normal' AS kind, round(mean, 6) AS mean, round(mean - {Z} * sqrt(var), 6) AS ci_lo, round(mean + {Z} * sqrt(var), 6) AS ci_hi,
+ round(CASE WHEN var > 0 THEN 1 - {sql_norm_cdf("((raw - mean) / sqrt(var))")} WHEN raw > mean THEN 0.0 ELSE 1.0 END, 6) AS p FROM ccg JOIN moments USING (src, dst, lag)
+UNION ALL SELECT src, dst, lag, raw, 'mc', round(mean, 6), round(lo, 6), round(hi, 6), round(p, 6) FROM mc UNION ALL SELECT src, dst, lag, raw, 'mc_sim', round(m, 6), round(ci_lo, 6), round(ci_hi, 6), round(pu, 6) FROM band""", ("moments", "surrogate"))
 def e14(t: Tables) -> DataFrame:
-    """Each source unit's surrogates are made once and shared by its pairs."""
-    kinds = {"normal": normal(t), "mc": ccg.mc_test(raw(t), surrogate(t))}
-    a, b = (d.select("src", "dst", "lag", "raw", F.lit(k).alias("kind"), "mean", "ci_hi") for k, d in kinds.items())
-    return rounded(a.unionAll(b), "mean", "ci_hi")
+    """Each source unit's surrogates are made once and shared by its pairs and by both tests on them."""
+    return rounded(named_tests(t, ("normal", "mc", "mc_sim")), "mean", "ci_lo", "ci_hi", "p")
+
+
+@query("e14_mass_tests")
+def e14b(t: Tables) -> DataFrame:
+    """The tests by name that end in a mass function or a tail."""
+    return named_tests(t, ("binom", "poisson", "poisson_pmf", "normal_pmf"))
+
+
+def named_tests(t: Tables, kinds: tuple[str, ...]) -> DataFrame:
+    return ccg.pair_tests(t.points, t.pairs, kinds, BIN, BINS, -LAGS, LAGS, WINDOW_BINS, REPS)
 
 
 @query("e15_group_ccg", """ SELECT m.group_id, CAST(y.bin - x.bin AS INTEGER) AS lag, CAST(sum(x.n * y.n) AS BIGINT) AS raw FROM membership m JOIN bins x ON x.unit_id = m.src AND x.trial_id = m.trial_id
@@ -219,7 +239,7 @@ def e18b(t: Tables) -> DataFrame:
     from tidewell.plans.regressions import lrt
 
     binom = e12(t).groupBy("src", "dst").agg(F.min("p").alias("p_binom"))
-    beta = synchrony.beta_mc_test(t.bins, t.moved_bins, t.pairs, REPS).select("src", "dst", F.col("p").alias("p_beta"))
+    beta = beta_test(t).select("src", "dst", F.col("p").alias("p_beta"))
     return binom.join(lrt(t).select("src", "dst", F.col("p").alias("p_lrt")), ["src", "dst"], "left").join(beta, ["src", "dst"], "left")
 
 
@@ -232,10 +252,10 @@ def e19(t: Tables) -> DataFrame:
 
 
 @query("e20_covariance_density", """, lg AS (SELECT CAST(i AS INTEGER) AS lag FROM range(0, 13) r(i)), s AS (SELECT x.unit_id, CAST(y.bin - x.bin AS INTEGER) AS lag, sum(x.n * y.n) AS s FROM bins x JOIN bins y
- ON y.unit_id = x.unit_id AND y.trial_id = x.trial_id AND y.bin - x.bin BETWEEN 0 AND 12 GROUP BY ALL), r AS (SELECT unit_id, sum(n) / (288.0 * 30 * 0.083) AS rate FROM bins GROUP BY ALL)
-SELECT unit_id, lag, round(coalesce(s, 0) / ((288 - lag) * 30) / (0.083 * 0.083) - rate * rate, 6) AS density FROM r CROSS JOIN lg LEFT JOIN s USING (unit_id, lag)""")
+ ON y.unit_id = x.unit_id AND y.trial_id = x.trial_id AND y.bin - x.bin BETWEEN 0 AND 12 GROUP BY ALL), r AS (SELECT unit_id, sum(n) / (288.0 * (SELECT count(*) FROM trials) * 0.083) AS rate FROM bins GROUP BY ALL)
+SELECT unit_id, lag, round(coalesce(s, 0) / ((288 - lag) * (SELECT count(*) FROM trials)) / (0.083 * 0.083) - rate * rate, 6) AS density FROM r CROSS JOIN lg LEFT JOIN s USING (unit_id, lag)""")
 def e20(t: Tables) -> DataFrame:
-    return rounded(ccg.covariance_density(t.bins, BINS, TRIALS, 0.083, LAGS), "density")
+    return rounded(ccg.covariance_density(t.bins, BINS, t.n_trials, 0.083, LAGS), "density")
 
 
 @query("e21_group_correlation", SUB + """, g AS (SELECT probe_from, probe_to, group_id, trial_id, t_us // 3600000000 AS bin, count(*) AS n FROM points JOIN subgroups USING (unit_id) GROUP BY ALL),
@@ -321,12 +341,24 @@ def f1b(t: Tables) -> DataFrame:
     return synchrony.binned_synchrony(t.bins, t.pairs)
 
 
-@query("f2_jitter_p", f""", r AS (SELECT p.src, p.dst, count(*) AS s FROM pairs p {SYNC} GROUP BY ALL),
-j AS (SELECT p.src, p.dst, x.rep, count(*) AS j FROM pairs p {SYNC.replace("points x", "moved x")} GROUP BY ALL)
-SELECT p.src, p.dst, coalesce(max(r.s), 0) AS s, round((count(*) FILTER (coalesce(j.j, 0) >= coalesce(r.s, 0)) + 1) / 11.0, 6) AS p FROM pairs p CROSS JOIN (SELECT CAST(i AS INTEGER) AS rep FROM range(1, 11) q(i)) k
-LEFT JOIN r ON r.src = p.src AND r.dst = p.dst LEFT JOIN j ON j.src = p.src AND j.dst = p.dst AND j.rep = k.rep GROUP BY p.src, p.dst""", ("jitter",))
+def jitter_sql(moved: str) -> str:
+    return f""", r AS (SELECT p.src, p.dst, count(*) AS s FROM pairs p {SYNC} GROUP BY ALL), {moved}
+j AS (SELECT p.src, p.dst, x.rep, count(*) AS j FROM pairs p {SYNC.replace("points x", "shifted x")} GROUP BY ALL),
+v AS (SELECT p.src, p.dst, k.rep, coalesce(r.s, 0) AS s, coalesce(j.j, 0) AS n FROM pairs p CROSS JOIN (SELECT CAST(i AS INTEGER) AS rep FROM range(1, 201) q(i)) k
+ LEFT JOIN r ON r.src = p.src AND r.dst = p.dst LEFT JOIN j ON j.src = p.src AND j.dst = p.dst AND j.rep = k.rep)
+SELECT src, dst, s, round((count(*) FILTER (n >= s) + 1) / 201.0, 6) AS p,
+ round((count(*) FILTER (n + 0.5 * {sql_uniform("concat_ws('/', src, dst, rep, 0)")} >= s + 0.5 * {sql_uniform("concat_ws('/', src, dst, 0)")}) + 1) / 201.0, 6) AS p_rnd FROM v GROUP BY src, dst, s"""
+
+
+@query("f2_jitter_p", jitter_sql("shifted AS (SELECT * FROM moved),"), ("jitter",))
 def f2(t: Tables) -> DataFrame:
-    return rounded(synchrony.jitter_p(t.points, t.pairs, DELTA, 4 * HOUR, REPS), "p")
+    return rounded(synchrony.jitter_p(t.points, t.pairs, DELTA, 4 * HOUR, REPS), "p", "p_rnd")
+
+
+@query("f2_basic_jitter_p", jitter_sql(f"""shifted AS (SELECT p.unit_id, p.trial_id, r.rep, CAST(t_us - 7200000000 + floor({sql_uniform("concat_ws('/', p.unit_id, p.trial_id, p.t_us, r.rep, 0)")} * 14400000000) AS BIGINT) AS t_us
+ FROM points p CROSS JOIN (SELECT CAST(i AS INTEGER) AS rep FROM range(1, 201) q(i)) r),"""))
+def f2b(t: Tables) -> DataFrame:
+    return rounded(synchrony.jitter_p(t.points, t.pairs, DELTA, 4 * HOUR, REPS, basic=True), "p", "p_rnd")
 
 
 @query("f3_tail_p")
@@ -357,17 +389,28 @@ def f4(t: Tables) -> DataFrame:
 
 
 @query("f5_closed_beta_mean", """, wx AS (SELECT unit_id, trial_id, bin // 48 AS w, sum(n) AS c FROM bins GROUP BY ALL), nx AS (SELECT unit_id AS src, sum(n) AS n_x FROM bins GROUP BY ALL),
-s AS (SELECT p.src, p.dst, sum(y.c * (1 - (1 - 1 / 48.0) ** x.c)) AS sb, sum(y.c * x.c / 48.0) AS sc FROM pairs p JOIN wx x ON x.unit_id = p.src JOIN wx y ON y.unit_id = p.dst AND y.trial_id = x.trial_id AND y.w = x.w GROUP BY ALL)
-SELECT p.src, p.dst, round(coalesce(sb, 0) / n_x, 6) AS mean_binary, round(coalesce(sc, 0) / n_x, 6) AS mean_cnt FROM pairs p JOIN nx USING (src) LEFT JOIN s USING (src, dst)""")
+s AS (SELECT p.src, p.dst, sum(y.c * (1 - (1 - 1 / 48.0) ** x.c)) AS sb, sum(y.c * x.c) AS sc FROM pairs p JOIN wx x ON x.unit_id = p.src JOIN wx y ON y.unit_id = p.dst AND y.trial_id = x.trial_id AND y.w = x.w GROUP BY ALL)
+SELECT p.src, p.dst, round(coalesce(sb, 0) / n_x, 6) AS mean_binary, round(coalesce(sc, 0) / (n_x * 48), 6) AS mean_cnt FROM pairs p JOIN nx USING (src) LEFT JOIN s USING (src, dst)""")
 def f5(t: Tables) -> DataFrame:
     return rounded(synchrony.closed_beta_mean(t.bins, t.pairs, WINDOW_BINS), "mean_binary", "mean_cnt")
 
 
 @query("f6_beta_test", BETA + """, j AS (SELECT p.src, p.dst, x.rep, sum(x.n * y.n) AS j FROM pairs p JOIN moved_bins x ON x.unit_id = p.src JOIN bins y ON y.unit_id = p.dst AND y.trial_id = x.trial_id AND y.bin = x.bin GROUP BY ALL),
-v AS (SELECT p.src, p.dst, coalesce(s.s, 0) / n_x AS beta, coalesce(j.j, 0) / n_x AS jb FROM pairs p JOIN nx USING (src) CROSS JOIN (SELECT CAST(i AS INTEGER) AS rep FROM range(1, 11) q(i)) k LEFT JOIN s ON s.src = p.src AND s.dst = p.dst LEFT JOIN j ON j.src = p.src AND j.dst = p.dst AND j.rep = k.rep)
-SELECT src, dst, round(beta, 6) AS beta, round(avg(jb), 6) AS mean, round(quantile_cont(jb, 0.025), 6) AS ci_lo, round(quantile_cont(jb, 0.975), 6) AS ci_hi, round((count(*) FILTER (jb >= beta) + 1) / 11.0, 6) AS p FROM v GROUP BY src, dst, v.beta""", ("jitter",))
+v AS (SELECT p.src, p.dst, coalesce(s.s, 0) / n_x AS beta, coalesce(j.j, 0) / n_x AS jb FROM pairs p JOIN nx USING (src) CROSS JOIN (SELECT CAST(i AS INTEGER) AS rep FROM range(1, 201) q(i)) k LEFT JOIN s ON s.src = p.src AND s.dst = p.dst LEFT JOIN j ON j.src = p.src AND j.dst = p.dst AND j.rep = k.rep)
+SELECT src, dst, round(beta, 6) AS beta, round(avg(jb), 6) AS mean, round(quantile_cont(jb, 0.025), 6) AS ci_lo, round(quantile_cont(jb, 0.975), 6) AS ci_hi, round((count(*) FILTER (jb >= beta) + 1) / 201.0, 6) AS p FROM v GROUP BY src, dst, v.beta""", ("jitter",))
 def f6(t: Tables) -> DataFrame:
-    return rounded(synchrony.beta_mc_test(t.bins, t.moved_bins, t.pairs, REPS), "beta", "mean", "ci_lo", "ci_hi", "p")
+    return rounded(beta_test(t), "beta", "mean", "ci_lo", "ci_hi", "p")
+
+
+def beta_test(t: Tables) -> DataFrame:
+    same_bin = trains.surrogate_ccg(t.points, t.pairs, WINDOW_BINS * BIN, REPS, BIN, BINS, 0, 0)
+    return synchrony.beta_mc_test(t.bins, same_bin, t.pairs, REPS)
+
+
+@query("f6_beta_poisson")
+def f6c(t: Tables) -> DataFrame:
+    """The Poisson null, less its mean."""
+    return synchrony.beta_poisson_test(t.bins, t.pairs, WINDOW_BINS, "cnt")
 
 
 @query("f6_beta_exact")
@@ -393,10 +436,10 @@ def f6b(t: Tables) -> DataFrame:
     return packed.mapInPandas(run, "src long, dst long, s long, mean double, p double")
 
 
-@query("f10_train_nll", """, r AS (SELECT unit_id, sum(n) / (288.0 * 30) AS rate FROM bins GROUP BY ALL)
+@query("f10_train_nll", """, r AS (SELECT unit_id, sum(n) / (288.0 * (SELECT count(*) FROM trials)) AS rate FROM bins GROUP BY ALL)
 SELECT g.unit_id, g.trial_id, round(288 * rate - coalesce(sum(b.n), 0) * ln(rate), 6) AS nll FROM grid g JOIN r USING (unit_id) LEFT JOIN bins b ON b.unit_id = g.unit_id AND b.trial_id = g.trial_id GROUP BY g.unit_id, g.trial_id, rate""")
 def f10(t: Tables) -> DataFrame:
-    rate = t.bins.groupBy("unit_id").agg(F.ln(F.sum("n") / (BINS * TRIALS)).alias("log_rate"))
+    rate = t.bins.groupBy("unit_id").agg(F.ln(F.sum("n") / (BINS * t.n_trials)).alias("log_rate"))
     grid = t.frame.join(F.broadcast(rate), "unit_id").withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BINS - 1).cast("long"))))
     return rounded(synchrony.train_nll(t.bins, grid), "nll")
 

@@ -172,10 +172,10 @@ def h10(t: Tables) -> DataFrame:
     return rounded(out, *[c for c in out.columns if c != "scenario"])
 
 
-@query("h11_normal_qq", f""", v AS (SELECT h / 10.0 AS z FROM edges), g AS (SELECT CAST(i AS INTEGER) AS i, i * 0.2 - 4.0 AS z FROM range(0, 41) r(i))
+@query("h11_normal_qq", f""", v AS (SELECT round(h, 9) / 10.0 AS z FROM edges), g AS (SELECT CAST(i AS INTEGER) AS i, i * 0.2 - 4.0 AS z FROM range(0, 41) r(i))
 SELECT g.i, round(CAST(g.z AS DOUBLE), 6) AS z, round(count(*) FILTER (ceil((v.z + 4.0) / 0.2) <= g.i) / count(*), 6) AS ecdf, round({sql_norm_cdf("CAST(g.z AS DOUBLE)")}, 6) AS normal, round(sqrt(-ln(0.025) / 2) / sqrt(count(*)), 6) AS band FROM g CROSS JOIN v GROUP BY g.i, g.z""", ("edges",))
 def h11(t: Tables) -> DataFrame:
-    return rounded(testing.normal_qq(t.edges.select(F.col("h").alias("value")), 0.0, 10.0), "z", "ecdf", "normal", "band")
+    return rounded(testing.normal_qq(t.edges.select(F.round("h", 9).alias("value")), 0.0, 10.0), "z", "ecdf", "normal", "band")
 
 
 @query("l1_signed_edges", " SELECT src, dst, CASE WHEN h > 0 THEN 1 ELSE -1 END AS weight FROM edges WHERE significant", ("edges",))

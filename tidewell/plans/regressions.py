@@ -11,16 +11,24 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import numeric
 from tidewell.functions.columns import sql_norm_cdf, sql_uniform
-from tidewell.operators import binning, ccg, design, fit, pairs, select, testing
+from tidewell.operators import binning, design, fit, graph, pairs, select, testing, trains
 from tidewell.plans.basics import rates
-from tidewell.plans.catalog import BIN, BINS, LENGTH, TRIALS, WIDTH, WINDOW_BINS, Tables, query, rounded
+from tidewell.plans.catalog import BIN, BINS, LENGTH, REPS, WIDTH, WINDOW_BINS, Tables, query, rounded
 from tidewell.sources.adapters import DAY, HOUR
 
 UNIT = float(HOUR)
 HOURS = 24.0
 COLUMNS = ["const", "nuisance", "filter"]
-INTEGRAL = [TRIALS * HOURS, 0.0, 0.0]
 NORM = math.sqrt(2 * math.pi)
+#: Kernel widths of 1, 2, 4 and 8 hours, in bins.
+WIDTHS = [12.0, 24.0, 48.0, 96.0]
+
+
+
+def integral(t: Tables) -> list[float]:
+    """The integrals of the standard design: time, and 0 for columns with mean 0."""
+    return [t.n_trials * HOURS, 0.0, 0.0]
+
 
 TRAINS = ", tr AS (SELECT unit_id, trial_id, t_us, count(*) AS c FROM points GROUP BY ALL), yr AS (SELECT src, dst, trial_id, t_us AS y_us, c AS w FROM pairs JOIN tr ON tr.unit_id = dst)"
 
@@ -49,12 +57,10 @@ def regressor_sql(name: str) -> str:
 SELECT src, dst, CAST(sum(w) AS BIGINT) AS n_y, round(sum(w * v), 5) AS s1, round(sum(w * v * v), 5) AS s2, round(max(integral), 5) AS integral FROM z JOIN i USING (src) GROUP BY src, dst"""
 
 
-def summed(t: Tables, sums: DataFrame, integral: DataFrame) -> DataFrame:
+def summed(t: Tables, rows: DataFrame, area: DataFrame) -> DataFrame:
     """A regressor over every y event of every pair, as its first two moments, and its integral."""
-    name = sums.columns[-1]
-    rows = design.y_rows(t.points, t.pairs).join(sums, design.KEYS, "left").withColumn("v", F.coalesce(name, F.lit(0.0)))
-    w, v = F.col("w"), F.col("v")
-    out = rows.groupBy("src", "dst").agg(F.sum(w).alias("n_y"), F.sum(w * v).alias("s1"), F.sum(w * v * v).alias("s2")).join(integral, "src")
+    w, v = F.col("w"), F.col(rows.columns[-1])
+    out = rows.groupBy("src", "dst").agg(F.sum(w).alias("n_y"), F.sum(w * v).alias("s1"), F.sum(w * v * v).alias("s2")).join(area, "src")
     return rounded(out.select("src", "dst", "n_y", "s1", "s2", "integral"), "s1", "s2", "integral", digits=5)
 
 
@@ -76,12 +82,13 @@ def k3(t: Tables) -> DataFrame:
 
 @query("k3_exponential_slope", TRAINS + f""", v AS {around_sql(0, DAY, f"-({D} / {UNIT}) * exp(-1.5 * {D} / {UNIT})", "v")} SELECT src, dst, round(sum(v), 5) AS s FROM v GROUP BY ALL""")
 def k3b(t: Tables) -> DataFrame:
-    return rounded(design.exponential_slope(t.points, t.pairs, 1.5, DAY, UNIT).groupBy("src", "dst").agg(F.sum("slope").alias("s")), "s", digits=5)
+    slopes = design.exponential_slope(t.points, t.pairs, 1.5, DAY, UNIT).where("slope < 0")
+    return rounded(slopes.groupBy("src", "dst").agg(F.sum("slope").alias("s")), "s", digits=5)
 
 
-@query("k4_constant", TRAINS + f" SELECT src, dst, CAST(sum(w) AS BIGINT) AS n_y, CAST({TRIALS * HOURS} AS DOUBLE) AS integral FROM yr GROUP BY ALL")
+@query("k4_constant", TRAINS + f" SELECT src, dst, CAST(sum(w) AS BIGINT) AS n_y, CAST(24.0 * (SELECT count(*) FROM trials) AS DOUBLE) AS integral FROM yr GROUP BY ALL")
 def k4(t: Tables) -> DataFrame:
-    return design.y_rows(t.points, t.pairs).groupBy("src", "dst").agg(F.sum("w").alias("n_y"), F.first(F.lit(TRIALS * HOURS)).alias("integral"))
+    return design.y_rows(t.points, t.pairs).groupBy("src", "dst").agg(F.sum("w").alias("n_y"), F.first(F.lit(t.n_trials * HOURS)).alias("integral"))
 
 
 @query("k4_trial_blocks")
@@ -93,7 +100,7 @@ def k4b(t: Tables) -> DataFrame:
 SELECT src, dst, round(sum(n / 4.0), 6) AS s1, round(sum((n / 4.0) ** 2), 6) AS s2 FROM yr JOIN xw ON xw.src = yr.src AND xw.trial_id = yr.trial_id AND xw.win = yr.y_us // 14400000000 GROUP BY yr.src, dst""".replace("SELECT src, dst, round", "SELECT yr.src, dst, round"))
 def k5(t: Tables) -> DataFrame:
     v = F.col("jitter_mean")
-    return rounded(design.jitter_mean(t.points, t.pairs, 4 * HOUR, UNIT).groupBy("src", "dst").agg(F.sum(v).alias("s1"), F.sum(v * v).alias("s2")), "s1", "s2")
+    return rounded(design.jitter_mean(t.points, t.pairs, 4 * HOUR, UNIT).where("jitter_mean > 0").groupBy("src", "dst").agg(F.sum(v).alias("s1"), F.sum(v * v).alias("s2")), "s1", "s2")
 
 
 @query("k6_square_kernel", regressor_sql("k6_square_kernel"))
@@ -117,11 +124,11 @@ def k9(t: Tables) -> DataFrame:
 
 
 def standard(t: Tables, self_coupling: bool = False) -> DataFrame:
-    return design.standard_design(t.points, t.pairs, TRIALS, DAY, LENGTH, WIDTH, UNIT, self_coupling)
+    return design.standard_design(t.points, t.pairs, t.n_trials, DAY, LENGTH, WIDTH, UNIT, self_coupling)
 
 
 DESIGN = TRAINS + f""", v1 AS {REGRESSORS["k9_gaussian_kernel"][0]}, i1 AS {REGRESSORS["k9_gaussian_kernel"][1]}, v2 AS {REGRESSORS["k1_square"][0]}, i2 AS {REGRESSORS["k1_square"][1]},
-dz AS (SELECT yr.src, yr.dst, yr.trial_id, yr.y_us, yr.w, coalesce(v1.v, 0) - i1.integral / 720.0 AS nuisance, coalesce(v2.v, 0) - i2.integral / 720.0 AS filter FROM yr
+dz AS (SELECT yr.src, yr.dst, yr.trial_id, yr.y_us, yr.w, coalesce(v1.v, 0) - i1.integral / (24.0 * (SELECT count(*) FROM trials)) AS nuisance, coalesce(v2.v, 0) - i2.integral / (24.0 * (SELECT count(*) FROM trials)) AS filter FROM yr
  LEFT JOIN v1 USING (src, dst, trial_id, y_us) LEFT JOIN v2 USING (src, dst, trial_id, y_us) JOIN i1 ON i1.src = yr.src JOIN i2 ON i2.src = yr.src)"""
 
 
@@ -137,7 +144,7 @@ def k10b(t: Tables) -> DataFrame:
 
 
 def fitted(t: Tables) -> DataFrame:
-    return fit.fit_by_key(standard(t), ["src", "dst"], COLUMNS, INTEGRAL)
+    return fit.fit_by_key(standard(t), ["src", "dst"], COLUMNS, integral(t))
 
 
 @query("k11_fit")
@@ -145,14 +152,19 @@ def k11(t: Tables) -> DataFrame:
     return fitted(t).select("src", "dst", "beta", "nll", "n_iter", "converged", "skipped")
 
 
-#: Whether the gradient vanishes at every converged fit, which SQL can state without fitting.
-@query("k11_gradient", " SELECT src, dst, true AS flat FROM pairs WHERE src IN (SELECT unit_id FROM points) AND dst IN (SELECT unit_id FROM points)")
+#: A fit is the point at which the gradient is 0, which SQL can state without fitting. There is none where all y events
+#: lie in one half of the plane of nuisance and filter: some gap between their directions is then over half a turn.
+@query("k11_gradient", DESIGN + """, an AS (SELECT src, dst, atan2(filter, nuisance) AS a FROM dz), gp AS (SELECT src, dst, a - lag(a) OVER (PARTITION BY src, dst ORDER BY a) AS g, a FROM an)
+SELECT src, dst, greatest(coalesce(max(g), 0), 2 * pi() - max(a) + min(a)) < pi() AS converged, 0.0::DOUBLE AS g0, 0.0::DOUBLE AS g1, 0.0::DOUBLE AS g2 FROM gp GROUP BY ALL""")
 def k11b(t: Tables) -> DataFrame:
+    """Which fits converge, and their gradients, from rows that joins and sums evaluate, as shares of their terms."""
     d = fit.settle(standard(t))
-    fits = fit.settle(fit.fit_by_key(d, ["src", "dst"], COLUMNS, INTEGRAL)).select("src", "dst", "beta", "converged", "skipped")
-    g = fit.gradient_at(d, ["src", "dst"], COLUMNS, fits.select("src", "dst", "beta"), INTEGRAL)
-    small = F.greatest(*[F.abs(f"g{i}") for i in range(3)]) < 1e-2 * (1 + F.lit(INTEGRAL[0]))
-    return fits.join(g, ["src", "dst"]).select("src", "dst", (small | ~F.col("converged") | (F.col("skipped") > 0)).alias("flat"))
+    fits = fit.settle(fit.fit_by_key(d, ["src", "dst"], COLUMNS, integral(t), epsilon=1e-8, steps=200))
+    g = fit.gradient_at(d, ["src", "dst"], COLUMNS, fits.select("src", "dst", "beta"), integral(t))
+    scale = d.groupBy("src", "dst").agg(*[F.sum(F.col("w") * F.abs(c)).alias(f"a{i}") for i, c in enumerate(COLUMNS)])
+    both = fits.join(g, ["src", "dst"], "left").join(scale, ["src", "dst"])
+    share = lambda i: F.when(F.col("converged"), F.col(f"g{i}") / (1 + F.col(f"a{i}"))).otherwise(0.0)
+    return rounded(both.select("src", "dst", "converged", *[share(i).alias(f"g{i}") for i in range(3)]), "g0", "g1", "g2", digits=4)
 
 
 def group_heights() -> dict[int, float]:
@@ -164,36 +176,47 @@ def grouped_design(t: Tables) -> DataFrame:
     return standard(t).join(cells, ["src", "dst", "trial_id"])
 
 
+def group_totals(t: Tables, *keys: str) -> DataFrame:
+    """(keys, total): the integrals of a pooled model, from the number of cells that it holds."""
+    cells = t.membership.where("group_id is not null").groupBy(*keys).agg(F.count("*").alias("cells"))
+    return cells.select(*keys, F.array(F.col("cells") * HOURS, F.lit(0.0), F.lit(0.0)).alias("total"))
+
+
 @query("k12_pooled_fit")
 def k12(t: Tables) -> DataFrame:
     """One model a group over all its cells: every step is one aggregation for all five."""
-    d = fit.settle(grouped_design(t))
-    n = {r.group_id: r.n for r in t.membership.where("group_id is not null").groupBy("group_id").agg(F.count("*").alias("n")).collect()}
-    fits = fit.pooled_fit(d, "group_id", COLUMNS, lambda g: [n[g] * HOURS, 0.0, 0.0])
-    return t.spark.createDataFrame([(g, f["beta"].tolist(), f["nll"], f["n_iter"], f["converged"]) for g, f in sorted(fits.items())], "group_id int, beta array<double>, nll double, n_iter int, converged boolean")
+    fits = fit.pooled_fit(grouped_design(t), ["group_id"], COLUMNS, group_totals(t, "group_id"), epsilon=1e-8, steps=60)
+    return fits.select("group_id", "beta", "nll", "n_iter", "converged")
+
+
+#: As for the fits of pairs: the gradient of every pooled model is 0.
+@query("k12_pooled_gradient", " SELECT DISTINCT group_id, true AS converged, 0.0::DOUBLE AS g0, 0.0::DOUBLE AS g1, 0.0::DOUBLE AS g2 FROM membership WHERE group_id IS NOT NULL", ("membership",))
+def k12b(t: Tables) -> DataFrame:
+    d, totals = fit.settle(grouped_design(t)), group_totals(t, "group_id")
+    fits = fit.pooled_fit(d, ["group_id"], COLUMNS, totals, epsilon=1e-8, steps=60)
+    g = fit.gradient_at(d, ["group_id"], COLUMNS, fits.select("group_id", "beta"), [0.0, 0.0, 0.0]).join(totals, "group_id")
+    terms = [(F.col(f"g{i}") + F.col("total")[i]) / F.col("total")[0] for i in range(3)]
+    return rounded(fits.select("group_id", "converged").join(g, "group_id").select("group_id", "converged", *[x.alias(f"g{i}") for i, x in enumerate(terms)]), "g0", "g1", "g2", digits=4)
+
+
+@query("k12_trial_group_fits")
+def k12c(t: Tables) -> DataFrame:
+    """A model for every trial and group."""
+    keys = ["trial_id", "group_id"]
+    return fit.pooled_fit(grouped_design(t), keys, COLUMNS, group_totals(t, *keys)).select(*keys, "beta", "nll", "n_iter", "converged")
 
 
 @query("k13_batch_fit")
 def k13(t: Tables) -> DataFrame:
-    d = fit.settle(grouped_design(t))
-    n = {r.group_id: r.n for r in t.membership.where("group_id is not null").groupBy("group_id").agg(F.count("*").alias("n")).collect()}
-    fits = fit.pooled_fit(d, "group_id", COLUMNS, lambda g: [n[g] * HOURS, 0.0, 0.0], steps=8, batch=fit.trial_batch(0.5))
-    return t.spark.createDataFrame([(g, f["beta"].tolist(), f["nll"], f["n_iter"]) for g, f in sorted(fits.items())], "group_id int, beta array<double>, nll double, n_iter int")
+    """Half of the trials a step; a fit ends when its nll changes by less than a share of 1e-4."""
+    fits = fit.pooled_fit(grouped_design(t), ["group_id"], COLUMNS, group_totals(t, "group_id"), batch=fit.trial_batch(0.5), flat=1e-4)
+    return fits.select("group_id", "beta", "nll", "n_iter", "converged")
 
 
 @query("k14_surrogate_fits")
 def k14(t: Tables) -> DataFrame:
-    """The fit with x moved in its windows, for three surrogates: the replicate is part of the source's name."""
-    both = surrogate_points(t, 3)
-    wide = t.pairs.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(3)))).select((F.col("src") + 1000 * F.col("rep")).alias("src"), "dst")
-    d = design.standard_design(both, wide, TRIALS, DAY, LENGTH, WIDTH, UNIT)
-    fits = fit.fit_by_key(d, ["src", "dst"], COLUMNS, INTEGRAL)
-    return fits.select((F.col("src") % 1000).alias("src"), "dst", F.floor(F.col("src") / 1000).alias("rep"), F.col("beta")[2].alias("h"), "converged")
-
-
-def surrogate_points(t: Tables, reps: int) -> DataFrame:
-    moved = ccg.interval_jitter(t.points, 4 * HOUR, reps).select((F.col("unit_id") + 1000 * F.col("rep")).alias("unit_id"), "trial_id", "t_us")
-    return t.points.unionByName(moved)
+    """The filter's height of every pair (rep 0), and with x moved in its windows, REPS times."""
+    return trains.surrogate_fits(t.points, t.pairs, 4 * HOUR, REPS, t.n_trials, DAY, LENGTH, WIDTH, UNIT)
 
 
 def paired_trains(t: Tables) -> DataFrame:
@@ -201,31 +224,31 @@ def paired_trains(t: Tables) -> DataFrame:
     x = trains.select(F.col("unit_id").alias("src"), "trial_id", F.col("ts").alias("x"))
     y = trains.select(F.col("unit_id").alias("dst"), "trial_id", F.col("ts").alias("y"))
     none = F.array().cast("array<double>")
-    frame = t.pairs.join(F.broadcast(t.trials.select("trial_id")))
+    frame = t.pairs.join(t.trials.select("trial_id"))
     return frame.join(x, ["src", "trial_id"], "left").join(y, ["dst", "trial_id"], "left").select("src", "dst", "trial_id", F.coalesce("x", none).alias("x"), F.coalesce("y", none).alias("y"))
 
 
 @query("k15_exponential_fit")
 def k15(t: Tables) -> DataFrame:
-    return fit.fit_exponential(paired_trains(t), HOURS, TRIALS, steps=200)
+    return fit.fit_exponential(paired_trains(t), HOURS, t.n_trials, steps=200)
 
 
 @query("k16_multivariate_fit")
 def k16(t: Tables) -> DataFrame:
-    return fit.fit_multivariate(standard(t).select("dst", "trial_id", "y_us", "w", "src", "filter"), ["filter"], [INTEGRAL[0], 0.0])
+    return fit.fit_multivariate(standard(t).select("dst", "trial_id", "y_us", "w", "src", "filter"), ["filter"], [integral(t)[0], 0.0])
 
 
-@query("k17_nll", DESIGN + f""", b AS (SELECT dst, sum(w) / 720.0 AS b0 FROM (SELECT DISTINCT dst, trial_id, y_us, w FROM yr) GROUP BY ALL)
-SELECT src, dst, round(-sum(w * ln(b0 + 0.01 * nuisance + 0.005 * filter)) + max(b0) * 720, 4) AS nll FROM dz JOIN b USING (dst) WHERE b0 + 0.01 * nuisance + 0.005 * filter > 0 GROUP BY ALL""")
+@query("k17_nll", DESIGN + f""", b AS (SELECT dst, sum(w) / (24.0 * (SELECT count(*) FROM trials)) AS b0 FROM (SELECT DISTINCT dst, trial_id, y_us, w FROM yr) GROUP BY ALL)
+SELECT src, dst, round(-sum(w * ln(b0 + 0.01 * nuisance + 0.005 * filter)) + max(b0) * 24 * (SELECT count(*) FROM trials), 4) AS nll FROM dz JOIN b USING (dst) WHERE b0 + 0.01 * nuisance + 0.005 * filter > 0 GROUP BY ALL""")
 def k17(t: Tables) -> DataFrame:
     d = standard(t)
-    beta = d.groupBy("src", "dst").agg(F.array(F.sum("w") / INTEGRAL[0], F.lit(0.01), F.lit(0.005)).alias("beta"))
-    return rounded(fit.nll_at(d, ["src", "dst"], COLUMNS, beta, INTEGRAL), "nll", digits=4)
+    beta = d.groupBy("src", "dst").agg(F.array(F.sum("w") / integral(t)[0], F.lit(0.01), F.lit(0.005)).alias("beta"))
+    return rounded(fit.nll_at(d, ["src", "dst"], COLUMNS, beta, integral(t)), "nll", digits=4)
 
 
 @query("k18_posterior")
 def k18(t: Tables) -> DataFrame:
-    return fit.metropolis(standard(t), COLUMNS, INTEGRAL, samples=50)
+    return fit.metropolis(standard(t), COLUMNS, integral(t), samples=50)
 
 
 @query("k19_filters")
@@ -239,7 +262,7 @@ def k19(t: Tables) -> DataFrame:
     return fit.reconstruct(fits, [[0.0, 0.0, 1.0 if i < 12 else 0.0] for i in range(24)])
 
 
-CONV = f""", gk AS (SELECT CAST(w AS DOUBLE) AS width, o AS off, exp(-((o / w) ** 2) / 2) / {NORM!r} / w AS wt FROM (SELECT unnest([12.0, 24.0, 48.0]) AS w) CROSS JOIN range(-240, 241) r(o) WHERE abs(o) <= round(5 * w)),
+CONV = f""", gk AS (SELECT CAST(w AS DOUBLE) AS width, o AS off, exp(-((o / w) ** 2) / 2) / {NORM!r} / w AS wt FROM (SELECT unnest([12.0, 24.0, 48.0, 96.0]) AS w) CROSS JOIN range(-480, 481) r(o) WHERE abs(o) <= round(5 * w)),
 cw AS (SELECT unit_id, trial_id, width, bin + off AS bin, sum(n * wt) AS w FROM bins CROSS JOIN gk WHERE bin + off BETWEEN 0 AND 287 GROUP BY ALL),
 ch AS (SELECT unit_id, trial_id, bin + off AS bin, CAST(sum(n) AS DOUBLE) AS h FROM bins CROSS JOIN range(1, 13) r(off) WHERE bin + off BETWEEN 0 AND 287 GROUP BY ALL)"""
 
@@ -251,7 +274,7 @@ def k20(t: Tables) -> DataFrame:
 
 @query("k20_discrete_gaussian", CONV + " SELECT unit_id, width, round(sum(w), 5) AS s1, round(sum(w * w), 5) AS s2 FROM cw GROUP BY ALL")
 def k20b(t: Tables) -> DataFrame:
-    w = design.convolve(t.bins, design.gaussian_offsets(t.bins, [12.0, 24.0, 48.0]), BINS, ("width",))
+    w = design.convolve(t.bins, design.gaussian_offsets(t.bins, WIDTHS), BINS, ("width",))
     return rounded(w.groupBy("unit_id", "width").agg(F.sum("value").alias("s1"), F.sum(F.col("value") ** 2).alias("s2")), "s1", "s2", digits=5)
 
 
@@ -272,13 +295,13 @@ GRAM = CONV + """, ow AS (SELECT unit_id, width, sum(w) AS sw, sum(w * w) AS sww
 owh AS (SELECT cw.unit_id, width, sum(w * h) AS swh FROM cw JOIN ch USING (unit_id, trial_id, bin) GROUP BY ALL), sy AS (SELECT unit_id AS dst, sum(n) AS s_y FROM bins GROUP BY ALL),
 wy AS (SELECT p.src, p.dst, width, sum(w * y.n) AS swy FROM pairs p JOIN cw ON cw.unit_id = p.src JOIN bins y ON y.unit_id = p.dst AND y.trial_id = cw.trial_id AND y.bin = cw.bin GROUP BY ALL),
 hy AS (SELECT p.src, p.dst, sum(h * y.n) AS shy FROM pairs p JOIN ch ON ch.unit_id = p.src JOIN bins y ON y.unit_id = p.dst AND y.trial_id = ch.trial_id AND y.bin = ch.bin GROUP BY ALL),
-gram AS (SELECT p.src, p.dst, ow.width, sww - sw * sw / 8640.0 AS ww, coalesce(swh, 0) - sw * sh / 8640.0 AS wh, shh - sh * sh / 8640.0 AS hh, coalesce(swy, 0) - sw * s_y / 8640.0 AS wy, coalesce(shy, 0) - sh * s_y / 8640.0 AS hy, s_y
+gram AS (SELECT p.src, p.dst, ow.width, sww - sw * sw / (288.0 * (SELECT count(*) FROM trials)) AS ww, coalesce(swh, 0) - sw * sh / (288.0 * (SELECT count(*) FROM trials)) AS wh, shh - sh * sh / (288.0 * (SELECT count(*) FROM trials)) AS hh, coalesce(swy, 0) - sw * s_y / (288.0 * (SELECT count(*) FROM trials)) AS wy, coalesce(shy, 0) - sh * s_y / (288.0 * (SELECT count(*) FROM trials)) AS hy, s_y
  FROM pairs p JOIN ow ON ow.unit_id = p.src JOIN oh ON oh.unit_id = p.src LEFT JOIN owh ON owh.unit_id = p.src AND owh.width = ow.width JOIN sy ON sy.dst = p.dst LEFT JOIN wy ON wy.src = p.src AND wy.dst = p.dst AND wy.width = ow.width LEFT JOIN hy ON hy.src = p.src AND hy.dst = p.dst),
-curve AS (SELECT *, (wy * wy * hh - 2 * wy * hy * wh + hy * hy * ww) / (ww * hh - wh * wh) / (2 * s_y / 8640.0) AS value, wy * wy / ww / (2 * s_y / 8640.0) AS simple FROM gram)"""
+curve AS (SELECT *, (wy * wy * hh - 2 * wy * hy * wh + hy * hy * ww) / (ww * hh - wh * wh) / (2 * s_y / (288.0 * (SELECT count(*) FROM trials))) AS value, wy * wy / ww / (2 * s_y / (288.0 * (SELECT count(*) FROM trials))) AS simple FROM gram)"""
 
 
 def gram(t: Tables) -> DataFrame:
-    return design.gram(t.bins, t.pairs, [12.0, 24.0, 48.0], 12, BINS, TRIALS)
+    return design.gram(t.bins, t.pairs, WIDTHS, 12, BINS, t.n_trials)
 
 
 @query("k22_gram", GRAM + " SELECT src, dst, width, round(ww, 4) AS s_ww, round(wh, 4) AS s_wh, round(hh, 4) AS s_hh, round(wy, 4) AS s_wy, round(hy, 4) AS s_hy FROM gram")
@@ -286,9 +309,9 @@ def k22(t: Tables) -> DataFrame:
     return rounded(gram(t).drop("s_y"), "s_ww", "s_wh", "s_hh", "s_wy", "s_hy", digits=4)
 
 
-@query("k21_l2_fit", GRAM + " SELECT src, dst, width, round(s_y / 8640.0, 6) AS beta0, round((wy * hh - hy * wh) / (ww * hh - wh * wh), 6) AS beta_w, round((hy * ww - wy * wh) / (ww * hh - wh * wh), 6) AS beta_h FROM gram")
+@query("k21_l2_fit", GRAM + " SELECT src, dst, width, round(s_y / (288.0 * (SELECT count(*) FROM trials)), 6) AS beta0, round((wy * hh - hy * wh) / (ww * hh - wh * wh), 6) AS beta_w, round((hy * ww - wy * wh) / (ww * hh - wh * wh), 6) AS beta_h FROM gram")
 def k21(t: Tables) -> DataFrame:
-    return rounded(design.l2_fit(gram(t), BINS, TRIALS), "beta0", "beta_w", "beta_h")
+    return rounded(design.l2_fit(gram(t), BINS, t.n_trials), "beta0", "beta_w", "beta_h")
 
 
 @query("k21_no_coupling", GRAM + " SELECT src, dst, width, round(wy / ww, 6) AS slope FROM gram")
@@ -301,29 +324,44 @@ def k21c(t: Tables) -> DataFrame:
     """The likelihood fit in binned time: rows are y's bins with events."""
     w = design.convolve(t.bins, design.gaussian_offsets(t.bins, [24.0]), BINS, ("width",)).select(F.col("unit_id").alias("src"), "trial_id", "bin", F.col("value").alias("nuisance"))
     h = design.convolve(t.bins, design.square_offsets(t.bins, 12), BINS).select(F.col("unit_id").alias("src"), "trial_id", "bin", F.col("value").alias("filter"))
-    total = w.groupBy("src").agg((F.sum("nuisance") / (BINS * TRIALS)).alias("mw")).join(h.groupBy("src").agg((F.sum("filter") / (BINS * TRIALS)).alias("mh")), "src")
+    total = w.groupBy("src").agg((F.sum("nuisance") / (BINS * t.n_trials)).alias("mw")).join(h.groupBy("src").agg((F.sum("filter") / (BINS * t.n_trials)).alias("mh")), "src")
     y = t.bins.select(F.col("unit_id").alias("dst"), "trial_id", "bin", F.col("n").alias("w")).join(t.pairs, "dst")
-    d = y.join(w, ["src", "trial_id", "bin"], "left").join(h, ["src", "trial_id", "bin"], "left").join(F.broadcast(total), "src").select(
+    d = y.join(w, ["src", "trial_id", "bin"], "left").join(h, ["src", "trial_id", "bin"], "left").join(total, "src").select(
         "src", "dst", "w", F.lit(1.0).alias("const"), (F.coalesce("nuisance", F.lit(0.0)) - F.col("mw")).alias("nuisance"), (F.coalesce("filter", F.lit(0.0)) - F.col("mh")).alias("filter")
     )
-    return fit.fit_by_key(d, ["src", "dst"], COLUMNS, [BINS * TRIALS, 0.0, 0.0]).select("src", "dst", "beta", "nll", "converged")
+    return fit.fit_by_key(d, ["src", "dst"], COLUMNS, [BINS * t.n_trials, 0.0, 0.0]).select("src", "dst", "beta", "nll", "converged")
 
 
 @query("k23_width_curve", GRAM + " SELECT src, dst, width, round(value - max(value) OVER (PARTITION BY src, dst), 6) AS gain FROM curve")
 def k23(t: Tables) -> DataFrame:
-    return rounded(design.width_curve(gram(t), BINS, TRIALS), "gain")
+    return rounded(design.width_curve(gram(t), BINS, t.n_trials), "gain")
 
 
 @query("k23_best_width", GRAM + " SELECT src, dst, arg_max(width, (simple, -width)) AS width FROM curve GROUP BY ALL")
 def k23b(t: Tables) -> DataFrame:
-    return design.best_width(design.width_curve(gram(t), BINS, TRIALS, simple=True))
+    return design.best_width(design.width_curve(gram(t), BINS, t.n_trials, simple=True))
+
+
+def refits(t: Tables, self_coupling: bool) -> DataFrame:
+    """(src, dst, width): the width with the least negative log-likelihood of the full fit.
+
+    All widths' regressors are made at once; a width is a key of the fits.
+    """
+    d = design.width_designs(t.points, t.pairs, t.n_trials, DAY, LENGTH, [int(w) * BIN for w in WIDTHS], UNIT, self_coupling)
+    columns = [*COLUMNS, "own"] if self_coupling else COLUMNS
+    fits = fit.fit_by_key(d, ["src", "dst", "width"], columns, [*integral(t), 0.0][: len(columns)])
+    return fits.groupBy("src", "dst").agg(F.min_by(F.col("width") / HOUR, F.struct("nll", "width")).alias("width"))
 
 
 @query("k23_width_by_refit")
 def k23c(t: Tables) -> DataFrame:
-    """The width with the least negative log-likelihood of the full fit, from a grid of three."""
-    parts = [fit.fit_by_key(design.standard_design(t.points, t.pairs, TRIALS, DAY, LENGTH, w, UNIT), ["src", "dst"], COLUMNS, INTEGRAL).select("src", "dst", "nll", F.lit(w // HOUR).alias("width")) for w in (HOUR, 2 * HOUR, 4 * HOUR)]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2]).groupBy("src", "dst").agg(F.min_by("width", F.struct("nll", "width")).alias("width"))
+    return refits(t, False)
+
+
+@query("k23_width_by_self_refit")
+def k23d(t: Tables) -> DataFrame:
+    """The same with y's coupling to itself in the model."""
+    return refits(t, True)
 
 
 @query("k24_init_membership", " SELECT src, dst, trial_id, group_id FROM membership", ("membership",))
@@ -333,7 +371,7 @@ def k24(t: Tables) -> DataFrame:
 
 def scores(t: Tables) -> DataFrame:
     shares = {r.group_id: r.portion for r in fit.portions(t.membership).collect()}
-    return fit.membership_nlls(standard(t), group_heights(), shares, INTEGRAL[:2])
+    return fit.membership_nlls(standard(t), group_heights(), shares, integral(t)[:2])
 
 
 @query("k25_update_membership")
@@ -350,19 +388,21 @@ def k25b(t: Tables) -> DataFrame:
 def k26(t: Tables) -> DataFrame:
     """As k25, with every unit of y's probe as an extra slow source: their summed activity is the nuisance."""
     others = t.units.select(F.col("unit_id").alias("dst"), "probe").join(t.units.select(F.col("unit_id").alias("other"), "probe"), "probe").where("dst <> other").select(F.col("other").alias("src"), "dst")
-    sums, integral = design.gaussian_kernel(t.points, others, WIDTH, DAY, UNIT)
-    slow = sums.groupBy("dst", "trial_id", "y_us").agg(F.sum("nuisance").alias("drive"))
-    mean = others.join(integral, "src").groupBy("dst").agg((F.sum("integral") / INTEGRAL[0]).alias("mean"))
+    rows, area = design.gaussian_kernel(t.points, others, WIDTH, DAY, UNIT)
+    slow = rows.groupBy("dst", "trial_id", "y_us").agg(F.sum("nuisance").alias("drive"))
+    mean = others.join(area, "src").groupBy("dst").agg((F.sum("integral") / integral(t)[0]).alias("mean"))
     d = standard(t).join(slow, ["dst", "trial_id", "y_us"], "left").join(mean, "dst", "left")
     d = d.withColumn("nuisance", F.col("nuisance") + F.coalesce("drive", F.lit(0.0)) - F.coalesce("mean", F.lit(0.0))).drop("drive", "mean")
     shares = {r.group_id: r.portion for r in fit.portions(t.membership).collect()}
-    best = fit.update_membership(t.pairs, fit.membership_nlls(d, group_heights(), shares, INTEGRAL[:2]))
+    best = fit.update_membership(t.pairs, fit.membership_nlls(d, group_heights(), shares, integral(t)[:2]))
     return best.withColumn("group_id", F.coalesce("group_id", F.lit(0)))
 
 
-RESCALE = f"""{CONV}, rate AS (SELECT unit_id AS dst, sum(n) / 8640.0 AS b0 FROM bins GROUP BY ALL), mh AS (SELECT unit_id AS src, sum(h) / 8640.0 AS mh FROM ch GROUP BY ALL),
-pr AS (SELECT p.src, p.dst FROM pairs p JOIN units a ON a.unit_id = p.src JOIN units b ON b.unit_id = p.dst WHERE a.probe = 'probeA' AND b.probe = 'probeB'),
-lam AS (SELECT p.src, p.dst, t.trial_id, CAST(k AS BIGINT) AS bin, greatest(b0 + 0.005 * (coalesce(h, 0) - mh), 1e-6) AS lam FROM pr p JOIN rate USING (dst) JOIN mh USING (src) CROSS JOIN trials t CROSS JOIN range(0, 288) r(k) LEFT JOIN ch ON ch.unit_id = p.src AND ch.trial_id = t.trial_id AND ch.bin = k),
+RESCALE = f"""{GRAM}, fits AS (SELECT src, dst, s_y / (288.0 * (SELECT count(*) FROM trials)) AS b0, coalesce((wy * hh - hy * wh) / CASE WHEN abs(ww * hh - wh * wh) > 1e-9 THEN ww * hh - wh * wh END, 0) AS bw,
+ coalesce((hy * ww - wy * wh) / CASE WHEN abs(ww * hh - wh * wh) > 1e-9 THEN ww * hh - wh * wh END, 0) AS bh FROM gram WHERE width = 24),
+mh AS (SELECT unit_id AS src, sum(h) / (288.0 * (SELECT count(*) FROM trials)) AS mh FROM ch GROUP BY ALL), mw AS (SELECT unit_id AS src, sum(w) / (288.0 * (SELECT count(*) FROM trials)) AS mw FROM cw WHERE width = 24 GROUP BY ALL),
+lam AS (SELECT p.src, p.dst, t.trial_id, CAST(k AS BIGINT) AS bin, greatest(b0 + bw * (coalesce(w, 0) - mw) + bh * (coalesce(h, 0) - mh), 1e-6) AS lam FROM fits p JOIN mh USING (src) JOIN mw USING (src) CROSS JOIN trials t CROSS JOIN range(0, 288) r(k)
+ LEFT JOIN ch ON ch.unit_id = p.src AND ch.trial_id = t.trial_id AND ch.bin = k LEFT JOIN cw ON cw.unit_id = p.src AND cw.trial_id = t.trial_id AND cw.bin = k AND cw.width = 24),
 cum AS (SELECT *, sum(lam) OVER (PARTITION BY src, dst, trial_id ORDER BY bin) AS area FROM lam),
 ev AS (SELECT c.src, c.dst, c.trial_id, t_us, lam, area, lag(area) OVER (PARTITION BY c.src, c.dst, c.trial_id ORDER BY t_us) AS before, {sql_uniform("concat_ws('/', c.src, c.dst, c.trial_id, t_us, 0)")} AS r
  FROM cum c JOIN (SELECT DISTINCT unit_id, trial_id, t_us FROM points) p ON p.unit_id = c.dst AND p.trial_id = c.trial_id AND p.t_us // {BIN} = c.bin),
@@ -370,15 +410,21 @@ us AS (SELECT src, dst, trial_id, t_us, 1 - exp(-least(greatest(area - lam - bef
 
 
 def rescaled(t: Tables) -> DataFrame:
-    path = t.pathway("probeA", "probeB")
-    h = design.convolve(t.bins, design.square_offsets(t.bins, 12), BINS).select(F.col("unit_id").alias("src"), "trial_id", "bin", F.col("value").alias("h"))
-    mh = h.groupBy("src").agg((F.sum("h") / (BINS * TRIALS)).alias("mh"))
-    rate = t.bins.groupBy(F.col("unit_id").alias("dst")).agg((F.sum("n") / (BINS * TRIALS)).alias("b0"))
-    frame = path.join(F.broadcast(t.trials.select("trial_id")))
-    dense = binning.dense(frame.join(h, ["src", "trial_id"]).select("src", "dst", "trial_id", "bin", "h"), frame, BINS, "h")
-    lam = dense.join(F.broadcast(mh), "src").join(F.broadcast(rate), "dst").withColumn("lam", F.greatest(F.col("b0") + 0.005 * (F.col("h") - F.col("mh")), F.lit(1e-6)))
-    events = t.points.distinct().withColumnRenamed("unit_id", "dst").join(path, "dst").select("src", "dst", "trial_id", "t_us", F.floor(F.col("t_us") / BIN).alias("bin"))
-    return fit.time_rescaling(events, lam, ("src", "dst"))
+    """Every pair's events against its own least-squares fit: background at a width of two hours, and the square filter.
+
+    The intensity has a row for every pair, trial and bin, as rescaling integrates it between events.
+    """
+    per = lambda kernel, name: design.convolve(t.bins, kernel, BINS).select(F.col("unit_id").alias("src"), "trial_id", "bin", F.col("value").alias(name))
+    h, w = per(design.square_offsets(t.bins, 12), "h"), per(design.gaussian_offsets(t.bins, [24.0]).drop("width"), "w")
+    mean = lambda d, name: d.groupBy("src").agg((F.sum(name) / (BINS * t.n_trials)).alias(f"m{name}"))
+    fits = design.l2_fit(gram(t), BINS, t.n_trials).where("width = 24").select("src", "dst", "beta0", F.coalesce("beta_w", F.lit(0.0)).alias("bw"), F.coalesce("beta_h", F.lit(0.0)).alias("bh"))
+    smooth = w.join(h, ["src", "trial_id", "bin"], "left")  # a square filter's bins lie within the Gaussian's
+    frame = t.units.select(F.col("unit_id").alias("src")).join(t.trials.select("trial_id"))
+    dense = binning.dense(smooth, frame, BINS, "w").fillna(0.0, ["h"])
+    every = fits.join(mean(h, "h"), "src").join(mean(w, "w"), "src").join(dense, "src")
+    lam = F.greatest(F.col("beta0") + F.col("bw") * (F.col("w") - F.col("mw")) + F.col("bh") * (F.col("h") - F.col("mh")), F.lit(1e-6))
+    events = t.points.distinct().withColumnRenamed("unit_id", "dst").join(t.pairs, "dst").select("src", "dst", "trial_id", "t_us", F.floor(F.col("t_us") / BIN).alias("bin"))
+    return fit.time_rescaling(events, every.select("src", "dst", "trial_id", "bin", lam.alias("lam")), ("src", "dst"))
 
 
 @query("k27_time_rescaling", RESCALE + " SELECT src, dst, trial_id, t_us, round(u, 6) AS u FROM us")
@@ -434,39 +480,67 @@ def lrt_rows(t: Tables) -> DataFrame:
     y = t.bins.select(F.col("unit_id").alias("dst"), "trial_id", "bin", window.alias("window"), F.col("n").alias("w")).join(t.pairs, "dst")
     d = y.join(x, ["src", "trial_id", "bin"], "left").join(xw, ["src", "trial_id", "window"], "left").fillna(0.0, ["x", "wx"])
     n_x = t.bins.groupBy(F.col("unit_id").alias("src")).agg(F.sum("n").cast("double").alias("n_x"))
-    return d.join(F.broadcast(n_x), "src").groupBy("src", "dst", "n_x", "x", "wx").agg(F.sum("w").alias("w"))
+    return d.join(n_x, "src").groupBy("src", "dst", "n_x", "x", "wx").agg(F.sum("w").alias("w"))
+
+
+#: Columns of each basis: the count of x in the bin, its mean in the jitter window, or both.
+BASES = {"B1": ["x"], "B0": ["wx"], "B0B1": ["wx", "x"]}
+
+
+def linear_fits(t: Tables, bases: list[str]) -> DataFrame:
+    """(src, dst, basis, beta, nll, converged): y's rate in a bin is linear in a constant and the basis."""
+    total = BINS * t.n_trials
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        w, n_x, out = pdf["w"].to_numpy(float), float(pdf["n_x"].iloc[0]), []
+        for basis in bases:
+            x = np.column_stack([np.ones(len(pdf)), pdf[BASES[basis]]])
+            area = np.array([total] + [n_x] * len(BASES[basis]))
+            f = numeric.newton(x, w, area, start=np.r_[w.sum() / total, [0.01] * len(BASES[basis])])
+            out.append({"src": pdf["src"].iloc[0], "dst": pdf["dst"].iloc[0], "basis": basis, "beta": f["beta"].tolist(), "nll": f["nll"], "converged": f["converged"]})
+        return pd.DataFrame(out)
+
+    return lrt_rows(t).groupBy("src", "dst").applyInPandas(run, "src long, dst long, basis string, beta array<double>, nll double, converged boolean")
 
 
 def lrt(t: Tables) -> DataFrame:
     """(src, dst, nll0, nll1, stat, p): constant and jitter mean against the same with x itself."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, n_x = pdf["w"].to_numpy(float), float(pdf["n_x"].iloc[0])
-        x = np.column_stack([np.ones(len(pdf)), pdf["wx"], pdf["x"]])
-        total = np.array([BINS * TRIALS, n_x, n_x])
-        start = np.array([w.sum() / total[0], 0.01, 0.01])
-        a, b = numeric.newton(x[:, :2], w, total[:2], start=start[:2]), numeric.newton(x, w, total, start=start)
-        stat = max(0.0, 2 * (a["nll"] - b["nll"]))
-        return pd.DataFrame([{"src": pdf["src"].iloc[0], "dst": pdf["dst"].iloc[0], "nll0": a["nll"], "nll1": b["nll"], "stat": stat, "p": math.erfc(math.sqrt(stat / 2))}])
+    side = linear_fits(t, ["B0", "B0B1"]).groupBy("src", "dst").pivot("basis", ["B0", "B0B1"]).agg(F.first("nll")).toDF("src", "dst", "nll0", "nll1")
+    stat = F.greatest(2 * (F.col("nll0") - F.col("nll1")), F.lit(0.0))
+
+    @F.pandas_udf("double")
+    def tail(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: math.erfc(math.sqrt(v / 2)))
 
-    return lrt_rows(t).groupBy("src", "dst").applyInPandas(run, "src long, dst long, nll0 double, nll1 double, stat double, p double")
+    return side.withColumn("stat", stat).withColumn("p", tail("stat"))
 
 
 @query("f7_binned_regression")
 def f7(t: Tables) -> DataFrame:
-    """Linear link on [const, jitter mean, x]; an exponential link and least squares beside it, per pair."""
+    """Linear link on the bases B1, B0 and B0B1, per pair."""
+    return linear_fits(t, list(BASES))
+
+
+@query("f7_exponential_link")
+def f7c(t: Tables) -> DataFrame:
+    """Exponential link on B1, per pair: bins count by the number of x events in them, with y's events there summed."""
+    y = t.bins.groupBy(F.col("unit_id").alias("dst")).agg(F.sum("n").alias("n_y"))
+    rows = lrt_rows(t).groupBy("src", "dst", "x").agg(F.sum("w").alias("y"))
+    bins_of = t.bins.groupBy(F.col("unit_id").alias("src"), F.col("n").cast("double").alias("x")).agg(F.count("*").alias("bins"))
+    filled = bins_of.groupBy("src").agg((BINS * t.n_trials - F.sum("bins")).alias("bins")).select("src", F.lit(0.0).alias("x"), "bins").unionByName(bins_of)
+    table = filled.join(t.pairs, "src").join(y, "dst").join(rows, ["src", "dst", "x"], "left").fillna(0, ["y"])
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, n_x = pdf["w"].to_numpy(float), float(pdf["n_x"].iloc[0])
-        x = np.column_stack([np.ones(len(pdf)), pdf["wx"], pdf["x"]])
-        total = np.array([BINS * TRIALS, n_x, n_x])
-        f = numeric.newton(x, w, total, start=np.array([w.sum() / total[0], 0.01, 0.01]))
+        x = np.column_stack([np.ones(len(pdf)), pdf["x"]])
+        f = numeric.newton_exp(x, pdf["y"].to_numpy(float), pdf["bins"].to_numpy(float))
         return pd.DataFrame([{"src": pdf["src"].iloc[0], "dst": pdf["dst"].iloc[0], "beta": f["beta"].tolist(), "nll": f["nll"], "converged": f["converged"]}])
 
-    return lrt_rows(t).groupBy("src", "dst").applyInPandas(run, "src long, dst long, beta array<double>, nll double, converged boolean")
+    return table.groupBy("src", "dst").applyInPandas(run, "src long, dst long, beta array<double>, nll double, converged boolean")
 
 
 @query("f7_least_squares", """, nx AS (SELECT unit_id AS src, sum(n) AS sx, sum(n * n) AS sxx FROM bins GROUP BY ALL), ny AS (SELECT unit_id AS dst, sum(n) AS sy FROM bins GROUP BY ALL),
 xy AS (SELECT p.src, p.dst, sum(x.n * y.n) AS sxy FROM pairs p JOIN bins x ON x.unit_id = p.src JOIN bins y ON y.unit_id = p.dst AND y.trial_id = x.trial_id AND y.bin = x.bin GROUP BY ALL)
-SELECT p.src, p.dst, round((coalesce(sxy, 0) - sx * sy / 8640.0) / (sxx - sx * sx / 8640.0), 6) AS slope FROM pairs p JOIN nx USING (src) JOIN ny USING (dst) LEFT JOIN xy ON xy.src = p.src AND xy.dst = p.dst""")
+SELECT p.src, p.dst, round((coalesce(sxy, 0) - sx * sy / (288.0 * (SELECT count(*) FROM trials))) / (sxx - sx * sx / (288.0 * (SELECT count(*) FROM trials))), 6) AS slope FROM pairs p JOIN nx USING (src) JOIN ny USING (dst) LEFT JOIN xy ON xy.src = p.src AND xy.dst = p.dst""")
 def f7b(t: Tables) -> DataFrame:
     """Least squares of y on [1, x] over all bins, by the normal equations."""
     from tidewell.operators.synchrony import binned_synchrony
@@ -474,7 +548,7 @@ def f7b(t: Tables) -> DataFrame:
     x = t.bins.groupBy(F.col("unit_id").alias("src")).agg(F.sum("n").alias("sx"), F.sum(F.col("n") * F.col("n")).alias("sxx"))
     y = t.bins.groupBy(F.col("unit_id").alias("dst")).agg(F.sum("n").alias("sy"))
     xy = binned_synchrony(t.bins, t.pairs).groupBy("src", "dst").agg(F.sum("n").alias("sxy"))
-    n, c = BINS * TRIALS, F.col
+    n, c = BINS * t.n_trials, F.col
     slope = (F.coalesce("sxy", F.lit(0)) - c("sx") * c("sy") / n) / (c("sxx") - c("sx") * c("sx") / n)
     return rounded(t.pairs.join(x, "src").join(y, "dst").join(xy, ["src", "dst"], "left").select("src", "dst", slope.alias("slope")), "slope")
 
@@ -491,20 +565,20 @@ def f9(t: Tables) -> DataFrame:
     x = t.bins.select(F.col("unit_id").alias("src"), "trial_id", F.col("bin").alias("y_us"), F.col("n").cast("double").alias("x"))
     xw = t.bins.groupBy(F.col("unit_id").alias("src"), "trial_id", window.alias("window")).agg((F.sum("n") / WINDOW_BINS).alias("wx"))
     y = t.bins.select(F.col("unit_id").alias("dst"), "trial_id", F.col("bin").alias("y_us"), window.alias("window"), F.col("n").alias("w")).join(t.pairs, "dst")
-    mean = t.bins.groupBy(F.col("unit_id").alias("src")).agg((F.sum("n") / (BINS * TRIALS)).alias("m"))
-    d = y.join(x, ["src", "trial_id", "y_us"], "left").join(xw, ["src", "trial_id", "window"], "left").join(F.broadcast(mean), "src").fillna(0.0, ["x", "wx"])
+    mean = t.bins.groupBy(F.col("unit_id").alias("src")).agg((F.sum("n") / (BINS * t.n_trials)).alias("m"))
+    d = y.join(x, ["src", "trial_id", "y_us"], "left").join(xw, ["src", "trial_id", "window"], "left").join(mean, "src").fillna(0.0, ["x", "wx"])
     d = d.withColumns({"x": F.col("x") - F.col("m"), "wx": F.col("wx") - F.col("m")})
-    return fit.fit_multivariate(d.select("dst", "trial_id", "y_us", "w", "src", "wx", "x"), ["wx", "x"], [float(BINS * TRIALS), 0.0, 0.0])
+    return fit.fit_multivariate(d.select("dst", "trial_id", "y_us", "w", "src", "wx", "x"), ["wx", "x"], [float(BINS * t.n_trials), 0.0, 0.0])
 
 
 @query("w1_network")
 def w1(t: Tables) -> DataFrame:
     """Active units, ordered pairs between probes, one design, a fit a pair, Wald tests, adjusted p, edges with attributes."""
     active = select.active_units(rates(t), 0.5).select("unit_id")
-    units = t.units.join(F.broadcast(active), "unit_id", "left_semi")
+    units = t.units.join(active, "unit_id", "left_semi")
     wanted = pairs.unit_pairs(units, probe_pairs=[(a, b) for a in map("probe{}".format, "ABCDEF") for b in map("probe{}".format, "ABCDEF") if a != b])
-    d = design.standard_design(t.points, wanted, TRIALS, DAY, LENGTH, WIDTH, UNIT)
-    found = fit.inference(fit.fit_by_key(d, ["src", "dst"], COLUMNS, INTEGRAL), 2)
+    d = design.standard_design(t.points, wanted, t.n_trials, DAY, LENGTH, WIDTH, UNIT)
+    found = fit.inference(fit.fit_by_key(d, ["src", "dst"], COLUMNS, integral(t)), 2)
     tested = testing.adjust(found.withColumnRenamed("pval", "p")).withColumn("significant", F.coalesce(F.col("bh") < 0.05, F.lit(False)))
     return pairs.with_attributes(tested, t.units).drop("by", "bonferroni")
 
@@ -514,13 +588,11 @@ def w3(t: Tables) -> DataFrame:
     """Two rounds of pooled filters and updated memberships: (group_id, height, portion) at the end."""
     member, d = t.membership, fit.settle(standard(t))
     for _ in range(2):
-        n = {r.group_id: r.n for r in member.where("group_id is not null").groupBy("group_id").agg(F.count("*").alias("n")).collect()}
         cells = member.where("group_id is not null").select("src", "dst", "trial_id", "group_id")
-        pooled = fit.pooled_fit(d.join(cells, ["src", "dst", "trial_id"]), "group_id", COLUMNS, lambda g, n=n: [n[g] * HOURS, 0.0, 0.0], steps=10)
+        totals = cells.groupBy("group_id").agg(F.array(F.count("*") * HOURS, F.lit(0.0), F.lit(0.0)).alias("total"))
+        pooled = fit.pooled_fit(d.join(cells, ["src", "dst", "trial_id"]), ["group_id"], COLUMNS, totals, steps=10)
         shares = {r.group_id: r.portion for r in fit.portions(member).collect()}
-        heights = {g: float(f["beta"][2]) for g, f in pooled.items()}
-        best = fit.update_membership(t.pairs, fit.membership_nlls(d, heights, shares, INTEGRAL[:2]))
+        heights = {r.group_id: r.h for r in pooled.select("group_id", F.col("beta")[2].alias("h")).collect()}  # five groups
+        best = fit.update_membership(t.pairs, fit.membership_nlls(d, heights, shares, integral(t)[:2]))
         member = fit.settle(t.membership.drop("group_id").join(best, ["src", "dst"]))
     return t.spark.createDataFrame([(g, h, shares[g]) for g, h in sorted(heights.items())], "group_id int, height double, portion double")
-
-

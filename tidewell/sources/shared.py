@@ -4,13 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir. Where it is unset, one machine (tests) gets a temporary
+    one; a cluster is refused, as its executors would each write to a disk of their own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
+        folder = tempfile.mkdtemp(prefix="tidewell-")
+    return folder
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder that the session names and go on from there; where none is set, as in
-    tests on one machine, set a temporary one."""
+    """Write ``df`` to the checkpoint folder and go on from there."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidewell-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
