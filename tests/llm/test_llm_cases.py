@@ -305,3 +305,22 @@ def test_hamming_links_connect_what_all_pairs_do(spark, chunk):
 def test_dedup_stage_keeps_one_of_each_group(spark, odd):
     kept = simhash.dedup_stage(spark, odd, "")
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 5, 6, 7]
+
+
+def test_many_rules(spark):
+    """Hosts and paths of 100,000 rules, found like in a dictionary."""
+    rules = [("block" if i % 3 else "allow", f"h{i}.org", "/" if i % 2 else f"/p{i % 7}/") for i in range(100_000)]
+    known = {(h, p): v for v, h, p in rules}
+    rows = [(i, f"http://{'www.' * (i % 2)}h{i * 97}.org/p{i * 97 % 7}/x") for i in range(2000)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()
+    for r in got:
+        i = r.page_id * 97
+        fits = [p for p in (f"/p{i % 7}/", "/") if (f"h{i}.org", p) in known]
+        assert r.rule == (f"h{i}.org{fits[0]}" if fits else None) and r.verdict == (known[f"h{i}.org", fits[0]] if fits else "allow")
+
+
+def test_limits_are_refused(spark, odd):
+    with pytest.raises(ValueError):
+        langid.train(odd.select("text", "lang"), most_langs=1)
+    with pytest.raises(ValueError):
+        mixing.mix(odd, most_sources=2)
