@@ -231,6 +231,16 @@ def newton(x: np.ndarray, weight: np.ndarray, integral: np.ndarray, offset: np.n
     return {"beta": b, "hessian": hess, "nll": float(nll), "n_iter": n, "converged": done, "skipped": skipped, "gradient": grad}
 
 
+def newton_best(x: np.ndarray, weight: np.ndarray, integral: np.ndarray, start: np.ndarray, **options) -> dict:
+    """newton(), and where that does not converge or leaves rows out, the same again from a constant rate with every
+    intensity kept positive."""
+    fit = newton(x, weight, integral, start=start, **options)
+    if not fit["converged"] or fit["skipped"]:
+        inside = newton(x, weight, integral, start=np.r_[weight.sum() / integral[0], np.zeros(len(start) - 1)], **options | {"steps": 500, "inside": True})
+        fit = inside if inside["converged"] or not fit["converged"] else fit
+    return fit
+
+
 def newton_exp(x: np.ndarray, y: np.ndarray, exposure: np.ndarray, steps: int = 100, epsilon: float = 1e-8) -> dict:
     """The coefficients with the least sum of exposure exp(x b) - y x b: an exponential link, by Newton steps that are
     halved until the value does not rise. ``x``: a constant first."""

@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 
 def unit_trials(units: DataFrame, trials: DataFrame) -> DataFrame:
-    """Every unit with every trial: the frame that gives empty trains their zeros. Trials are the smaller side by far."""
-    return units.select("unit_id").join(F.broadcast(trials.select("trial_id")))
+    """Every unit with every trial, one row each: the frame that gives empty trains their zeros."""
+    return units.select("unit_id").join(trials.select("trial_id"))
 
 
 def counts(points: DataFrame, frame: DataFrame) -> DataFrame:
@@ -80,8 +80,8 @@ def smooth(trace: DataFrame, keys: tuple[str, ...], value: str, n_bins: int, sig
 def probe_trace(unit_bins: DataFrame, units: DataFrame, dt: float) -> DataFrame:
     """(trial_id, probe, bin, rate): mean events per unit and second. Units without events count as well."""
     size = units.groupBy("probe").agg(F.count("*").alias("n_units"))
-    total = unit_bins.join(F.broadcast(units.select("unit_id", "probe")), "unit_id").groupBy("trial_id", "probe", "bin").agg(F.sum("n").alias("n"))
-    return total.join(F.broadcast(size), "probe").select("trial_id", "probe", "bin", (F.col("n") / F.col("n_units") / dt).alias("rate"))
+    total = unit_bins.join(units.select("unit_id", "probe"), "unit_id").groupBy("trial_id", "probe", "bin").agg(F.sum("n").alias("n"))
+    return total.join(size, "probe").select("trial_id", "probe", "bin", (F.col("n") / F.col("n_units") / dt).alias("rate"))
 
 
 def condition_tuning(cell_counts: DataFrame, trials: DataFrame, quantile: float = 0.8) -> DataFrame:
@@ -89,9 +89,9 @@ def condition_tuning(cell_counts: DataFrame, trials: DataFrame, quantile: float
 
     above_baseline: less the baseline condition's (no orientation), at least 0; above_least: less the least, plus 0.1.
     """
-    mean = cell_counts.join(F.broadcast(trials), "trial_id").groupBy("condition_id", F.col("orientation").isNull().alias("is_baseline"), "unit_id").agg(F.avg("n").alias("mean_n"))
+    mean = cell_counts.join(trials, "trial_id").groupBy("condition_id", F.col("orientation").isNull().alias("is_baseline"), "unit_id").agg(F.avg("n").alias("mean_n"))
     floor = mean.groupBy("condition_id").agg(F.percentile("mean_n", F.lit(quantile)).alias("floor"))
-    tuned = mean.join(F.broadcast(floor), "condition_id").where("mean_n > floor").groupBy("condition_id", "is_baseline").agg(F.avg("mean_n").alias("tuning"))
+    tuned = mean.join(floor, "condition_id").where("mean_n > floor").groupBy("condition_id", "is_baseline").agg(F.avg("mean_n").alias("tuning"))
     overall = tuned.agg(F.min("tuning").alias("least"), F.avg(F.when(F.col("is_baseline"), F.col("tuning"))).alias("base"))
     return tuned.join(F.broadcast(overall)).select(
         "condition_id", "tuning", F.greatest(F.col("tuning") - F.col("base"), F.lit(0.0)).alias("above_baseline"), (F.col("tuning") - F.col("least") + 0.1).alias("above_least")
@@ -100,13 +100,13 @@ def condition_tuning(cell_counts: DataFrame, trials: DataFrame, quantile: float
 
 def condition_psth(unit_bins: DataFrame, cell_counts: DataFrame, units: DataFrame, trials: DataFrame, dt: float, quantile: float = 0.5, by: tuple[str, ...] = ("condition_id", "probe")) -> DataFrame:
     """(by, bin, rate) over the units whose mean count is strictly above the quantile of their condition and probe."""
-    u, t = F.broadcast(units.select("unit_id", "probe")), F.broadcast(trials)
+    u, t = units.select("unit_id", "probe"), trials
     mean = cell_counts.join(u, "unit_id").join(t, "trial_id").groupBy(*by, "unit_id").agg(F.avg("n").alias("mean_n"), F.count("*").alias("n_trials"))
     floor = mean.groupBy(*by).agg(F.percentile("mean_n", F.lit(quantile)).alias("floor"))
-    active = mean.join(F.broadcast(floor), list(by)).where("mean_n > floor").select(*by, "unit_id", "n_trials")
+    active = mean.join(floor, list(by)).where("mean_n > floor").select(*by, "unit_id", "n_trials")
     cells = active.groupBy(*by).agg(F.sum("n_trials").alias("cells"))
     n = unit_bins.join(u, "unit_id").join(t, "trial_id").join(active, [*by, "unit_id"], "left_semi").groupBy(*by, "bin").agg(F.sum("n").alias("n"))
-    return n.join(F.broadcast(cells), list(by)).select(*by, "bin", (F.col("n") / F.col("cells") / dt).alias("rate"))
+    return n.join(cells, list(by)).select(*by, "bin", (F.col("n") / F.col("cells") / dt).alias("rate"))
 
 
 def total_variation(trace: DataFrame, keys: tuple[str, ...], value: str = "rate") -> DataFrame:

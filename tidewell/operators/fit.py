@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewell.functions.columns import uniform
-from tidewell.functions.numeric import newton
+from tidewell.functions.numeric import newton, newton_best
 from tidewell.operators.testing import wald_p
 from tidewell.sources.shared import settle
 
@@ -67,11 +67,7 @@ def _fit_groups(rows: DataFrame, keys: list[str], columns: list[str], integral:
         w = pdf["w"].to_numpy(float)
         start = np.full(len(columns), 0.1)
         start[0] = w.sum() / total[0]
-        x = pdf[columns].to_numpy(float)
-        fit = newton(x, w, total, start=start, **options)
-        if not fit["converged"] or fit["skipped"]:
-            inside = newton(x, w, total, start=np.r_[start[0], np.zeros(len(start) - 1)], **options | {"steps": 500, "inside": True})
-            fit = inside if inside["converged"] or not fit["converged"] else fit
+        fit = newton_best(pdf[columns].to_numpy(float), w, total, start, **options)
         return pd.DataFrame([{k: pdf[k].iloc[0] for k in keys} | _row(fit)])
 
     return rows.groupBy(*keys).applyInPandas(run, fields)
@@ -300,7 +296,7 @@ def fit_multivariate(design: DataFrame, columns: list[str], integral: list[float
         w = pdf.groupby(["trial_id", "y_us"])["w"].first().to_numpy(float)
         x = np.column_stack([np.ones(len(wide))] + [wide[(c, s)].to_numpy(float) for s in sources for c in columns])
         total = np.r_[integral[0], np.tile(np.array(integral[1:], float), len(sources))]
-        fit = newton(x, w, total, start=np.r_[w.sum() / integral[0], np.full(x.shape[1] - 1, 0.01)])
+        fit = newton_best(x, w, total, start=np.r_[w.sum() / integral[0], np.full(x.shape[1] - 1, 0.01)])
         return pd.DataFrame([{"dst": pdf["dst"].iloc[0], "sources": [int(s) for s in sources], "beta": fit["beta"].tolist(), "nll": fit["nll"], "converged": fit["converged"]}])
 
     return design.groupBy("dst").applyInPandas(run, "dst long, sources array<long>, beta array<double>, nll double, converged boolean")

@@ -80,6 +80,6 @@ def active_units(rates: DataFrame, quantile: float = 0.7, within_probe: bool = T
     """Units with a mean rate strictly above the (linear) quantile of all units, or of their probe. rates: unit_id, probe, rate."""
     if within_probe:
         floor = rates.groupBy("probe").agg(F.percentile("rate", F.lit(quantile)).alias("floor"))
-        return rates.join(F.broadcast(floor), "probe").where("rate > floor").drop("floor")
+        return rates.join(floor, "probe").where("rate > floor").drop("floor")
     floor = rates.agg(F.percentile("rate", F.lit(quantile)).alias("floor"))
     return rates.join(F.broadcast(floor), F.col("rate") > F.col("floor")).drop("floor")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -62,21 +64,34 @@ def _spectra(series: DataFrame, keys: tuple[str, ...], n_bins: int, fs: float, l
 
 
 def covariance(vectors: DataFrame, value: str = "embedding") -> DataFrame:
-    """(i, j, cov): the covariance of array elements, i <= j.
+    """(i, j, cov): the covariance of array elements, i <= j, over the rows that have both.
 
-    Each row makes its own products, whose moments are combined before anything moves; no row meets another.
+    A task sums the products of its rows, so what is shuffled is one row a task and pair of elements. Null arrays take
+    no part.
     """
-    first = vectors.select(F.col(value).alias("v"), F.posexplode(value).alias("i", "x"))
-    second = first.select("i", "x", F.posexplode(F.slice("v", F.col("i") + 1, F.size("v"))).alias("k", "y"))
-    return second.groupBy("i", (F.col("i") + F.col("k")).alias("j")).agg(F.covar_pop("x", "y").alias("cov"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, list] = {}  # by length: rows, sums, sums of products
+        for pdf in batches:
+            for n, group in pdf.groupby(pdf["v"].map(len))["v"]:
+                m = np.stack(group.to_list()).astype(float)
+                old = sums.get(n, [0, np.zeros(n), np.zeros((n, n))])
+                sums[n] = [old[0] + len(m), old[1] + m.sum(axis=0), old[2] + m.T @ m]
+        for n, (rows, one, two) in sums.items():
+            i, j = np.triu_indices(n)
+            yield pd.DataFrame({"i": i, "j": j, "n": rows, "x": one[i], "y": one[j], "xy": two[i, j]})
+
+    rows = vectors.select(F.col(value).alias("v")).where(F.col("v").isNotNull() & (F.size("v") > 0))
+    parts = rows.mapInPandas(run, "i int, j int, n long, x double, y double, xy double")
+    n, x, y, xy = (F.sum(c) for c in ("n", "x", "y", "xy"))
+    return parts.groupBy("i", "j").agg((xy / n - x / n * (y / n)).alias("cov"))
 
 
 def correlations(cov: DataFrame) -> DataFrame:
     """(i, j, r) for i < j."""
     d = cov.where("i = j").select("i", F.sqrt("cov").alias("sd"))
     return (
-        cov.where("i < j").join(F.broadcast(d.withColumnRenamed("sd", "si")), "i")
-        .join(F.broadcast(d.select(F.col("i").alias("j"), F.col("sd").alias("sj"))), "j")
+        cov.where("i < j").join(d.withColumnRenamed("sd", "si"), "i")
+        .join(d.select(F.col("i").alias("j"), F.col("sd").alias("sj")), "j")
         .where("si * sj > 0").select("i", "j", (F.col("cov") / (F.col("si") * F.col("sj"))).alias("r"))
     )
 

@@ -17,7 +17,7 @@ def split_by_correlation(corrs: DataFrame, least: float = 0.2, quantile: float =
     sums = one.unionByName(two)
     floor = sums.groupBy("probe_from", "probe_to").agg(F.percentile("s", F.lit(quantile)).alias("floor"))
     above = F.round("s", 9) > F.round("floor", 9)  # sums in another order are still the same sum
-    return sums.join(F.broadcast(floor), ["probe_from", "probe_to"]).select("unit_id", "probe_from", "probe_to", F.when(above, 0).otherwise(1).alias("group_id"))
+    return sums.join(floor, ["probe_from", "probe_to"]).select("unit_id", "probe_from", "probe_to", F.when(above, 0).otherwise(1).alias("group_id"))
 
 
 def match_scores(bins: DataFrame, psth: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -29,7 +29,7 @@ def match_scores(bins: DataFrame, psth: DataFrame, keys: tuple[str, ...] = ()) -
 def split_by_score(scores: DataFrame, quantile: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """(unit_id, keys, group_id): 0 above the quantile of the score, else 1."""
     floor = scores.groupBy(*keys).agg(F.percentile("score", F.lit(quantile)).alias("floor"))
-    joined = scores.join(F.broadcast(floor), list(keys)) if keys else scores.join(F.broadcast(floor))
+    joined = scores.join(floor, list(keys)) if keys else scores.join(F.broadcast(floor))
     return joined.select("unit_id", *keys, F.when(F.col("score") > F.col("floor"), 0).otherwise(1).alias("group_id"))
 
 
@@ -37,10 +37,10 @@ def search(bins: DataFrame, units: DataFrame, start: DataFrame, rounds: int = 5,
     """(unit_id, probe): per probe, units that match their group's trace best, found anew from the trace of the last
     group until the overlap with it exceeds ``enough`` or after ``rounds``. Groups are a few units, so a round's
     table is cut off from its plan by a checkpoint."""
-    bins = bins.join(F.broadcast(units.select("unit_id", "probe")), "unit_id")
+    bins = bins.join(units.select("unit_id", "probe"), "unit_id")
     group = start.select("unit_id", "probe")
     for _ in range(rounds):
-        psth = bins.join(F.broadcast(group), ["unit_id", "probe"]).groupBy("probe", "trial_id", "bin").agg(F.sum("n").alias("psth"))
+        psth = bins.join(group, ["unit_id", "probe"]).groupBy("probe", "trial_id", "bin").agg(F.sum("n").alias("psth"))
         scores = match_scores(bins, psth, ("probe",)).groupBy("unit_id", "probe").agg(F.sum("score").alias("score"))
         found = split_by_score(scores, quantile, ("probe",)).where("group_id = 0").select("unit_id", "probe")
         if enough <= 1:

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from tidewell.functions import numeric
 from tidewell.functions.columns import norm_cdf, uniform
+from tidewell.sources.shared import settle
 
 
 def wald_p(beta: Column, se: Column) -> Column:
@@ -29,16 +30,19 @@ def rank_p(raw: DataFrame, surrogate: DataFrame) -> DataFrame:
 def adjust(tests: DataFrame, family: tuple[str, ...] = (), p: str = "p") -> DataFrame:
     """The same rows with bonferroni, bh and by: adjusted p-values within each family. Null p-values stay null.
 
-    Equal p-values are counted first. Ranks are running sums over p and the minima run from the largest p back. With
-    a family column each family is a window of its own; one single family is cut into 256 stretches of p, whose
-    counts and minima make the running values of the next, so it is never in one task.
+    Equal p-values are counted first. Ranks are running sums over p and the minima run from the largest p back. Every
+    family is cut into 256 stretches of p, whose counts and minima make the running values of the next, so a family
+    is never in one task. The tests are settled first, as both sides of the last join are made of them.
     """
+    tests = settle(tests)
     keys = [F.col(k) for k in family]
     stretch = F.least(F.floor(F.sqrt(F.sqrt(p)) * 256), F.lit(255)).alias("stretch")
     distinct = tests.where(F.col(p).isNotNull()).groupBy(*keys, stretch, F.col(p).alias("q")).agg(F.count("*").alias("c"))
     total = distinct.groupBy(*keys).agg(F.sum("c").alias("m"))
-    harmonic = F.aggregate(F.sequence(F.lit(1), F.col("m")), F.lit(0.0), lambda a, i: a + 1 / i)
-    total = total.withColumn("h", harmonic)
+    m = F.col("m")
+    added = F.aggregate(F.sequence(F.lit(1), F.least(m, F.lit(10_000))), F.lit(0.0), lambda a, i: a + 1 / i)
+    series = F.ln(m) + 0.5772156649015329 + 1 / (2 * m) - 1 / (12 * m * m)  # exact to the last digit from 10,000 on
+    total = total.withColumn("h", F.when(m <= 10_000, added).otherwise(series))
     one = lambda *c: Window.partitionBy(*(family or (F.lit(0),)), *c)
     before, after = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
     counts = distinct.groupBy(*keys, "stretch").agg(F.sum("c").alias("n"))
@@ -169,7 +173,7 @@ def bootstrap_errors(sample: DataFrame, reps: int, alpha: float = 0.05, seed: in
     A replicate's slot draws the row number by hash and joins it; its moments are aggregates of the joined rows.
     """
     size = sample.groupBy("scenario").agg(F.count("*").alias("size"))
-    slots = sample.select("scenario", F.col("i").alias("slot")).join(F.broadcast(size), "scenario").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    slots = sample.select("scenario", F.col("i").alias("slot")).join(size, "scenario").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     picks = slots.withColumn("i", F.floor(uniform("scenario", "rep", "slot", seed) * F.col("size")).cast("long")).select("scenario", "rep", "i")
     e = F.col("x") - F.col("x0")
     moments = [F.avg(e).alias("bias"), F.stddev_pop("x").alias("se"), F.sqrt(F.avg(e * e)).alias("rmse")]

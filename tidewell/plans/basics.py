@@ -82,7 +82,7 @@ def b2(t: Tables) -> DataFrame:
 def b3(t: Tables) -> DataFrame:
     units = select.select_units(t.units, ["VISp", "VISl"], ["probeC", "probeD"])
     trials = select.select_trials(t.trials, conditions=[1, 3])
-    return timejoin.align(t.raw.join(F.broadcast(units), "unit_id", "left_semi"), trials, 6 * HOUR, 18 * HOUR)
+    return timejoin.align(t.raw.join(units, "unit_id", "left_semi"), trials, 6 * HOUR, 18 * HOUR)
 
 
 @query("b4_area_class", " SELECT unit_id, area, 'visual' AS class FROM units")
@@ -207,7 +207,7 @@ def subgroups(t: Tables) -> DataFrame:
     """A unit's group towards every other probe."""
     to = t.units.select(F.col("probe").alias("probe_to")).distinct()
     group = ((F.col("unit_id") + F.ascii(F.substring("probe_to", 6, 1))) % 2).cast("int")
-    return t.units.join(F.broadcast(to), F.col("probe") != F.col("probe_to")).select("unit_id", F.col("probe").alias("probe_from"), "probe_to", group.alias("group_id"))
+    return t.units.join(to, F.col("probe") != F.col("probe_to")).select("unit_id", F.col("probe").alias("probe_from"), "probe_to", group.alias("group_id"))
 
 
 @query("d4_subgroup_activity", SUB + " SELECT probe_from, probe_to, group_id, trial_id, t_us // 300000000 AS bin, round(CAST(count(*) * 300.0 AS DOUBLE), 6) AS psth FROM points JOIN subgroups USING (unit_id) GROUP BY ALL")
@@ -350,7 +350,7 @@ def d19(t: Tables) -> DataFrame:
 
     side = t.units.select(F.col("unit_id").alias("src"), F.col("probe").alias("src_probe"))
     band = F.percentile("raw", F.array(F.lit(0.025), F.lit(0.975)))
-    out = ccg(t.bins, t.pairs, -12, 12).join(F.broadcast(side), "src").groupBy("src_probe", "lag").agg(F.avg("raw").alias("mean"), band[0].alias("lo"), band[1].alias("hi"))
+    out = ccg(t.bins, t.pairs, -12, 12).join(side, "src").groupBy("src_probe", "lag").agg(F.avg("raw").alias("mean"), band[0].alias("lo"), band[1].alias("hi"))
     return rounded(out, "mean", "lo", "hi")
 
 

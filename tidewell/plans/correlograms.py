@@ -265,7 +265,7 @@ SELECT a.probe_from, a.probe_to, a.group_id AS g0, b.group_id AS g1, a.bin, roun
 def e21(t: Tables) -> DataFrame:
     key = ("probe_from", "probe_to", "group_id")
     trace = binning.bins(t.points.join(subgroups(t), "unit_id"), HOUR, keys=(*key, "trial_id"))
-    frame = trace.select(*key).distinct().join(F.broadcast(t.trials.select("trial_id")))
+    frame = trace.select(*key).distinct().join(t.trials.select("trial_id"))
     d = binning.dense(trace, frame, 24)
     b = d.select(F.col("probe_from").alias("probe_to"), F.col("probe_to").alias("probe_from"), F.col("group_id").alias("g1"), "trial_id", "bin", F.col("n").alias("m"))
     met = d.where("probe_from < probe_to").withColumnRenamed("group_id", "g0").join(b, ["probe_from", "probe_to", "trial_id", "bin"])
@@ -440,7 +440,7 @@ def f6b(t: Tables) -> DataFrame:
 SELECT g.unit_id, g.trial_id, round(288 * rate - coalesce(sum(b.n), 0) * ln(rate), 6) AS nll FROM grid g JOIN r USING (unit_id) LEFT JOIN bins b ON b.unit_id = g.unit_id AND b.trial_id = g.trial_id GROUP BY g.unit_id, g.trial_id, rate""")
 def f10(t: Tables) -> DataFrame:
     rate = t.bins.groupBy("unit_id").agg(F.ln(F.sum("n") / (BINS * t.n_trials)).alias("log_rate"))
-    grid = t.frame.join(F.broadcast(rate), "unit_id").withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BINS - 1).cast("long"))))
+    grid = t.frame.join(rate, "unit_id").withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BINS - 1).cast("long"))))
     return rounded(synchrony.train_nll(t.bins, grid), "nll")
 
 

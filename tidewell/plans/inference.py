@@ -11,6 +11,7 @@ from tidewell.operators import ccg, graph, series, testing
 from tidewell.plans.basics import DEGREE, PSTH, condition_psth, degree, smooth_sql
 from tidewell.plans.catalog import BINS, LAGS, Tables, query, rounded
 from tidewell.plans.correlograms import SIGN, raw, signs, surrogate
+from tidewell.sources.shared import settle
 
 
 @query("h1_wald", " SELECT src, dst, round(h, 6) AS h, round(pval, 6) AS pval FROM edges", ("edges",))
@@ -235,8 +236,10 @@ def l6b(t: Tables) -> DataFrame:
 
 @query("l7_filter_clusters")
 def l7(t: Tables) -> DataFrame:
-    """K-means of all vectors, 8 clusters, then the mean coefficient of every place."""
-    rows = t.read("embeddings").select(F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("beta"))
+    """K-means of the fitted coefficients of all pairs whose fit converged, 8 clusters, then the mean of every coefficient."""
+    from tidewell.plans.regressions import fitted
+
+    rows = settle(fitted(t).where("converged").select("src", "dst", "beta"))
     return graph.cluster_means(graph.cluster(rows, "beta", 8), "beta")
 
 
@@ -261,7 +264,7 @@ def n3(t: Tables) -> DataFrame:
 
 
 def traces(t: Tables) -> DataFrame:
-    return t.bins.join(F.broadcast(t.units), "unit_id").groupBy("probe", "trial_id", "bin").agg(F.sum("n").cast("double").alias("y"))
+    return t.bins.join(t.units, "unit_id").groupBy("probe", "trial_id", "bin").agg(F.sum("n").cast("double").alias("y"))
 
 
 @query("n4_welch")

@@ -248,7 +248,7 @@ def k17(t: Tables) -> DataFrame:
 
 @query("k18_posterior")
 def k18(t: Tables) -> DataFrame:
-    return fit.metropolis(standard(t), COLUMNS, integral(t), samples=50)
+    return fit.metropolis(standard(t), COLUMNS, integral(t))
 
 
 @query("k19_filters")
@@ -496,7 +496,7 @@ def linear_fits(t: Tables, bases: list[str]) -> DataFrame:
         for basis in bases:
             x = np.column_stack([np.ones(len(pdf)), pdf[BASES[basis]]])
             area = np.array([total] + [n_x] * len(BASES[basis]))
-            f = numeric.newton(x, w, area, start=np.r_[w.sum() / total, [0.01] * len(BASES[basis])])
+            f = numeric.newton_best(x, w, area, start=np.r_[w.sum() / total, [0.01] * len(BASES[basis])])
             out.append({"src": pdf["src"].iloc[0], "dst": pdf["dst"].iloc[0], "basis": basis, "beta": f["beta"].tolist(), "nll": f["nll"], "converged": f["converged"]})
         return pd.DataFrame(out)
 
