@@ -93,7 +93,9 @@ def moved(points: DataFrame, width: int, reps: int, seed: int = 0, basic: bool =
 
     The draws are those of ccg.interval_jitter and ccg.basic_jitter, made once a unit, and no surrogate event is a row.
     """
-    one = points.groupBy("unit_id", "trial_id").agg(F.collect_list("t_us").alias("ts"))
+    # a few bytes of events become many of draws: the number of tasks is held, or adaptive execution would join them to one
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = points.repartition(parts, "unit_id", "trial_id").groupBy("unit_id", "trial_id").agg(F.collect_list("t_us").alias("ts"))
 
     def shifted(t, rep):
         u = uniform("unit_id", "trial_id", t, rep, seed)
