@@ -6,6 +6,8 @@ import tempfile
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,14 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def whole_batches(pdf: pd.DataFrame, texts: pd.Series, most: int) -> Iterator[tuple[pd.DataFrame, list[str]]]:
+    """A batch in parts of about ``most`` characters, so that what is made of it leaves a part at a time; at its end, memory
+    that Arrow holds and no longer uses goes back."""
+    for lo, hi in spans(texts.str.len().to_numpy(), most):
+        yield pdf.iloc[lo:hi], texts.iloc[lo:hi].to_list()
+    pa.default_memory_pool().release_unused()
+
+
 def sampled(df: DataFrame, keys: list[str], most: int) -> DataFrame:
     """At most ``most`` rows, the first by a hash of ``keys``: the same rows wherever it is asked.
 

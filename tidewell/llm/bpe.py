@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewell.llm._common import spans, table
 
 #: Words, and runs between blanks, whose ids a task remembers: the first it meets; others are merged anew, which bounds its memory.
-REMEMBERED = 200_000
-CHARS_AT_ONCE = 1_000_000
+REMEMBERED = 60_000
+CHARS_AT_ONCE = 500_000
 
 
 def byte_signs() -> list[str]:
@@ -169,6 +169,7 @@ def _mapped(docs: DataFrame, path: str, fields: str, made) -> DataFrame:
                     rows.append(made(ids, tokenizer.decode(ids)))
                 columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), added, strict=True)]
                 yield pa.RecordBatch.from_arrays(kept.slice(lo, hi - lo).columns + columns, kept.schema.names + [n for n, _ in added])
+            pa.default_memory_pool().release_unused()
         tokenizer.forget()  # a worker's memory is free again for the next stage
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")

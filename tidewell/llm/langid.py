@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm._common import spans, table
+from tidewell.llm._common import spans, table, whole_batches
 
 #: log2 of the number of trigram buckets. The model is one float a bucket and language, whatever the corpus.
 BITS = 15
@@ -129,21 +129,18 @@ class Mixture:
 
 
 def _predict(batches: Iterator[pd.DataFrame], langs: list[str], table: np.ndarray, steps: int, penalty: float, keep_text: bool) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        texts = pdf["text"].fillna("")
-        pred, score = np.full(len(pdf), "und", object), np.zeros(len(pdf))
-        mix = np.full(len(pdf), "", object)
-        for lo, hi in spans(texts.str.len().to_numpy(), CHARS_AT_ONCE) if langs else ():
-            words = Words(texts.iloc[lo:hi].to_list())
-            some = np.flatnonzero(words.words)
-            if not len(some):
-                continue
-            loglik = np.add.reduceat(table[words.bucket], words.start, axis=0).astype(np.float64)
-            share = Mixture(loglik, words.words[some], steps, penalty).select()
-            top = share.argmax(axis=1)
-            pred[lo + some], score[lo + some] = np.array(langs, object)[top], share[np.arange(len(top)), top]
-            mix[lo + some] = [" ".join(f"{langs[j]}:{row[j]:.2f}" for j in np.flatnonzero(row)) for row in share]
-        yield (pdf if keep_text else pdf.drop(columns="text")).assign(lang_pred=pred, score=np.clip(score, 0, 1), mixture=mix)
+    for whole in batches:
+        for pdf, texts in whole_batches(whole, whole["text"].fillna(""), CHARS_AT_ONCE):
+            pred, score, mix = np.full(len(pdf), "und", object), np.zeros(len(pdf)), np.full(len(pdf), "", object)
+            words = Words(texts)
+            some = np.flatnonzero(words.words) if langs else np.zeros(0, int)
+            if len(some):
+                loglik = np.add.reduceat(table[words.bucket], words.start, axis=0).astype(np.float64)
+                share = Mixture(loglik, words.words[some], steps, penalty).select()
+                top = share.argmax(axis=1)
+                pred[some], score[some] = np.array(langs, object)[top], share[np.arange(len(top)), top]
+                mix[some] = [" ".join(f"{langs[j]}:{row[j]:.2f}" for j in np.flatnonzero(row)) for row in share]
+            yield (pdf if keep_text else pdf.drop(columns="text")).assign(lang_pred=pred, score=np.clip(score, 0, 1), mixture=mix)
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], steps: int = 6, penalty: float = 2.0, keep_text: bool = False) -> DataFrame:

@@ -17,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 RUN = 1 << 12
 #: Cells of the unit interval, in which a point looks for its source's stretch.
 CELLS = 1 << 10
+#: Words of the schedule that are written together, in its order.
+WORDS_A_PART = 4_000_000
 GOLDEN = (math.sqrt(5) - 1) / 2
 
 
@@ -175,9 +177,13 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, block: int =
     turns = rows.where("hit > 0").groupBy("doc_id", "h", "turn").agg(F.sum("hit").alias("hit"), F.min("slot").alias("slot"))
     alike = rows.groupBy("doc_id", "h", "row").agg(F.first("size").alias("size")).groupBy("doc_id", "h").agg(F.sum("size").alias("all"))
     both = turns.join(alike.withColumnRenamed("doc_id", "same"), [turns.h == alike.h, F.col("doc_id").eqNullSafe(F.col("same"))])
-    chosen = both.where(2 * F.col("hit") >= F.col("all")).select(F.col("doc_id").alias("id"), turns.h.alias("h"), "slot")
+    chosen = settle(both.where(2 * F.col("hit") >= F.col("all")).select(F.col("doc_id").alias("id"), turns.h.alias("h"), "slot"))
     own = docs.toDF(*[f"d_{c}" for c in docs.columns])
     own = own.withColumn("hash", F.xxhash64("d_doc_id", "d_source", "d_text", F.lit(7)))
     again = own.join(chosen, (own["hash"] == chosen.h) & own.d_doc_id.eqNullSafe(chosen.id))
-    ordered = again.repartitionByRange("slot").sortWithinPartitions("slot")
+    # parts of equally many slots, small enough to be sorted in little memory
+    last = chosen.agg(F.max("slot").alias("slot")).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((last.slot or 0) * block / WORDS_A_PART))
+    place = F.least(F.lit(parts - 1), F.floor(F.col("slot") / ((last.slot or 0) + 1) * parts)).cast("int")
+    ordered = again.repartitionById(parts, place).sortWithinPartitions("slot")
     return ordered.select(*[F.col(f"d_{c}").alias(c) for c in docs.columns])

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm._common import sampled, spans, table
+from tidewell.llm._common import sampled, spans, table, whole_batches
 from tidewell.llm.langid import held_out
 
 CHARS_AT_ONCE = 500_000
@@ -221,11 +221,10 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.3, keep_tex
     docs = docs.drop("score", "predicted")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts, out = pdf["text"].fillna(""), np.full(len(pdf), 0.5)
-            for lo, hi in spans(texts.str.len().to_numpy(), CHARS_AT_ONCE) if model else ():
-                out[lo:hi] = model.score(features(texts.iloc[lo:hi].to_list()))
-            yield (pdf if keep_text else pdf.drop(columns="text")).assign(score=out, predicted=(out >= threshold).astype("int32"))
+        for whole in batches:
+            for pdf, texts in whole_batches(whole, whole["text"].fillna(""), CHARS_AT_ONCE):
+                out = model.score(features(texts)) if model else np.full(len(pdf), 0.5)
+                yield (pdf if keep_text else pdf.drop(columns="text")).assign(score=out, predicted=(out >= threshold).astype("int32"))
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if keep_text or f.name != "text")
     return docs.mapInPandas(run, ", ".join(x for x in (kept, "score double, predicted int") if x))
