@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewell.llm._common import spans, table
 
 #: Words, and runs between blanks, whose ids a task remembers: the first it meets; others are merged anew, which bounds its memory.
-REMEMBERED = 60_000
+REMEMBERED = 100_000
 CHARS_AT_ONCE = 500_000
 
 
