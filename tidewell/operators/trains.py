@@ -232,4 +232,5 @@ def surrogate_fits(points: DataFrame, pairs: DataFrame, jitter: int, reps: int,
     own = points.groupBy("unit_id", "trial_id").agg(F.collect_list("t_us").alias("own"))
     x = moved(points, jitter, reps, seed).drop("n").join(own, ["unit_id", "trial_id"]).withColumnRenamed("unit_id", "src")
     met = partners(points, pairs, 4).join(x, ["src", "trial_id"], "left")
-    return met.groupBy("src", "block").applyInPandas(run, "src long, dst long, rep int, h double, converged boolean")
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # held, as in moved()
+    return met.repartition(parts, "src", "block").groupBy("src", "block").applyInPandas(run, "src long, dst long, rep int, h double, converged boolean")
