@@ -75,14 +75,22 @@ def closed_beta_mean(bins: DataFrame, pairs: DataFrame, delta: int) -> DataFrame
     return all_.select("src", "dst", (F.col("sb") / F.col("n_x")).alias("mean_binary"), (F.col("sc") / (F.col("n_x") * delta)).alias("mean_cnt"))
 
 
-def beta_mc_test(bins: DataFrame, surrogate: DataFrame, pairs: DataFrame, reps: int, alpha: float = 0.05) -> DataFrame:
-    """(src, dst, beta, mean, ci_lo, ci_hi, p): b1_cnt against surrogates of x (src, dst, rep, raw: synchrony of the bins)."""
+def beta_mc_test(bins: DataFrame, surrogate: DataFrame, pairs: DataFrame, reps: int, alpha: float = 0.05, correct: str | None = None, delta: int = 1) -> DataFrame:
+    """(src, dst, beta, mean, ci_lo, ci_hi, p): b1_cnt against surrogates of x (src, dst, rep, raw: synchrony of the bins).
+
+    ``correct``: the null mean (``cnt`` or ``binary``, in windows of ``delta`` bins) to take off beta, mean and interval,
+    which leaves p as it is.
+    """
     n_x = bins.groupBy(F.col("unit_id").alias("src")).agg(F.sum("n").alias("n_x"))
     raw = binned_synchrony(bins, pairs).groupBy("src", "dst").agg(F.sum("n").alias("s"))
     full = pairs.join(n_x, "src").join(raw, ["src", "dst"], "left").join(surrogate.select("src", "dst", F.col("raw").alias("j")), ["src", "dst"])
     b, j = F.coalesce("s", F.lit(0)) / F.col("n_x"), F.col("j") / F.col("n_x")
     band = F.percentile("j", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
-    return full.select("src", "dst", b.alias("beta"), j.alias("j")).groupBy("src", "dst", "beta").agg(F.avg("j").alias("mean"), band[0].alias("ci_lo"), band[1].alias("ci_hi"), ((F.count_if(F.col("j") >= F.col("beta")) + 1) / (reps + 1)).alias("p"))
+    tested = full.select("src", "dst", b.alias("beta"), j.alias("j")).groupBy("src", "dst", "beta").agg(F.avg("j").alias("mean"), band[0].alias("ci_lo"), band[1].alias("ci_hi"), ((F.count_if(F.col("j") >= F.col("beta")) + 1) / (reps + 1)).alias("p"))
+    if correct is None:
+        return tested
+    off = closed_beta_mean(bins, pairs, delta).select("src", "dst", F.col(f"mean_{correct}").alias("off"))
+    return tested.join(off, ["src", "dst"]).select("src", "dst", *[(F.col(c) - F.col("off")).alias(c) for c in ("beta", "mean", "ci_lo", "ci_hi")], "p")
 
 
 def beta_poisson_test(bins: DataFrame, pairs: DataFrame, delta: int, correct: str | None = None, alpha: float = 0.05, seed: int = 0) -> DataFrame:

@@ -395,16 +395,28 @@ def f5(t: Tables) -> DataFrame:
     return rounded(synchrony.closed_beta_mean(t.bins, t.pairs, WINDOW_BINS), "mean_binary", "mean_cnt")
 
 
-@query("f6_beta_test", BETA + """, j AS (SELECT p.src, p.dst, x.rep, sum(x.n * y.n) AS j FROM pairs p JOIN moved_bins x ON x.unit_id = p.src JOIN bins y ON y.unit_id = p.dst AND y.trial_id = x.trial_id AND y.bin = x.bin GROUP BY ALL),
-v AS (SELECT p.src, p.dst, coalesce(s.s, 0) / n_x AS beta, coalesce(j.j, 0) / n_x AS jb FROM pairs p JOIN nx USING (src) CROSS JOIN (SELECT CAST(i AS INTEGER) AS rep FROM range(1, 201) q(i)) k LEFT JOIN s ON s.src = p.src AND s.dst = p.dst LEFT JOIN j ON j.src = p.src AND j.dst = p.dst AND j.rep = k.rep)
-SELECT src, dst, round(beta, 6) AS beta, round(avg(jb), 6) AS mean, round(quantile_cont(jb, 0.025), 6) AS ci_lo, round(quantile_cont(jb, 0.975), 6) AS ci_hi, round((count(*) FILTER (jb >= beta) + 1) / 201.0, 6) AS p FROM v GROUP BY src, dst, v.beta""", ("jitter",))
+BETA_NULL = BETA + """, j AS (SELECT p.src, p.dst, x.rep, sum(x.n * y.n) AS j FROM pairs p JOIN moved_bins x ON x.unit_id = p.src JOIN bins y ON y.unit_id = p.dst AND y.trial_id = x.trial_id AND y.bin = x.bin GROUP BY ALL),
+v AS (SELECT p.src, p.dst, coalesce(s.s, 0) / n_x AS beta, coalesce(j.j, 0) / n_x AS jb FROM pairs p JOIN nx USING (src) CROSS JOIN (SELECT CAST(i AS INTEGER) AS rep FROM range(1, 201) q(i)) k LEFT JOIN s ON s.src = p.src AND s.dst = p.dst LEFT JOIN j ON j.src = p.src AND j.dst = p.dst AND j.rep = k.rep)"""
+
+
+@query("f6_beta_test", BETA_NULL + """ SELECT src, dst, round(beta, 6) AS beta, round(avg(jb), 6) AS mean, round(quantile_cont(jb, 0.025), 6) AS ci_lo, round(quantile_cont(jb, 0.975), 6) AS ci_hi, round((count(*) FILTER (jb >= beta) + 1) / 201.0, 6) AS p FROM v GROUP BY src, dst, v.beta""", ("jitter",))
 def f6(t: Tables) -> DataFrame:
     return rounded(beta_test(t), "beta", "mean", "ci_lo", "ci_hi", "p")
 
 
-def beta_test(t: Tables) -> DataFrame:
+@query("f6_beta_corrected", BETA_NULL + """, wc AS (SELECT unit_id, trial_id, bin // 48 AS w, sum(n) AS c FROM bins GROUP BY ALL),
+fr AS (SELECT p.src, p.dst, sum(y.c * x.c) AS sc FROM pairs p JOIN wc x ON x.unit_id = p.src JOIN wc y ON y.unit_id = p.dst AND y.trial_id = x.trial_id AND y.w = x.w GROUP BY ALL),
+os AS (SELECT p.src, p.dst, coalesce(sc, 0) / (n_x * 48) AS o FROM pairs p JOIN nx USING (src) LEFT JOIN fr ON fr.src = p.src AND fr.dst = p.dst)
+SELECT v.src, v.dst, round(v.beta - o, 9) AS beta, round(avg(jb) - o, 9) AS mean, round(quantile_cont(jb, 0.025) - o, 9) AS ci_lo, round(quantile_cont(jb, 0.975) - o, 9) AS ci_hi, round((count(*) FILTER (jb >= v.beta) + 1) / 201.0, 9) AS p
+ FROM v JOIN os ON os.src = v.src AND os.dst = v.dst GROUP BY v.src, v.dst, v.beta, o""", ("jitter",))
+def f6d(t: Tables) -> DataFrame:
+    """The same less the mean that free moves in the windows have."""
+    return rounded(beta_test(t, "cnt"), "beta", "mean", "ci_lo", "ci_hi", "p", digits=9)
+
+
+def beta_test(t: Tables, correct: str | None = None) -> DataFrame:
     same_bin = trains.surrogate_ccg(t.points, t.pairs, WINDOW_BINS * BIN, REPS, BIN, BINS, 0, 0)
-    return synchrony.beta_mc_test(t.bins, same_bin, t.pairs, REPS)
+    return synchrony.beta_mc_test(t.bins, same_bin, t.pairs, REPS, correct=correct, delta=WINDOW_BINS)
 
 
 @query("f6_beta_poisson")
