@@ -154,64 +154,6 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 4096) -> Model | Non
     return fit_nnpu(x, positives, float(np.clip(prior, 0.05, 0.95)))
 
 
-def score(self, x: np.ndarray) -> np.ndarray:
-        z = ((x - self.mean) / self.scale) @ self.weights + self.bias
-        return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -40, 40)))
-
-
-def fit_nnpu(x: np.ndarray, positives: int, prior: float, steps: int = 400, rate: float = 0.03, decay: float = 1e-3) -> Model:
-    """Logistic model with the least non-negative unbiased risk. ``x``: the positives' rows, then unlabelled ones, in
-    single precision; it is standardised in place.
-
-    With l the logistic loss: risk = prior E_p l(g) + max(0, E_u l(-g) - prior E_p l(-g)). Where the bracket falls
-    below zero its gradient is followed upward, as the non-negative estimator does, so the flexible part can't be
-    driven below what a risk can be.
-    """
-    mean = x.mean(axis=0, dtype=np.float64)
-    square = np.einsum("ij,ij->j", x, x, dtype=np.float64) / len(x)
-    scale = np.sqrt(np.maximum(square - mean**2, 0)) + 1e-3
-    x -= mean.astype(np.float32)
-    x /= scale.astype(np.float32)
-    p, u = x[:positives], x[positives:]
-    w, b = np.zeros(p.shape[1], np.float32), np.float32(0)
-    first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    for t in range(1, steps + 1):
-        gp, gu = p @ w + b, u @ w + b
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        up, down = sig(gp) / len(p), sig(gu) / len(u)
-        if negative >= 0:
-            dp, du = prior * ((sig(gp) - 1) / len(p) - up), down
-        else:
-            dp, du = prior * up, -down
-        grad = np.concatenate([p.T @ dp + u.T @ du + decay * w, [dp.sum() + du.sum()]])
-        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
-        step = rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
-        w, b = (w - step[:-1]).astype(np.float32), np.float32(b - step[-1])
-    return Model(w, float(b), mean, scale, prior)
-
-
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 4096) -> Model | None:
-    """Fit on at most ``sample`` trusted positives and ``sample`` unlabelled texts (the first by a hash of doc_id).
-
-    Only rows that are not held out (remainder 0 of 5) are used. The class prior is estimated as the share of
-    quality 1 among all their labels, kept within 0.05 to 0.95. None if there is no positive or no text at all.
-    """
-    labels = labels.where(~held_out(5, 0) & F.col("doc_id").isNotNull())
-    prior = labels.where("quality is not null").agg(F.avg(F.when(F.col("quality") == 1, 1.0).otherwise(0.0))).first()[0]
-    p = sampled(labels.where("quality = 1").select("doc_id"), ["doc_id"], sample).distinct().withColumn("positive", F.lit(True))
-    u = sampled(docs.where(~held_out(5, 0) & F.col("doc_id").isNotNull()).select("doc_id"), ["doc_id"], sample).distinct().withColumn("positive", F.lit(False))
-    ids = F.broadcast(p.unionByName(u))  # 2 x sample rows at most
-    texts = docs.select("doc_id", "text").join(ids, "doc_id").select("positive", "text")
-    got = texts.mapInPandas(_feature_rows, "positive boolean, x binary").toPandas()
-    if prior is None or got.empty or got["positive"].all() or not got["positive"].any():
-        return None
-    got = got.sort_values("positive", ascending=False, kind="stable")
-    x, positives = np.frombuffer(bytearray().join(got["x"]), np.float32).reshape(len(got), WIDTH), int(got["positive"].sum())
-    del got
-    return fit_nnpu(x, positives, float(np.clip(prior, 0.05, 0.95)))
-
-
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.3, keep_text: bool = False) -> DataFrame:
     """Each row of ``docs``, without its text unless it is to be kept, plus score and predicted (1 if score >= threshold).
 
