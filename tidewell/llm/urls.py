@@ -78,13 +78,14 @@ def _opened(name: str) -> Rules:
     return Rules(SparkFiles.get(name))
 
 
-def _judge(batches: Iterator[pd.DataFrame], name: str, lengths: list[int], default: str) -> Iterator[pd.DataFrame]:
-    """Probes of one url: each tail of its host, with each prefix of its path as long as some rule's path."""
+def _judge(batches: Iterator[pd.DataFrame], name: str, longest: int, lengths: list[int], default: str) -> Iterator[pd.DataFrame]:
+    """Probes of one url: each tail of its host that is no longer than the ``longest`` rule's host, with each prefix of
+    its path as long as some rule's path. A long host has no more probes than a short one."""
     for pdf in batches:
         rules, keys, owner = _opened(name), [], []
         for i, (host, path) in enumerate(zip(pdf["host"], pdf["path"], strict=True)):
-            at = 0
-            while host:
+            at = 0 if len(host) <= longest else host.find(".", len(host) - longest - 1) + 1
+            while host and len(host) - at <= longest:
                 tail = host[at:]
                 probes = [tail + path[:n] for n in lengths if n <= len(path)]
                 keys += probes
@@ -118,14 +119,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "a
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     file = write_rules(once, folder)
     pages.sparkSession.sparkContext.addFile(file)
-    name, lengths = os.path.basename(file), sorted({len(p) for _, _, p in rules})
+    name, longest, lengths = os.path.basename(file), max((len(h) for _, h, _ in rules), default=0), sorted({len(p) for _, _, p in rules})
     rest = F.regexp_extract("url", r"(?s)^.*?://(.*)$", 1)
     host = F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rows = pages.drop("host", "path", "rule", "verdict").withColumns({
         "host": F.coalesce(host, F.lit("")), "path": F.coalesce(F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1), F.lit("")),
     }).drop("url")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInPandas(lambda it: _judge(it, name, lengths, default), f"{kept}, rule string, verdict string")
+    return rows.mapInPandas(lambda it: _judge(it, name, longest, lengths, default), f"{kept}, rule string, verdict string")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
