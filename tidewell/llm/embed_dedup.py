@@ -149,8 +149,8 @@ def epsilon_join(classes: DataFrame, least: float, dims: int = 4, block: int = B
     # missing axes are zero: every vector is then in cell 0 of them
     first = np.zeros((dims, axes.shape[1]))
     first[: len(axes[:dims])] = axes[:dims]
-    kind = classes.schema["embedding"].dataType.simpleString()
-    schema = f"label int, embedding {kind}, least long, copies long, cells array<int>"
+    kind, label = (classes.schema[c].dataType.simpleString() for c in ("embedding", "label"))
+    schema = f"label {label}, embedding {kind}, least long, copies long, cells array<int>"
     placed = classes.mapInPandas(lambda it: _place(it, first, width), schema)
     # the last key spreads vectors of one cell over partitions; ids are stable once they are written
     order = ["label", *(F.col("cells")[i] for i in range(dims)), F.xxhash64("embedding")]
@@ -175,7 +175,7 @@ def epsilon_join(classes: DataFrame, least: float, dims: int = 4, block: int = B
 def embedding_duplicates(embeddings: DataFrame, least: float = 0.93) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
-    Rows link where their labels are equal and not null and their cosine reaches ``least``. Vectors that are null,
+    Rows link where their labels, of any type that can be sorted, are equal and not null and their cosine reaches ``least``. Vectors that are null,
     empty or zero or hold null, NaN or infinity link with nothing and are their own component, as are rows without
     a label. Equal vectors of a label are one class: its copies are counted, never paired. Shorter vectors count as
     filled up with zeros. ``kept`` marks the rows whose vec_id is their component's smallest.
@@ -183,7 +183,7 @@ def embedding_duplicates(embeddings: DataFrame, least: float = 0.93) -> DataFram
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
     kind = embeddings.schema["embedding"].dataType.simpleString()
     vector = F.col("embedding") if kind == "array<float>" else F.col("embedding").cast("array<double>")
-    rows = embeddings.select("vec_id", F.col("label").cast("int").alias("label"), vector.alias("embedding"))
+    rows = embeddings.select("vec_id", "label", vector.alias("embedding"))
     rows = rows.withColumn("sound", F.col("label").isNotNull() & F.col("embedding").isNotNull() & sound)
     good, rest = rows.where("sound"), rows.where("not coalesce(sound, false)")
     classes = settle(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")))
