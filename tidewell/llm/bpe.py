@@ -17,8 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm._common import spans, table
 
-#: Words, and runs between blanks, whose ids a task remembers: the first it meets; others are merged anew, which bounds its memory.
-REMEMBERED = 100_000
+#: Bytes that the remembered words, and runs between blanks, of a worker may take with their ids: the first it meets, kept
+#: from task to task; others are merged anew, which bounds its memory.
+REMEMBERED = 40 << 20
+#: What Python adds to a remembered string and its ids.
+OVERHEAD = 180
 CHARS_AT_ONCE = 500_000
 
 
@@ -53,6 +56,13 @@ class Tokenizer:
         self.final = [self.ids.get(s + self.suffix) for s in signs]
         self.words: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
+        self.held = 0
+
+    def _remember(self, known: dict[str, bytes], text: str, packed: bytes) -> None:
+        size = OVERHEAD + len(text) + len(packed)
+        if len(text) <= 64 and self.held + size <= REMEMBERED:
+            known[text] = packed
+            self.held += size
 
     def merge(self, word: str) -> list[int]:
         """The ids of one word.
@@ -91,12 +101,10 @@ class Tokenizer:
             if (packed := self.words.get(word)) is None:
                 ids = self.merge(word)
                 packed = struct.pack(f"<{len(ids)}I", *ids)
-                if len(self.words) < REMEMBERED and len(word) <= 64:
-                    self.words[word] = packed
+                self._remember(self.words, word, packed)
             out.append(packed)
         packed = b"".join(out)
-        if len(self.runs) < REMEMBERED and len(run) <= 64:
-            self.runs[run] = packed
+        self._remember(self.runs, run, packed)
         return packed
 
     def encode(self, text: str) -> bytes:
@@ -112,10 +120,6 @@ class Tokenizer:
                 out += [known[r] if r in known else self._run(r) for r in plain.split(" ")]
         return b"".join(out)
 
-    def forget(self) -> None:
-        self.words.clear()
-        self.runs.clear()
-
     def decode(self, packed: bytes) -> str:
         """The vocabulary strings of the ids with a blank between, as the file names no decoder of its own."""
         return " ".join(map(self.strings.__getitem__, np.frombuffer(packed, "<u4").tolist()))
@@ -170,7 +174,6 @@ def _mapped(docs: DataFrame, path: str, fields: str, made) -> DataFrame:
                 columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), added, strict=True)]
                 yield pa.RecordBatch.from_arrays(kept.slice(lo, hi - lo).columns + columns, kept.schema.names + [n for n, _ in added])
             pa.default_memory_pool().release_unused()
-        tokenizer.forget()  # a worker's memory is free again for the next stage
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     return docs.mapInArrow(run, ", ".join(x for x in (kept, fields) if x))
