@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.llm import bpe, chat, embed_dedup, langid, mixing, quality, sharding, simhash, topk, urls
+from tidewell.llm import bpe, chat, decontam, embed_dedup, langid, mixing, negatives, quality, runs, sharding, simhash, topk, urls
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
@@ -15,6 +15,16 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_url_filter": urls.op9_url_filter,
     "op10_simhash": simhash.op10_simhash,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_decontaminate": decontam.op12_decontaminate,
+    "op13_periodic_runs": runs.op13_periodic_runs,
 }
 
-SQL = {"op1_exact_topk": topk.OP1_SQL, "op3_embedding_dedup": embed_dedup.OP3_SQL, "op5_chat": chat.OP5_SQL, "op9_url_filter": urls.OP9_SQL}
+SQL = {
+    "op1_exact_topk": topk.OP1_SQL,
+    "op3_embedding_dedup": embed_dedup.OP3_SQL,
+    "op5_chat": chat.OP5_SQL,
+    "op9_url_filter": urls.OP9_SQL,
+    "op11_hard_negatives": negatives.OP11_SQL,
+    "op12_decontaminate": decontam.OP12_SQL,
+}

@@ -185,12 +185,13 @@ def top_k(
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def quantised(embeddings: DataFrame, scale: int = 64) -> DataFrame:
-    """(id, v) with v = floor(scale * component); vectors that are null or hold null, NaN or infinity are left out."""
+def quantised(embeddings: DataFrame, scale: int = 64, *more: Column) -> DataFrame:
+    """(id, v, more) with v = floor(scale * component); vectors that are null or hold null, NaN or infinity are left out."""
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return embeddings.where(F.col("embedding").isNotNull() & sound).select(
         F.col("vec_id").cast("long").alias("id"),
         F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double"))).alias("v"),
+        *more,
     )
 
 
