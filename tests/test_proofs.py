@@ -121,7 +121,7 @@ def test_model_p_values(rows):
     exact = rows("e12_binom_test").groupby(["src", "dst"]).p.min()
     ratio = rows("f8_likelihood_ratio").set_index(["src", "dst"]).p
     at = list(zip(got.src, got.dst, strict=True))
-    assert np.allclose(got.p_binom, exact.loc[at]) and np.allclose(got.p_lrt, ratio.loc[at]) and got.p_beta.between(1 / 201 - 1e-9, 1).all()
+    assert np.allclose(got.p_binom, exact.loc[at]) and np.allclose(got.p_lrt, ratio.loc[at], equal_nan=True) and got.p_beta.between(1 / 201 - 1e-9, 1).all()
 
 
 def test_beta_laws(rows):
@@ -164,6 +164,9 @@ def test_binned_regressions_stand_at_the_least(rows, events):
     assert seen > 40
     both = linear.pivot_table(index=["src", "dst"], columns="basis", values="nll")
     lrt = rows("f8_likelihood_ratio").set_index(["src", "dst"]).loc[both.index]
+    known = (both.B0 - both.B0B1).notna()
+    assert known.sum() > 40 and (lrt.p.notna() == known).all() and (lrt.stat.notna() == known).all()
+    lrt, both = lrt[known], both[known]
     assert np.allclose(lrt.stat, np.maximum(0, 2 * (both.B0 - both.B0B1)), atol=1e-6) and all(p == pytest.approx(math.erfc(math.sqrt(s / 2))) for p, s in zip(lrt.p, lrt.stat, strict=True))
 
 
@@ -190,7 +193,7 @@ def test_multivariate_fits_stand_at_the_least(rows, spark, driven):
     assert r.converged and r.sources == [1, 3] and (lam > 0).all() and np.allclose((w / lam) @ x, [800.0, 0, 0], atol=0.5)
     assert r.beta[1] == pytest.approx(4, rel=0.25) and abs(r.beta[2]) < 0.6
     for name, most in (("k16_multivariate_fit", 1), ("f9_multivariate_regression", 2)):
-        assert len(rows(name)) == 25 and all(len(r.beta) == 1 + most * len(r.sources) for r in rows(name).itertuples())
+        assert len(rows(name)) == 25 and all(len(r.beta) == 1 + most * len(r.sources) if r.converged else r.note for r in rows(name).itertuples())
 
 
 def test_discrete_fits_stand_at_the_least(spark, data, rows, events):
@@ -250,16 +253,17 @@ def test_trial_baselines(spark, driven, rows):
 
 def test_batches_come_near_the_whole_fit(rows):
     a, b = rows("k12_pooled_fit").set_index("group_id"), rows("k13_batch_fit").set_index("group_id")
-    assert all(abs(a.beta[g][0] - b.beta[g][0]) < 0.2 * a.beta[g][0] for g in a.index) and (b.n_iter < 26).all()
+    assert a.converged.all() and b.converged.all() and all(abs(a.beta[g][0] - b.beta[g][0]) < 0.05 * a.beta[g][0] for g in a.index)
     each = rows("k12_trial_group_fits")
-    assert len(each) == len(each.drop_duplicates(["trial_id", "group_id"])) and each.converged.mean() > 0.5
+    assert len(each) == len(each.drop_duplicates(["trial_id", "group_id"])) and each.converged.mean() > 0.9
+    assert (each.converged == each.note.isna()).all() and (each.note.dropna() == numeric.ENDLESS).all()
 
 
 def test_surrogate_heights(rows):
     got = rows("k14_surrogate_fits")
     assert (got.groupby(["src", "dst"]).size() == 201).all()
     own = got[got.rep == 0].merge(rows("k11_fit"), on=["src", "dst"])
-    both = own[own.converged_x & own.converged_y & (own.skipped == 0)]
+    both = own[own.converged_x & own.converged_y]
     assert len(both) > 30 and np.median(abs(both.h - both.beta.str[2])) < 1e-3
 
 
@@ -279,7 +283,8 @@ def test_filters(rows):
     fits = rows("k11_fit").set_index(["src", "dst"])
     for (src, dst), g in rows("k19_filters").groupby(["src", "dst"]):
         h = g.sort_values("pos").h.to_numpy()
-        assert np.allclose(h[:12], fits.beta[src, dst][2]) and not h[12:].any() and not g.se[g.pos >= 12].any()
+        assert fits.converged[src, dst] and np.allclose(h[:12], fits.beta[src, dst][2]) and not h[12:].any() and not g.se[g.pos >= 12].any()
+    assert len(rows("k19_filters")) == 24 * fits.converged.sum()
 
 
 def test_widths(spark, driven, rows):

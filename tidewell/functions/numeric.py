@@ -231,14 +231,95 @@ def newton(x: np.ndarray, weight: np.ndarray, integral: np.ndarray, offset: np.n
     return {"beta": b, "hessian": hess, "nll": float(nll), "n_iter": n, "converged": done, "skipped": skipped, "gradient": grad}
 
 
-def newton_best(x: np.ndarray, weight: np.ndarray, integral: np.ndarray, start: np.ndarray, **options) -> dict:
-    """newton(), and where that does not converge or leaves rows out, the same again from a constant rate with every
-    intensity kept positive."""
-    fit = newton(x, weight, integral, start=start, **options)
-    if not fit["converged"] or fit["skipped"]:
-        inside = newton(x, weight, integral, start=np.r_[weight.sum() / integral[0], np.zeros(len(start) - 1)], **options | {"steps": 500, "inside": True})
-        fit = inside if inside["converged"] or not fit["converged"] else fit
-    return fit
+#: Multiples of a Newton step that a line search tries at once, beside 1 / (1 + decrement), which is always safe.
+LENGTHS = [1024.0, 256.0, 64.0, 16.0, 4.0, 2.0, 1.0, 0.5, 0.25, 0.125, 2.0**-4, 2.0**-6, 2.0**-8, 2.0**-11]
+ENDLESS, UNSETTLED = "the likelihood rises without end", "not settled"
+
+
+def newton_direction(grad: np.ndarray, hess: np.ndarray, n: float) -> tuple[np.ndarray | None, float]:
+    """(step, decrement) of Newton's method for -sum w log(x b) + b.integral, over ``n`` events.
+
+    The decrement is the step's length in standard errors, whatever the columns' scales. Directions in which no intensity
+    changes are left alone; where the value falls along one of them it falls for ever, and there is no step.
+    """
+    size = np.sqrt(np.diag(hess))
+    size = np.where(size > 0, size, 1.0)
+    values, vectors = np.linalg.eigh(hess / np.outer(size, size))
+    held = values > 1e-11 * max(float(values[-1]), 1e-300)
+    slope = vectors.T @ (grad / size)
+    if (np.abs(slope[~held]) > 1e-6 * math.sqrt(max(n, 1.0))).any():
+        return None, math.inf
+    move = np.where(held, slope / np.where(held, values, 1.0), 0.0)
+    return (vectors @ move) / size, math.sqrt(max(0.0, float(slope @ move)))
+
+
+def newton_next(grad: np.ndarray, hess: np.ndarray, n: float, lightest: float, epsilon: float) -> tuple[str, np.ndarray | None, float]:
+    """(what, step, safe length) at coefficients where every intensity is positive.
+
+    ``what``: "end" (the step is below ``epsilon`` standard errors), "endless" (there is no least value), "step" (so
+    short that all of it keeps every intensity positive and lowers the value: the function is self-concordant) or "search".
+    """
+    step, decrement = newton_direction(grad, hess, n)
+    if step is None:
+        return "endless", None, 0.0
+    if decrement < epsilon:
+        return "end", step, 0.0
+    scaled = decrement / math.sqrt(min(1.0, lightest)) if lightest > 0 else math.inf
+    return ("step" if scaled < 0.25 else "search"), step, 1 / (1 + scaled)
+
+
+def newton_length(values: np.ndarray, lengths: np.ndarray, here: float, slope: float, falling: float, changing: float) -> float | None:
+    """The length of ``lengths`` with the least of ``values`` (inf: an intensity is not positive); 0 if none is below ``here``.
+
+    None if the value falls for ever along the step: no intensity falls (``falling`` of ``changing``, sums of relative
+    changes, is nothing) and the integral does not grow (``slope`` >= 0).
+    """
+    if slope >= -1e-12 * changing and falling <= 1e-10 * changing:
+        return None
+    best = int(np.argmin(values))
+    return float(lengths[best]) if values[best] < here else 0.0
+
+
+def newton_best(x: np.ndarray, weight: np.ndarray, integral: np.ndarray, steps: int = 100, epsilon: float = 1e-7) -> dict:
+    """The coefficients with the least -sum w log(x b) + b.integral with every intensity positive; column 0 is constant.
+
+    Newton's method from a constant rate, with line searches while steps are long. The value is convex, so where it has
+    a least value that is found; where it has none, ``note`` says so and there are no coefficients.
+    """
+    k, n = x.shape[1], float(weight.sum())
+    b = np.zeros(k)
+    b[0] = n / integral[0]
+    lightest, note = float(weight.min()), UNSETTLED
+    out = {"beta": None, "hessian": None, "nll": None, "n_iter": 0, "converged": False, "note": None}
+    for it in range(steps + 1):
+        lam = x @ b
+        z = x / lam[:, None]
+        value = float(-(weight * np.log(lam)).sum() + b @ integral)
+        grad, hess = integral - weight @ z, (z * weight[:, None]).T @ z
+        out["n_iter"] = it
+        what, step, safe = newton_next(grad, hess, n, lightest, epsilon)
+        if what == "end":
+            return out | {"beta": b, "hessian": hess, "nll": value, "converged": True}
+        if what == "endless":
+            note = ENDLESS
+            break
+        length = 1.0
+        if what == "search":
+            fall = x @ step
+            lengths = np.array([*LENGTHS, safe])
+            to = lam[:, None] - lengths * fall[:, None]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                logs = np.where(to > 0, -np.log(np.where(to > 0, to, 1.0)), np.inf)
+            values = weight @ logs + b @ integral - lengths * (step @ integral)
+            relative = weight * fall / lam
+            length = newton_length(values, lengths, value, float(step @ integral), float(np.maximum(relative, 0).sum()), float(np.abs(relative).sum()))
+            if length is None:
+                note = ENDLESS
+                break
+            if length == 0:
+                break
+        b = b - length * step
+    return out | {"note": note}
 
 
 def newton_exp(x: np.ndarray, y: np.ndarray, exposure: np.ndarray, steps: int = 100, epsilon: float = 1e-8) -> dict:

@@ -16,14 +16,14 @@ from pyspark.sql.window import Window
 
 from tidewell.functions.columns import uniform
 from tidewell.functions.numeric import newton, newton_best
+from tidewell.operators.newton import FIT, Columns, minimise
 from tidewell.operators.testing import wald_p
 from tidewell.sources.shared import settle
 
-FIT = "beta array<double>, hessian array<array<double>>, nll double, n_iter int, converged boolean, skipped int"
-
 
 def _row(fit: dict) -> dict:
-    return {"beta": fit["beta"].tolist(), "hessian": fit["hessian"].tolist(), **{k: fit[k] for k in ("nll", "n_iter", "converged", "skipped")}}
+    whole = {"beta": None, "hessian": None} if fit["beta"] is None else {"beta": fit["beta"].tolist(), "hessian": fit["hessian"].tolist()}
+    return whole | {k: fit[k] for k in ("nll", "n_iter", "converged", "note")}
 
 
 #: Design rows of a key that one task fits; keys with more are fitted by sums, pass after pass.
@@ -36,21 +36,21 @@ def compress(design: DataFrame, keys: list[str], columns: list[str]) -> DataFram
 
 
 def fit_by_key(design: DataFrame, keys: list[str], columns: list[str], integral: list[float], most_rows: int = MOST_ROWS, **options) -> DataFrame:
-    """(keys, beta, hessian, nll, n_iter, converged, skipped): a Newton fit for every key. Column 0 is the constant;
-    it starts at the key's mean rate, the others at 0.1.
+    """(keys, beta, hessian, nll, n_iter, converged, note): the best fit for every key with every intensity positive.
 
-    Keys of at most ``most_rows`` rows are fitted in a task each; larger ones by newton_by_sums, which comes to the same.
-    A fit in a task that does not converge, or leaves out events whose intensity is not positive, is done again from a
-    constant rate, with every intensity kept positive. Where no rate is best - the y events all lie to one side of the
-    columns' mean - no fit converges.
+    Column 0 is the constant; a fit starts at the key's mean rate. Keys of at most ``most_rows`` rows are fitted in a task
+    each, larger ones by sums over Spark: the same steps either way, so the size of a key changes nothing. Where no rate
+    is best - the y events all lie to one side of the columns' mean, and the likelihood rises without end - ``note``
+    says so and there are no coefficients.
     """
     rows = settle(design.select(*keys, *columns, "w"))
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("size"))
     if (sizes.agg(F.max("size")).first()[0] or 0) <= most_rows:
         return _fit_groups(rows, keys, columns, integral, **options)
     large = sizes.where(F.col("size") > most_rows).select(*keys)
+    totals = large.select(*keys, _array(integral).alias("total"))
     return _fit_groups(rows.join(large, keys, "left_anti"), keys, columns, integral, **options).unionByName(
-        newton_by_sums(rows.join(large, keys, "left_semi"), keys, columns, large.select(*keys, _array(integral).alias("total")), **options)
+        newton_by_sums(rows.join(large, keys, "left_semi"), keys, columns, totals, **options)
     )
 
 
@@ -64,63 +64,21 @@ def _fit_groups(rows: DataFrame, keys: list[str], columns: list[str], integral:
     total = np.array(integral, float)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = pdf["w"].to_numpy(float)
-        start = np.full(len(columns), 0.1)
-        start[0] = w.sum() / total[0]
-        fit = newton_best(pdf[columns].to_numpy(float), w, total, start, **options)
+        fit = newton_best(pdf[columns].to_numpy(float), pdf["w"].to_numpy(float), total, **options)
         return pd.DataFrame([{k: pdf[k].iloc[0] for k in keys} | _row(fit)])
 
     return rows.groupBy(*keys).applyInPandas(run, fields)
 
 
-def newton_by_sums(rows: DataFrame, keys: list[str], columns: list[str], totals: DataFrame, steps: int = 60, rate: float = 0.9, epsilon: float = 1e-5,
-                   batch: Callable[[DataFrame, int], DataFrame] | None = None, flat: float | None = None) -> DataFrame:
-    """The same fits for keys of any size: a Newton step of all keys is one aggregation of k (k + 1) / 2 + k + 2 sums a key.
+def newton_by_sums(rows: DataFrame, keys: list[str], columns: list[str], totals: DataFrame,
+                   batch: Callable[[DataFrame, int], DataFrame] | None = None, **options) -> DataFrame:
+    """The same fits for keys of any size: a Newton step of all keys is one aggregation, or two while steps are long.
 
-    ``totals``: keys, total (the integral, an array). Coefficients stay a DataFrame, one row a key, joined back at each
-    step; a k x k system is solved in that row. ``batch``: the rows of a step, for training on samples of trials; then
-    ``flat`` ends a fit whose nll changes by less than that share in a step.
+    ``totals``: keys, total (the integral, an array). ``batch``: the rows of a step, for training on samples of trials.
     """
-    k, kinds = len(columns), dict(rows.dtypes)
-    fields = ", ".join([*[f"{c} {kinds[c]}" for c in keys], "total array<double>", FIT, "done boolean"])
     begun = rows.groupBy(*keys).agg(F.sum("w").cast("double").alias("n")).join(totals, keys)
-    none = F.lit(None)
-    state = settle(begun.select(
-        *keys, "total", F.concat(F.array(F.col("n") / F.col("total")[0]), _array([0.1] * (k - 1))).alias("beta"), none.cast("array<array<double>>").alias("hessian"),
-        none.cast("double").alias("nll"), F.lit(0).alias("n_iter"), F.lit(False).alias("converged"), F.lit(0).alias("skipped"), F.lit(False).alias("done"),
-    ))
-    lam = sum((F.col(c) * F.col("beta")[i] for i, c in enumerate(columns)), F.lit(0.0))
-    ok = F.col("lam") > 0
-    z = [F.when(ok, F.col(c) / F.col("lam")) for c in columns]
-    sums = [F.sum(F.when(ok, -F.col("w") * F.ln("lam"))).alias("s_nll"), F.sum(F.when(ok, 0).otherwise(F.col("w"))).cast("double").alias("s_skipped")]
-    sums += [F.sum(F.col("w") * z[i]).alias(f"g{i}") for i in range(k)] + [F.sum(F.col("w") * z[i] * z[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
-
-    def moved(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        out = r[[*keys, "total", "beta", "nll", "n_iter", "converged", "skipped", "done"]].to_dict()
-        out["hessian"] = None if r["hessian"] is None else [list(row) for row in r["hessian"]]
-        if r["done"] or pd.isna(r["s_nll"]):
-            return pd.DataFrame([out | {"done": True}])
-        total, beta = np.array(r["total"]), np.array(r["beta"])
-        h = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
-        nll = float(r["s_nll"] + beta @ total)
-        steady = flat is not None and not pd.isna(r["nll"]) and abs(nll - r["nll"]) <= flat * abs(nll)
-        out |= {"hessian": h.tolist(), "nll": nll, "skipped": int(r["s_skipped"]), "converged": bool(r["converged"] or steady)}
-        if out["converged"] or r["n_iter"] == steps:
-            return pd.DataFrame([out | {"done": True}])
-        g = total - np.array([r[f"g{i}"] for i in range(k)], float)
-        move = np.linalg.solve(h if np.linalg.matrix_rank(h) == k else h + 0.01 * np.eye(k), g)
-        size = np.abs(move).sum()
-        move *= rate * (5 / size if size > 5 else 1)
-        return pd.DataFrame([out | {"beta": (beta - move).tolist(), "n_iter": int(r["n_iter"]) + 1, "converged": bool(np.abs(move).sum() < epsilon)}])
-
-    for step in range(steps + 1):
-        now = rows if batch is None else batch(rows, step)
-        met = now.join(state.where("not done").select(*keys, "beta"), keys).withColumn("lam", lam).groupBy(*keys).agg(*sums)
-        state = settle(state.join(met, keys, "left").groupBy(*keys).applyInPandas(moved, fields))
-        if not state.where("not done").limit(1).count():
-            break
-    return state.drop("total", "done")
+    rate = F.concat(F.array(F.col("n") / F.col("total")[0]), _array([0.0] * (len(columns) - 1)))
+    return minimise(Columns(rows, keys, columns, batch), keys, begun.select(*keys, "total", rate.alias("beta")), **options)
 
 
 def inference(fits: DataFrame, index: int) -> DataFrame:
@@ -153,10 +111,10 @@ def gradient_at(design: DataFrame, keys: list[str], columns: list[str], beta: Da
     return joined.withColumn("lam", lam).where("lam > 0").groupBy(*keys).agg(*sums)
 
 
-def pooled_fit(design: DataFrame, keys: list[str], columns: list[str], totals: DataFrame, steps: int = 25, **options) -> DataFrame:
-    """(keys, beta, hessian, nll, n_iter, converged, skipped) of pooled models - a group, a (trial, group), a (pair, group) -
+def pooled_fit(design: DataFrame, keys: list[str], columns: list[str], totals: DataFrame, **options) -> DataFrame:
+    """(keys, beta, hessian, nll, n_iter, converged, note) of pooled models - a group, a (trial, group), a (pair, group) -
     by newton_by_sums, however many rows a model or models there are."""
-    return newton_by_sums(settle(design), keys, columns, totals, steps=steps, **options)
+    return newton_by_sums(settle(design), keys, columns, totals, **options)
 
 
 def trial_batch(share: float, seed: int = 0) -> Callable[[DataFrame, int], DataFrame]:
@@ -296,8 +254,8 @@ def fit_multivariate(design: DataFrame, columns: list[str], integral: list[float
         w = pdf.groupby(["trial_id", "y_us"])["w"].first().to_numpy(float)
         x = np.column_stack([np.ones(len(wide))] + [wide[(c, s)].to_numpy(float) for s in sources for c in columns])
         total = np.r_[integral[0], np.tile(np.array(integral[1:], float), len(sources))]
-        fit = newton_best(x, w, total, start=np.r_[w.sum() / integral[0], np.full(x.shape[1] - 1, 0.01)])
-        return pd.DataFrame([{"dst": pdf["dst"].iloc[0], "sources": [int(s) for s in sources], "beta": fit["beta"].tolist(), "nll": fit["nll"], "converged": fit["converged"]}])
+        fit = newton_best(x, w, total)
+        return pd.DataFrame([{"dst": pdf["dst"].iloc[0], "sources": [int(s) for s in sources]} | _row(fit)])
 
     return design.groupBy("dst").applyInPandas(run, "dst long, sources array<long>, beta array<double>, nll double, converged boolean")
 

@@ -149,7 +149,7 @@ def fitted(t: Tables) -> DataFrame:
 
 @query("k11_fit")
 def k11(t: Tables) -> DataFrame:
-    return fitted(t).select("src", "dst", "beta", "nll", "n_iter", "converged", "skipped")
+    return fitted(t).select("src", "dst", "beta", "nll", "n_iter", "converged", "note")
 
 
 #: A fit is the point at which the gradient is 0, which SQL can state without fitting. There is none where all y events
@@ -159,7 +159,7 @@ SELECT src, dst, greatest(coalesce(max(g), 0), 2 * pi() - max(a) + min(a)) < pi(
 def k11b(t: Tables) -> DataFrame:
     """Which fits converge, and their gradients, from rows that joins and sums evaluate, as shares of their terms."""
     d = fit.settle(standard(t))
-    fits = fit.settle(fit.fit_by_key(d, ["src", "dst"], COLUMNS, integral(t), epsilon=1e-8, steps=200))
+    fits = fit.settle(fit.fit_by_key(d, ["src", "dst"], COLUMNS, integral(t)))
     g = fit.gradient_at(d, ["src", "dst"], COLUMNS, fits.select("src", "dst", "beta"), integral(t))
     scale = d.groupBy("src", "dst").agg(*[F.sum(F.col("w") * F.abs(c)).alias(f"a{i}") for i, c in enumerate(COLUMNS)])
     both = fits.join(g, ["src", "dst"], "left").join(scale, ["src", "dst"])
@@ -185,15 +185,15 @@ def group_totals(t: Tables, *keys: str) -> DataFrame:
 @query("k12_pooled_fit")
 def k12(t: Tables) -> DataFrame:
     """One model a group over all its cells: every step is one aggregation for all five."""
-    fits = fit.pooled_fit(grouped_design(t), ["group_id"], COLUMNS, group_totals(t, "group_id"), epsilon=1e-8, steps=60)
-    return fits.select("group_id", "beta", "nll", "n_iter", "converged")
+    fits = fit.pooled_fit(grouped_design(t), ["group_id"], COLUMNS, group_totals(t, "group_id"))
+    return fits.select("group_id", "beta", "nll", "n_iter", "converged", "note")
 
 
 #: As for the fits of pairs: the gradient of every pooled model is 0.
 @query("k12_pooled_gradient", " SELECT DISTINCT group_id, true AS converged, 0.0::DOUBLE AS g0, 0.0::DOUBLE AS g1, 0.0::DOUBLE AS g2 FROM membership WHERE group_id IS NOT NULL", ("membership",))
 def k12b(t: Tables) -> DataFrame:
     d, totals = fit.settle(grouped_design(t)), group_totals(t, "group_id")
-    fits = fit.pooled_fit(d, ["group_id"], COLUMNS, totals, epsilon=1e-8, steps=60)
+    fits = fit.pooled_fit(d, ["group_id"], COLUMNS, totals)
     g = fit.gradient_at(d, ["group_id"], COLUMNS, fits.select("group_id", "beta"), [0.0, 0.0, 0.0]).join(totals, "group_id")
     terms = [(F.col(f"g{i}") + F.col("total")[i]) / F.col("total")[0] for i in range(3)]
     return rounded(fits.select("group_id", "converged").join(g, "group_id").select("group_id", "converged", *[x.alias(f"g{i}") for i, x in enumerate(terms)]), "g0", "g1", "g2", digits=4)
@@ -203,14 +203,14 @@ def k12b(t: Tables) -> DataFrame:
 def k12c(t: Tables) -> DataFrame:
     """A model for every trial and group."""
     keys = ["trial_id", "group_id"]
-    return fit.pooled_fit(grouped_design(t), keys, COLUMNS, group_totals(t, *keys)).select(*keys, "beta", "nll", "n_iter", "converged")
+    return fit.pooled_fit(grouped_design(t), keys, COLUMNS, group_totals(t, *keys)).select(*keys, "beta", "nll", "n_iter", "converged", "note")
 
 
 @query("k13_batch_fit")
 def k13(t: Tables) -> DataFrame:
-    """Half of the trials a step; a fit ends when its nll changes by less than a share of 1e-4."""
-    fits = fit.pooled_fit(grouped_design(t), ["group_id"], COLUMNS, group_totals(t, "group_id"), batch=fit.trial_batch(0.5), flat=1e-4)
-    return fits.select("group_id", "beta", "nll", "n_iter", "converged")
+    """Half of the trials a step; a fit ends when the mean nll of its batches changes by less than a share of 1e-3."""
+    fits = fit.pooled_fit(grouped_design(t), ["group_id"], COLUMNS, group_totals(t, "group_id"), batch=fit.trial_batch(0.5), flat=1e-3)
+    return fits.select("group_id", "beta", "nll", "n_iter", "converged", "note")
 
 
 @query("k14_surrogate_fits")
@@ -258,7 +258,7 @@ def k19(t: Tables) -> DataFrame:
     def inverse(hessian: pd.Series) -> pd.Series:
         return hessian.map(lambda h: np.linalg.pinv(np.array([list(r) for r in h])).tolist())
 
-    fits = fitted(t).withColumn("cov", inverse("hessian"))
+    fits = fitted(t).where("converged").withColumn("cov", inverse("hessian"))
     return fit.reconstruct(fits, [[0.0, 0.0, 1.0 if i < 12 else 0.0] for i in range(24)])
 
 
@@ -496,21 +496,23 @@ def linear_fits(t: Tables, bases: list[str]) -> DataFrame:
         for basis in bases:
             x = np.column_stack([np.ones(len(pdf)), pdf[BASES[basis]]])
             area = np.array([total] + [n_x] * len(BASES[basis]))
-            f = numeric.newton_best(x, w, area, start=np.r_[w.sum() / total, [0.01] * len(BASES[basis])])
-            out.append({"src": pdf["src"].iloc[0], "dst": pdf["dst"].iloc[0], "basis": basis, "beta": f["beta"].tolist(), "nll": f["nll"], "converged": f["converged"]})
+            f = numeric.newton_best(x, w, area)
+            beta = None if f["beta"] is None else f["beta"].tolist()
+            out.append({"src": pdf["src"].iloc[0], "dst": pdf["dst"].iloc[0], "basis": basis, "beta": beta, "nll": f["nll"], "converged": f["converged"]})
         return pd.DataFrame(out)
 
     return lrt_rows(t).groupBy("src", "dst").applyInPandas(run, "src long, dst long, basis string, beta array<double>, nll double, converged boolean")
 
 
 def lrt(t: Tables) -> DataFrame:
-    """(src, dst, nll0, nll1, stat, p): constant and jitter mean against the same with x itself."""
+    """(src, dst, nll0, nll1, stat, p): constant and jitter mean against the same with x itself; null where one has no best fit."""
     side = linear_fits(t, ["B0", "B0B1"]).groupBy("src", "dst").pivot("basis", ["B0", "B0B1"]).agg(F.first("nll")).toDF("src", "dst", "nll0", "nll1")
-    stat = F.greatest(2 * (F.col("nll0") - F.col("nll1")), F.lit(0.0))
+    ratio = 2 * (F.col("nll0") - F.col("nll1"))
+    stat = F.when(ratio.isNotNull(), F.greatest(ratio, F.lit(0.0)))
 
     @F.pandas_udf("double")
     def tail(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: math.erfc(math.sqrt(v / 2)))
+        return x.map(lambda v: math.erfc(math.sqrt(v / 2)) if v == v else None)
 
     return side.withColumn("stat", stat).withColumn("p", tail("stat"))
 
@@ -590,7 +592,7 @@ def w3(t: Tables) -> DataFrame:
     for _ in range(2):
         cells = member.where("group_id is not null").select("src", "dst", "trial_id", "group_id")
         totals = cells.groupBy("group_id").agg(F.array(F.count("*") * HOURS, F.lit(0.0), F.lit(0.0)).alias("total"))
-        pooled = fit.pooled_fit(d.join(cells, ["src", "dst", "trial_id"]), ["group_id"], COLUMNS, totals, steps=10)
+        pooled = fit.pooled_fit(d.join(cells, ["src", "dst", "trial_id"]), ["group_id"], COLUMNS, totals)
         shares = {r.group_id: r.portion for r in fit.portions(member).collect()}
         heights = {r.group_id: r.h for r in pooled.select("group_id", F.col("beta")[2].alias("h")).collect()}  # five groups
         best = fit.update_membership(t.pairs, fit.membership_nlls(d, heights, shares, integral(t)[:2]))
