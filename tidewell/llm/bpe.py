@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewell.llm._common import spans, table
 
 #: Bytes that the remembered words, and runs between blanks, of a worker may take with their ids: the first it meets, kept
-#: from task to task; others are merged anew, which bounds its memory.
-REMEMBERED = 40 << 20
+#: from task to task; others are merged anew, which bounds its memory. A run is a word with signs around it, so words
+#: repeat more often, and get the larger part.
+REMEMBERED_WORDS, REMEMBERED_RUNS = 96 << 20, 24 << 20
 #: What Python adds to a remembered string and its ids.
 OVERHEAD = 180
 CHARS_AT_ONCE = 500_000
@@ -56,13 +57,13 @@ class Tokenizer:
         self.final = [self.ids.get(s + self.suffix) for s in signs]
         self.words: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
-        self.held = 0
+        self.left = {id(self.words): REMEMBERED_WORDS, id(self.runs): REMEMBERED_RUNS}
 
     def _remember(self, known: dict[str, bytes], text: str, packed: bytes) -> None:
         size = OVERHEAD + len(text) + len(packed)
-        if len(text) <= 64 and self.held + size <= REMEMBERED:
+        if len(text) <= 64 and size <= self.left[id(known)]:
             known[text] = packed
-            self.held += size
+            self.left[id(known)] -= size
 
     def merge(self, word: str) -> list[int]:
         """The ids of one word.
