@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import numeric
-from tidewell.operators import ccg, design, fit, graph, series, synchrony
+from tidewell.operators import ccg, design, fit, graph, multivariate, series, synchrony
 from tests.test_operators import points, simulated
 from tidewell.plans import correlograms, inference, regressions  # noqa: F401  they register their queries
 from tidewell.plans.catalog import BIN, BINS, QUERIES, Tables
@@ -185,7 +185,7 @@ def test_exponential_link_stands_at_the_least(rows, events):
 def test_multivariate_fits_stand_at_the_least(rows, spark, driven):
     pairs = spark.createDataFrame([(1, 2), (3, 2)], "src long, dst long")
     d = design.standard_design(driven, pairs, TRIALS, LENGTH, LAG, 500_000, 1e6).select("src", "dst", "trial_id", "y_us", "w", "filter")
-    r = fit.fit_multivariate(d, ["filter"], [TRIALS * LENGTH / 1e6, 0.0]).first()
+    r = multivariate.fit_multivariate(d, ["filter"], [TRIALS * LENGTH / 1e6, 0.0]).first()
     wide = d.toPandas().pivot_table(index=["trial_id", "y_us"], columns="src", values="filter")
     x = np.column_stack([np.ones(len(wide)), wide[1], wide[3]])
     w = d.where("src = 1").toPandas().set_index(["trial_id", "y_us"]).w.loc[wide.index].to_numpy(float)

@@ -1,7 +1,7 @@
 """Fitting linear-intensity models: per pair, pooled, with memberships; intensities and goodness of fit.
 
-fit_by_key and pooled_fit take keys of any size. Chains, memberships, baselines a trial, decay rates and multivariate
-fits work on the y events of one pair (of one target) in one task.
+fit_by_key and pooled_fit take keys of any size. Chains, memberships, baselines a trial and decay rates work on the y events
+of one pair in one task. Fits of several sources are in operators.multivariate.
 """
 
 from __future__ import annotations
@@ -242,24 +242,6 @@ def fit_exponential(points_pairs: DataFrame, trial: float, n_trials: int, rate:
     return points_pairs.groupBy("src", "dst").applyInPandas(run, "src long, dst long, beta0 double, alpha double, rate double, nll double, n_iter int, converged boolean")
 
 
-def fit_multivariate(design: DataFrame, columns: list[str], integral: list[float]) -> DataFrame:
-    """(dst, sources, beta, nll, converged): several sources of one target in one fit.
-
-    ``design``: (dst, trial_id, y_us, w, src, columns); each source brings a block of ``columns`` of its own, beside
-    one constant.
-    """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sources = sorted(pdf["src"].unique())
-        wide = pdf.pivot_table(index=["trial_id", "y_us"], columns="src", values=columns, fill_value=0.0)
-        w = pdf.groupby(["trial_id", "y_us"])["w"].first().to_numpy(float)
-        x = np.column_stack([np.ones(len(wide))] + [wide[(c, s)].to_numpy(float) for s in sources for c in columns])
-        total = np.r_[integral[0], np.tile(np.array(integral[1:], float), len(sources))]
-        fit = newton_best(x, w, total)
-        return pd.DataFrame([{"dst": pdf["dst"].iloc[0], "sources": [int(s) for s in sources]} | _row(fit)])
-
-    return design.groupBy("dst").applyInPandas(run, "dst long, sources array<long>, beta array<double>, nll double, converged boolean")
-
-
 def fit_blocks(design: DataFrame, trial: float, ridge: float = 0.01, steps: int = 60, rate: float = 0.9) -> DataFrame:
     """(src, dst, filter, baselines): a baseline of its own for each trial, with a ridge, and one filter height.
 

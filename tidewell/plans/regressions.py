@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import numeric
 from tidewell.functions.columns import sql_norm_cdf, sql_uniform
-from tidewell.operators import binning, design, fit, graph, pairs, select, testing, trains
+from tidewell.operators import binning, design, fit, graph, multivariate, pairs, select, testing, trains
 from tidewell.plans.basics import rates
 from tidewell.plans.catalog import BIN, BINS, LENGTH, REPS, WIDTH, WINDOW_BINS, Tables, query, rounded
 from tidewell.sources.adapters import DAY, HOUR
@@ -235,7 +235,7 @@ def k15(t: Tables) -> DataFrame:
 
 @query("k16_multivariate_fit")
 def k16(t: Tables) -> DataFrame:
-    return fit.fit_multivariate(standard(t).select("dst", "trial_id", "y_us", "w", "src", "filter"), ["filter"], [integral(t)[0], 0.0])
+    return multivariate.fit_multivariate(standard(t).select("dst", "trial_id", "y_us", "w", "src", "filter"), ["filter"], [integral(t)[0], 0.0])
 
 
 @query("k17_nll", DESIGN + f""", b AS (SELECT dst, sum(w) / (24.0 * (SELECT count(*) FROM trials)) AS b0 FROM (SELECT DISTINCT dst, trial_id, y_us, w FROM yr) GROUP BY ALL)
@@ -570,7 +570,13 @@ def f9(t: Tables) -> DataFrame:
     mean = t.bins.groupBy(F.col("unit_id").alias("src")).agg((F.sum("n") / (BINS * t.n_trials)).alias("m"))
     d = y.join(x, ["src", "trial_id", "y_us"], "left").join(xw, ["src", "trial_id", "window"], "left").join(mean, "src").fillna(0.0, ["x", "wx"])
     d = d.withColumns({"x": F.col("x") - F.col("m"), "wx": F.col("wx") - F.col("m")})
-    return fit.fit_multivariate(d.select("dst", "trial_id", "y_us", "w", "src", "wx", "x"), ["wx", "x"], [float(BINS * t.n_trials), 0.0, 0.0])
+    return multivariate.fit_multivariate(d.select("dst", "trial_id", "y_us", "w", "src", "wx", "x"), ["wx", "x"], [float(BINS * t.n_trials), 0.0, 0.0])
+
+
+@query("f9_jitter_test")
+def f9b(t: Tables) -> DataFrame:
+    """Every source's coefficient beside all other sources of its target, against REPS joint surrogates of the sources."""
+    return multivariate.jitter_test(t.points, t.pairs, WINDOW_BINS * BIN, REPS, BIN, BINS, t.n_trials)
 
 
 @query("w1_network")
