@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import numeric
-from tidewell.operators import ccg, design, fit, graph, multivariate, series, synchrony
+from tidewell.operators import baselines, ccg, design, fit, graph, multivariate, series, synchrony
 from tests.test_operators import points, simulated
 from tidewell.plans import correlograms, inference, regressions  # noqa: F401  they register their queries
 from tidewell.plans.catalog import BIN, BINS, QUERIES, Tables
@@ -240,15 +240,17 @@ def test_self_coupling(rows, spark, data, events):
 
 def test_trial_baselines(spark, driven, rows):
     d = design.standard_design(driven, spark.createDataFrame([(1, 2)], "src long, dst long"), TRIALS, LENGTH, LAG, 500_000, 1e6)
-    r, own = fit.fit_blocks(d, LENGTH / 1e6).first(), d.toPandas()
+    r, own = baselines.fit_baselines(d, LENGTH / 1e6).first(), d.toPandas()
     base = {b["trial_id"]: b["value"] for b in r.baselines}
     lam = own.trial_id.map(base).to_numpy() + r.filter * own["filter"].to_numpy()
-    assert (lam > 0).all() and len(base) == TRIALS and r.filter == pytest.approx(4, rel=0.25)
+    assert r.converged and (lam > 0).all() and len(base) == TRIALS and r.filter == pytest.approx(4, rel=0.25)
     for k, a in base.items():
         here = (own.trial_id == k).to_numpy()
-        assert (own.w[here] / lam[here]).sum() == pytest.approx(LENGTH / 1e6 + 0.01 * a, abs=0.01)
-    assert ((own.w * own["filter"]) / lam).sum() == pytest.approx(0, abs=0.05)
-    assert len(rows("k4_trial_blocks")) == 375
+        assert (own.w[here] / lam[here]).sum() == pytest.approx(LENGTH / 1e6 + 0.01 * a, abs=1e-6)
+    assert ((own.w * own["filter"]) / lam).sum() == pytest.approx(0, abs=1e-5)
+    assert r.nll == pytest.approx(-(own.w * np.log(lam)).sum() + sum(a * LENGTH / 1e6 + 0.005 * a * a for a in base.values()))
+    got = rows("k4_trial_blocks")
+    assert len(got) == 375 and (got.converged == got.note.isna()).all() and (got.note.dropna() == numeric.ENDLESS).all() and got.converged.mean() > 0.5
 
 
 def test_batches_come_near_the_whole_fit(rows):

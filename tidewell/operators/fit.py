@@ -1,7 +1,7 @@
 """Fitting linear-intensity models: per pair, pooled, with memberships; intensities and goodness of fit.
 
-fit_by_key and pooled_fit take keys of any size. Chains, memberships, baselines a trial and decay rates work on the y events
-of one pair in one task. Fits of several sources are in operators.multivariate.
+fit_by_key and pooled_fit take keys of any size. Chains, memberships and decay rates work on the y events of one pair in
+one task. Fits of several sources are in operators.multivariate, baselines a trial in operators.baselines.
 """
 
 from __future__ import annotations
@@ -242,34 +242,6 @@ def fit_exponential(points_pairs: DataFrame, trial: float, n_trials: int, rate:
     return points_pairs.groupBy("src", "dst").applyInPandas(run, "src long, dst long, beta0 double, alpha double, rate double, nll double, n_iter int, converged boolean")
 
 
-def fit_blocks(design: DataFrame, trial: float, ridge: float = 0.01, steps: int = 60, rate: float = 0.9) -> DataFrame:
-    """(src, dst, filter, baselines): a baseline of its own for each trial, with a ridge, and one filter height.
-
-    The Hessian is an arrow: diagonal in the baselines, one border for the filter, so a step needs no matrix.
-    """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, index = np.unique(pdf["trial_id"], return_inverse=True)
-        w, f = pdf["w"].to_numpy(float), pdf["filter"].to_numpy(float)
-        a, h = np.bincount(index, w) / trial, 0.1
-        for _ in range(steps):
-            lam = a[index] + h * f
-            ok = lam > 0
-            z = np.where(ok, w / np.where(ok, lam, 1), 0)
-            z2 = np.where(ok, w / np.where(ok, lam, 1) ** 2, 0)
-            ga, gh = -np.bincount(index, z) + trial + ridge * a, -(z * f).sum()
-            d, border, corner = np.bincount(index, z2) + ridge, np.bincount(index, z2 * f), (z2 * f * f).sum()
-            dh = (gh - (border * ga / d).sum()) / max(corner - (border**2 / d).sum(), 1e-9)
-            da = (ga - border * dh) / d
-            size = np.abs(da).sum() + abs(dh)
-            scale = rate * (5 / size if size > 5 else 1)
-            a, h = a - scale * da, h - scale * dh
-            if scale * size < 1e-5:
-                break
-        return pd.DataFrame([{"src": pdf["src"].iloc[0], "dst": pdf["dst"].iloc[0], "filter": float(h), "baselines": [{"trial_id": int(k), "value": float(v)} for k, v in zip(t, a, strict=True)]}])
-
-    return design.groupBy("src", "dst").applyInPandas(run, "src long, dst long, filter double, baselines array<struct<trial_id: bigint, value: double>>")
-
-
 def reconstruct(fits: DataFrame, basis: list[list[float]]) -> DataFrame:
     """(src, dst, pos, h, se): filter and standard error on a grid, h = B beta and se = sqrt diag(B V B').
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import numeric
 from tidewell.functions.columns import sql_norm_cdf, sql_uniform
-from tidewell.operators import binning, design, fit, graph, multivariate, pairs, select, testing, trains
+from tidewell.operators import baselines, binning, design, fit, graph, multivariate, pairs, select, testing, trains
 from tidewell.plans.basics import rates
 from tidewell.plans.catalog import BIN, BINS, LENGTH, REPS, WIDTH, WINDOW_BINS, Tables, query, rounded
 from tidewell.sources.adapters import DAY, HOUR
@@ -93,7 +93,7 @@ def k4(t: Tables) -> DataFrame:
 
 @query("k4_trial_blocks")
 def k4b(t: Tables) -> DataFrame:
-    return fit.fit_blocks(standard(t), HOURS)
+    return baselines.fit_baselines(standard(t), HOURS)
 
 
 @query("k5_jitter_mean", TRAINS + """, xw AS (SELECT unit_id AS src, trial_id, t_us // 14400000000 AS win, count(*) AS n FROM points GROUP BY ALL)
@@ -189,14 +189,18 @@ def k12(t: Tables) -> DataFrame:
     return fits.select("group_id", "beta", "nll", "n_iter", "converged", "note")
 
 
-#: As for the fits of pairs: the gradient of every pooled model is 0.
-@query("k12_pooled_gradient", " SELECT DISTINCT group_id, true AS converged, 0.0::DOUBLE AS g0, 0.0::DOUBLE AS g1, 0.0::DOUBLE AS g2 FROM membership WHERE group_id IS NOT NULL", ("membership",))
+#: As for the fits of pairs: which models have a best fit follows from the directions of their rows, and there the gradient is 0.
+@query("k12_pooled_gradient", DESIGN + """, gz AS (SELECT group_id, nuisance, filter FROM dz JOIN membership USING (src, dst, trial_id) WHERE group_id IS NOT NULL),
+an AS (SELECT group_id, atan2(filter, nuisance) AS a FROM gz), gp AS (SELECT group_id, a - lag(a) OVER (PARTITION BY group_id ORDER BY a) AS g, a FROM an)
+SELECT group_id, greatest(coalesce(max(g), 0), 2 * pi() - max(a) + min(a)) < pi() AS converged, 0.0::DOUBLE AS g0, 0.0::DOUBLE AS g1, 0.0::DOUBLE AS g2 FROM gp GROUP BY ALL""", ("membership",))
 def k12b(t: Tables) -> DataFrame:
     d, totals = fit.settle(grouped_design(t)), group_totals(t, "group_id")
     fits = fit.pooled_fit(d, ["group_id"], COLUMNS, totals)
     g = fit.gradient_at(d, ["group_id"], COLUMNS, fits.select("group_id", "beta"), [0.0, 0.0, 0.0]).join(totals, "group_id")
-    terms = [(F.col(f"g{i}") + F.col("total")[i]) / F.col("total")[0] for i in range(3)]
-    return rounded(fits.select("group_id", "converged").join(g, "group_id").select("group_id", "converged", *[x.alias(f"g{i}") for i, x in enumerate(terms)]), "g0", "g1", "g2", digits=4)
+    scale = d.groupBy("group_id").agg(*[F.sum(F.col("w") * F.abs(c)).alias(f"a{i}") for i, c in enumerate(COLUMNS)])
+    both = fits.select("group_id", "converged").join(g, "group_id", "left").join(scale, "group_id")
+    share = lambda i: F.when(F.col("converged"), (F.col(f"g{i}") + F.col("total")[i]) / (1 + F.col(f"a{i}"))).otherwise(0.0)
+    return rounded(both.select("group_id", "converged", *[share(i).alias(f"g{i}") for i in range(3)]), "g0", "g1", "g2", digits=6)
 
 
 @query("k12_trial_group_fits")
