@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm._common import spans, table
 
-#: Bytes that the remembered words, and runs between blanks, of a worker may take with their ids: the first it meets, kept
-#: from task to task; others are merged anew, which bounds its memory. A run is a word with signs around it, so words
-#: repeat more often, and get the larger part.
-REMEMBERED_WORDS, REMEMBERED_RUNS = 96 << 20, 24 << 20
+#: Bytes that the remembered words, and runs between blanks, of a worker may take with their ids: the first it meets; others
+#: are merged anew, which bounds its memory. A run is a word with signs around it, so words repeat more often, and get
+#: the larger part. A query keeps them from task to task; the pipeline, whose other stages need the memory, keeps fewer
+#: and forgets them at the end of a task.
+REMEMBERED, IN_PIPELINE = (96 << 20, 24 << 20), (16 << 20, 8 << 20)
 #: What Python adds to a remembered string and its ids.
 OVERHEAD = 180
 CHARS_AT_ONCE = 500_000
@@ -55,9 +56,13 @@ class Tokenizer:
         signs = byte_signs()
         self.inner = [self.ids.get(s) for s in signs]
         self.final = [self.ids.get(s + self.suffix) for s in signs]
+        self.forget(REMEMBERED)
+
+    def forget(self, budget: tuple[int, int]) -> None:
+        """Forget all words and runs, and have ``budget`` bytes for either from now on."""
         self.words: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
-        self.left = {id(self.words): REMEMBERED_WORDS, id(self.runs): REMEMBERED_RUNS}
+        self.left = {id(self.words): budget[0], id(self.runs): budget[1]}
 
     def _remember(self, known: dict[str, bytes], text: str, packed: bytes) -> None:
         size = OVERHEAD + len(text) + len(packed)
@@ -155,8 +160,9 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     return _mapped(docs, path, "n_tokens long, ids_sha256 string, decoded_sha256 string", row)
 
 
-def _mapped(docs: DataFrame, path: str, fields: str, made) -> DataFrame:
-    """Texts leave their Arrow batch a few at a time, so a batch is never held twice."""
+def _mapped(docs: DataFrame, path: str, fields: str, made, budget: tuple[int, int] | None = None) -> DataFrame:
+    """Texts leave their Arrow batch a few at a time, so a batch is never held twice. ``budget``: what a task may remember
+    and forgets at its end; without one a worker remembers from task to task."""
     with open(path, encoding="utf-8") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
@@ -165,6 +171,8 @@ def _mapped(docs: DataFrame, path: str, fields: str, made) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(source.value)
+        if budget:
+            tokenizer.forget(budget)
         for batch in batches:
             texts, kept = batch.column("text"), batch.drop_columns(["text"])
             for lo, hi in spans(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False), CHARS_AT_ONCE):
@@ -175,6 +183,8 @@ def _mapped(docs: DataFrame, path: str, fields: str, made) -> DataFrame:
                 columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), added, strict=True)]
                 yield pa.RecordBatch.from_arrays(kept.slice(lo, hi - lo).columns + columns, kept.schema.names + [n for n, _ in added])
             pa.default_memory_pool().release_unused()
+        if budget:
+            tokenizer.forget(REMEMBERED)
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     return docs.mapInArrow(run, ", ".join(x for x in (kept, fields) if x))
@@ -199,4 +209,4 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     sha = lambda b: hashlib.sha256(b).hexdigest()
     row = lambda ids, decoded: (ids, len(ids) // 4, sha(ids), sha(decoded.encode("utf-8", "surrogatepass")))
-    return _mapped(docs, vocabulary_path(), "ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string", row)
+    return _mapped(docs, vocabulary_path(), "ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string", row, IN_PIPELINE)
