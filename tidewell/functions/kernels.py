@@ -141,3 +141,28 @@ def gaussian(x: np.ndarray, c: np.ndarray, y: np.ndarray, width: int, scale: flo
         for m, h in enumerate(_hermite(y / width - centre(k), TERMS)):
             out += (sums[m][hi] - sums[m][lo]) * h
     return scale * out
+
+
+def binned(b: np.ndarray, n: np.ndarray, n_bins: int, low: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, reached) of every bin: sums of n x weights[o - low] over events o = low, low + 1, ... bins before, and
+    whether there are any.
+
+    Equal weights are differences of running sums; others one convolution, by Fourier transform where that is less work.
+    """
+    dense = np.zeros(n_bins)
+    np.add.at(dense, b, n)
+    span = len(weights)
+    first = np.clip(np.arange(n_bins) - low - span + 1, 0, n_bins)
+    last = np.clip(np.arange(n_bins) - low + 1, 0, n_bins)
+    around = lambda v: (lambda s: s[last] - s[first])(running(v))
+    reached = around(dense > 0) > 0
+    if np.ptp(weights) == 0:
+        return weights[0] * around(dense), reached
+    if n_bins * span > 4_000_000:
+        size = 1 << (n_bins + span - 2).bit_length()
+        whole = np.fft.irfft(np.fft.rfft(dense, size) * np.fft.rfft(weights, size), size)[: n_bins + span - 1]
+    else:
+        whole = np.convolve(dense, weights)
+    at = np.arange(n_bins) - low
+    inside = (at >= 0) & (at < len(whole))
+    return np.where(inside & reached, whole[np.clip(at, 0, len(whole) - 1)], 0.0), reached

@@ -9,7 +9,8 @@ microseconds, so that coefficients are of moderate size.
 from __future__ import annotations
 
 import math
-from functools import partial, reduce
+from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -18,10 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewell.functions import kernels
-from tidewell.functions.columns import norm_cdf, norm_pdf
+from tidewell.functions.columns import norm_cdf, uniform
 from tidewell.functions.numeric import bspline
 from tidewell.operators.timejoin import delays
-from tidewell.operators.trains import gaussian, own_square, regressors, square_filter, trains
+from tidewell.operators.trains import PARTNERS, gaussian, gaussian_by_width, own_square, regressors, square_filter, trains
 
 KEYS = ["src", "dst", "trial_id", "y_us"]
 
@@ -98,11 +99,21 @@ def gaussian_kernel(points: DataFrame, pairs: DataFrame, width: int, trial: int,
     return regressors(points, pairs, {"nuisance": gaussian(width, unit)}), gaussian_integral(points, width, trial)
 
 
-def gaussian_integral(points: DataFrame, width: int, trial: int) -> DataFrame:
+def _gaussian_inside(width: int | Column, trial: int) -> Column:
     t = F.col("t_us")
     tail = lambda gap: F.when(gap <= 5 * width, norm_cdf(-gap / width)).otherwise(0.0)
-    inside = 1 - 2 * norm_cdf(F.lit(-5.0))
-    return per_source(points, inside - tail(t) - tail(trial - t))
+    return 1 - 2 * norm_cdf(F.lit(-5.0)) - tail(t) - tail(trial - t)
+
+
+def gaussian_integral(points: DataFrame, width: int, trial: int) -> DataFrame:
+    return per_source(points, _gaussian_inside(width, trial))
+
+
+def gaussian_integral_by_width(points: DataFrame, pairs: DataFrame, trial: int) -> DataFrame:
+    """(src, dst, integral) of the Gaussian kernel of each pair's own width; a source's events are summed once a width."""
+    wanted = pairs.select("src", "width").distinct()
+    sums = points.withColumnRenamed("unit_id", "src").join(wanted, "src").groupBy("src", "width").agg(F.sum(_gaussian_inside(F.col("width"), trial)).alias("integral"))
+    return pairs.select("src", "dst", "width").join(sums, ["src", "width"]).select("src", "dst", "integral")
 
 
 def bspline_filter(points: DataFrame, pairs: DataFrame, inner: list[float], length: int, drop: int = 1) -> DataFrame:
@@ -131,17 +142,22 @@ def centred(rows: DataFrame, means: DataFrame, name: str) -> DataFrame:
     return rows.join(means.withColumnRenamed("mean", "__mean"), "src", "left").withColumn(name, F.col(name) - F.coalesce("__mean", F.lit(0.0))).drop("__mean")
 
 
-def standard_design(points: DataFrame, pairs: DataFrame, n_trials: int, trial: int, length: int, width: int, unit: float, self_coupling: bool = False) -> DataFrame:
+def standard_design(points: DataFrame, pairs: DataFrame, n_trials: int, trial: int, length: int, width: int | None, unit: float, self_coupling: bool = False) -> DataFrame:
     """(src, dst, trial_id, y_us, w, const, nuisance, filter[, own]): constant, Gaussian nuisance, square filter.
 
     Nuisance and filter have mean 0 over all time, so the integrals are (n_trials x trial, 0, 0). ``own`` is y's
-    coupling to itself by the same square filter, with mean 0 too. All columns of a pair's trial are made at once.
+    coupling to itself by the same square filter, with mean 0 too. All columns of a pair's trial are made at once. Without
+    a ``width`` for all, the pairs have a column of that name with their own, in microseconds.
     """
     area = n_trials * trial / unit
     mean = lambda integral: integral.select("src", (F.col("integral") / area).alias("mean"))
-    named = {"nuisance": gaussian(width, unit), "filter": square_filter(length)} | ({"own": own_square(length)} if self_coupling else {})
+    named = {"nuisance": gaussian(width, unit) if width else gaussian_by_width(unit), "filter": square_filter(length)} | ({"own": own_square(length)} if self_coupling else {})
     rows = regressors(points, pairs, named).withColumn("const", F.lit(1.0))
-    rows = centred(rows, mean(gaussian_integral(points, width, trial)), "nuisance")
+    if width:
+        rows = centred(rows, mean(gaussian_integral(points, width, trial)), "nuisance")
+    else:
+        own = gaussian_integral_by_width(points, pairs, trial).select("src", "dst", (F.col("integral") / area).alias("__mean"))
+        rows = rows.join(own, ["src", "dst"], "left").withColumn("nuisance", F.col("nuisance") - F.coalesce("__mean", F.lit(0.0))).drop("__mean")
     filters = mean(square_integral(points, length, trial, unit))
     rows = centred(rows, filters, "filter")
     if self_coupling:
@@ -165,34 +181,101 @@ def width_designs(points: DataFrame, pairs: DataFrame, n_trials: int, trial: int
     return rows.select(*KEYS, "w", "const", "filter", *own, each).select(*KEYS, "w", "e.width", "const", "e.nuisance", "filter", *own)
 
 
-def convolve(bins: DataFrame, kernel: DataFrame, n_bins: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(unit_id, trial_id, keys, bin, value): bins times a kernel table (keys, offset, weight), inside the window.
+#: A kernel over bins: the first offset and the weights from there on.
+BinKernel = tuple[int, np.ndarray]
+
+
+def square_bins(length: int) -> BinKernel:
+    """A square filter: the ``length`` bins after the event's own."""
+    return 1, np.ones(length)
+
 
-    Only bins with events are spread; the kernel is a small table.
+def triangle_bins(half: int) -> BinKernel:
+    return -half, (half - np.abs(np.arange(-half, half + 1))) / float(half * half)
+
+
+def gaussian_bins(width: float, reach: float = 5.0) -> BinKernel:
+    half = round(reach * width)
+    return -half, np.exp(-((np.arange(-half, half + 1) / width) ** 2) / 2) / math.sqrt(2 * math.pi) / width
+
+
+def packed_bins(bins: DataFrame) -> DataFrame:
+    """(unit_id, trial_id, b, n): a train's bins with events and their counts as arrays."""
+    one = bins.groupBy("unit_id", "trial_id").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("e"))
+    return one.select("unit_id", "trial_id", F.col("e.bin").alias("b"), F.col("e.n").alias("n"))
+
+
+def convolve(bins: DataFrame, named: dict[float, BinKernel], n_bins: int, key: str | None = None) -> DataFrame:
+    """(unit_id, trial_id[, key], bin, value): bins times each kernel, inside the window, where an event is in reach.
+
+    A train is one array and meets a kernel in one pass: no row is made for an event and an offset.
     """
-    at = F.col("bin") + F.col("offset")
-    spread = bins.join(F.broadcast(kernel)).withColumn("bin", at).where((F.col("bin") >= 0) & (F.col("bin") < n_bins))
-    return spread.groupBy("unit_id", "trial_id", *keys, "bin").agg(F.sum(F.col("n") * F.col("weight")).alias("value"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                for name, (low, weights) in named.items():
+                    value, reached = kernels.binned(r.b, r.n, n_bins, low, weights)
+                    at = np.flatnonzero(reached)
+                    yield pd.DataFrame({"unit_id": r.unit_id, "trial_id": r.trial_id, "key": float(name), "bin": at, "value": value[at]})
 
+    rows = packed_bins(bins).mapInPandas(run, "unit_id long, trial_id long, key double, bin long, value double")
+    return rows.withColumnRenamed("key", key) if key else rows.drop("key")
 
-def square_offsets(bins: DataFrame, length: int) -> DataFrame:
-    """A square filter: the ``length`` bins after the event's own."""
-    return bins.sparkSession.range(1, length + 1).select(F.col("id").alias("offset"), F.lit(1.0).alias("weight"))
 
+def unit_sums(bins: DataFrame, widths: list[float], length: int, n_bins: int) -> DataFrame:
+    """(src, trial_id, width, sw, sww, swh, sh, shh): sums over a trial's bins of x smoothed at each width (w), of its square
+    filter (h) and of their products."""
+    square, smooth = square_bins(length), {w: gaussian_bins(w) for w in widths}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                h, _ = kernels.binned(r.b, r.n, n_bins, *square)
+                for width, kernel in smooth.items():
+                    w, _ = kernels.binned(r.b, r.n, n_bins, *kernel)
+                    out.append((r.unit_id, r.trial_id, width, w.sum(), w @ w, w @ h, h.sum(), h @ h))
+            yield pd.DataFrame(out, columns=["src", "trial_id", "width", "sw", "sww", "swh", "sh", "shh"])
 
-def triangle_offsets(bins: DataFrame, half: int) -> DataFrame:
-    k = F.col("id") - half
-    return bins.sparkSession.range(2 * half + 1).select(k.alias("offset"), ((half - F.abs(k)) / float(half * half)).alias("weight"))
+    return packed_bins(bins).mapInPandas(run, "src long, trial_id long, width double, sw double, sww double, swh double, sh double, shh double")
 
 
-def gaussian_offsets(bins: DataFrame, widths: list[float], reach: float = 5.0) -> DataFrame:
-    """(width, offset, weight) for each kernel width, in bins."""
-    parts = []
-    for width in widths:
-        half = round(reach * width)
-        k = F.col("id") - half
-        parts.append(bins.sparkSession.range(2 * half + 1).select(F.lit(float(width)).alias("width"), k.alias("offset"), (norm_pdf(k / width) / width).alias("weight")))
-    return reduce(DataFrame.unionAll, parts)
+def pair_sums(bins: DataFrame, pairs: DataFrame, widths: list[float], length: int, n_bins: int) -> DataFrame:
+    """(src, dst, trial_id, width, swy, shy): sums of y's counts times w and h, in trials in which both have events.
+
+    A source's train is smoothed once for a block of its targets.
+    """
+    packed, square, smooth = packed_bins(bins), square_bins(length), {w: gaussian_bins(w) for w in widths}
+    sizes = pairs.groupBy("src").agg(F.ceil(F.count("*") / PARTNERS).alias("blocks"))
+    dealt = pairs.join(sizes, "src").select("src", "dst", F.pmod(F.xxhash64("dst"), F.col("blocks")).alias("block"))
+    y = packed.select(F.col("unit_id").alias("dst"), "trial_id", F.struct(F.col("unit_id").alias("dst"), "b", "n").alias("y"))
+    x = packed.withColumnRenamed("unit_id", "src")
+    met = dealt.join(y, "dst").groupBy("src", "trial_id", "block").agg(F.collect_list("y").alias("ys")).join(x, ["src", "trial_id"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                h, _ = kernels.binned(r.b, r.n, n_bins, *square)
+                w = np.stack([kernels.binned(r.b, r.n, n_bins, *k)[0] for k in smooth.values()])
+                for y in r.ys:
+                    b, n = np.asarray(y["b"]), np.asarray(y["n"], float)
+                    out += [(r.src, y["dst"], r.trial_id, width, s, h[b] @ n) for width, s in zip(widths, w[:, b] @ n, strict=True)]
+            yield pd.DataFrame(out, columns=["src", "dst", "trial_id", "width", "swy", "shy"])
+
+    return met.mapInPandas(run, "src long, dst long, trial_id long, width double, swy double, shy double")
+
+
+def _centred_sums(sums: DataFrame, keys: list[str], total: Column) -> DataFrame:
+    """Gram entries of centred columns, from plain sums over ``total`` bins."""
+    c = F.col
+    return sums.select(
+        *keys, "width", (c("sww") - c("sw") ** 2 / total).alias("s_ww"), (c("swh") - c("sw") * c("sh") / total).alias("s_wh"), (c("shh") - c("sh") ** 2 / total).alias("s_hh"),
+        (c("swy") - c("sw") * c("s_y") / total).alias("s_wy"), (c("shy") - c("sh") * c("s_y") / total).alias("s_hy"), "s_y",
+    )
+
+
+OWN_SUMS = ["sw", "sww", "swh", "sh", "shh"]
 
 
 def gram(bins: DataFrame, pairs: DataFrame, widths: list[float], length: int, n_bins: int, n_trials: int) -> DataFrame:
@@ -201,26 +284,42 @@ def gram(bins: DataFrame, pairs: DataFrame, widths: list[float], length: int, n_
     w: Gaussian-smoothed x; h: square filter of x; y: counts. The x-only sums are made once a unit, not once a pair;
     the y sums join only y's bins with events.
     """
-    total = n_bins * n_trials
-    w = convolve(bins, gaussian_offsets(bins, widths), n_bins, ("width",)).withColumnRenamed("value", "w")
-    h = convolve(bins, square_offsets(bins, length), n_bins).withColumnRenamed("value", "h")
-    ww = w.groupBy("unit_id", "width").agg(F.sum("w").alias("sw"), F.sum(F.col("w") ** 2).alias("sww"))
-    hh = h.groupBy("unit_id").agg(F.sum("h").alias("sh"), F.sum(F.col("h") ** 2).alias("shh"))
-    wh = w.join(h, ["unit_id", "trial_id", "bin"]).groupBy("unit_id", "width").agg(F.sum(F.col("w") * F.col("h")).alias("swh"))
-    own = ww.join(hh, "unit_id").join(wh, ["unit_id", "width"], "left").withColumn("swh", F.coalesce("swh", F.lit(0.0))).withColumnRenamed("unit_id", "src")
-    y = bins.select(F.col("unit_id").alias("dst"), "trial_id", "bin", F.col("n").alias("y"))
-    sy = y.groupBy("dst").agg(F.sum("y").alias("s_y"))
-    side = w.groupBy("unit_id", "trial_id", "bin").agg(*[F.sum(F.when(F.col("width") == v, F.col("w"))).alias(f"w{i}") for i, v in enumerate(widths)])
-    met = side.withColumnRenamed("unit_id", "src").join(pairs, "src").join(y, ["dst", "trial_id", "bin"])
-    each = F.explode(F.array(*[F.struct(F.lit(float(v)).alias("width"), F.col(f"s{i}").alias("swy")) for i, v in enumerate(widths)])).alias("e")
-    wy = met.groupBy("src", "dst").agg(*[F.sum(F.col(f"w{i}") * F.col("y")).alias(f"s{i}") for i in range(len(widths))]).select("src", "dst", each).select("src", "dst", "e.width", "e.swy")
-    hy = h.withColumnRenamed("unit_id", "src").join(pairs, "src").join(y, ["dst", "trial_id", "bin"]).groupBy("src", "dst").agg(F.sum(F.col("h") * F.col("y")).alias("shy"))
-    all_ = own.join(pairs, "src").join(sy, "dst").join(wy, ["src", "dst", "width"], "left").join(hy, ["src", "dst"], "left").fillna(0.0, ["swy", "shy"])
+    own = unit_sums(bins, widths, length, n_bins).groupBy("src", "width").agg(*[F.sum(c).alias(c) for c in OWN_SUMS])
+    met = pair_sums(bins, pairs, widths, length, n_bins).groupBy("src", "dst", "width").agg(F.sum("swy").alias("swy"), F.sum("shy").alias("shy"))
+    sy = bins.groupBy(F.col("unit_id").alias("dst")).agg(F.sum("n").alias("s_y"))
+    every = own.join(pairs, "src").join(sy, "dst").join(met, ["src", "dst", "width"], "left").fillna(0.0, ["swy", "shy"])
+    return _centred_sums(every, ["src", "dst"], F.lit(float(n_bins * n_trials)))
+
+
+def pooled_width(bins: DataFrame, pairs: DataFrame, group: list[str], widths: list[float], length: int, n_bins: int, cells: int = 2000, seed: int = 0) -> DataFrame:
+    """(group, width, gain, n_cells): for each group of pairs the kernel width with the highest plug-in log-likelihood of a
+    sample of its (pair, trial) cells, as if these were the trials of one pair.
+
+    ``pairs``: src, dst and the columns of ``group``. Cells in which both trains have events are sampled by a hash, about
+    ``cells`` in each group. ``gain``: over the next best width. Ties go to the narrower width.
+    """
+    active = bins.groupBy("unit_id", "trial_id").agg(F.sum("n").alias("s_y"))
+    both = pairs.join(active.select(F.col("unit_id").alias("src"), "trial_id"), "src").join(active.withColumnRenamed("unit_id", "dst"), ["dst", "trial_id"])
+    share = both.groupBy(*group).agg((cells / F.count("*")).alias("share"))
+    picked = both.join(share, group).where(uniform("src", "dst", "trial_id", seed) < F.col("share")).select(*group, "src", "dst", "trial_id", "s_y")
+    some = bins.join(picked.select(F.col("src").alias("unit_id"), "trial_id").distinct(), ["unit_id", "trial_id"], "left_semi")
+    own = picked.join(unit_sums(some, widths, length, n_bins), ["src", "trial_id"])
+    met = own.join(pair_sums(bins, picked.select("src", "dst").distinct(), widths, length, n_bins), ["src", "dst", "trial_id", "width"])
+    sums = met.groupBy(*group, "width").agg(*[F.sum(c).alias(c) for c in (*OWN_SUMS, "swy", "shy", "s_y")], F.count("*").alias("n_cells"))
+    total = F.col("n_cells") * float(n_bins)
+    curve = _gain(_centred_sums(sums, [*group, "n_cells"], total), F.col("s_y") / total, [*group, "n_cells"])
+    order = Window.partitionBy(*group).orderBy(F.desc_nulls_last("value"), "width")
+    ranked = curve.withColumns({"place": F.row_number().over(order), "next": F.lead("value").over(order)})
+    return ranked.where("place = 1").select(*group, "width", (F.col("value") - F.col("next")).alias("gain"), "n_cells")
+
+
+def _gain(sums: DataFrame, mean_y: Column, keys: list[str], simple: bool = False) -> DataFrame:
+    """(keys, width, value): b' H^-1 b / (2 mean y) from Gram sums."""
     c = F.col
-    return all_.select(
-        "src", "dst", "width", (c("sww") - c("sw") ** 2 / total).alias("s_ww"), (c("swh") - c("sw") * c("sh") / total).alias("s_wh"), (c("shh") - c("sh") ** 2 / total).alias("s_hh"),
-        (c("swy") - c("sw") * c("s_y") / total).alias("s_wy"), (c("shy") - c("sh") * c("s_y") / total).alias("s_hy"), "s_y",
-    )
+    det = c("s_ww") * c("s_hh") - c("s_wh") ** 2
+    full = (c("s_wy") ** 2 * c("s_hh") - 2 * c("s_wy") * c("s_hy") * c("s_wh") + c("s_hy") ** 2 * c("s_ww")) / F.when(det > 1e-9, det)
+    value = (c("s_wy") ** 2 / F.when(c("s_ww") > 1e-9, c("s_ww")) if simple else full) / (2 * mean_y)
+    return sums.select(*keys, "width", value.alias("value"))
 
 
 def width_curve(sums: DataFrame, n_bins: int, n_trials: int, simple: bool = False) -> DataFrame:
@@ -228,12 +327,8 @@ def width_curve(sums: DataFrame, n_bins: int, n_trials: int, simple: bool = Fals
 
     ``simple``: of the filter alone, s_hy^2 / s_hh after the nuisance is taken out of neither.
     """
-    c = F.col
-    det = c("s_ww") * c("s_hh") - c("s_wh") ** 2
-    full = (c("s_wy") ** 2 * c("s_hh") - 2 * c("s_wy") * c("s_hy") * c("s_wh") + c("s_hy") ** 2 * c("s_ww")) / F.when(det > 1e-9, det)
-    value = (c("s_wy") ** 2 / F.when(c("s_ww") > 1e-9, c("s_ww")) if simple else full) / (2 * c("s_y") / (n_bins * n_trials))
-    out = sums.select("src", "dst", "width", value.alias("value"))
-    return out.select("src", "dst", "width", (c("value") - F.max("value").over(Window.partitionBy("src", "dst"))).alias("gain"))
+    out = _gain(sums, F.col("s_y") / (n_bins * n_trials), ["src", "dst"], simple)
+    return out.select("src", "dst", "width", (F.col("value") - F.max("value").over(Window.partitionBy("src", "dst"))).alias("gain"))
 
 
 def best_width(curve: DataFrame) -> DataFrame:

@@ -37,23 +37,31 @@ def packed(points: DataFrame) -> DataFrame:
 
 
 def paired(points: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(src, dst, trial_id, x, cx, y, cy): both trains of every pair and trial with y events; x may be null."""
+    """(src, dst, trial_id, x, cx, y, cy[, width]): both trains of every pair and trial with y events; x may be null. A pair's
+    own kernel width goes along."""
     t = packed(points)
     y = t.select(F.col("unit_id").alias("dst"), "trial_id", F.col("ts").alias("y"), F.col("cs").alias("cy")).join(pairs, "dst")
     x = t.select(F.col("unit_id").alias("src"), "trial_id", F.col("ts").alias("x"), F.col("cs").alias("cx"))
-    return y.join(x, ["src", "trial_id"], "left").select("src", "dst", "trial_id", "x", "cx", "y", "cy")
+    return y.join(x, ["src", "trial_id"], "left").select("src", "dst", "trial_id", "x", "cx", "y", "cy", *[c for c in pairs.columns if c == "width"])
 
 
 def regressors(points: DataFrame, pairs: DataFrame, named: dict[str, Kernel]) -> DataFrame:
-    """(src, dst, trial_id, y_us, w, names): each kernel's sum over x at every y event of every pair, 0 without x in reach."""
+    """(src, dst, trial_id, y_us, w, names): each kernel's sum over x at every y event of every pair, 0 without x in reach.
+
+    A kernel may look at y's counts (``of_y``) or at the width that stands beside its pair (``by_width``).
+    """
     none = np.zeros(0, np.int64)
 
+    def value(k: Kernel, x: np.ndarray, cx: np.ndarray, r) -> np.ndarray:
+        more = (r.cy,) if hasattr(k, "of_y") else (r.width,) if hasattr(k, "by_width") else ()
+        return np.asarray(k(x, cx, r.y, *more), float)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, rows = [], 0
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 x, cx = (r.x, r.cx) if r.x is not None else (none, none)
-                held.append((r.src, r.dst, r.trial_id, r.y, r.cy, [np.asarray(k(x, cx, r.y, r.cy) if hasattr(k, "of_y") else k(x, cx, r.y), float) for k in named.values()]))
+                held.append((r.src, r.dst, r.trial_id, r.y, r.cy, [value(k, x, cx, r) for k in named.values()]))
                 rows += len(r.y)
                 if rows >= HELD:
                     yield unpacked(held)
@@ -88,6 +96,15 @@ def gaussian(width: int, unit: float) -> Kernel:
     return partial(kernels.gaussian, width=width, scale=unit / width)
 
 
+def gaussian_by_width(unit: float) -> Kernel:
+    """The Gaussian kernel of each pair's own width."""
+    def run(x: np.ndarray, c: np.ndarray, y: np.ndarray, width: int) -> np.ndarray:
+        return kernels.gaussian(x, c, y, int(width), unit / width)
+
+    run.by_width = True
+    return run
+
+
 def moved(points: DataFrame, width: int, reps: int, seed: int = 0, basic: bool = False) -> DataFrame:
     """(unit_id, trial_id, n, moved): ``reps`` surrogates of every train in one array, one after another, n events each.
 

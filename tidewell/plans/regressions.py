@@ -273,26 +273,25 @@ ch AS (SELECT unit_id, trial_id, bin + off AS bin, CAST(sum(n) AS DOUBLE) AS h F
 
 @query("k20_discrete_square", CONV + " SELECT unit_id, trial_id, bin, h AS value FROM ch")
 def k20(t: Tables) -> DataFrame:
-    return design.convolve(t.bins, design.square_offsets(t.bins, 12), BINS)
+    return design.convolve(t.bins, {0: design.square_bins(12)}, BINS)
 
 
 @query("k20_discrete_gaussian", CONV + " SELECT unit_id, width, round(sum(w), 5) AS s1, round(sum(w * w), 5) AS s2 FROM cw GROUP BY ALL")
 def k20b(t: Tables) -> DataFrame:
-    w = design.convolve(t.bins, design.gaussian_offsets(t.bins, WIDTHS), BINS, ("width",))
+    w = design.convolve(t.bins, {w: design.gaussian_bins(w) for w in WIDTHS}, BINS, "width")
     return rounded(w.groupBy("unit_id", "width").agg(F.sum("value").alias("s1"), F.sum(F.col("value") ** 2).alias("s2")), "s1", "s2", digits=5)
 
 
 @query("k20_discrete_triangle", " SELECT unit_id, trial_id, bin + o AS bin, round(sum(n * (12 - abs(o)) / 144.0), 6) AS value FROM bins CROSS JOIN range(-12, 13) r(o) WHERE bin + o BETWEEN 0 AND 287 GROUP BY ALL")
 def k20c(t: Tables) -> DataFrame:
-    return rounded(design.convolve(t.bins, design.triangle_offsets(t.bins, 12), BINS), "value")
+    return rounded(design.convolve(t.bins, {0: design.triangle_bins(12)}, BINS), "value")
 
 
 @query("k20_discrete_bspline")
 def k20d(t: Tables) -> DataFrame:
     basis = numeric.bspline(numeric.knots(6, 1.0), (np.arange(1, 13)) / 12)[:, :-1]
-    rows = [(int(k), int(o + 1), float(v)) for o, row in enumerate(basis) for k, v in enumerate(row)]
-    kernel = t.spark.createDataFrame(rows, "basis int, offset long, weight double")
-    return design.convolve(t.bins, kernel, BINS, ("basis",)).groupBy("unit_id", "basis").agg(F.sum("value").alias("s"))
+    sums = design.convolve(t.bins, {k: (1, row) for k, row in enumerate(basis.T)}, BINS, "basis")
+    return sums.groupBy("unit_id", F.col("basis").cast("int").alias("basis")).agg(F.sum("value").alias("s"))
 
 
 GRAM = CONV + """, ow AS (SELECT unit_id, width, sum(w) AS sw, sum(w * w) AS sww FROM cw GROUP BY ALL), oh AS (SELECT unit_id, sum(h) AS sh, sum(h * h) AS shh FROM ch GROUP BY ALL),
@@ -326,8 +325,8 @@ def k21b(t: Tables) -> DataFrame:
 @query("k21_discrete_fit")
 def k21c(t: Tables) -> DataFrame:
     """The likelihood fit in binned time: rows are y's bins with events."""
-    w = design.convolve(t.bins, design.gaussian_offsets(t.bins, [24.0]), BINS, ("width",)).select(F.col("unit_id").alias("src"), "trial_id", "bin", F.col("value").alias("nuisance"))
-    h = design.convolve(t.bins, design.square_offsets(t.bins, 12), BINS).select(F.col("unit_id").alias("src"), "trial_id", "bin", F.col("value").alias("filter"))
+    w = design.convolve(t.bins, {0: design.gaussian_bins(24.0)}, BINS).select(F.col("unit_id").alias("src"), "trial_id", "bin", F.col("value").alias("nuisance"))
+    h = design.convolve(t.bins, {0: design.square_bins(12)}, BINS).select(F.col("unit_id").alias("src"), "trial_id", "bin", F.col("value").alias("filter"))
     total = w.groupBy("src").agg((F.sum("nuisance") / (BINS * t.n_trials)).alias("mw")).join(h.groupBy("src").agg((F.sum("filter") / (BINS * t.n_trials)).alias("mh")), "src")
     y = t.bins.select(F.col("unit_id").alias("dst"), "trial_id", "bin", F.col("n").alias("w")).join(t.pairs, "dst")
     d = y.join(w, ["src", "trial_id", "bin"], "left").join(h, ["src", "trial_id", "bin"], "left").join(total, "src").select(
@@ -418,8 +417,8 @@ def rescaled(t: Tables) -> DataFrame:
 
     The intensity has a row for every pair, trial and bin, as rescaling integrates it between events.
     """
-    per = lambda kernel, name: design.convolve(t.bins, kernel, BINS).select(F.col("unit_id").alias("src"), "trial_id", "bin", F.col("value").alias(name))
-    h, w = per(design.square_offsets(t.bins, 12), "h"), per(design.gaussian_offsets(t.bins, [24.0]).drop("width"), "w")
+    per = lambda kernel, name: design.convolve(t.bins, {0: kernel}, BINS).select(F.col("unit_id").alias("src"), "trial_id", "bin", F.col("value").alias(name))
+    h, w = per(design.square_bins(12), "h"), per(design.gaussian_bins(24.0), "w")
     mean = lambda d, name: d.groupBy("src").agg((F.sum(name) / (BINS * t.n_trials)).alias(f"m{name}"))
     fits = design.l2_fit(gram(t), BINS, t.n_trials).where("width = 24").select("src", "dst", "beta0", F.coalesce("beta_w", F.lit(0.0)).alias("bw"), F.coalesce("beta_h", F.lit(0.0)).alias("bh"))
     smooth = w.join(h, ["src", "trial_id", "bin"], "left")  # a square filter's bins lie within the Gaussian's
@@ -583,16 +582,34 @@ def f9b(t: Tables) -> DataFrame:
     return multivariate.jitter_test(t.points, t.pairs, WINDOW_BINS * BIN, REPS, BIN, BINS, t.n_trials)
 
 
+#: Kernel widths of the network, half an hour to ten hours, in bins.
+NETWORK_WIDTHS = [6.0, 9.0, 12.0, 18.0, 24.0, 30.0, 36.0, 42.0, 48.0, 60.0, 72.0, 84.0, 96.0, 120.0]
+
+
+def network(t: Tables) -> DataFrame:
+    """(src, dst, src_probe, dst_probe, width): ordered pairs of active units on different probes, with their probe pair's
+    kernel width in microseconds; WIDTH where no pair of the two probes has events in one trial."""
+    active = select.active_units(rates(t), 0.5).select("unit_id")
+    units = t.units.join(active, "unit_id", "left_semi").select("unit_id", "probe")
+    a, b = (units.select(F.col("unit_id").alias(c), F.col("probe").alias(f"{c}_probe")) for c in ("src", "dst"))
+    probes = units.select(F.col("probe").alias("src_probe")).distinct()
+    both = probes.join(probes.withColumnRenamed("src_probe", "dst_probe"), F.col("src_probe") != F.col("dst_probe"))  # a row a pair of probes
+    wanted = a.join(both, "src_probe").join(b, "dst_probe").select("src", "dst", "src_probe", "dst_probe")
+    chosen = fit.settle(design.pooled_width(t.bins, wanted, ["src_probe", "dst_probe"], NETWORK_WIDTHS, 12, BINS))
+    width = F.coalesce((F.col("width") * BIN).cast("long"), F.lit(WIDTH))
+    return wanted.join(chosen.select("src_probe", "dst_probe", "width"), ["src_probe", "dst_probe"], "left").withColumn("width", width)
+
+
 @query("w1_network")
 def w1(t: Tables) -> DataFrame:
-    """Active units, ordered pairs between probes, one design, a fit a pair, Wald tests, adjusted p, edges with attributes."""
-    active = select.active_units(rates(t), 0.5).select("unit_id")
-    units = t.units.join(active, "unit_id", "left_semi")
-    wanted = pairs.unit_pairs(units, probe_pairs=[(a, b) for a in map("probe{}".format, "ABCDEF") for b in map("probe{}".format, "ABCDEF") if a != b])
-    d = design.standard_design(t.points, wanted, t.n_trials, DAY, LENGTH, WIDTH, UNIT)
+    """Active units, ordered pairs between probes, a kernel width a probe pair, one design, a fit a pair, Wald tests,
+    adjusted p, edges with attributes; ``width`` in hours."""
+    wanted = fit.settle(network(t))
+    d = design.standard_design(t.points, wanted.select("src", "dst", "width"), t.n_trials, DAY, LENGTH, None, UNIT)
     found = fit.inference(fit.fit_by_key(d, ["src", "dst"], COLUMNS, integral(t)), 2)
     tested = testing.adjust(found.withColumnRenamed("pval", "p")).withColumn("significant", F.coalesce(F.col("bh") < 0.05, F.lit(False)))
-    return pairs.with_attributes(tested, t.units).drop("by", "bonferroni")
+    width = wanted.select("src", "dst", (F.col("width") / HOUR).alias("width"))
+    return pairs.with_attributes(tested, t.units).drop("by", "bonferroni").join(width, ["src", "dst"])
 
 
 @query("w3_membership_rounds")
