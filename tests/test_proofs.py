@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import numeric
-from tidewell.operators import baselines, ccg, design, fit, graph, multivariate, series, synchrony
+from tidewell.operators import baselines, ccg, design, fit, graph, multivariate, posterior, series, synchrony
 from tests.test_operators import points, simulated
 from tidewell.plans import correlograms, inference, regressions  # noqa: F401  they register their queries
 from tidewell.plans.catalog import BIN, BINS, QUERIES, Tables
@@ -274,11 +274,32 @@ def test_posteriors_stand_around_the_fit(spark, driven, rows):
     total = [TRIALS * LENGTH / 1e6, 0.0, 0.0]
     best = fit.fit_by_key(d, ["src", "dst"], COLUMNS, total).first()
     sd = np.sqrt(np.diag(np.linalg.inv(np.array([list(h) for h in best.hessian]))))
-    r = fit.metropolis(d, COLUMNS, total, samples=3000).first()
-    assert (abs(np.array(r.mean) - best.beta) < sd).all() and (abs(np.array(r.sd) / sd - 1) < 0.35).all() and 0.2 < r.accepted < 0.95
+    many, one = (posterior.posterior(d.withColumn("width", F.lit(0.5)), COLUMNS, total, samples=3000, block=b).first() for b in (5000, 10**9))
+    assert np.allclose(many.mean, one.mean) and many.accepted == one.accepted  # blocks change nothing
+    assert (abs(np.array(one.mean) - best.beta) < 0.2 * sd).all() and (abs(np.array(one.sd) / sd - 1) < 0.15).all() and 0.3 < one.accepted < 1 and one.width == 0.5 and one.width_sd == 0
     se = fit.inference(fit.fit_by_key(d, ["src", "dst"], COLUMNS, total), 2).first().se
     assert se == pytest.approx(sd[2], rel=1e-6)
-    assert len(rows("k18_posterior")) == 375 and rows("k18_posterior").accepted.between(0, 1).all()
+    for name in ("k18_posterior", "k18_posterior_fixed_width"):
+        got = rows(name)
+        some = got.dropna(subset="width")
+        assert len(got) == 375 and len(some) > 200 and some.accepted.quantile(0.05) > 0.3 and some.width_lo.ge(1).all() and some.width_hi.le(8).all()
+
+
+def test_posterior_covers_a_planted_width(spark):
+    """y's rate follows x smoothed by a Gaussian of 0.4 s, on top of a constant."""
+    rng, width, rows_ = np.random.default_rng(8), 0.4, []
+    for k in range(60):
+        x = np.sort(rng.random(30) * 20)
+        t = rng.random(rng.poisson(20 * 60)) * 20
+        rate = 1 + 3 * (np.exp(-(((t[:, None] - x) / width) ** 2) / 2) / width / math.sqrt(2 * math.pi)).sum(axis=1)
+        y = t[rng.random(len(t)) < rate / 60]
+        rows_ += [(1, k, int(v * 1e6)) for v in x] + [(2, k, int(v * 1e6)) for v in np.sort(y)]
+    p, pair = points(spark, rows_), spark.createDataFrame([(1, 2)], "src long, dst long")
+    grid = [100_000, 200_000, 300_000, 400_000, 500_000, 700_000, 1_000_000]
+    d = design.width_designs(p, pair, 60, 20_000_000, 50_000, grid, 1e6).withColumn("width", F.col("width") / 1e6)
+    r = posterior.posterior(d, COLUMNS, [1200.0, 0.0, 0.0], samples=4000).first()
+    assert r.width_lo < 0.4 < r.width_hi and r.width == pytest.approx(0.4, abs=0.1) and r.width_sd < 0.1 and r.accepted > 0.2
+    assert abs(r.mean[1] - 3) < 3 * r.sd[1] and abs(r.mean[2]) < 3 * r.sd[2]
 
 
 def test_filters(rows):

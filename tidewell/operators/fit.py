@@ -1,7 +1,8 @@
 """Fitting linear-intensity models: per pair, pooled, with memberships; intensities and goodness of fit.
 
-fit_by_key and pooled_fit take keys of any size. Chains, memberships and decay rates work on the y events of one pair in
-one task. Fits of several sources are in operators.multivariate, baselines a trial in operators.baselines.
+fit_by_key and pooled_fit take keys of any size. Memberships and decay rates work on the y events of one pair in one
+task. Fits of several sources are in operators.multivariate, baselines a trial in operators.baselines, posteriors in
+operators.posterior.
 """
 
 from __future__ import annotations
@@ -164,37 +165,6 @@ def portions(membership: DataFrame, groups: int = 5) -> DataFrame:
     return counted.select("group_id", (F.col("v") / F.sum("v").over(Window.partitionBy(F.lit(0)))).alias("portion"))
 
 
-def metropolis(design: DataFrame, columns: list[str], integral: list[float], samples: int = 200, step: float = 0.6, seed: int = 1) -> DataFrame:
-    """(src, dst, mean, sd, accepted): posterior of every pair's coefficients by one seeded random-walk chain a pair.
-
-    Proposals are Normal with ``step`` times the inverse Hessian at the fit; the prior is flat.
-    """
-    total = np.array(integral, float)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, w = pdf[columns].to_numpy(float), pdf["w"].to_numpy(float)
-        fit = newton(x, w, total, start=np.r_[w.sum() / total[0], np.full(len(columns) - 1, 0.1)])
-        src, dst = int(pdf["src"].iloc[0]), int(pdf["dst"].iloc[0])
-        rng = np.random.default_rng([seed, src, dst])
-        root = np.linalg.cholesky(step * np.linalg.pinv(fit["hessian"]) + 1e-12 * np.eye(len(columns)))
-
-        def nll(b: np.ndarray) -> float:
-            lam = x @ b
-            return np.inf if (lam <= 0).any() else float(-(w * np.log(lam)).sum() + b @ total)
-
-        b, now, kept, moved = fit["beta"], nll(fit["beta"]), [], 0
-        for _ in range(samples):
-            trial = b + root @ rng.standard_normal(len(b))
-            then = nll(trial)
-            if np.log(rng.random()) < now - then or not np.isfinite(now):
-                b, now, moved = trial, then, moved + 1
-            kept.append(b)
-        kept = np.array(kept)
-        return pd.DataFrame([{"src": src, "dst": dst, "mean": kept.mean(axis=0).tolist(), "sd": kept.std(axis=0).tolist(), "accepted": moved / samples}])
-
-    return compress(design, ["src", "dst"], columns).groupBy("src", "dst").applyInPandas(run, "src long, dst long, mean array<double>, sd array<double>, accepted double")
-
-
 def fit_exponential(points_pairs: DataFrame, trial: float, n_trials: int, rate: float = 1.0, steps: int = 40, learn: float = 0.1) -> DataFrame:
     """(src, dst, beta0, alpha, rate, nll, n_iter, converged): intensity beta0 + alpha sum exp(-rate d), with the decay rate fitted too.
 

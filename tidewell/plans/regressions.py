@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import numeric
 from tidewell.functions.columns import sql_norm_cdf, sql_uniform
-from tidewell.operators import baselines, binning, design, fit, graph, multivariate, pairs, select, testing, trains
+from tidewell.operators import baselines, binning, design, fit, graph, multivariate, pairs, posterior, select, testing, trains
 from tidewell.plans.basics import rates
 from tidewell.plans.catalog import BIN, BINS, LENGTH, REPS, WIDTH, WINDOW_BINS, Tables, query, rounded
 from tidewell.sources.adapters import DAY, HOUR
@@ -252,7 +252,15 @@ def k17(t: Tables) -> DataFrame:
 
 @query("k18_posterior")
 def k18(t: Tables) -> DataFrame:
-    return fit.metropolis(standard(t), COLUMNS, integral(t))
+    """Posterior of every pair's coefficients and kernel width (hours), from 1 to 8 hours."""
+    d = design.width_designs(t.points, t.pairs, t.n_trials, DAY, LENGTH, [int(w) * BIN for w in WIDTHS], UNIT)
+    return posterior.posterior(d.withColumn("width", F.col("width") / HOUR), COLUMNS, integral(t), samples=1000)
+
+
+@query("k18_posterior_fixed_width")
+def k18b(t: Tables) -> DataFrame:
+    """The same with the kernel width of two hours held fixed."""
+    return posterior.posterior(standard(t).withColumn("width", F.lit(WIDTH / HOUR)), COLUMNS, integral(t), samples=1000)
 
 
 @query("k19_filters")
