@@ -77,3 +77,32 @@ def test_mean_tables_and_marks(known):
     assert v.mean_v == pytest.approx(np.mean([x for _, x in tests.values()])) and v.mean_v_significant == pytest.approx(np.mean([tests[p][1] for p in hit]))
     degree = Counter(e for s0, d0, s1, d1 in hit for e in ((s0, d0), (s1, d1)))
     assert {(r.src, r.dst): (r.marked, r.degree) for r in inference.h8_p(t).collect()} == {p: (int(degree[p] > 0), degree[p]) for p in pairs}
+
+
+def test_tails_like_the_error_function(spark):
+    from tidewell.functions.columns import chi2_tail, norm_tail
+    from tidewell.functions.numeric import chi2_sf
+    from pyspark.sql import functions as F
+
+    z = [0.0, 0.3, 1.0, 2.5, 5.0, 7.0, 7.2, 12.0, 30.0]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in z], "z double").select(norm_tail(F.col("z"))).collect()]
+    assert all(g == pytest.approx(0.5 * math.erfc(v / math.sqrt(2)), rel=1e-11) for g, v in zip(got, z, strict=True))
+    cases = [(x, d) for d in range(0, 20) for x in (0.0, 1e-9, 0.4, 3.0, 17.0, 60.0, 400.0)]
+    got = [r[0] for r in spark.createDataFrame(cases, "x double, d int").select(chi2_tail(F.col("x"), F.col("d"))).collect()]
+    assert all(g == pytest.approx(chi2_sf(x, d), rel=1e-9, abs=1e-300) for g, (x, d) in zip(got, cases, strict=True))
+
+
+@pytest.mark.parametrize("block_pairs", [2, 1000])
+def test_shared_cells_of_any_block_size(spark, block_pairs):
+    from tidewell.operators.pairs import shared_cells
+
+    rng = np.random.default_rng(3)
+    trials = [*range(-3, 200), 5000, 62 * 16 * 9 + 1]
+    p0, p1 = [(s, 10) for s in range(7)], [(10, d) for d in range(20, 25)]
+    rows = [(s, d, k, int(g) if g < 3 else None) for s, d in p0 + p1 for k, g in zip(trials, rng.integers(0, 4, len(trials)), strict=True)]
+    member = spark.createDataFrame(rows, "src long, dst long, trial_id long, group_id int")
+    path = lambda p: spark.createDataFrame(p, "src long, dst long")
+    got = {tuple(r)[:6]: r.n for r in shared_cells(member, path(p0), path(p1), block_pairs).collect()}
+    group = {(s, d, k): g for s, d, k, g in rows if g is not None}
+    want = Counter((*a, *b, group[*a, k], group[*b, k]) for a in p0 for b in p1 for k in trials if (*a, k) in group and (*b, k) in group)
+    assert got == want

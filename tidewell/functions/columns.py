@@ -31,6 +31,58 @@ def norm_cdf(x: Column) -> Column:
     return F.when(x >= 0, 1 - tail).otherwise(tail)
 
 
+#: Coefficients of Hart's rational approximation 5666 of the Normal tail (15 digits), highest power first: fixed values.
+TAIL_ABOVE = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+TAIL_BELOW = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+#: From here on a continued fraction is used.
+TAIL_FAR = 7.07106781186547
+
+
+def norm_tail(z: Column) -> Column:
+    """P(Z > z) for z >= 0, to 15 digits."""
+    above = below = F.lit(0.0)
+    for c in TAIL_ABOVE:
+        above = above * z + c
+    for c in TAIL_BELOW:
+        below = below * z + c
+    far = z
+    for k in range(20, 0, -1):
+        far = z + k / far
+    return F.exp(-z * z / 2) * F.when(z < TAIL_FAR, above / below).otherwise(1 / far / math.sqrt(2 * math.pi))
+
+
+def sql_norm_tail(z: str) -> str:
+    above = below = "CAST(0 AS DOUBLE)"
+    for c in TAIL_ABOVE:
+        above = f"({above} * {z} + CAST({c!r} AS DOUBLE))"
+    for c in TAIL_BELOW:
+        below = f"({below} * {z} + CAST({c!r} AS DOUBLE))"
+    far = z
+    for k in range(20, 0, -1):
+        far = f"({z} + {k} / {far})"
+    return f"(exp(-{z} * {z} / 2) * CASE WHEN {z} < {TAIL_FAR!r} THEN {above} / {below} ELSE 1 / {far} / {math.sqrt(2 * math.pi)!r} END)"
+
+
+def chi2_tail(x: Column, dof: Column) -> Column:
+    """P(X > x) of chi-square with any whole degrees of freedom, by its finite sums; 1 where x or dof is 0."""
+    h, one = x / 2, F.lit(1.0)
+    odd = dof % 2 == 1
+    terms = F.floor(dof / 2).cast("int")
+    step = F.when(odd, 0.5).otherwise(0.0)
+    more = F.when(terms > 1, F.sequence(F.lit(1), F.greatest(terms - 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    sums = F.aggregate(more, F.struct(one.alias("term"), one.alias("sum")), lambda a, k: F.struct(
+        (a["term"] * h / (k + step)).alias("term"), (a["sum"] + a["term"] * h / (k + step)).alias("sum")))["sum"]
+    first = F.exp(-h) * F.when(odd, F.sqrt(h) * (2 / math.sqrt(math.pi))).otherwise(one)
+    tail = F.when(odd, 2 * norm_tail(F.sqrt(x))).otherwise(0.0) + F.when(terms > 0, first * sums).otherwise(0.0)
+    return F.when((dof <= 0) | (x <= 0), one).otherwise(F.least(tail, one))
+
+
+def sql_chi2_tail(x: str, dof: str) -> str:
+    half, odd = f"(({x}) / 2)", f"({dof} % 2)"
+    sums = f"coalesce(list_sum(list_transform(range(0, CAST({dof} // 2 AS BIGINT)), lambda k: exp(-{half} + (k + 0.5 * {odd}) * ln({half}) - lgamma(k + 1 + 0.5 * {odd})))), 0)"
+    return f"(CASE WHEN {dof} <= 0 OR {x} <= 0 THEN 1.0 ELSE least(1.0, CASE WHEN {odd} = 1 THEN 2 * {sql_norm_tail(f'sqrt({x})')} ELSE 0.0 END + {sums}) END)"
+
+
 def corr(x: str, y: str) -> Column:
     """Pearson's r; null where a side doesn't vary."""
     sd = F.stddev_pop(x) * F.stddev_pop(y)

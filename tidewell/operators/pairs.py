@@ -18,8 +18,10 @@ def unit_pairs(units: DataFrame, kind: str = "between_probe", probe_pairs: list[
         return a.join(F.broadcast(wanted), "src_probe").join(b, "dst_probe").select("src", "dst")
     if kind == "within_probe":
         return a.join(b, a.src_probe == b.dst_probe).where("src < dst").select("src", "dst")
-    every = a.join(b, F.col("src") < F.col("dst"))
-    return (every if kind == "all" else every.where("src_probe <> dst_probe")).select("src", "dst")
+    probes = units.select(F.col("probe").alias("src_probe")).distinct()
+    met = F.lit(True) if kind == "all" else F.col("src_probe") != F.col("dst_probe")
+    wanted = probes.join(probes.withColumnRenamed("src_probe", "dst_probe"), met)  # a row a pair of probes
+    return a.join(wanted, "src_probe").join(b, "dst_probe").where("src < dst").select("src", "dst")
 
 
 def with_attributes(edges: DataFrame, units: DataFrame) -> DataFrame:
@@ -60,23 +62,37 @@ def cell_trains(cells: DataFrame, points: DataFrame) -> DataFrame:
     return sides[0].unionAll(sides[1])
 
 
-def shared_cells(membership: DataFrame, pathway0: DataFrame, pathway1: DataFrame) -> DataFrame:
+#: Pairs of a pathway in a block of the grid, and 62-trial words of a bitmap.
+BLOCK_PAIRS, WORDS = 256, 16
+
+
+def shared_cells(membership: DataFrame, pathway0: DataFrame, pathway1: DataFrame, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
     """(src0, dst0, src1, dst1, cat0, cat1, n): trials in which a pair of one pathway has cat0 and one of the other cat1.
 
-    The trials of a pair and category are packed into one bitmap first, so the pathways meet once a pair of pairs and
-    category, not once a trial, and the count is a population count. A bitmap holds 62 trials; further trials have
-    bitmaps of their own.
+    The trials of a pair and category are packed into a bitmap first, so the pathways meet once a pair of pairs, not once
+    a trial, and the count is a population count. Both pathways are dealt to blocks of about ``block_pairs`` pairs, and
+    every block of one meets every block of the other under a key of its own: a task sees two blocks, however many
+    pairs there are and however few trials. Trials beyond WORDS words of 62 have bitmaps, and keys, of their own.
     """
-    def packed(pathway: DataFrame, i: int) -> DataFrame:
+    def packed(pathway: DataFrame, i: int) -> tuple[DataFrame, int]:
         cells = membership.where("group_id is not null").join(pathway, ["src", "dst"], "left_semi")
+        blocks = max(1, -(-pathway.count() // block_pairs))
         word = F.floor(F.col("trial_id") / 62)
-        return cells.groupBy("src", "dst", "group_id", word.alias("word")).agg(
-            F.bit_or(F.expr("shiftleft(1L, cast(trial_id % 62 as int))")).alias(f"bits{i}")
-        ).select(F.col("src").alias(f"src{i}"), F.col("dst").alias(f"dst{i}"), F.col("group_id").alias(f"cat{i}"), "word", f"bits{i}")
-
-    both = packed(pathway0, 0).join(packed(pathway1, 1), "word")
-    n = F.bit_count(F.col("bits0").bitwiseAND(F.col("bits1"))).cast("long")
-    return both.groupBy("src0", "dst0", "src1", "dst1", "cat0", "cat1").agg(F.sum(n).alias("n")).where("n > 0")
+        words = cells.groupBy("src", "dst", "group_id", word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(trial_id, 62) as int))")).alias("bits"))
+        place, chunk = F.pmod("word", F.lit(WORDS)).cast("int"), F.floor(F.col("word") / WORDS)
+        held = words.groupBy("src", "dst", "group_id", chunk.alias("chunk")).agg(F.map_from_entries(F.collect_list(F.struct(place, "bits"))).alias("held"))
+        dense = F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda w: F.coalesce(F.element_at("held", w), F.lit(0).cast("long")))
+        one = held.groupBy("src", "dst", "chunk").agg(F.collect_list(F.struct(F.col("group_id").alias("cat"), dense.alias("bits"))).alias(f"cats{i}"))
+        block = F.pmod(F.xxhash64("src", "dst"), F.lit(blocks)).cast("int")
+        return one.select(F.col("src").alias(f"src{i}"), F.col("dst").alias(f"dst{i}"), "chunk", f"cats{i}", block.alias(f"block{i}")), blocks
+
+    (left, n_left), (right, n_right) = packed(pathway0, 0), packed(pathway1, 1)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    met = left.withColumn("block1", every(n_right)).join(right.withColumn("block0", every(n_left)), ["block0", "block1", "chunk"])
+    common = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(y)).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
+    table = F.flatten(F.transform("cats0", lambda a: F.transform("cats1", lambda b: F.struct(a["cat"].alias("cat0"), b["cat"].alias("cat1"), common(a["bits"], b["bits"]).alias("n")))))
+    cells = met.select("src0", "dst0", "src1", "dst1", F.explode(table).alias("c")).select("src0", "dst0", "src1", "dst1", "c.*").where("n > 0")
+    return cells.groupBy("src0", "dst0", "src1", "dst1", "cat0", "cat1").agg(F.sum("n").alias("n"))
 
 
 def strongest_block(cells: DataFrame, least: int = 20) -> DataFrame:

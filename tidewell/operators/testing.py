@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewell.functions import numeric
-from tidewell.functions.columns import norm_cdf, uniform
+from tidewell.functions.columns import chi2_tail, norm_cdf, uniform
 from tidewell.sources.shared import settle
 
 
@@ -89,13 +85,8 @@ def contingency_tests(cells: DataFrame) -> DataFrame:
 
 
 def chi2_p(tests: DataFrame) -> DataFrame:
-    """The same with p, the upper tail of chi2 at dof."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(p=[numeric.chi2_sf(x, d) for x, d in zip(pdf["chi2"], pdf["dof"], strict=True)])
-
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tests.schema)
-    return tests.mapInPandas(run, f"{kept}, p double")
+    """The same with p, the upper tail of chi2 at dof, to 9 digits."""
+    return tests.withColumn("p", F.round(chi2_tail(F.col("chi2"), F.col("dof")), 9))
 
 
 def p_levels(p: Column) -> Column:

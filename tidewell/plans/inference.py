@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewell.functions.columns import laplace_pdf, norm_cdf, norm_pdf, sql_norm_cdf, sql_uniform
+from tidewell.functions.columns import laplace_pdf, norm_cdf, norm_pdf, sql_chi2_tail, sql_norm_cdf, sql_uniform
 from tidewell.operators import ccg, graph, series, testing
 from tidewell.plans.basics import DEGREE, PSTH, condition_psth, degree, smooth_sql
 from tidewell.plans.catalog import BINS, LAGS, Tables, query, rounded
@@ -36,9 +36,12 @@ def tested(t: Tables) -> DataFrame:
     return testing.chi2_p(testing.contingency_tests(t.cells))
 
 
-@query("h3_contingency_p")
+CHI_P = f", tests AS (SELECT src0, dst0, src1, dst1, chi2, n, dof, round({sql_chi2_tail('chi2', 'dof')}, 9) AS p FROM chi)"
+
+
+@query("h3_contingency_p", CHI_P + " SELECT src0, dst0, src1, dst1, n, round(chi2, 6) AS chi2, dof, round(sqrt(chi2 / n / 5), 6) AS cramer_v, round(p, 6) AS p FROM tests", ("chi",))
 def h3b(t: Tables) -> DataFrame:
-    return tested(t)
+    return rounded(tested(t), "chi2", "cramer_v", "p")
 
 
 @query("h4_p_summary", """ SELECT threshold, count(*) FILTER (pval < threshold) AS n, round(avg(CASE WHEN pval < threshold THEN 1.0 ELSE 0.0 END), 6) AS ratio
@@ -70,81 +73,44 @@ def h5b(t: Tables) -> DataFrame:
     return rounded(testing.adjust(t.edges.select("src", "dst", "src_probe", F.col("pval").alias("p")), ("src_probe",)), "p", "bonferroni", "bh", "by", digits=9)
 
 
-#: A p of every pair of pathways that SQL can repeat: a hash, as the chi-square tail is no SQL function.
-HASH_P = f", tests AS (SELECT src0, dst0, src1, dst1, chi2, n, {sql_uniform("concat_ws('/', src0, dst0, src1, dst1, 0)")} AS p FROM chi)"
-
-
-def hash_tests(t: Tables) -> DataFrame:
-    from tidewell.functions.columns import uniform
-
-    return testing.contingency_tests(t.cells).withColumn("p", uniform("src0", "dst0", "src1", "dst1", 0))
-
-
-@query("h6_hub_blocks", HASH_P + " SELECT dst0 AS mid, count(*) AS n, count(DISTINCT src0) AS n_src FROM tests WHERE p < 0.3 AND dst0 = src1 GROUP BY dst0 HAVING count(*) > 0.06 * 25", ("chi",))
-def h6(t: Tables) -> DataFrame:
-    return testing.hub_blocks(hash_tests(t), 0.3, 0.06, 25)
-
-
-@query("h6_hub_members", HASH_P + """, hubs AS (SELECT dst0 AS mid FROM tests WHERE p < 0.3 AND dst0 = src1 GROUP BY dst0 HAVING count(*) > 0.06 * 25)
-SELECT dst0 AS mid, src0, dst1, round(p, 6) AS p FROM tests JOIN hubs ON mid = dst0 WHERE p < 0.3 AND dst0 = src1""", ("chi",))
-def h6m(t: Tables) -> DataFrame:
-    tests = hash_tests(t)
-    return rounded(testing.hub_members(tests, testing.hub_blocks(tests, 0.3, 0.06, 25), 0.3), "p")
-
-
-@query("h6_broadcast_blocks", HASH_P + " SELECT src0 AS source, dst1 AS target, count(*) AS n, count(*) FILTER (dst0 = src1) AS n_hub FROM tests WHERE p < 0.3 GROUP BY ALL HAVING count(*) > 0.051 * 25", ("chi",))
-def h6b(t: Tables) -> DataFrame:
-    return testing.broadcast_blocks(hash_tests(t), 0.3, 0.051, 25)
-
-
-@query("h7_mean_contingency", HASH_P + """ SELECT cat0, cat1, round(sum(c.n) / (SELECT count(*) FROM tests), 6) AS mean_n, round(sum(CASE WHEN p < 0.3 THEN c.n ELSE 0 END) / (SELECT count(*) FROM tests WHERE p < 0.3), 6) AS mean_n_significant
- FROM cells c JOIN tests USING (src0, dst0, src1, dst1) GROUP BY ALL""", ("chi",))
-def h7(t: Tables) -> DataFrame:
-    return rounded(testing.mean_contingency(t.cells, hash_tests(t), 0.3), "mean_n", "mean_n_significant")
-
+def both(name: str, sql: str):
+    """Register a query under its name and under the one that ends in _p, which it had first."""
+    def add(f):
+        return query(f"{name}_p", CHI_P + sql, ("chi",))(query(name, CHI_P + sql, ("chi",))(f))
 
-@query("h7_cramer_v", HASH_P + " SELECT round(avg(sqrt(chi2 / n / 5)), 6) AS mean_v, round(avg(sqrt(chi2 / n / 5)) FILTER (p < 0.3), 6) AS mean_v_significant FROM tests", ("chi",))
-def h7b(t: Tables) -> DataFrame:
-    return rounded(hash_tests(t).agg(F.avg("cramer_v").alias("mean_v"), F.avg(F.when(F.col("p") < 0.3, F.col("cramer_v"))).alias("mean_v_significant")), "mean_v", "mean_v_significant")
+    return add
 
 
-@query("h8_in_significant", HASH_P + """, e AS (SELECT src0 AS src, dst0 AS dst FROM tests WHERE p < 0.3 UNION ALL SELECT src1, dst1 FROM tests WHERE p < 0.3)
-SELECT p.src, p.dst, CAST(count(e.src) > 0 AS INTEGER) AS marked, count(e.src) AS degree FROM pairs p LEFT JOIN e ON e.src = p.src AND e.dst = p.dst GROUP BY p.src, p.dst""", ("chi",))
-def h8(t: Tables) -> DataFrame:
-    return testing.in_significant(t.pairs, hash_tests(t), 0.3)
-
-
-# The same on the chi-square tail of each pair of pathways. The six queries above keep the hash, which their SQL
-# repeats: they check the plumbing between engines and say nothing about the data.
-
-
-@query("h6_hub_blocks_p")
+@both("h6_hub_blocks", " SELECT dst0 AS mid, count(*) AS n, count(DISTINCT src0) AS n_src FROM tests WHERE p < 0.3 AND dst0 = src1 GROUP BY dst0 HAVING count(*) > 0.06 * 25")
 def h6_p(t: Tables) -> DataFrame:
     return testing.hub_blocks(tested(t), 0.3, 0.06, 25)
 
 
-@query("h6_hub_members_p")
+@both("h6_hub_members", """, hubs AS (SELECT dst0 AS mid FROM tests WHERE p < 0.3 AND dst0 = src1 GROUP BY dst0 HAVING count(*) > 0.06 * 25)
+SELECT dst0 AS mid, src0, dst1, round(p, 6) AS p FROM tests JOIN hubs ON mid = dst0 WHERE p < 0.3 AND dst0 = src1""")
 def h6m_p(t: Tables) -> DataFrame:
     tests = tested(t)
-    return testing.hub_members(tests, testing.hub_blocks(tests, 0.3, 0.06, 25), 0.3)
+    return rounded(testing.hub_members(tests, testing.hub_blocks(tests, 0.3, 0.06, 25), 0.3), "p")
 
 
-@query("h6_broadcast_blocks_p")
+@both("h6_broadcast_blocks", " SELECT src0 AS source, dst1 AS target, count(*) AS n, count(*) FILTER (dst0 = src1) AS n_hub FROM tests WHERE p < 0.3 GROUP BY ALL HAVING count(*) > 0.051 * 25")
 def h6b_p(t: Tables) -> DataFrame:
     return testing.broadcast_blocks(tested(t), 0.3, 0.051, 25)
 
 
-@query("h7_mean_contingency_p")
+@both("h7_mean_contingency", """ SELECT cat0, cat1, round(sum(c.n) / (SELECT count(*) FROM tests), 6) AS mean_n, round(sum(CASE WHEN p < 0.3 THEN c.n ELSE 0 END) / (SELECT count(*) FROM tests WHERE p < 0.3), 6) AS mean_n_significant
+ FROM cells c JOIN tests USING (src0, dst0, src1, dst1) GROUP BY ALL""")
 def h7_p(t: Tables) -> DataFrame:
-    return testing.mean_contingency(t.cells, tested(t), 0.3)
+    return rounded(testing.mean_contingency(t.cells, tested(t), 0.3), "mean_n", "mean_n_significant")
 
 
-@query("h7_cramer_v_p")
+@both("h7_cramer_v", " SELECT round(avg(sqrt(chi2 / n / 5)), 6) AS mean_v, round(avg(sqrt(chi2 / n / 5)) FILTER (p < 0.3), 6) AS mean_v_significant FROM tests")
 def h7b_p(t: Tables) -> DataFrame:
-    return tested(t).agg(F.avg("cramer_v").alias("mean_v"), F.avg(F.when(F.col("p") < 0.3, F.col("cramer_v"))).alias("mean_v_significant"))
+    return rounded(tested(t).agg(F.avg("cramer_v").alias("mean_v"), F.avg(F.when(F.col("p") < 0.3, F.col("cramer_v"))).alias("mean_v_significant")), "mean_v", "mean_v_significant")
 
 
-@query("h8_in_significant_p")
+@both("h8_in_significant", """, e AS (SELECT src0 AS src, dst0 AS dst FROM tests WHERE p < 0.3 UNION ALL SELECT src1, dst1 FROM tests WHERE p < 0.3)
+SELECT p.src, p.dst, CAST(count(e.src) > 0 AS INTEGER) AS marked, count(e.src) AS degree FROM pairs p LEFT JOIN e ON e.src = p.src AND e.dst = p.dst GROUP BY p.src, p.dst""")
 def h8_p(t: Tables) -> DataFrame:
     return testing.in_significant(t.pairs, tested(t), 0.3)
 
