@@ -56,11 +56,11 @@ def test_surrogates_in_arrays_are_those_in_rows(spark):
     pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (3, 0), (0, 8)], "src long, dst long")
     rows = ccg.interval_jitter(points, 1000, 7)
     want = ccg.ccg(binning.bins(points, 50), pairs, -3, 5, binning.bins(rows, 50, keys=("unit_id", "trial_id", "rep")), ("rep",))
-    got = trains.surrogate_ccg(points, pairs, 1000, 7, 50, 80, -3, 5)
+    got = trains.surrogate_rows(trains.surrogate_ccg(points, pairs, 1000, 7, 50, 80, -3, 5), pairs, 7, -3, 5)
     key = lambda df: sorted((r.src, r.dst, r.rep, r.lag, r.raw) for r in df.collect())
     assert key(got) == key(want) and len(key(got)) == 5 * 7 * 9
     for basic in (False, True):
         rows = (ccg.basic_jitter if basic else ccg.interval_jitter)(points, 1000, 7)
         want = {(r.src, r.dst, r.rep): r.n for r in synchrony.synchrony(points, pairs, 25, x_points=rows, keys=("rep",)).groupBy("src", "dst", "rep").agg(F.sum("n").alias("n")).collect()}
-        got = trains.surrogate_synchrony(points, pairs, 1000, 7, 25, basic).collect()
+        got = trains.surrogate_rows(trains.surrogate_synchrony(points, pairs, 1000, 7, 25, basic), pairs, 7, 0, 0).withColumnRenamed("raw", "n").collect()
         assert all(r.n == want.get((r.src, r.dst, r.rep), 0) for r in got) and len(got) == 35

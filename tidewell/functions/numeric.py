@@ -5,6 +5,7 @@ Each works on the numbers of one row or one key and is called inside a pandas fu
 
 from __future__ import annotations
 
+import hashlib
 import math
 from functools import lru_cache
 
@@ -13,6 +14,11 @@ import numpy as np
 from tidewell.functions.columns import NORMAL, NORMAL_T
 
 
+def uniform_of(*parts: int) -> float:
+    """functions.columns.uniform of whole numbers."""
+    return int(hashlib.md5("/".join(map(str, parts)).encode()).hexdigest()[:8], 16) / float(1 << 32)
+
+
 def norm_cdf(x: float) -> float:
     return 0.5 * math.erfc(-x / math.sqrt(2))
 

@@ -130,8 +130,8 @@ def pair_tests(points: DataFrame, pairs: DataFrame, kinds: tuple[str, ...], bin_
         surrogate = settle(surrogate)
     windows = lambda: window_product(bins, pairs, low, high, delta)
     made = {
-        "mc": lambda: mc_test(raw, surrogate, alpha),
-        "mc_sim": lambda: simultaneous_band(raw, surrogate, alpha).withColumnRenamed("p_up", "p"),
+        "mc": lambda: mc_test(raw, surrogate, reps, alpha),
+        "mc_sim": lambda: simultaneous_band(raw, surrogate, reps, alpha).withColumnRenamed("p_up", "p"),
         "binom": lambda: mass_test(raw, windows(), delta, "binom", alpha),
         "poisson": lambda: poisson_test(raw, poisson_mean(bins, pairs, low, high, delta), alpha).withColumnRenamed("mu", "mean"),
         "poisson_pmf": lambda: mass_test(raw, windows(), delta, "poisson", alpha),
@@ -159,42 +159,63 @@ def basic_jitter(points: DataFrame, width: int, reps: int, seed: int = 0) -> Dat
     return points.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).select("unit_id", "trial_id", "rep", moved.alias("t_us"))
 
 
-def mc_test(raw: DataFrame, surrogate: DataFrame, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """(src, dst, lag, raw, mean, ci_lo, ci_hi, p, p_rnd) from surrogate correlograms (src, dst, rep, lag, raw)."""
-    both = raw.join(surrogate.withColumnRenamed("raw", "jit"), ["src", "dst", "lag"])
-    u_raw, u_jit = uniform("src", "dst", "lag", seed), uniform("src", "dst", "lag", "rep", seed)
-    above = F.count_if(F.col("jit") > F.col("raw"))
-    above_rnd = F.count_if(F.col("jit") + u_jit > F.col("raw") + u_raw)
-    n = F.count("*")
-    band = F.percentile("jit", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
-    return both.groupBy("src", "dst", "lag").agg(
-        F.first("raw").alias("raw"), F.avg("jit").alias("mean"), band[0].alias("ci_lo"), band[1].alias("ci_hi"),
-        ((above + 1) / (n + 1)).alias("p"), ((above_rnd + 1) / (n + 1)).alias("p_rnd"),
-    )
+def lag_arrays(raw: DataFrame) -> DataFrame:
+    """(src, dst, lags, own): a pair's correlogram as arrays, in order of the lags."""
+    one = raw.groupBy("src", "dst").agg(F.array_sort(F.collect_list(F.struct("lag", "raw"))).alias("e"))
+    return one.select("src", "dst", F.col("e.lag").alias("lags"), F.col("e.raw").alias("own"))
 
 
-def simultaneous_band(raw: DataFrame, surrogate: DataFrame, alpha: float = 0.05) -> DataFrame:
+def mc_test(raw: DataFrame, surrogate: DataFrame, reps: int, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """(src, dst, lag, raw, mean, ci_lo, ci_hi, p, p_rnd) from trains.surrogate_ccg.
+
+    p = (surrogates above + 1) / (reps + 1); for p_rnd both sides get a hash uniform in [0, 1), which decides between equals.
+    """
+    def judge(r, n: np.ndarray) -> list[tuple]:
+        own = np.asarray(r.own)
+        lo, hi = np.quantile(n, [alpha / 2, 1 - alpha / 2], axis=0)
+        above, out = (n > own).sum(axis=0), []
+        for k, lag in enumerate(r.lags):
+            mine = numeric.uniform_of(r.src, r.dst, lag, seed)
+            ties = sum(numeric.uniform_of(r.src, r.dst, lag, i + 1, seed) > mine for i in np.flatnonzero(n[:, k] == own[k]).tolist())
+            out.append((r.src, r.dst, lag, own[k], n[:, k].mean(), lo[k], hi[k], (above[k] + 1) / (reps + 1), (above[k] + ties + 1) / (reps + 1)))
+        return out
+
+    return trains.against(surrogate, lag_arrays(raw), reps, judge, "src long, dst long, lag int, raw long, mean double, ci_lo double, ci_hi double, p double, p_rnd double")
+
+
+def simultaneous_band(raw: DataFrame, surrogate: DataFrame, reps: int, alpha: float = 0.05) -> DataFrame:
     """(src, dst, lag, raw, mean, ci_lo, ci_hi, p_up, p_down): one band over all lags of a pair.
 
     Surrogates are standardised per lag, their largest and smallest value over the lags taken, and the quantiles of
     these put back on each lag's scale. Lags whose surrogates don't vary take no part.
     """
-    lag = ["src", "dst", "lag"]
-    # whole numbers until the last step, and values rounded before they are compared: equal ones stay equal in any order
-    sums = surrogate.groupBy(*lag).agg(F.count("*").alias("n"), F.sum("raw").alias("s"), F.sum(F.col("raw") * F.col("raw")).alias("q"))
-    scale = sums.where("n * q > s * s").withColumns({"mean": F.col("s") / F.col("n"), "root": F.sqrt(F.col("n") * F.col("q") - F.col("s") * F.col("s"))})
-    z = F.round((F.col("raw") * F.col("n") - F.col("s")) / F.col("root"), 9)
-    ends = surrogate.join(scale, lag).groupBy("src", "dst", "rep").agg(F.max(z).alias("top"), F.min(z).alias("low"))
-    seen = raw.join(scale, lag)
-    own = seen.groupBy("src", "dst").agg(F.max(z).alias("raw_top"), F.min(z).alias("raw_low"))
-    bounds = ends.join(own, ["src", "dst"]).groupBy("src", "dst").agg(
-        F.percentile("top", F.lit(1 - alpha / 2)).alias("q_top"), F.percentile("low", F.lit(alpha / 2)).alias("q_low"),
-        F.avg(F.when(F.col("raw_top") < F.col("top"), 1.0).otherwise(0.0)).alias("p_up"), F.avg(F.when(F.col("raw_low") > F.col("low"), 1.0).otherwise(0.0)).alias("p_down"),
-    )
-    sd = F.col("root") / F.col("n")
-    return seen.join(bounds, ["src", "dst"]).select(
-        *lag, "raw", "mean", (F.col("q_low") * sd + F.col("mean")).alias("ci_lo"), (F.col("q_top") * sd + F.col("mean")).alias("ci_hi"), "p_up", "p_down"
-    )
+    def judge(r, n: np.ndarray) -> list[tuple]:
+        # whole numbers until the last step, and values rounded before they are compared: equal ones stay equal
+        s, q = n.sum(axis=0), (n * n).sum(axis=0)
+        some = np.flatnonzero(reps * q > s * s)
+        if not len(some):
+            return []
+        s, own, n = s[some], np.asarray(r.own)[some], n[:, some]
+        root = np.sqrt((reps * q[some] - s * s).astype(float))
+        z = lambda v: np.round((v * reps - s) / root, 9)
+        top, low, mine = z(n).max(axis=1), z(n).min(axis=1), z(own)
+        q_low, q_top = np.quantile(low, alpha / 2), np.quantile(top, 1 - alpha / 2)
+        p_up, p_down = (mine.max() < top).mean(), (mine.min() > low).mean()
+        mean, sd = s / reps, root / reps
+        return [(r.src, r.dst, r.lags[k], own[i], mean[i], q_low * sd[i] + mean[i], q_top * sd[i] + mean[i], p_up, p_down) for i, k in enumerate(some)]
+
+    return trains.against(surrogate, lag_arrays(raw), reps, judge, "src long, dst long, lag int, raw long, mean double, ci_lo double, ci_hi double, p_up double, p_down double")
+
+
+def height_rank(raw: DataFrame, surrogate: DataFrame, reps: int) -> DataFrame:
+    """(src, dst, h, p): a pair's coincidences at positive lags, and their two-sided rank among the surrogates'."""
+    def judge(r, n: np.ndarray) -> list[tuple]:
+        late = np.asarray(r.lags) > 0
+        h = float(np.asarray(r.own)[late].sum())
+        q = float((h > n[:, late].sum(axis=1)).mean())
+        return [(r.src, r.dst, h, 2 * min(q, 1 - q))]
+
+    return trains.against(surrogate, lag_arrays(raw), reps, judge, "src long, dst long, h double, p double")
 
 
 def smoothed_mean(bins: DataFrame, pairs: DataFrame, low: int, high: int, half: int, n_bins: int) -> DataFrame:

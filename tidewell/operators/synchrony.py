@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions.columns import uniform
+from tidewell.functions import numeric
 from tidewell.operators.ccg import poisson_test
 from tidewell.operators.timejoin import delays
-from tidewell.operators.trains import surrogate_synchrony
+from tidewell.operators.trains import against, surrogate_synchrony
 
 
 def synchrony(points: DataFrame, pairs: DataFrame, delta: int, low: int | None = None, high: int | None = None, x_points: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -37,11 +38,15 @@ def jitter_p(points: DataFrame, pairs: DataFrame, delta: int, width: int, reps:
     p_rnd: the same after a draw from [0, 0.5) is added to every count, as counts tie.
     """
     raw = synchrony(points, pairs, delta).groupBy("src", "dst").agg(F.sum("n").alias("s"))
-    full = pairs.join(raw, ["src", "dst"], "left").withColumn("s", F.coalesce("s", F.lit(0)))
-    every = full.join(surrogate_synchrony(points, pairs, width, reps, delta, basic, seed), ["src", "dst"])
-    more = F.col("n") + 0.5 * uniform("src", "dst", "rep", seed) >= F.col("s") + 0.5 * uniform("src", "dst", seed)
-    share = lambda hit: (F.count_if(hit) + 1) / (reps + 1)
-    return every.groupBy("src", "dst", "s").agg(share(F.col("n") >= F.col("s")).alias("p"), share(more).alias("p_rnd"))
+    own = pairs.join(raw, ["src", "dst"], "left").select("src", "dst", F.array(F.coalesce("s", F.lit(0))).alias("own"))
+
+    def judge(r, n: np.ndarray) -> list[tuple]:
+        s, n = int(r.own[0]), n[:, 0]
+        mine = numeric.uniform_of(r.src, r.dst, seed)  # decides between equals
+        ties = sum(numeric.uniform_of(r.src, r.dst, i + 1, seed) >= mine for i in np.flatnonzero(n == s).tolist())
+        return [(r.src, r.dst, s, ((n >= s).sum() + 1) / (reps + 1), ((n > s).sum() + ties + 1) / (reps + 1))]
+
+    return against(surrogate_synchrony(points, pairs, width, reps, delta, basic, seed), own, reps, judge, "src long, dst long, s long, p double, p_rnd double")
 
 
 def closed_beta(bins: DataFrame, pairs: DataFrame, delta: int) -> DataFrame:
@@ -76,17 +81,20 @@ def closed_beta_mean(bins: DataFrame, pairs: DataFrame, delta: int) -> DataFrame
 
 
 def beta_mc_test(bins: DataFrame, surrogate: DataFrame, pairs: DataFrame, reps: int, alpha: float = 0.05, correct: str | None = None, delta: int = 1) -> DataFrame:
-    """(src, dst, beta, mean, ci_lo, ci_hi, p): b1_cnt against surrogates of x (src, dst, rep, raw: synchrony of the bins).
+    """(src, dst, beta, mean, ci_lo, ci_hi, p): b1_cnt against surrogates of x (trains.surrogate_ccg at lag 0).
 
     ``correct``: the null mean (``cnt`` or ``binary``, in windows of ``delta`` bins) to take off beta, mean and interval,
     which leaves p as it is.
     """
     n_x = bins.groupBy(F.col("unit_id").alias("src")).agg(F.sum("n").alias("n_x"))
     raw = binned_synchrony(bins, pairs).groupBy("src", "dst").agg(F.sum("n").alias("s"))
-    full = pairs.join(n_x, "src").join(raw, ["src", "dst"], "left").join(surrogate.select("src", "dst", F.col("raw").alias("j")), ["src", "dst"])
-    b, j = F.coalesce("s", F.lit(0)) / F.col("n_x"), F.col("j") / F.col("n_x")
-    band = F.percentile("j", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
-    tested = full.select("src", "dst", b.alias("beta"), j.alias("j")).groupBy("src", "dst", "beta").agg(F.avg("j").alias("mean"), band[0].alias("ci_lo"), band[1].alias("ci_hi"), ((F.count_if(F.col("j") >= F.col("beta")) + 1) / (reps + 1)).alias("p"))
+    own = pairs.join(n_x, "src").join(raw, ["src", "dst"], "left").select("src", "dst", "n_x", F.array(F.coalesce("s", F.lit(0))).alias("own"))
+
+    def judge(r, n: np.ndarray) -> list[tuple]:
+        beta, j = r.own[0] / r.n_x, n[:, 0] / r.n_x
+        return [(r.src, r.dst, beta, j.mean(), *np.quantile(j, [alpha / 2, 1 - alpha / 2]), ((n[:, 0] >= r.own[0]).sum() + 1) / (reps + 1))]
+
+    tested = against(surrogate, own, reps, judge, "src long, dst long, beta double, mean double, ci_lo double, ci_hi double, p double")
     if correct is None:
         return tested
     off = closed_beta_mean(bins, pairs, delta).select("src", "dst", F.col(f"mean_{correct}").alias("off"))

@@ -132,11 +132,12 @@ def partners(points: DataFrame, pairs: DataFrame, most: int = PARTNERS) -> DataF
     return rows.select("src", "trial_id", "block", F.pmod("trial_id", F.lit(PARTS)).alias("part"), F.col("all.dst").alias("dst"), F.col("all.y").alias("y"))
 
 
-def _summed(met: DataFrame, reps: int, places: int, low: int, count: Callable[[np.ndarray, list[np.ndarray]], np.ndarray]) -> DataFrame:
-    """(src, dst, rep, lag, raw): counts (partner x rep x place) of a source train and its partners, summed over trials.
+def _summed(met: DataFrame, reps: int, count: Callable[[np.ndarray, list[np.ndarray]], np.ndarray]) -> DataFrame:
+    """(src, dst, n): counts (partner x rep x place) of a source train and its partners, summed over trials, as one array of
+    whole numbers a pair.
 
     Rows are dealt by source, block and part of the trials; a task adds up what follows one another and passes on one
-    sum for each, so what leaves it does not grow with the trials.
+    array for each pair, so what leaves it does not grow with the trials. The parts of a pair are then added up.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, sums = None, {}
@@ -152,23 +153,57 @@ def _summed(met: DataFrame, reps: int, places: int, low: int, count: Callable[[n
             yield rows(at[0], sums)
 
     def rows(src: int, sums: dict[int, np.ndarray]) -> pd.DataFrame:
-        dst = np.repeat(list(sums), reps * places)
-        rep, lag = (i.ravel() for i in np.indices((reps, places)))
-        return pd.DataFrame({"src": src, "dst": dst, "rep": np.tile(rep + 1, len(sums)), "lag": np.tile(lag + low, len(sums)), "raw": np.concatenate([n.ravel() for n in sums.values()]).astype(np.int64)})
+        return pd.DataFrame({"src": src, "dst": list(sums), "n": [n.astype("<i8").tobytes() for n in sums.values()]})
 
-    keys = ["src", "block", "part"]
-    dealt = met.repartition(*keys).sortWithinPartitions(*keys)
-    parts = dealt.mapInPandas(run, "src long, dst long, rep int, lag int, raw long")
-    return parts.groupBy("src", "dst", "rep", "lag").agg(F.sum("raw").alias("raw"))
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, total = None, None
+        for pdf in batches:
+            done = []
+            for r in pdf.itertuples(index=False):
+                n = np.frombuffer(r.n, "<i8")
+                if at == (r.src, r.dst):
+                    total = total + n
+                else:
+                    if at is not None:
+                        done.append((*at, total.tobytes()))
+                    at, total = (r.src, r.dst), n
+            yield pd.DataFrame(done, columns=["src", "dst", "n"])
+        if at is not None:
+            yield pd.DataFrame([(*at, total.tobytes())], columns=["src", "dst", "n"])
+
+    keys, schema = ["src", "block", "part"], "src long, dst long, n binary"
+    parts = met.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+    return parts.repartition("src", "dst").sortWithinPartitions("src", "dst").mapInPandas(added, schema)
+
+
+def against(surrogates: DataFrame, own: DataFrame, reps: int, judge: Callable[..., list[tuple]], fields: str) -> DataFrame:
+    """What ``judge`` makes of every pair of ``own`` (src, dst, own: its counts at each place, and more): rows of ``fields``.
+
+    It is called with the row and the surrogates' counts, rep x place; pairs that no surrogate meets have zeros. No row is
+    made for a surrogate.
+    """
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                places = len(r.own)
+                out += judge(r, np.frombuffer(r.n, "<i8").reshape(reps, places) if r.n is not None else np.zeros((reps, places), np.int64))
+            yield pd.DataFrame(out, columns=names)
+
+    return own.join(surrogates, ["src", "dst"], "left").mapInPandas(run, fields)
 
 
-def _filled(sums: DataFrame, pairs: DataFrame, reps: int, low: int, high: int) -> DataFrame:
-    every = pairs.select("src", "dst", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).withColumn("lag", F.explode(F.sequence(F.lit(low), F.lit(high))))
-    return every.join(sums, ["src", "dst", "rep", "lag"], "left").withColumn("raw", F.coalesce("raw", F.lit(0)))
+def surrogate_rows(surrogates: DataFrame, pairs: DataFrame, reps: int, low: int, high: int) -> DataFrame:
+    """(src, dst, rep, lag, raw): surrogates' counts as rows, for those who want them."""
+    own = pairs.select("src", "dst", F.sequence(F.lit(low), F.lit(high)).alias("own"))
+    rows = lambda r, n: [(r.src, r.dst, i + 1, low + k, int(v)) for i, line in enumerate(n) for k, v in enumerate(line)]
+    return against(surrogates, own, reps, rows, "src long, dst long, rep int, lag int, raw long")
 
 
 def surrogate_ccg(points: DataFrame, pairs: DataFrame, width: int, reps: int, bin_width: int, n_bins: int, low: int, high: int, seed: int = 0) -> DataFrame:
-    """(src, dst, rep, lag, raw): the correlogram of every pair with each interval-jitter surrogate of its source.
+    """(src, dst, n): the correlograms of pairs with each interval-jitter surrogate of the source, rep x lag in one array.
 
     A source's surrogates become one table of counts (rep x bin), which meets the shifted counts of all its partners in
     one matrix product, trial by trial. Counts are whole numbers, so the product is exact.
@@ -188,17 +223,16 @@ def surrogate_ccg(points: DataFrame, pairs: DataFrame, width: int, reps: int, bi
         return (table @ shifted.reshape(n_bins, -1)).reshape(reps, len(ys), lags).transpose(1, 0, 2)
 
     x = moved(points, width, reps, seed).withColumnRenamed("unit_id", "src")
-    return _filled(_summed(partners(points, pairs).join(x, ["src", "trial_id"]), reps, lags, low, count), pairs, reps, low, high)
+    return _summed(partners(points, pairs).join(x, ["src", "trial_id"]), reps, count)
 
 
 def surrogate_synchrony(points: DataFrame, pairs: DataFrame, width: int, reps: int, delta: int, basic: bool = False, seed: int = 0) -> DataFrame:
-    """(src, dst, rep, n): how many (x, y) of each surrogate of the source have abs(y - x) <= delta, in all trials."""
+    """(src, dst, n): how many (x, y) of each surrogate of the source have abs(y - x) <= delta in all trials, in one array."""
     def count(x: np.ndarray, ys: list[np.ndarray]) -> np.ndarray:
         return np.stack([(np.searchsorted(y, x + delta, "right") - np.searchsorted(y, x - delta, "left")).sum(axis=1)[:, None] for y in ys])
 
     x = moved(points, width, reps, seed, basic).withColumnRenamed("unit_id", "src")
-    met = partners(points, pairs).join(x, ["src", "trial_id"])
-    return _filled(_summed(met, reps, 1, 0, count), pairs, reps, 0, 0).select("src", "dst", "rep", F.col("raw").alias("n"))
+    return _summed(partners(points, pairs).join(x, ["src", "trial_id"]), reps, count)
 
 
 def surrogate_fits(points: DataFrame, pairs: DataFrame, jitter: int, reps: int, n_trials: int, trial: int, length: int, width: int, unit: float, seed: int = 0, at_once: int = 25) -> DataFrame:

@@ -43,8 +43,10 @@ pp AS (SELECT x.probe AS pa, y.probe AS pb FROM pr x JOIN pr y ON x.probe < y.pr
 a AS (SELECT trial_id, pa, pb, bin, y AS y1 FROM pt JOIN pp ON probe = pa), b AS (SELECT trial_id, pa, pb, bin, y AS y2 FROM pt JOIN pp ON probe = pb),
 e1 AS (SELECT trial_id, pa, pb, sum(y1 * y1) / 288.0 AS e1 FROM a GROUP BY ALL), e2 AS (SELECT trial_id, pa, pb, sum(y2 * y2) / 288.0 AS e2 FROM b GROUP BY ALL),
 sp AS (SELECT a.trial_id, a.pa, a.pb, CAST(a.bin - b.bin AS INTEGER) AS lag, sum(y1 * y2) AS s FROM a JOIN b ON a.trial_id = b.trial_id AND a.pa = b.pa AND a.pb = b.pb AND a.bin - b.bin BETWEEN -12 AND 12 GROUP BY ALL),
-cc AS (SELECT e1.trial_id, e1.pa, e1.pb, CAST(i AS INTEGER) AS lag, coalesce(s, 0) / (288 - abs(i)) / sqrt(e1 * e2) AS corr, coalesce(s, 0) / (288 - abs(i)) AS prod
- FROM e1 JOIN e2 USING (trial_id, pa, pb) CROSS JOIN range(-12, 13) r(i) LEFT JOIN sp ON sp.trial_id = e1.trial_id AND sp.pa = e1.pa AND sp.pb = e1.pb AND sp.lag = i)"""
+al AS (SELECT trial_id, pa, pb, lag, s FROM sp UNION ALL SELECT trial_id, pa, pb, CAST(i AS INTEGER), 0.0 FROM e1 CROSS JOIN range(-12, 13) r(i)),
+sm AS (SELECT trial_id, pa, pb, lag, sum(s) AS s FROM al GROUP BY ALL), en AS (SELECT trial_id, pa, pb, e1, 0.0 AS e2 FROM e1 UNION ALL SELECT trial_id, pa, pb, 0.0, e2 FROM e2),
+ee AS (SELECT trial_id, pa, pb, max(e1) AS e1, max(e2) AS e2 FROM en GROUP BY ALL HAVING max(e1) > 0 AND max(e2) > 0),
+cc AS (SELECT trial_id, pa, pb, lag, s / (288 - abs(lag)) / sqrt(e1 * e2) AS corr, s / (288 - abs(lag)) AS prod FROM sm JOIN ee USING (trial_id, pa, pb))"""
 TRACES = ("trial_id", "pa", "pb")
 
 
@@ -114,7 +116,7 @@ j AS (SELECT src, dst, lag, raw AS jit, {sql_uniform("concat_ws('/', src, dst, l
 SELECT src, dst, lag, max(raw) AS raw, round(avg(jit), 6) AS mean, round(quantile_cont(jit, 0.025), 6) AS ci_lo, round(quantile_cont(jit, 0.975), 6) AS ci_hi,
 round((count(*) FILTER (jit > raw) + 1) / (count(*) + 1), 6) AS p, round((count(*) FILTER (jit + uj > raw + ur) + 1) / (count(*) + 1), 6) AS p_rnd FROM u JOIN j USING (src, dst, lag) GROUP BY ALL""", ("surrogate",))
 def e8(t: Tables) -> DataFrame:
-    return rounded(ccg.mc_test(raw(t), surrogate(t)), "mean", "ci_lo", "ci_hi", "p", "p_rnd")
+    return rounded(ccg.mc_test(raw(t), surrogate(t), REPS), "mean", "ci_lo", "ci_hi", "p", "p_rnd")
 
 
 BAND = """, sc AS (SELECT src, dst, lag, count(*) AS n, CAST(sum(raw) AS BIGINT) AS s, CAST(sum(raw * raw) AS BIGINT) AS q FROM surrogate GROUP BY ALL HAVING count(*) * sum(raw * raw) > sum(raw) * sum(raw)),
@@ -127,7 +129,7 @@ band AS (SELECT src, dst, lag, raw, m, ql * root / n + m AS ci_lo, qt * root / n
 
 @query("e9_simultaneous_band", BAND + " SELECT src, dst, lag, raw, round(m, 6) AS mean, round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi, round(pu, 6) AS p_up, round(pd, 6) AS p_down FROM band", ("surrogate",))
 def e9(t: Tables) -> DataFrame:
-    return rounded(ccg.simultaneous_band(raw(t), surrogate(t)), "mean", "ci_lo", "ci_hi", "p_up", "p_down")
+    return rounded(ccg.simultaneous_band(raw(t), surrogate(t), REPS), "mean", "ci_lo", "ci_hi", "p_up", "p_down")
 
 
 @query("e10_poisson_mean", " SELECT src, dst, lag, raw, round(mean, 6) AS mu FROM ccg JOIN moments USING (src, dst, lag)", ("moments",))
@@ -227,7 +229,7 @@ x AS (SELECT p.src, p.dst, CAST(y.bin - x.bin AS INTEGER) AS lag, sum(x.n * y.n)
 SELECT src, dst, lag, raw, round(mc, 6) AS mc, round(mean, 6) AS window_mean, round(coalesce(s, 0), 6) AS smoothed FROM ccg JOIN moments USING (src, dst, lag) JOIN m USING (src, dst, lag) LEFT JOIN x USING (src, dst, lag)""", ("moments", "surrogate"))
 def e18(t: Tables) -> DataFrame:
     key = ["src", "dst", "lag"]
-    mc = surrogate(t).groupBy(*key).agg(F.avg("raw").alias("mc"))
+    mc = ccg.mc_test(raw(t), surrogate(t), REPS).select(*key, F.col("mean").alias("mc"))
     smooth = ccg.smoothed_mean(t.bins, t.pairs, -LAGS, LAGS, 24, BINS).withColumnRenamed("mu", "smoothed")
     out = raw(t).join(moments(t), key).join(mc, key).join(smooth, key)
     return rounded(out.select(*key, "raw", "mc", F.col("mean").alias("window_mean"), "smoothed"), "mc", "window_mean", "smoothed")

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from tidewell.functions.columns import laplace_pdf, norm_cdf, norm_pdf, sql_chi2_tail, sql_norm_cdf, sql_uniform
 from tidewell.operators import ccg, graph, series, testing
 from tidewell.plans.basics import DEGREE, PSTH, condition_psth, degree, smooth_sql
-from tidewell.plans.catalog import BINS, LAGS, Tables, query, rounded
+from tidewell.plans.catalog import BINS, LAGS, QUERIES, REPS, Tables, query, rounded
 from tidewell.plans.correlograms import SIGN, raw, signs, surrogate
 from tidewell.sources.shared import settle
 
@@ -22,9 +22,15 @@ def h1(t: Tables) -> DataFrame:
 @query("h2_rank_p", """, r AS (SELECT src, dst, CAST(sum(raw) AS DOUBLE) AS h FROM ccg WHERE lag > 0 GROUP BY ALL), j AS (SELECT src, dst, rep, CAST(sum(raw) AS DOUBLE) AS hj FROM surrogate WHERE lag > 0 GROUP BY ALL)
 SELECT src, dst, h, round(2 * least(avg(CASE WHEN h > hj THEN 1.0 ELSE 0.0 END), 1 - avg(CASE WHEN h > hj THEN 1.0 ELSE 0.0 END)), 6) AS p FROM r JOIN j USING (src, dst) GROUP BY src, dst, h""", ("surrogate",))
 def h2(t: Tables) -> DataFrame:
-    h = raw(t).where("lag > 0").groupBy("src", "dst").agg(F.sum("raw").cast("double").alias("h"))
-    jit = surrogate(t).where("lag > 0").groupBy("src", "dst", "rep").agg(F.sum("raw").cast("double").alias("h"))
-    return rounded(testing.rank_p(h, jit), "p")
+    return rounded(ccg.height_rank(raw(t), surrogate(t), REPS), "p")
+
+
+@query("h2_fit_rank_p")
+def h2b(t: Tables) -> DataFrame:
+    """The rank of every pair's fitted filter height among those fitted to surrogates of its source."""
+    fits = QUERIES["k14_surrogate_fits"](t.spark, t.sf_dir).where("converged")
+    fits = settle(fits)
+    return testing.rank_p(fits.where("rep = 0").select("src", "dst", "h"), fits.where("rep > 0").select("src", "dst", "rep", "h"))
 
 
 @query("h3_contingency", " SELECT src0, dst0, src1, dst1, n, round(chi2, 6) AS chi2, dof, round(sqrt(chi2 / n / 5), 6) AS cramer_v FROM chi", ("chi",))
