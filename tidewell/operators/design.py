@@ -266,6 +266,71 @@ def pair_sums(bins: DataFrame, pairs: DataFrame, widths: list[float], length: in
     return met.mapInPandas(run, "src long, dst long, trial_id long, width double, swy double, shy double")
 
 
+#: How a jitter basis is made of x's counts: the mean of y's window, the chance of at least one event in a bin of it, or
+#: the mean over the window's length around y, with the trial mirrored at its ends.
+JITTERS = ("interval", "interval_binary", "basic")
+
+
+def jitter_basis(b: np.ndarray, n: np.ndarray, n_bins: int, delta: int, kind: str) -> np.ndarray:
+    """The basis of one train at every bin; ``delta`` bins a window."""
+    dense = np.zeros(n_bins)
+    np.add.at(dense, b, n)
+    if kind == "basic":
+        before, after = delta // 2 - (1 - delta % 2), delta // 2
+        sums = kernels.running(np.pad(dense, (before, after), mode="symmetric"))
+        return (sums[delta:] - sums[:-delta]) / delta
+    count = np.bincount(b // delta, n, -(-n_bins // delta))
+    value = {"interval": count / delta, "interval_binary": 1 - (1 - 1 / delta) ** count}[kind]
+    return np.repeat(value, delta)[:n_bins]
+
+
+def jitter_rows(bins: DataFrame, pairs: DataFrame, n_bins: int, delta: int, kind: str = "interval") -> DataFrame:
+    """(src, dst, n_x, n_w, x, wx, w): y's events by x's count in their bin and the jitter basis there, equal rows as one; n_x
+    and n_w are both regressors' sums over all bins of all trials.
+
+    A source's basis is made once a trial for a block of its targets.
+    """
+    if kind not in JITTERS:
+        raise ValueError(f"no such jitter: {kind}")
+    packed = packed_bins(bins)
+    sizes = pairs.groupBy("src").agg(F.ceil(F.count("*") / PARTNERS).alias("blocks"))
+    dealt = pairs.join(sizes, "src").select("src", "dst", F.pmod(F.xxhash64("dst"), F.col("blocks")).alias("block"))
+    y = packed.select(F.col("unit_id").alias("dst"), "trial_id", F.struct(F.col("unit_id").alias("dst"), "b", "n").alias("y"))
+    x = packed.withColumnRenamed("unit_id", "src")
+    met = dealt.join(y, "dst").groupBy("src", "trial_id", "block").agg(F.collect_list("y").alias("ys")).join(x, ["src", "trial_id"], "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                count, basis = np.zeros(n_bins), np.zeros(n_bins)
+                if r.b is not None:
+                    np.add.at(count, r.b, r.n)
+                    basis = jitter_basis(np.asarray(r.b), np.asarray(r.n, float), n_bins, delta, kind)
+                for y in r.ys:
+                    b = np.asarray(y["b"])
+                    out.append(pd.DataFrame({"src": r.src, "dst": y["dst"], "x": count[b], "wx": basis[b], "w": np.asarray(y["n"])}))
+            if out:
+                yield pd.concat(out).groupby(["src", "dst", "x", "wx"], as_index=False)["w"].sum()
+
+    def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sums = [(float(np.sum(r.n)), jitter_basis(np.asarray(r.b), np.asarray(r.n, float), n_bins, delta, kind).sum()) for r in pdf.itertuples(index=False)]
+            yield pd.DataFrame({"src": pdf["unit_id"], "n_x": [s[0] for s in sums], "n_w": [s[1] for s in sums]})
+
+    rows = met.mapInPandas(run, "src long, dst long, x double, wx double, w long").groupBy("src", "dst", "x", "wx").agg(F.sum("w").alias("w"))
+    area = packed.mapInPandas(totals, "src long, n_x double, n_w double").groupBy("src").agg(F.sum("n_x").alias("n_x"), F.sum("n_w").alias("n_w"))
+    return rows.join(area, "src").select("src", "dst", "n_x", "n_w", "x", "wx", "w")
+
+
+def own_bins(bins: DataFrame, length: int, n_bins: int, n_trials: int) -> DataFrame:
+    """(dst, trial_id, bin, own): y's coupling to itself on bins: its square filter of the ``length`` bins before, less its
+    mean over all bins; bins that no event reaches are not rows, and stand at minus that mean."""
+    h = convolve(bins, {0: square_bins(length)}, n_bins)
+    mean = h.groupBy("unit_id").agg((F.sum("value") / (n_bins * n_trials)).alias("mean"))
+    return h.join(mean, "unit_id").select(F.col("unit_id").alias("dst"), "trial_id", "bin", (F.col("value") - F.col("mean")).alias("own"), "mean")
+
+
 def _centred_sums(sums: DataFrame, keys: list[str], total: Column) -> DataFrame:
     """Gram entries of centred columns, from plain sums over ``total`` bins."""
     c = F.col

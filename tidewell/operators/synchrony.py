@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,6 +122,37 @@ def beta_poisson_test(bins: DataFrame, pairs: DataFrame, delta: int, correct: st
     )
 
 
+def beta_exact_test(bins: DataFrame, pairs: DataFrame, delta: int, correct: bool = False, alpha: float = 0.05) -> DataFrame:
+    """(src, dst, s, beta, mean, ci_lo, ci_hi, p): bins in which both have an event, over x's bins with one, against the exact
+    law of x's events thrown anew into windows of ``delta`` bins.
+
+    A window of n events of x and m bins with events of y hits some of the m bins, by the occupancy law; windows alike are
+    one power of it. The count's law is that of their sum. ``correct``: the null mean is taken off beta, mean and interval,
+    which leaves p as it is.
+    """
+    window = F.floor(F.col("bin") / delta).alias("window")
+    x = bins.groupBy(F.col("unit_id").alias("src"), "trial_id", window).agg(F.sum("n").alias("n"))
+    y = bins.groupBy(F.col("unit_id").alias("dst"), "trial_id", window).agg(F.count("*").alias("m"))
+    kinds = x.join(pairs, "src").join(y, ["dst", "trial_id", "window"]).groupBy("src", "dst", "m", "n").agg(F.count("*").cast("int").alias("times"))
+    packed = kinds.groupBy("src", "dst").agg(F.array_sort(F.collect_list(F.struct("m", "n", "times"))).alias("windows"))
+    hit = bins.select(F.col("unit_id").alias("src"), "trial_id", "bin").join(pairs, "src").join(bins.select(F.col("unit_id").alias("dst"), "trial_id", "bin"), ["dst", "trial_id", "bin"])
+    n_x = bins.groupBy(F.col("unit_id").alias("src")).agg(F.count("*").alias("bins_x"))
+    both = packed.join(hit.groupBy("src", "dst").agg(F.count("*").alias("s")), ["src", "dst"], "left").fillna(0, ["s"]).join(n_x, "src")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                pmf = np.ones(1)
+                for w in r.windows:
+                    pmf = np.convolve(pmf, numeric.power_pmf(np.array(numeric.occupancy_pmf(int(w["m"]), delta, int(w["n"]))), int(w["times"])))
+                low, high, mean, p, _ = numeric.pmf_summary(pmf, r.s, alpha, 0.5)
+                out.append((r.src, r.dst, r.s, *[(v - mean * correct) / r.bins_x for v in (r.s, mean, low, high)], p))
+            yield pd.DataFrame(out, columns=["src", "dst", "s", "beta", "mean", "ci_lo", "ci_hi", "p"])
+
+    return both.mapInPandas(run, "src long, dst long, s long, beta double, mean double, ci_lo double, ci_hi double, p double")
+
+
 def train_nll(bins: DataFrame, log_rate: DataFrame) -> DataFrame:
     """(unit_id, trial_id, nll): -sum n log(rate) + sum rate over bins. log_rate: unit_id, trial_id, bin, log_rate, dense."""
     both = log_rate.join(bins, ["unit_id", "trial_id", "bin"], "left")

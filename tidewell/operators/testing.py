@@ -186,9 +186,33 @@ def ecdf(values: DataFrame, n_bins: int, keys: tuple[str, ...] = (), value: str
     return full.select(*keys, "bin", (F.col("bin") / n_bins).alias("q"), (upto / total).alias("ecdf"), half.alias("band"))
 
 
-def ks_outside(values: DataFrame, n_bins: int, keys: tuple[str, ...], value: str = "u", alpha: float = 0.05) -> DataFrame:
-    """(keys, outside): grid points at which the ECDF leaves the band around the diagonal."""
-    return ecdf(values, n_bins, keys, value, alpha).groupBy(*keys).agg(F.count_if(F.abs(F.col("ecdf") - F.col("q")) > F.col("band")).alias("outside"))
+def interpolated(grid: DataFrame, table: DataFrame, x: str, y: str, at: str) -> DataFrame:
+    """``grid`` with ``y``: the function of ``table`` (x, y), straight between its points and constant beyond them, at ``at``.
+
+    Points of both are sorted together; each place takes the last point at or before it and the first at or after it from
+    running windows, so both may have any grid. The sort is over one row a point of a distribution.
+    """
+    both = grid.select(F.col(at).alias("x"), F.lit(None).cast("double").alias("y")).distinct().unionByName(table.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
+    order = Window.partitionBy(F.lit(0)).orderBy("x")
+    point = F.when(F.col("y").isNotNull(), F.struct("x", "y"))
+    lines = both.withColumns({
+        "a": F.last(point, True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)), "b": F.first(point, True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing)),
+    }).where("y is null")
+    a, b = F.col("a"), F.col("b")
+    between = a["y"] + (F.col("x") - a["x"]) / F.when(b["x"] > a["x"], b["x"] - a["x"]) * (b["y"] - a["y"])
+    value = F.when(a.isNull(), b["y"]).when(b.isNull() | (b["x"] == a["x"]), a["y"]).otherwise(between)
+    return grid.join(F.broadcast(lines.select(F.col("x").alias(at), value.alias(y))), at)
+
+
+def ks_outside(values: DataFrame, n_bins: int, keys: tuple[str, ...], value: str = "u", alpha: float = 0.05, null: DataFrame | None = None) -> DataFrame:
+    """(keys, outside): grid points at which the ECDF leaves the band around the diagonal, or around a ``null`` distribution
+    given as a table (q, cdf) on a grid of its own, between whose points it is straight."""
+    curve = ecdf(values, n_bins, keys, value, alpha)
+    if null is None:
+        model, slack = F.col("q"), 0.0
+    else:
+        curve, model, slack = interpolated(curve, null, "q", "cdf", "q"), F.col("cdf"), 1e-12
+    return curve.groupBy(*keys).agg(F.count_if(F.abs(F.col("ecdf") - model) > F.col("band") + slack).alias("outside"))
 
 
 def normal_qq(values: DataFrame, mean: float, sd: float, points: int = 41, span: float = 4.0, alpha: float = 0.05) -> DataFrame:

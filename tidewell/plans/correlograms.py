@@ -430,24 +430,15 @@ def f6c(t: Tables) -> DataFrame:
 @query("f6_beta_exact")
 def f6b(t: Tables) -> DataFrame:
     """Synchrony of x against binary y under window jitter, by the exact occupancy law of each window."""
-    window = F.floor(F.col("bin") / WINDOW_BINS).alias("window")
-    x = t.bins.groupBy(F.col("unit_id").alias("src"), "trial_id", window).agg(F.sum("n").alias("n"))
-    y = t.bins.groupBy(F.col("unit_id").alias("dst"), "trial_id", window).agg(F.count("*").alias("m"))
-    kinds = x.join(t.pairs, "src").join(y, ["dst", "trial_id", "window"]).groupBy("src", "dst", "m", "n").agg(F.count("*").cast("int").alias("times"))
-    hit = t.bins.select(F.col("unit_id").alias("src"), "trial_id", "bin").join(t.pairs, "src").join(t.bins.select(F.col("unit_id").alias("dst"), "trial_id", "bin"), ["dst", "trial_id", "bin"]).groupBy("src", "dst").agg(F.count("*").alias("s"))
-    packed = kinds.groupBy("src", "dst").agg(F.array_sort(F.collect_list(F.struct("m", "n", "times"))).alias("windows")).join(hit, ["src", "dst"], "left").fillna(0, ["s"])
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for s, ws in zip(pdf["s"], pdf["windows"], strict=True):
-                pmf = np.ones(1)
-                for w in ws:
-                    pmf = np.convolve(pmf, numeric.power_pmf(np.array(numeric.occupancy_pmf(int(w["m"]), WINDOW_BINS, int(w["n"]))), int(w["times"])))
-                out.append(numeric.pmf_summary(pmf, s, 0.05, 0.5)[2:4])
-            yield pd.DataFrame({"src": pdf["src"], "dst": pdf["dst"], "s": pdf["s"], "mean": [o[0] for o in out], "p": [o[1] for o in out]})
-
-    return packed.mapInPandas(run, "src long, dst long, s long, mean double, p double")
+    n_x = t.bins.groupBy(F.col("unit_id").alias("src")).agg(F.count("*").alias("bins_x"))
+    tested = synchrony.beta_exact_test(t.bins, t.pairs, WINDOW_BINS)
+    return tested.join(n_x, "src").select("src", "dst", "s", (F.col("mean") * F.col("bins_x")).alias("mean"), "p")
+
+
+@query("f6_beta_exact_corrected")
+def f6e(t: Tables) -> DataFrame:
+    """The strength of binary x and its interval, less the exact null mean."""
+    return synchrony.beta_exact_test(t.bins, t.pairs, WINDOW_BINS, correct=True)
 
 
 @query("f10_train_nll", """, r AS (SELECT unit_id, sum(n) / (288.0 * (SELECT count(*) FROM trials)) AS rate FROM bins GROUP BY ALL)

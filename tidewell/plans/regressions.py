@@ -210,6 +210,13 @@ def k12c(t: Tables) -> DataFrame:
     return fit.pooled_fit(grouped_design(t), keys, COLUMNS, group_totals(t, *keys)).select(*keys, "beta", "nll", "n_iter", "converged", "note")
 
 
+@query("k12_pair_group_fits")
+def k12d(t: Tables) -> DataFrame:
+    """A model for every pair and group."""
+    keys = ["src", "dst", "group_id"]
+    return fit.pooled_fit(grouped_design(t), keys, COLUMNS, group_totals(t, *keys)).select(*keys, "beta", "nll", "n_iter", "converged", "note")
+
+
 @query("k13_batch_fit")
 def k13(t: Tables) -> DataFrame:
     """Half of the trials a step; a fit ends when the mean nll of its batches changes by less than a share of 1e-3."""
@@ -302,6 +309,17 @@ def k20d(t: Tables) -> DataFrame:
     return sums.groupBy("unit_id", F.col("basis").cast("int").alias("basis")).agg(F.sum("value").alias("s"))
 
 
+@query("k20_discrete_self_coupling", CONV + """, mo AS (SELECT unit_id, sum(h) / (288.0 * (SELECT count(*) FROM trials)) AS m FROM ch GROUP BY ALL)
+SELECT b.unit_id AS dst, CAST(count(*) AS BIGINT) AS n_bins, round(sum(b.n * (coalesce(h, 0) - m)), 5) AS s_own FROM bins b LEFT JOIN ch USING (unit_id, trial_id, bin) JOIN mo ON mo.unit_id = b.unit_id GROUP BY ALL""")
+def k20e(t: Tables) -> DataFrame:
+    """y's coupling to itself on bins, summed over its events."""
+    own = design.own_bins(t.bins, 12, BINS, t.n_trials)
+    mean = own.groupBy("dst").agg(F.first("mean").alias("mean"))
+    y = t.bins.withColumnRenamed("unit_id", "dst").join(own.select("dst", "trial_id", "bin", "own"), ["dst", "trial_id", "bin"], "left").join(mean, "dst")
+    value = F.coalesce("own", -F.col("mean"))
+    return rounded(y.groupBy("dst").agg(F.count("*").alias("n_bins"), F.sum(F.col("n") * value).alias("s_own")), "s_own", digits=5)
+
+
 GRAM = CONV + """, ow AS (SELECT unit_id, width, sum(w) AS sw, sum(w * w) AS sww FROM cw GROUP BY ALL), oh AS (SELECT unit_id, sum(h) AS sh, sum(h * h) AS shh FROM ch GROUP BY ALL),
 owh AS (SELECT cw.unit_id, width, sum(w * h) AS swh FROM cw JOIN ch USING (unit_id, trial_id, bin) GROUP BY ALL), sy AS (SELECT unit_id AS dst, sum(n) AS s_y FROM bins GROUP BY ALL),
 wy AS (SELECT p.src, p.dst, width, sum(w * y.n) AS swy FROM pairs p JOIN cw ON cw.unit_id = p.src JOIN bins y ON y.unit_id = p.dst AND y.trial_id = cw.trial_id AND y.bin = cw.bin GROUP BY ALL),
@@ -449,6 +467,21 @@ def k28(t: Tables) -> DataFrame:
     return testing.ks_outside(rounded(rescaled(t), "u", digits=9), 20, ("src", "dst"))
 
 
+NULL_GRID = "nt AS (SELECT bin / 40.0 AS q, count(*) FILTER (round(u, 9) <= bin / 40.0) / CAST(count(*) AS DOUBLE) AS cdf FROM us CROSS JOIN range(0, 41) r(bin) GROUP BY bin)"
+
+
+@query("k28_ks_null_table", f"""{RESCALE}, {NULL_GRID}, g AS (SELECT CAST(i AS INTEGER) AS bin, i / 25.0 AS q FROM range(1, 26) r(i)),
+m AS (SELECT bin, g.q, max(nt.q) FILTER (nt.q <= g.q) AS q0, min(nt.q) FILTER (nt.q >= g.q) AS q1 FROM g CROSS JOIN nt GROUP BY ALL),
+k AS (SELECT bin, m.q, a.cdf + CASE WHEN q1 > q0 THEN (m.q - q0) / (q1 - q0) * (b.cdf - a.cdf) ELSE 0 END AS model FROM m JOIN nt a ON a.q = q0 JOIN nt b ON b.q = q1),
+c AS (SELECT src, dst, bin, model, count(*) FILTER (round(u, 9) <= q) / count(*) AS e, sqrt(-ln(0.025) / 2) / sqrt(count(*)) AS band FROM us CROSS JOIN k GROUP BY ALL)
+SELECT src, dst, count(*) FILTER (abs(e - model) > band + 1e-12) AS outside FROM c GROUP BY ALL""")
+def k28b(t: Tables) -> DataFrame:
+    """Each pair against the distribution of all pairs' values, which is a table on another grid."""
+    u = fit.settle(rounded(rescaled(t), "u", digits=9))
+    null = testing.ecdf(u, 40, (), "u").select("q", F.col("ecdf").alias("cdf"))
+    return testing.ks_outside(u, 25, ("src", "dst"), null=null)
+
+
 def kernel_sql(kind: str) -> str:
     e = f"(({D}) / {UNIT} - 0.25)"
     value = {"square": "1.0", "triangle": f"1 - {e} / 0.5", "inverse_triangle": f"{e} / 0.5"}[kind]
@@ -483,36 +516,26 @@ def k30(t: Tables) -> DataFrame:
     return rounded(a.join(b, ["trial_id", "t"]).withColumn("sinusoid", fit.sinusoid(F.col("t"), 30.0, 5.0, 0.25)), "gaussian", "laplacian", "sinusoid")
 
 
-def lrt_rows(t: Tables) -> DataFrame:
-    """(src, dst, x, wx, w): y events by x's count in the bin and its mean in the jitter window, equal rows as one."""
-    window = F.floor(F.col("bin") / WINDOW_BINS)
-    x = t.bins.select(F.col("unit_id").alias("src"), "trial_id", "bin", F.col("n").cast("double").alias("x"))
-    xw = t.bins.groupBy(F.col("unit_id").alias("src"), "trial_id", window.alias("window")).agg((F.sum("n") / WINDOW_BINS).alias("wx"))
-    y = t.bins.select(F.col("unit_id").alias("dst"), "trial_id", "bin", window.alias("window"), F.col("n").alias("w")).join(t.pairs, "dst")
-    d = y.join(x, ["src", "trial_id", "bin"], "left").join(xw, ["src", "trial_id", "window"], "left").fillna(0.0, ["x", "wx"])
-    n_x = t.bins.groupBy(F.col("unit_id").alias("src")).agg(F.sum("n").cast("double").alias("n_x"))
-    return d.join(n_x, "src").groupBy("src", "dst", "n_x", "x", "wx").agg(F.sum("w").alias("w"))
-
-
 #: Columns of each basis: the count of x in the bin, its mean in the jitter window, or both.
 BASES = {"B1": ["x"], "B0": ["wx"], "B0B1": ["wx", "x"]}
 
 
-def linear_fits(t: Tables, bases: list[str]) -> DataFrame:
+def linear_fits(t: Tables, bases: list[str], jitter: str = "interval") -> DataFrame:
     """(src, dst, basis, beta, nll, converged): y's rate in a bin is linear in a constant and the basis."""
     total = BINS * t.n_trials
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, n_x, out = pdf["w"].to_numpy(float), float(pdf["n_x"].iloc[0]), []
+        w, out = pdf["w"].to_numpy(float), []
+        sums = {"x": float(pdf["n_x"].iloc[0]), "wx": float(pdf["n_w"].iloc[0])}
         for basis in bases:
             x = np.column_stack([np.ones(len(pdf)), pdf[BASES[basis]]])
-            area = np.array([total] + [n_x] * len(BASES[basis]))
+            area = np.array([total] + [sums[c] for c in BASES[basis]])
             f = numeric.newton_best(x, w, area)
             beta = None if f["beta"] is None else f["beta"].tolist()
             out.append({"src": pdf["src"].iloc[0], "dst": pdf["dst"].iloc[0], "basis": basis, "beta": beta, "nll": f["nll"], "converged": f["converged"]})
         return pd.DataFrame(out)
 
-    return lrt_rows(t).groupBy("src", "dst").applyInPandas(run, "src long, dst long, basis string, beta array<double>, nll double, converged boolean")
+    return design.jitter_rows(t.bins, t.pairs, BINS, WINDOW_BINS, jitter).groupBy("src", "dst").applyInPandas(run, "src long, dst long, basis string, beta array<double>, nll double, converged boolean")
 
 
 def lrt(t: Tables) -> DataFrame:
@@ -534,11 +557,23 @@ def f7(t: Tables) -> DataFrame:
     return linear_fits(t, list(BASES))
 
 
+@query("f7_interval_binary")
+def f7d(t: Tables) -> DataFrame:
+    """The jitter basis is the chance that a bin of y's window has at least one event of x."""
+    return linear_fits(t, ["B0", "B0B1"], "interval_binary")
+
+
+@query("f7_basic_jitter")
+def f7e(t: Tables) -> DataFrame:
+    """The jitter basis is x's mean over a window around y."""
+    return linear_fits(t, ["B0", "B0B1"], "basic")
+
+
 @query("f7_exponential_link")
 def f7c(t: Tables) -> DataFrame:
     """Exponential link on B1, per pair: bins count by the number of x events in them, with y's events there summed."""
     y = t.bins.groupBy(F.col("unit_id").alias("dst")).agg(F.sum("n").alias("n_y"))
-    rows = lrt_rows(t).groupBy("src", "dst", "x").agg(F.sum("w").alias("y"))
+    rows = design.jitter_rows(t.bins, t.pairs, BINS, WINDOW_BINS).groupBy("src", "dst", "x").agg(F.sum("w").alias("y"))
     bins_of = t.bins.groupBy(F.col("unit_id").alias("src"), F.col("n").cast("double").alias("x")).agg(F.count("*").alias("bins"))
     filled = bins_of.groupBy("src").agg((BINS * t.n_trials - F.sum("bins")).alias("bins")).select("src", F.lit(0.0).alias("x"), "bins").unionByName(bins_of)
     table = filled.join(t.pairs, "src").join(y, "dst").join(rows, ["src", "dst", "x"], "left").fillna(0, ["y"])
