@@ -4,8 +4,10 @@ from types import SimpleNamespace
 
 import numpy as np
 
+from tidewell.operators import fit
 from tidewell.plans import regressions
-from tidewell.sources.adapters import HOUR
+from tidewell.plans.catalog import QUERIES
+from tidewell.sources.adapters import DAY, HOUR
 
 TRIALS = 30
 
@@ -40,4 +42,12 @@ def test_fast_decay_is_found_and_reported(spark):
     got = regressions.k15(t).collect()
     assert [(r.src, r.dst) for r in got] == [(1, 2)] and got[0].converged and 0 < got[0].n_iter < 200
     assert abs(np.log(got[0].rate / true)) < 0.3
+    in_task, by_sums = (fit.fit_exponential(t.points, t.pairs, DAY, float(HOUR), TRIALS, 0.2, np.geomspace(5, 300, 8), most_rows=m).first() for m in (10**6, 0))
+    assert abs(by_sums.rate / in_task.rate - 1) < 1e-9 and abs(by_sums.nll - in_task.nll) < 1e-6 and abs(by_sums.alpha - in_task.alpha) < 1e-6
     assert got[0].nll <= min(grid_nll(x, y, r) for r in np.geomspace(0.5, 500, 40)) + 0.05
+
+
+def test_every_pair_has_a_rate_or_none(spark, data):
+    got = QUERIES["k15_exponential_fit"](spark, data).toPandas()
+    some = got[got.converged]
+    assert len(got) == 375 and len(some) > 100 and some.rate.between(0.02, 2000).all() and got.rate[got.beta0.isna()].isna().all()

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import numeric
-from tidewell.operators import baselines, ccg, design, fit, graph, multivariate, posterior, series, synchrony
+from tidewell.operators import baselines, ccg, design, fit, graph, multivariate, posterior, series, synchrony, testing
 from tests.test_operators import points, simulated
 from tidewell.plans import correlograms, inference, regressions  # noqa: F401  they register their queries
 from tidewell.plans.catalog import BIN, BINS, QUERIES, Tables
@@ -170,6 +170,112 @@ def test_binned_regressions_stand_at_the_least(rows, events):
     assert np.allclose(lrt.stat, np.maximum(0, 2 * (both.B0 - both.B0B1)), atol=1e-6) and all(p == pytest.approx(math.erfc(math.sqrt(s / 2))) for p, s in zip(lrt.p, lrt.stat, strict=True))
 
 
+def brute_basis(x, kind, delta=48):
+    """A jitter basis of dense counts, bin by bin."""
+    out = np.empty(len(x))
+    for b in range(len(x)):
+        if kind == "basic":
+            near = [b + o for o in range(-(delta // 2) + (1 - delta % 2), delta // 2 + 1)]
+            near = [-1 - k if k < 0 else 2 * len(x) - 1 - k if k >= len(x) else k for k in near]  # mirrored at the ends
+            out[b] = x[near].sum() / delta
+        else:
+            c = x[b // delta * delta : (b // delta + 1) * delta].sum()
+            out[b] = c / delta if kind == "interval" else 1 - (1 - 1 / delta) ** c
+    return out
+
+
+@pytest.mark.parametrize("kind", design.JITTERS)
+@pytest.mark.parametrize("delta", [48, 7, 2])
+def test_jitter_bases_like_brute_force(kind, delta):
+    rng = np.random.default_rng(delta)
+    b = np.sort(rng.choice(BINS, 40, replace=False))
+    n = rng.integers(1, 4, 40)
+    x = np.zeros(BINS)
+    x[b] = n
+    if kind == "basic" or BINS % delta == 0:
+        assert np.allclose(design.jitter_basis(b, n.astype(float), BINS, delta, kind), brute_basis(x, kind, delta))
+
+
+@pytest.mark.parametrize("name, kind", [("f7_interval_binary", "interval_binary"), ("f7_basic_jitter", "basic")])
+def test_other_jitter_bases_stand_at_the_least(rows, events, name, kind):
+    got = rows(name)
+    assert set(got.basis) == {"B0", "B0B1"} and len(got) == 750
+    for r in got[got.converged].sample(16, random_state=2).itertuples():
+        score = np.zeros(len(r.beta))
+        area = np.zeros(len(r.beta))
+        for k in range(30):
+            x, y = (np.bincount(events.get((u, k), np.zeros(0, int)) // BIN, minlength=BINS)[:BINS] for u in (r.src, r.dst))
+            columns = np.stack([np.ones(BINS), brute_basis(x, kind), x][: len(r.beta)])
+            area += columns.sum(axis=1)
+            some = y > 0
+            score += columns[:, some] @ (y[some] / (np.array(r.beta) @ columns[:, some]))
+        assert np.allclose(score, area, rtol=1e-3, atol=1e-3)
+
+
+def test_self_coupling_on_bins(spark):
+    bins = spark.createDataFrame([(1, 0, 2, 1), (1, 0, 4, 2), (1, 0, 9, 1), (1, 1, 0, 1), (2, 0, 5, 1)], "unit_id long, trial_id long, bin long, n long")
+    got = {(r.dst, r.trial_id, r.bin): (r.own, r["mean"]) for r in design.own_bins(bins, 3, 10, 2).collect()}
+    mean = (3 + 6 + 0 + 3) / 20  # of the last event no later bin is left
+    want = {(1, 0, b): v - mean for b, v in ((3, 1), (4, 1), (5, 3), (6, 2), (7, 2))} | {(1, 1, b): 1 - mean for b in (1, 2, 3)}
+    assert {k: v[0] for k, v in got.items() if k[0] == 1} == pytest.approx(want) and all(v[1] == pytest.approx(mean) for k, v in got.items() if k[0] == 1)
+
+
+def test_band_around_a_table(spark):
+    rng = np.random.default_rng(1)
+    u = [("square", float(v)) for v in rng.random(4000) ** 2] + [("plain", float(v)) for v in rng.random(4000)]
+    values = spark.createDataFrame(u, "k string, u double")
+    root = spark.createDataFrame([(q / 37, math.sqrt(q / 37)) for q in range(38)], "q double, cdf double")
+    assert {r.k: r.outside for r in testing.ks_outside(values, 20, ("k",)).collect()}["plain"] <= 1
+    got = {r.k: r.outside for r in testing.ks_outside(values, 20, ("k",), null=root).collect()}
+    assert got["square"] <= 2 and got["plain"] > 15
+    grid = spark.createDataFrame([(v,) for v in (-0.5, 0.0, 0.1, 0.25, 0.7, 1.0, 3.0)], "at double")
+    line = spark.createDataFrame([(0.0, 1.0), (0.2, 2.0), (1.0, 10.0)], "x double, y double")
+    assert {r["at"]: r.y for r in testing.interpolated(grid, line, "x", "y", "at").collect()} == pytest.approx({-0.5: 1, 0: 1, 0.1: 1.5, 0.25: 2.5, 0.7: 7, 1: 10, 3: 10})
+
+
+def test_exact_law_less_its_mean(rows, spark):
+    """Two windows of 4 bins: 2 events of x with 1 of y's bins, 1 event with 2."""
+    bins = spark.createDataFrame([(1, 0, 0, 1), (1, 0, 3, 1), (1, 0, 5, 1), (2, 0, 3, 2), (2, 0, 5, 1), (2, 0, 6, 1)], "unit_id long, trial_id long, bin long, n long")
+    pairs = spark.createDataFrame([(1, 2)], "src long, dst long")
+    hit = 1 - 0.75**2
+    law = np.convolve([1 - hit, hit], [0.5, 0.5])
+    mean = hit + 0.5
+    plain, less = (synchrony.beta_exact_test(bins, pairs, 4, c).first() for c in (False, True))
+    assert plain.s == 2 and plain.beta == pytest.approx(2 / 3) and plain["mean"] == pytest.approx(mean / 3) and plain.p == less.p == pytest.approx(law[2])
+    assert less.beta == pytest.approx((2 - mean) / 3) and less["mean"] == pytest.approx(0) and less.ci_hi == pytest.approx(plain.ci_hi - mean / 3)
+    got = rows("f6_beta_exact_corrected").merge(rows("f6_beta_exact"), on=["src", "dst"])
+    assert np.allclose(got["mean_x"], 0, atol=1e-9) and np.allclose(got.p_x, got.p_y) and (got.s_x == got.s_y).all()
+
+
+def test_pooled_fits_of_a_pair_and_group(rows, spark, data):
+    t = Tables(spark, data)
+    got = rows("k12_pair_group_fits").set_index(["src", "dst", "group_id"])
+    d = regressions.grouped_design(t).toPandas()
+    assert len(got) == d.groupby(["src", "dst", "group_id"]).ngroups and (got.converged == got.note.isna()).all()
+    cells = t.membership.where("group_id is not null").toPandas().groupby(["src", "dst", "group_id"]).size()
+    for key in got[got.converged].sample(20, random_state=1).index:
+        mine = d[(d.src == key[0]) & (d.dst == key[1]) & (d.group_id == key[2])]
+        x, beta = mine[COLUMNS].to_numpy(float), np.array(got.beta[key])
+        assert (x @ beta > 0).all() and np.allclose((mine.w / (x @ beta)) @ x, [24 * cells[key], 0, 0], atol=1e-3)
+
+
+def test_rank_of_a_fit_among_surrogates(rows):
+    fits = rows("k14_surrogate_fits")
+    fits = fits[fits.converged]
+    got = rows("h2_fit_rank_p").set_index(["src", "dst"])
+    own = fits[fits.rep == 0].set_index(["src", "dst"]).h
+    for key, g in fits[fits.rep > 0].groupby(["src", "dst"]):
+        if key in own.index:
+            q = (own[key] > g.h).mean()
+            assert got.p[key] == pytest.approx(2 * min(q, 1 - q)) and got.h[key] == own[key]
+
+
+def test_joint_jitter_query(rows):
+    """26 events a pair are fewer than the coefficients of some targets: there is no best fit, and no p."""
+    got = rows("f9_jitter_test")
+    assert len(got) == 375 and (got.p.isna() == got.beta.isna()).all() and got.p.dropna().between(1 / 201 - 1e-12, 1).all()
+
+
 def test_exponential_link_stands_at_the_least(rows, events):
     got = rows("f7_exponential_link").merge(rows("f4_closed_beta"), on=["src", "dst"])
     assert (got.converged == (got.s > 0)).all()  # without a coincidence no coefficient is low enough
@@ -326,7 +432,9 @@ def test_memberships_find_planted_heights(spark, driven):
     pairs = spark.createDataFrame([(1, 2), (3, 2), (1, 9)], "src long, dst long")
     d = design.standard_design(driven, pairs, TRIALS, LENGTH, LAG, 500_000, 1e6)
     heights = {0: 0.0, 1: 4.0, 2: -2.0}
-    scores = fit.membership_nlls(d, heights, dict.fromkeys(heights, 1 / 3), [TRIALS * LENGTH / 1e6, 0.0])
+    scores, by_sums = (fit.membership_nlls(d, heights, dict.fromkeys(heights, 1 / 3), [TRIALS * LENGTH / 1e6, 0.0], most) for most in (10**7, 1000))
+    a, b = (x.toPandas().set_index(["src", "dst", "group_id"]).score.sort_index() for x in (scores, by_sums))
+    assert len(a) == 6 and np.allclose(a, b, rtol=1e-12)
     for sample in (False, True):
         got = {(r.src, r.dst): r.group_id for r in fit.update_membership(pairs, scores, sample=sample).collect()}
         assert got == {(1, 2): 1, (3, 2): 0, (1, 9): None}

@@ -286,19 +286,20 @@ def newton_length(values: np.ndarray, lengths: np.ndarray, here: float, slope: f
     return float(lengths[best]) if values[best] < here else 0.0
 
 
-def newton_best(x: np.ndarray, weight: np.ndarray, integral: np.ndarray, steps: int = 100, epsilon: float = 1e-7) -> dict:
-    """The coefficients with the least -sum w log(x b) + b.integral with every intensity positive; column 0 is constant.
+def newton_best(x: np.ndarray, weight: np.ndarray, integral: np.ndarray, steps: int = 100, epsilon: float = 1e-7, offset: np.ndarray | None = None) -> dict:
+    """The coefficients with the least -sum w log(x b + offset) + b.integral with every intensity positive; column 0 is constant.
 
     Newton's method from a constant rate, with line searches while steps are long. The value is convex, so where it has
     a least value that is found; where it has none, ``note`` says so and there are no coefficients.
     """
     k, n = x.shape[1], float(weight.sum())
     b = np.zeros(k)
-    b[0] = n / integral[0]
+    offset = np.zeros(len(x)) if offset is None else offset
+    b[0] = n / integral[0] - min(0.0, float(offset.min()))
     lightest, note = float(weight.min()), UNSETTLED
     out = {"beta": None, "hessian": None, "nll": None, "n_iter": 0, "converged": False, "note": None}
     for it in range(steps + 1):
-        lam = x @ b
+        lam = x @ b + offset
         z = x / lam[:, None]
         value = float(-(weight * np.log(lam)).sum() + b @ integral)
         grad, hess = integral - weight @ z, (z * weight[:, None]).T @ z

@@ -1,8 +1,7 @@
 """Fitting linear-intensity models: per pair, pooled, with memberships; intensities and goodness of fit.
 
-fit_by_key and pooled_fit take keys of any size. Memberships and decay rates work on the y events of one pair in one
-task. Fits of several sources are in operators.multivariate, baselines a trial in operators.baselines, posteriors in
-operators.posterior.
+All fits take keys of any size. Fits of several sources are in operators.multivariate, baselines a trial in
+operators.baselines, posteriors in operators.posterior.
 """
 
 from __future__ import annotations
@@ -16,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewell.functions.columns import uniform
-from tidewell.functions.numeric import newton, newton_best
+from tidewell.functions.numeric import newton_best
+from tidewell.operators import trains
 from tidewell.operators.newton import FIT, Columns, minimise
 from tidewell.operators.testing import wald_p
 from tidewell.sources.shared import settle
@@ -39,20 +39,21 @@ def compress(design: DataFrame, keys: list[str], columns: list[str]) -> DataFram
 def fit_by_key(design: DataFrame, keys: list[str], columns: list[str], integral: list[float], most_rows: int = MOST_ROWS, **options) -> DataFrame:
     """(keys, beta, hessian, nll, n_iter, converged, note): the best fit for every key with every intensity positive.
 
-    Column 0 is the constant; a fit starts at the key's mean rate. Keys of at most ``most_rows`` rows are fitted in a task
-    each, larger ones by sums over Spark: the same steps either way, so the size of a key changes nothing. Where no rate
+    Column 0 is the constant; a fit starts at the key's mean rate. The first two keys, a pair, name a task's work: pairs of at
+    most ``most_rows`` rows are fitted in a task each, with all further keys, larger ones by sums over Spark. The steps
+    are the same either way, so the size of a key changes nothing. Where no rate
     is best - the y events all lie to one side of the columns' mean, and the likelihood rises without end - ``note``
     says so and there are no coefficients.
     """
     rows = settle(design.select(*keys, *columns, "w"))
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("size"))
+    pair = keys[:2]
+    sizes = rows.groupBy(*pair).agg(F.count("*").alias("size"))
     if (sizes.agg(F.max("size")).first()[0] or 0) <= most_rows:
         return _fit_groups(rows, keys, columns, integral, **options)
-    large = sizes.where(F.col("size") > most_rows).select(*keys)
-    totals = large.select(*keys, _array(integral).alias("total"))
-    return _fit_groups(rows.join(large, keys, "left_anti"), keys, columns, integral, **options).unionByName(
-        newton_by_sums(rows.join(large, keys, "left_semi"), keys, columns, totals, **options)
-    )
+    large = sizes.where(F.col("size") > most_rows).select(*pair)
+    some = settle(rows.join(large, pair, "left_semi"))
+    totals = some.select(*keys).distinct().withColumn("total", _array(integral))
+    return _fit_groups(rows.join(large, pair, "left_anti"), keys, columns, integral, **options).unionByName(newton_by_sums(some, keys, columns, totals, **options))
 
 
 def _array(values: list[float]) -> Column:
@@ -65,10 +66,10 @@ def _fit_groups(rows: DataFrame, keys: list[str], columns: list[str], integral:
     total = np.array(integral, float)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fit = newton_best(pdf[columns].to_numpy(float), pdf["w"].to_numpy(float), total, **options)
-        return pd.DataFrame([{k: pdf[k].iloc[0] for k in keys} | _row(fit)])
+        each = [pdf] if len(keys) <= 2 else [own for _, own in pdf.groupby(keys[2:])]
+        return pd.DataFrame([{k: own[k].iloc[0] for k in keys} | _row(newton_best(own[columns].to_numpy(float), own["w"].to_numpy(float), total, **options)) for own in each])
 
-    return rows.groupBy(*keys).applyInPandas(run, fields)
+    return rows.groupBy(*keys[:2]).applyInPandas(run, fields)
 
 
 def newton_by_sums(rows: DataFrame, keys: list[str], columns: list[str], totals: DataFrame,
@@ -123,20 +124,33 @@ def trial_batch(share: float, seed: int = 0) -> Callable[[DataFrame, int], DataF
     return lambda rows, step: rows.where(uniform("trial_id", F.lit(step), seed) < share).withColumn("w", F.col("w") / share)
 
 
-def membership_nlls(design: DataFrame, groups: dict[int, float], portions: dict[int, float], integral: list[float]) -> DataFrame:
+def membership_nlls(design: DataFrame, groups: dict[int, float], portions: dict[int, float], integral: list[float], most_rows: int = MOST_ROWS) -> DataFrame:
     """(src, dst, group_id, score): nll - ln(portion) of [const, nuisance] with each group's filter height held fixed.
 
-    One design and one shuffle serve all groups; a group only changes the offset.
+    A group only changes the offset of the intensities. Pairs of at most ``most_rows`` design rows have all their groups
+    fitted in a task, larger ones by sums with the group as a key: the same steps either way. Where all y events lie to
+    one side of the nuisance's mean it has no best coefficient and is left out, for all groups alike.
     """
-    total = np.array(integral, float)
+    total, columns, keys = np.array(integral, float), ["const", "nuisance"], ["src", "dst"]
+    rows = settle(compress(design, keys, [*columns, "filter"]))
+    sides = rows.groupBy(*keys).agg(F.count("*").alias("size"), ((F.min("nuisance") >= 0) | (F.max("nuisance") <= 0)).alias("one_side"))
+    sides = settle(sides)
+    rows = rows.join(sides, keys).withColumn("nuisance", F.when(F.col("one_side"), 0.0).otherwise(F.col("nuisance")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, w, f = pdf[["const", "nuisance"]].to_numpy(float), pdf["w"].to_numpy(float), pdf["filter"].to_numpy(float)
-        start = np.array([w.sum() / total[0], 0.1])
-        out = [(g, newton(x, w, total, offset=h * f, start=start)["nll"] - np.log(portions[g])) for g, h in groups.items()]
-        return pd.DataFrame({"src": pdf["src"].iloc[0], "dst": pdf["dst"].iloc[0], "group_id": [g for g, _ in out], "score": [s for _, s in out]})
+        x, w, f = pdf[columns].to_numpy(float), pdf["w"].to_numpy(float), pdf["filter"].to_numpy(float)
+        nlls = [newton_best(x, w, total, offset=h * f)["nll"] for h in groups.values()]
+        return pd.DataFrame({"src": pdf["src"].iloc[0], "dst": pdf["dst"].iloc[0], "group_id": list(groups), "nll": nlls})
 
-    return compress(design, ["src", "dst"], ["const", "nuisance", "filter"]).groupBy("src", "dst").applyInPandas(run, "src long, dst long, group_id int, score double")
+    small = rows.where(F.col("size") <= most_rows).groupBy(*keys).applyInPandas(run, "src long, dst long, group_id int, nll double")
+    if (sides.agg(F.max("size")).first()[0] or 0) > most_rows:
+        each = F.explode(F.array(*[F.struct(F.lit(g).alias("group_id"), F.lit(float(h)).alias("height")) for g, h in groups.items()])).alias("g")
+        large = settle(rows.where(F.col("size") > most_rows).select(*keys, *columns, "filter", "w", each).select(*keys, "g.group_id", *columns, (F.col("g.height") * F.col("filter")).alias("offset"), "w"))
+        begun = large.groupBy(*keys, "group_id").agg((F.sum("w") / total[0] - F.least(F.min("offset"), F.lit(0.0))).alias("rate"))
+        start = begun.select(*keys, "group_id", _array(integral).alias("total"), F.array(F.col("rate"), F.lit(0.0)).alias("beta"))
+        small = small.unionByName(minimise(Columns(large, [*keys, "group_id"], columns, offset="offset"), [*keys, "group_id"], start).select(*keys, "group_id", "nll"))
+    prior = F.element_at(F.create_map(*[F.lit(v) for g in groups for v in (g, float(np.log(portions[g])))]), F.col("group_id"))
+    return small.select(*keys, "group_id", (F.col("nll") - prior).alias("score")).where("score is not null")
 
 
 def update_membership(pairs: DataFrame, scores: DataFrame, sample: bool = False, seed: int = 0) -> DataFrame:
@@ -165,51 +179,42 @@ def portions(membership: DataFrame, groups: int = 5) -> DataFrame:
     return counted.select("group_id", (F.col("v") / F.sum("v").over(Window.partitionBy(F.lit(0)))).alias("portion"))
 
 
-def fit_exponential(points_pairs: DataFrame, trial: float, n_trials: int, rate: float = 1.0, steps: int = 40, learn: float = 0.1) -> DataFrame:
+#: Decay rates of the first round, and of each further one, between the neighbours of the best so far.
+FIRST_RATES, MORE_RATES = np.geomspace(0.02, 2000.0, 24), 9
+
+
+def fit_exponential(points: DataFrame, pairs: DataFrame, trial: int, unit: float, n_trials: int, precision: float = 5e-3, rates: np.ndarray = FIRST_RATES, **options) -> DataFrame:
     """(src, dst, beta0, alpha, rate, nll, n_iter, converged): intensity beta0 + alpha sum exp(-rate d), with the decay rate fitted too.
 
-    ``points_pairs``: (src, dst, trial_id, x array, y array) of sorted times in units. The design changes with the
-    rate, so a pair's trains meet in one call: by the recursion of the exponential, in one pass for each rate.
-    A step of ln(rate) grows by half after a success and is halved after a failure; ``converged`` says that it came
-    below 1e-3 in at most ``steps`` steps and that the coefficients at the rate have settled. Fits keep every intensity
-    positive: where rows could drop out of the likelihood, a worse rate would look better.
+    In rounds: a rate is a key of the fits, so all pairs are fitted at all of a round's rates at once, each fit with every
+    intensity positive and of any size. The next round's rates lie between the neighbours of a pair's best one, until these
+    are ``precision`` apart in ln(rate). ``converged``: the best rate is none at the ends of the first round's, and the fit
+    has settled. Pairs without events of either unit are not in the result. Without a best fit at any rate they have nulls.
     """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        def design(rate: float) -> tuple[np.ndarray, float]:
-            rows, area = [], 0.0
-            for x, y in zip(pdf["x"], pdf["y"], strict=True):
-                x, y = np.asarray(x, float), np.asarray(y, float)
-                area += float(((1 - np.exp(-rate * (trial - x))) / rate).sum())
-                state, last, i, out = 0.0, 0.0, 0, np.empty(len(y))
-                for j, t in enumerate(y):
-                    while i < len(x) and x[i] < t:
-                        state = state * np.exp(-rate * (x[i] - last)) + 1
-                        last, i = x[i], i + 1
-                    out[j] = state * np.exp(-rate * (t - last))
-                rows.append(out)
-            return np.concatenate(rows), area
-
-        def fitted(rate: float) -> dict:
-            f, area = design(rate)
-            x = np.column_stack([np.ones(len(f)), f])
-            return newton(x, np.ones(len(f)), np.array([trial * n_trials, area]), start=np.array([max(len(f), 1) / (trial * n_trials), 0.1]), steps=500, inside=True)
-
-        if not sum(map(len, pdf["x"])) or not sum(map(len, pdf["y"])):
-            return pd.DataFrame({"src": [], "dst": [], "beta0": [], "alpha": [], "rate": [], "nll": [], "n_iter": [], "converged": []})
-        log_rate, best, size, n = np.log(rate), fitted(rate), learn, 0
-        for n in range(1, steps + 1):
-            slope = (fitted(np.exp(log_rate + 1e-3))["nll"] - best["nll"]) / 1e-3
-            trial_rate = log_rate - size * np.sign(slope)
-            then = fitted(np.exp(trial_rate))
-            if then["converged"] and (then["nll"] < best["nll"] or not best["converged"]):
-                log_rate, best, size = trial_rate, then, size * 1.5
-            else:
-                size /= 2
-            if size < 1e-3:
-                break
-        return pd.DataFrame([{"src": pdf["src"].iloc[0], "dst": pdf["dst"].iloc[0], "beta0": best["beta"][0], "alpha": best["beta"][1], "rate": float(np.exp(log_rate)), "nll": best["nll"], "n_iter": n, "converged": bool(size < 1e-3 and best["converged"])}])
-
-    return points_pairs.groupBy("src", "dst").applyInPandas(run, "src long, dst long, beta0 double, alpha double, rate double, nll double, n_iter int, converged boolean")
+    area = n_trials * trial / unit
+    tried = pairs.select("src", "dst", F.explode(_array(rates.tolist())).alias("width"))
+    found, gap, n = None, float(np.log(rates[1] / rates[0])), 0
+    named = {"decay": trains.exponential_by_width(unit)}
+    while True:
+        n += 1
+        tried = settle(tried)
+        rest = (trial - F.col("t_us")) / unit
+        wanted = points.withColumnRenamed("unit_id", "src").join(tried.select("src", "width").distinct(), "src")
+        mean = wanted.groupBy("src", "width").agg((F.sum((1 - F.exp(-F.col("width") * rest)) / F.col("width")) / area).alias("mean"))
+        rows = trains.regressors(points, tried, named).join(mean, ["src", "width"])
+        rows = rows.select("src", "dst", "width", F.lit(1.0).alias("const"), (F.col("decay") - F.col("mean")).alias("decay"), "w")
+        fits = fit_by_key(rows, ["src", "dst", "width"], ["const", "decay"], [area, 0.0], **options).join(tried.join(mean, ["src", "width"]), ["src", "dst", "width"])
+        beta0 = F.col("beta")[0] - F.col("beta")[1] * F.col("mean")
+        here = fits.select("src", "dst", F.col("width").alias("rate"), beta0.alias("beta0"), F.col("beta")[1].alias("alpha"), "nll", "converged")
+        every = here if found is None else found.unionByName(here)
+        found = settle(every.groupBy("src", "dst").agg(F.min_by(F.struct("rate", "beta0", "alpha", "nll", "converged"), F.struct(~F.col("converged"), "nll", "rate")).alias("b")).select("src", "dst", "b.*"))
+        if gap <= precision:
+            break
+        step = 2 * gap / (MORE_RATES + 1)
+        near = F.array(*[F.col("rate") * F.lit(float(np.exp(-gap + step * (i + 1)))) for i in range(MORE_RATES)])
+        tried, gap = found.where("converged").select("src", "dst", F.explode(near).alias("width")), step
+    inside = (F.col("rate") > float(rates[0]) * (1 + precision)) & (F.col("rate") < float(rates[-1]) * (1 - precision))
+    return found.select("src", "dst", "beta0", "alpha", F.when(F.col("converged"), F.col("rate")).alias("rate"), "nll", F.lit(n).alias("n_iter"), (F.col("converged") & inside).alias("converged"))
 
 
 def reconstruct(fits: DataFrame, basis: list[list[float]]) -> DataFrame:

@@ -40,14 +40,14 @@ def beside(rows: DataFrame, state: DataFrame, keys: list[str], n_keys: int) -> D
 
 
 class Columns:
-    """Designs with a column a coefficient: (keys, columns, w)."""
+    """Designs with a column a coefficient: (keys, columns, w), and the column ``offset`` of every intensity, if there is one."""
 
-    def __init__(self, rows: DataFrame, keys: list[str], columns: list[str], batch: Callable[[DataFrame, int], DataFrame] | None = None) -> None:
-        self.rows, self.keys, self.columns, self.batch = rows, keys, columns, batch
+    def __init__(self, rows: DataFrame, keys: list[str], columns: list[str], batch: Callable[[DataFrame, int], DataFrame] | None = None, offset: str | None = None) -> None:
+        self.rows, self.keys, self.columns, self.batch, self.offset = rows, keys, columns, batch, offset
 
     def _at(self, state: DataFrame, n_keys: int, step: int) -> DataFrame:
         rows = self.rows if self.batch is None else self.batch(self.rows, step)
-        return beside(rows, state, self.keys, n_keys).withColumn("lam", self._dot("beta"))
+        return beside(rows, state, self.keys, n_keys).withColumn("lam", self._dot("beta") + (F.col(self.offset) if self.offset else 0.0))
 
     def _dot(self, name: str) -> Column:
         return sum((F.col(c) * F.col(name)[i] for i, c in enumerate(self.columns)), F.lit(0.0))
@@ -127,9 +127,9 @@ def _each(f: Callable[[dict], dict], only: Callable[[dict], bool], columns: list
 
 
 def minimise(design, keys: list[str], start: DataFrame, steps: int = 100, epsilon: float = 1e-7, flat: float | None = None) -> DataFrame:
-    """(keys, beta, hessian, nll, n_iter, converged, note): for every key the least -sum w log(x b) + b.total.
+    """(keys, beta, hessian, nll, n_iter, converged, note): for every key the least -sum w log(x b + offset) + b.total.
 
-    ``start``: keys, total (integrals), beta (a constant rate first, then zeros: every intensity is positive). ``design``
+    ``start``: keys, total (integrals), beta (a constant first, at which every intensity is positive, then zeros). ``design``
     gives sums: measure() at coefficients, search() along steps. A fit ends when its step is below ``epsilon`` standard
     errors. For training on batches it ends when the mean of its batches' values changes by less than a share of ``flat``;
     after a few whole steps the t-th is a t-th of one. Fits without a least

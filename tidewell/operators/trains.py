@@ -46,10 +46,12 @@ def paired(points: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def regressors(points: DataFrame, pairs: DataFrame, named: dict[str, Kernel]) -> DataFrame:
-    """(src, dst, trial_id, y_us, w, names): each kernel's sum over x at every y event of every pair, 0 without x in reach.
+    """(src, dst, trial_id, y_us, w, names[, width]): each kernel's sum over x at every y event of every pair, 0 without x in reach.
 
-    A kernel may look at y's counts (``of_y``) or at the width that stands beside its pair (``by_width``).
+    A kernel may look at y's counts (``of_y``) or at the width that stands beside its pair (``by_width``), and a pair may
+    have several rows with different widths.
     """
+    beside = [c for c in pairs.columns if c == "width"]
     none = np.zeros(0, np.int64)
 
     def value(k: Kernel, x: np.ndarray, cx: np.ndarray, r) -> np.ndarray:
@@ -61,7 +63,7 @@ def regressors(points: DataFrame, pairs: DataFrame, named: dict[str, Kernel]) ->
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 x, cx = (r.x, r.cx) if r.x is not None else (none, none)
-                held.append((r.src, r.dst, r.trial_id, r.y, r.cy, [value(k, x, cx, r) for k in named.values()]))
+                held.append((r.src, r.dst, r.trial_id, r.y, r.cy, r.width if beside else 0, [value(k, x, cx, r) for k in named.values()]))
                 rows += len(r.y)
                 if rows >= HELD:
                     yield unpacked(held)
@@ -73,9 +75,10 @@ def regressors(points: DataFrame, pairs: DataFrame, named: dict[str, Kernel]) ->
         sizes = [len(h[3]) for h in held]
         out = {c: np.repeat([h[i] for h in held], sizes) for i, c in enumerate(("src", "dst", "trial_id"))}
         out |= {c: np.concatenate([h[i] for h in held]) for i, c in ((3, "y_us"), (4, "w"))}
-        return pd.DataFrame(out | {c: np.concatenate([h[5][i] for h in held]) for i, c in enumerate(named)})
+        out |= {c: np.concatenate([h[6][i] for h in held]) for i, c in enumerate(named)}
+        return pd.DataFrame(out | {c: np.repeat([h[5] for h in held], sizes) for c in beside})
 
-    columns = ", ".join(f"{c} double" for c in named)
+    columns = ", ".join([*[f"{c} double" for c in named], *[f"width {pairs.schema['width'].dataType.simpleString()}" for _ in beside]])
     return paired(points, pairs).mapInPandas(run, f"src long, dst long, trial_id long, y_us long, w long, {columns}")
 
 
@@ -105,6 +108,15 @@ def gaussian_by_width(unit: float) -> Kernel:
     return run
 
 
+def exponential_by_width(unit: float) -> Kernel:
+    """The exponential filter; a pair's ``width`` is its decay rate."""
+    def run(x: np.ndarray, c: np.ndarray, y: np.ndarray, rate: float) -> np.ndarray:
+        return kernels.exponential(x, c, y, rate, unit)
+
+    run.by_width = True
+    return run
+
+
 def moved(points: DataFrame, width: int, reps: int, seed: int = 0, basic: bool = False) -> DataFrame:
     """(unit_id, trial_id, n, moved): ``reps`` surrogates of every train in one array, one after another, n events each.
 

@@ -230,18 +230,9 @@ def k14(t: Tables) -> DataFrame:
     return trains.surrogate_fits(t.points, t.pairs, 4 * HOUR, REPS, t.n_trials, DAY, LENGTH, WIDTH, UNIT)
 
 
-def paired_trains(t: Tables) -> DataFrame:
-    trains = t.points.groupBy("unit_id", "trial_id").agg(F.transform(F.array_sort(F.collect_list("t_us")), lambda v: v / UNIT).alias("ts"))
-    x = trains.select(F.col("unit_id").alias("src"), "trial_id", F.col("ts").alias("x"))
-    y = trains.select(F.col("unit_id").alias("dst"), "trial_id", F.col("ts").alias("y"))
-    none = F.array().cast("array<double>")
-    frame = t.pairs.join(t.trials.select("trial_id"))
-    return frame.join(x, ["src", "trial_id"], "left").join(y, ["dst", "trial_id"], "left").select("src", "dst", "trial_id", F.coalesce("x", none).alias("x"), F.coalesce("y", none).alias("y"))
-
-
 @query("k15_exponential_fit")
 def k15(t: Tables) -> DataFrame:
-    return fit.fit_exponential(paired_trains(t), HOURS, t.n_trials, steps=200)
+    return fit.fit_exponential(t.points, t.pairs, DAY, UNIT, t.n_trials)
 
 
 @query("k16_multivariate_fit")
