@@ -80,13 +80,12 @@ def test_gradient_of_the_risk():
     at = np.append(w, 0.2)
     numeric = [(total(at + h) - total(at - h)) / 2e-6 for h in np.eye(5) * 1e-6]
     assert np.allclose(grad, numeric, atol=1e-6)
-    # far below zero the bracket alone is followed, upward
-    far = np.append(w, -9.0)
-    _, rest, grad = quality.nnpu(w, -9.0, p - 30 * np.sign(w), u, 40.0, 0.0)
-    steps = np.eye(5) * 1e-6
-    shifted = lambda v: np.mean(np.logaddexp(0, u @ v[:-1] + v[-1])) - 40.0 * np.mean(np.logaddexp(0, (p - 30 * np.sign(w)) @ v[:-1] + v[-1]))
-    if rest < 0:
-        assert np.allclose(grad, [-(shifted(far + h) - shifted(far - h)) / 2e-6 for h in steps], atol=1e-5)
+    # below zero the bracket alone is followed, upward
+    q, far = p + 10 * np.sign(w), np.append(w, 0.0)
+    _, rest, grad = quality.nnpu(w, 0.0, q, u, 0.9, 0.0)
+    shifted = lambda v: np.mean(np.logaddexp(0, u @ v[:-1] + v[-1])) - 0.9 * np.mean(np.logaddexp(0, q @ v[:-1] + v[-1]))
+    assert rest < 0 and rest == pytest.approx(shifted(far))
+    assert np.allclose(grad, [-(shifted(far + h) - shifted(far - h)) / 2e-6 for h in np.eye(5) * 1e-6], atol=1e-5)
 
 
 def test_fit_lowers_the_risk_to_its_least():
