@@ -301,14 +301,14 @@ def k20d(t: Tables) -> DataFrame:
 
 
 @query("k20_discrete_self_coupling", CONV + """, mo AS (SELECT unit_id, sum(h) / (288.0 * (SELECT count(*) FROM trials)) AS m FROM ch GROUP BY ALL)
-SELECT b.unit_id AS dst, CAST(count(*) AS BIGINT) AS n_bins, round(sum(b.n * (coalesce(h, 0) - m)), 5) AS s_own FROM bins b LEFT JOIN ch USING (unit_id, trial_id, bin) JOIN mo ON mo.unit_id = b.unit_id GROUP BY ALL""")
+SELECT b.unit_id AS dst, CAST(count(*) AS BIGINT) AS n_bins, round(sum(b.n * (coalesce(h, 0) - m)), 7) AS s_own FROM bins b LEFT JOIN ch USING (unit_id, trial_id, bin) JOIN mo ON mo.unit_id = b.unit_id GROUP BY ALL""")
 def k20e(t: Tables) -> DataFrame:
     """y's coupling to itself on bins, summed over its events."""
     own = design.own_bins(t.bins, 12, BINS, t.n_trials)
     mean = own.groupBy("dst").agg(F.first("mean").alias("mean"))
     y = t.bins.withColumnRenamed("unit_id", "dst").join(own.select("dst", "trial_id", "bin", "own"), ["dst", "trial_id", "bin"], "left").join(mean, "dst")
     value = F.coalesce("own", -F.col("mean"))
-    return rounded(y.groupBy("dst").agg(F.count("*").alias("n_bins"), F.sum(F.col("n") * value).alias("s_own")), "s_own", digits=5)
+    return rounded(y.groupBy("dst").agg(F.count("*").alias("n_bins"), F.sum(F.col("n") * value).alias("s_own")), "s_own", digits=7)
 
 
 GRAM = CONV + """, ow AS (SELECT unit_id, width, sum(w) AS sw, sum(w * w) AS sww FROM cw GROUP BY ALL), oh AS (SELECT unit_id, sum(h) AS sh, sum(h * h) AS shh FROM ch GROUP BY ALL),
