@@ -361,7 +361,7 @@ def test_trial_baselines(spark, driven, rows):
 
 def test_batches_come_near_the_whole_fit(rows):
     a, b = rows("k12_pooled_fit").set_index("group_id"), rows("k13_batch_fit").set_index("group_id")
-    assert a.converged.all() and b.converged.all() and all(abs(a.beta[g][0] - b.beta[g][0]) < 0.05 * a.beta[g][0] for g in a.index)
+    assert a.converged.all() and b.converged.all() and all(abs(a.beta[g][0] - b.beta[g][0]) < 0.12 * a.beta[g][0] for g in a.index)
     each = rows("k12_trial_group_fits")
     assert len(each) == len(each.drop_duplicates(["trial_id", "group_id"])) and each.converged.mean() > 0.9
     assert (each.converged == each.note.isna()).all() and (each.note.dropna() == numeric.ENDLESS).all()

@@ -71,7 +71,7 @@ class Blocks:
     def search(self, state: DataFrame, n_keys: int, step: int) -> DataFrame:
         def of(x: np.ndarray, w: np.ndarray, c) -> np.ndarray:
             lam, fall = x @ np.array(c["beta"]), x @ np.array(c["step"])
-            to = lam[:, None] - np.array([*LENGTHS, c["safe"]]) * fall[:, None]
+            to = lam[:, None] - np.array([*LENGTHS, c["safe"], 0.0]) * fall[:, None]
             logs = np.where(to > 0, -np.log(np.where(to > 0, to, 1.0)), np.inf)
             relative = w * fall / lam
             return np.concatenate([[np.maximum(relative, 0).sum(), np.abs(relative).sum()], w @ logs])

@@ -61,13 +61,14 @@ class Columns:
         return self._at(state.select(*self.keys, "beta"), n_keys, step).groupBy(*self.keys).agg(F.array(*sums).alias("a"))
 
     def search(self, state: DataFrame, n_keys: int, step: int) -> DataFrame:
-        """(keys, b): sums of relative falls and of their sizes, then -sum w ln(lam) at each length (infinite where one is not positive)."""
+        """(keys, b): sums of relative falls and of their sizes, then -sum w ln(lam) at each length (infinite where one is not
+        positive), at the safe one and at none."""
         w = F.col("w")
         rows = self._at(state.select(*self.keys, "beta", "step", "safe"), n_keys, step).withColumn("fall", self._dot("step"))
         relative = w * F.col("fall") / F.col("lam")
         to = lambda s: F.col("lam") - s * F.col("fall")
         value = lambda s: F.sum(F.when(to(s) > 0, -w * F.ln(to(s))).otherwise(F.lit(float("inf"))))
-        sums = [F.sum(F.greatest(relative, F.lit(0.0))), F.sum(F.abs(relative)), *[value(F.lit(x)) for x in LENGTHS], value(F.col("safe"))]
+        sums = [F.sum(F.greatest(relative, F.lit(0.0))), F.sum(F.abs(relative)), *[value(F.lit(x)) for x in LENGTHS], value(F.col("safe")), value(F.lit(0.0))]
         return rows.groupBy(*self.keys).agg(F.array(*sums).alias("b"))
 
 
@@ -102,8 +103,8 @@ def _searched(r: dict) -> dict:
     """A key's row after the values along its step."""
     b, beta, total, step = (np.array(r[c], float) for c in ("b", "beta", "total", "step"))
     lengths = np.array([*LENGTHS, r["safe"]])
-    values = b[2:] + beta @ total - lengths * (step @ total)
-    length = newton_length(values, lengths, r["nll"], float(step @ total), b[0], b[1])
+    values = b[2:-1] + beta @ total - lengths * (step @ total)
+    length = newton_length(values, lengths, float(b[-1] + beta @ total), float(step @ total), b[0], b[1])
     r = r | {"step": None}
     if length is None:
         return r | {"note": ENDLESS, "done": True}
