@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.numeric import ENDLESS, UNSETTLED
 from tidewell.operators.newton import beside
-from tidewell.sources.shared import settle
+from tidewell.sources.shared import settle, written
 
 PAIR = ["src", "dst"]
 
@@ -72,7 +72,7 @@ def fit_baselines(design: DataFrame, trial: float, ridge: float = 0.01, steps: i
     sides = rows.groupBy(*PAIR).agg(F.min(F.array_min("f")).alias("least"), F.max(F.array_max("f")).alias("most"))
     one_side = ((F.col("least") >= 0) & (F.col("most") > 0)) | ((F.col("most") <= 0) & (F.col("least") < 0))
     none, inf = F.lit(None), float("inf")
-    state = settle(sides.select(
+    state = written(sides.select(
         *PAIR, F.lit(0.0).alias("h"), F.lit(-inf).alias("low"), F.lit(inf).alias("high"), none.cast("double").alias("nll"), F.lit(0).alias("n_iter"), F.lit(False).alias("converged"),
         F.when(one_side, ENDLESS).otherwise(UNSETTLED).alias("note"), one_side.alias("done"),
     ))
@@ -97,7 +97,7 @@ def fit_baselines(design: DataFrame, trial: float, ridge: float = 0.01, steps: i
     while state.where("not done").limit(1).count():
         at = beside(rows, state.where("not done").select(*PAIR, "h"), PAIR, n_pairs).mapInPandas(measured, "src long, dst long, slope double, curve double, value double")
         sums = at.groupBy(*PAIR).agg(*[F.sum(c).alias(c) for c in ("slope", "curve", "value")])
-        state = settle(state.join(sums, PAIR, "left").mapInPandas(moved, schema))
+        state = written(state.join(sums, PAIR, "left").mapInPandas(moved, schema))
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

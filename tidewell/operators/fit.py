@@ -6,7 +6,7 @@ operators.baselines, posteriors in operators.posterior.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -179,6 +179,16 @@ def portions(membership: DataFrame, groups: int = 5) -> DataFrame:
     return counted.select("group_id", (F.col("v") / F.sum("v").over(Window.partitionBy(F.lit(0)))).alias("portion"))
 
 
+def _nearer(around: np.ndarray):
+    """Each pair with its rate times each of ``around``."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = pdf[["src", "dst"]].loc[pdf.index.repeat(len(around))]
+            yield out.assign(width=np.multiply.outer(pdf["rate"].to_numpy(), around).ravel())
+
+    return run
+
+
 #: Decay rates of the first round, and of each further one, between the neighbours of the best so far.
 FIRST_RATES, MORE_RATES = np.geomspace(0.02, 2000.0, 24), 9
 
@@ -211,8 +221,8 @@ def fit_exponential(points: DataFrame, pairs: DataFrame, trial: int, unit: float
         if gap <= precision:
             break
         step = 2 * gap / (MORE_RATES + 1)
-        near = F.array(*[F.col("rate") * F.lit(float(np.exp(-gap + step * (i + 1)))) for i in range(MORE_RATES)])
-        tried, gap = found.where("converged").select("src", "dst", F.explode(near).alias("width")), step
+        around = np.exp(-gap + step * np.arange(1, MORE_RATES + 1))
+        tried, gap = found.where("converged").select("src", "dst", "rate").mapInPandas(_nearer(around), "src long, dst long, width double"), step
     inside = (F.col("rate") > float(rates[0]) * (1 + precision)) & (F.col("rate") < float(rates[-1]) * (1 - precision))
     return found.select("src", "dst", "beta0", "alpha", F.when(F.col("converged"), F.col("rate")).alias("rate"), "nll", F.lit(n).alias("n_iter"), (F.col("converged") & inside).alias("converged"))
 

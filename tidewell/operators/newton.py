@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.numeric import ENDLESS, LENGTHS, UNSETTLED, newton_length, newton_next
-from tidewell.sources.shared import settle
+from tidewell.sources.shared import written
 
 FIT = "beta array<double>, hessian array<array<double>>, nll double, n_iter int, converged boolean, note string"
 #: Rows of coefficients that are broadcast to the design; beyond, both are joined by key.
@@ -140,7 +140,7 @@ def minimise(design, keys: list[str], start: DataFrame, steps: int = 100, epsilo
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], STATE])
     columns = [*keys, *[f.split()[0] for f in STATE.split(", ")]]
     none = F.lit(None)
-    state = settle(start.select(
+    state = written(start.select(
         *keys, "total", "beta", none.cast("array<array<double>>").alias("hessian"), none.cast("double").alias("nll"), F.lit(0).alias("n_iter"), F.lit(False).alias("converged"),
         F.lit(UNSETTLED).alias("note"), F.lit(False).alias("done"), none.cast("array<double>").alias("step"), none.cast("double").alias("safe"),
     ))
@@ -149,11 +149,11 @@ def minimise(design, keys: list[str], start: DataFrame, steps: int = 100, epsilo
         met = design.measure(state.where("not done"), n_keys, step)
         # a key without rows in a batch waits for the next
         moved = _each(lambda r: _measured(r, steps, epsilon, flat), lambda r: not r["done"] and r["a"] is not None, columns)
-        state = settle(state.join(met, keys, "left").mapInPandas(moved, schema))
+        state = written(state.join(met, keys, "left").mapInPandas(moved, schema))
         left = state.agg(F.count_if(F.expr("not done")).alias("open"), F.count_if(F.expr("not done and step is not null")).alias("search")).first()
         if left.search:
             met = design.search(state.where("not done and step is not null"), n_keys, step)
-            state = settle(state.join(met, keys, "left").mapInPandas(_each(_searched, lambda r: r["b"] is not None, columns), schema))
+            state = written(state.join(met, keys, "left").mapInPandas(_each(_searched, lambda r: r["b"] is not None, columns), schema))
         if not left.open:
             break
     found = lambda c: F.when(F.col("converged"), F.col(c)).alias(c)

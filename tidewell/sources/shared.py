@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,14 @@ def settle(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and go on from there, with its real size.
+
+    For tables that a loop joins to what was made of them: a checkpoint keeps the size that Spark had estimated, which such
+    a loop squares at every step until the estimate itself takes longer than the work.
+    """
+    folder = f"{shared_folder(df.sparkSession)}/steps-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
