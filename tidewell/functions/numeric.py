@@ -19,6 +19,13 @@ def uniform_of(*parts: int) -> float:
     return int(hashlib.md5("/".join(map(str, parts)).encode()).hexdigest()[:8], 16) / float(1 << 32)
 
 
+def uniforms_of(heads: list[str], tails: list[str]) -> np.ndarray:
+    """functions.columns.uniform of every tail (row) after every head (column), each joined by '/'."""
+    heads, tails, md5 = [f"{h}/".encode() for h in heads], [t.encode() for t in tails], hashlib.md5
+    raw = b"".join([md5(h + t).digest()[:4] for t in tails for h in heads])
+    return np.frombuffer(raw, ">u4").reshape(len(tails), len(heads)) / float(1 << 32)
+
+
 def norm_cdf(x: float) -> float:
     return 0.5 * math.erfc(-x / math.sqrt(2))
 
