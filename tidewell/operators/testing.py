@@ -174,7 +174,8 @@ def bootstrap_errors(sample: DataFrame, reps: int, alpha: float = 0.05, seed: in
 
 
 def ecdf(values: DataFrame, n_bins: int, keys: tuple[str, ...] = (), value: str = "p", alpha: float = 0.05) -> DataFrame:
-    """(keys, bin, q, ecdf, band): share of values <= q on a grid of n_bins over [0, 1], with the Kolmogorov-Smirnov band."""
+    """(keys, bin, q, ecdf, band): share of values <= q on a grid of n_bins over [0, 1], with the Kolmogorov-Smirnov band;
+    no rows without values."""
     b = F.greatest(F.ceil(F.col(value) * n_bins), F.lit(1)).cast("int").alias("bin")
     n = values.where(F.col(value).isNotNull()).groupBy(*keys, b).agg(F.count("*").alias("n"))
     frame = (n.select(*keys).distinct() if keys else values.sparkSession.range(1).select()).withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(n_bins))))
@@ -182,8 +183,8 @@ def ecdf(values: DataFrame, n_bins: int, keys: tuple[str, ...] = (), value: str
     part = Window.partitionBy(*(keys or (F.lit(0),)))
     upto = F.sum("n").over(part.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
     total = F.sum("n").over(part)
-    half = F.sqrt(-F.ln(F.lit(alpha / 2)) / 2) / F.sqrt(total)
-    return full.select(*keys, "bin", (F.col("bin") / n_bins).alias("q"), (upto / total).alias("ecdf"), half.alias("band"))
+    half = F.sqrt(-F.ln(F.lit(alpha / 2)) / 2) / F.sqrt("total")
+    return full.withColumns({"upto": upto, "total": total}).where("total > 0").select(*keys, "bin", (F.col("bin") / n_bins).alias("q"), (F.col("upto") / F.col("total")).alias("ecdf"), half.alias("band"))
 
 
 def interpolated(grid: DataFrame, table: DataFrame, x: str, y: str, at: str) -> DataFrame:
@@ -216,7 +217,7 @@ def ks_outside(values: DataFrame, n_bins: int, keys: tuple[str, ...], value: str
 
 
 def normal_qq(values: DataFrame, mean: float, sd: float, points: int = 41, span: float = 4.0, alpha: float = 0.05) -> DataFrame:
-    """(i, z, ecdf, normal, band): empirical against Normal distribution at z from -span to span."""
+    """(i, z, ecdf, normal, band): empirical against Normal distribution at z from -span to span; no rows without values."""
     z = (F.col("value") - mean) / sd
     step = 2 * span / (points - 1)
     at = F.greatest(F.ceil((z + span) / step), F.lit(0)).cast("int").alias("i")
@@ -225,8 +226,9 @@ def normal_qq(values: DataFrame, mean: float, sd: float, points: int = 41, span:
     one = Window.partitionBy(F.lit(0))
     upto, total = F.sum("n").over(one.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)), F.sum("n").over(one)
     grid = F.col("i") * step - span
-    half = F.sqrt(-F.ln(F.lit(alpha / 2)) / 2) / F.sqrt(total)
-    return full.select("i", grid.alias("z"), (upto / total).alias("ecdf"), norm_cdf(grid).alias("normal"), half.alias("band")).where(F.col("i") < points)
+    half = F.sqrt(-F.ln(F.lit(alpha / 2)) / 2) / F.sqrt("total")
+    counted = full.withColumns({"upto": upto, "total": total}).where("total > 0")
+    return counted.select("i", grid.alias("z"), (F.col("upto") / F.col("total")).alias("ecdf"), norm_cdf(grid).alias("normal"), half.alias("band")).where(F.col("i") < points)
 
 
 def roc(scores: DataFrame, thresholds: int = 501) -> DataFrame:
