@@ -145,6 +145,7 @@ def condition_sizes(trials: DataFrame) -> DataFrame:
 
 def significant_shares(tests: DataFrame) -> DataFrame:
     """(src_probe, dst_probe, n_pairs, n_significant, ratio) per probe pair and, with nulls, in all."""
-    return tests.rollup("probes").agg(F.count("*").alias("n_pairs"), F.count_if("significant").alias("n_significant")).select(
-        "probes.src_probe", "probes.dst_probe", "n_pairs", "n_significant", (F.col("n_significant") / F.col("n_pairs")).alias("ratio")
-    )
+    each = tests.groupBy("probes").agg(F.count("*").alias("n_pairs"), F.count_if("significant").alias("n_significant"))
+    whole = each.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_pairs", "n_significant")])  # a row without tests, too
+    both = each.select("probes.src_probe", "probes.dst_probe", "n_pairs", "n_significant").unionByName(whole, allowMissingColumns=True)
+    return both.withColumn("ratio", F.when(F.col("n_pairs") > 0, F.col("n_significant") / F.when(F.col("n_pairs") > 0, F.col("n_pairs"))).otherwise(F.lit(float("nan"))))
