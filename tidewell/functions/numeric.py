@@ -41,44 +41,62 @@ def norm_ppf(p: float) -> float:
     return (low + high) / 2
 
 
-def poisson_pmf(n: int, mu: float) -> float:
-    if n < 0:
-        return 0.0
-    return math.exp(n * math.log(mu) - mu - math.lgamma(n + 1)) if mu > 0 else float(n == 0)
+def _reach(var: float) -> int:
+    """Steps from the mean of a Poisson or Binomial law beyond which every mass is 0 in double precision, by Bernstein's bound."""
+    return math.ceil(39 * math.sqrt(var)) + 500
 
 
-def poisson_cdf(n: int, mu: float) -> float:
-    if n < 0:
-        return 0.0
+def _masses(low: int, ratios: np.ndarray) -> tuple[int, np.ndarray]:
+    """(low, masses at low, low + 1, ...) of a law from the ratio of each mass to the one before it; the rest are 0."""
+    logs = np.concatenate([[0.0], np.cumsum(np.log(ratios))])
+    p = np.exp(logs - logs.max())
+    return low, p / p.sum()
+
+
+def poisson_masses(mu: float) -> tuple[int, np.ndarray]:
+    """(first n, masses from there on): work grows with the root of mu."""
     if mu <= 0:
-        return 1.0
-    k = np.arange(math.floor(n) + 1)
-    logs = k * math.log(mu) - mu - np.array([math.lgamma(i + 1) for i in k])
-    return min(1.0, float(np.exp(logs).sum()))
+        return 0, np.ones(1)
+    low, high = max(0, math.floor(mu) - _reach(mu)), math.ceil(mu) + _reach(mu)
+    return _masses(low, mu / np.arange(low + 1, high + 1))
+
+
+def binom_masses(n: int, p: float) -> tuple[int, np.ndarray]:
+    """(first k, masses from there on) of Binom(n, p): work grows with the root of n."""
+    if n == 0 or p <= 0:
+        return 0, np.ones(1)
+    if p >= 1:
+        return n, np.ones(1)
+    reach = _reach(n * p * (1 - p))
+    low, high = max(0, math.floor(n * p) - reach), min(n, math.ceil(n * p) + reach)
+    k = np.arange(low + 1, high + 1)
+    return _masses(low, (n - k + 1) / k * (p / (1 - p)))
+
+
+def above(low: int, masses: np.ndarray, n: float) -> float:
+    """P(N > n)."""
+    return min(1.0, float(masses[max(0, math.floor(n) + 1 - low) :].sum()))
+
+
+def poisson_cdf(n: int, mu: float) -> float:
+    low, p = poisson_masses(mu)
+    return min(1.0, float(p[: max(0, math.floor(n) + 1 - low)].sum()))
 
 
 def poisson_ppf(p: float, mu: float) -> int:
     """The smallest n with P(N <= n) >= p."""
-    n, total = 0, poisson_pmf(0, mu)
-    while total < p and n < 10 * mu + 1000:
-        n += 1
-        total += poisson_pmf(n, mu)
-    return n
+    low, masses = poisson_masses(mu)
+    return low + int(min(np.searchsorted(np.cumsum(masses), p), len(masses) - 1))
 
 
-@lru_cache(100_000)
-def binom_pmf(n: int, p: float) -> tuple[float, ...]:
-    if n == 0 or p <= 0:
-        return (1.0,)
-    if p >= 1:
-        return (0.0,) * n + (1.0,)
-    k = range(n + 1)
-    return tuple(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in k)
+def binom_pmf(n: int, p: float) -> np.ndarray:
+    low, masses = binom_masses(n, p)
+    return np.concatenate([np.zeros(low), masses, np.zeros(n + 1 - low - len(masses))])
 
 
 def binom_sf(s: int, n: int, p: float) -> float:
     """P(N >= s)."""
-    return float(min(1.0, sum(binom_pmf(n, min(1.0, p))[max(0, s) :])))
+    return above(*binom_masses(n, min(1.0, p)), s - 1)
 
 
 def power_pmf(pmf: np.ndarray, times: int) -> np.ndarray:
@@ -93,12 +111,14 @@ def power_pmf(pmf: np.ndarray, times: int) -> np.ndarray:
     return out
 
 
-def joint_binom_pmf(windows: list[tuple[int, int, int]], delta: int) -> np.ndarray:
-    """The mass function of sum Binom(n, m / delta) over windows (m, n, how many alike)."""
-    out = np.ones(1)
+def joint_binom_masses(windows: list[tuple[int, int, int]], delta: int) -> tuple[int, np.ndarray]:
+    """(first value, masses from there on) of sum Binom(n, m / delta) over windows (m, n, how many alike)."""
+    start, out = 0, np.ones(1)
     for m, n, times in windows:
-        out = np.convolve(out, power_pmf(np.array(binom_pmf(n, min(1.0, m / delta))), times))
-    return out
+        low, p = binom_masses(n, min(1.0, m / delta))
+        start += low * times
+        out = np.convolve(out, power_pmf(p, times)) if len(p) > 1 else out
+    return start, out
 
 
 @lru_cache(100_000)
@@ -119,24 +139,39 @@ def _law(p: np.ndarray) -> np.ndarray:
     return p / p.sum()
 
 
-def poisson_law(mean: float, most: int) -> np.ndarray:
-    """Poisson masses at 0, ..., most - 1."""
-    k = np.arange(max(most, 1))
-    return _law(np.exp(k * math.log(mean) - mean - np.array([math.lgamma(i + 1) for i in k]))) if mean > 0 else np.ones(1)
+def _span(mean: float, var: float, most: int) -> np.ndarray:
+    """The whole numbers below ``most`` (or below ten standard deviations above the mean, where that is more) at which a mass may
+    be above 1e-12."""
+    far = 10 * math.sqrt(var) + 60
+    return np.arange(max(0, math.floor(mean - far)), max(1, min(max(most, math.ceil(mean + 10 * math.sqrt(var))), math.ceil(mean + far))))
+
+
+def poisson_law(mean: float, most: int) -> tuple[int, np.ndarray]:
+    """(first value, Poisson masses from there on), cut off at ``most``."""
+    low, p = poisson_masses(mean)
+    k = _span(mean, mean, most)
+    return int(k[0]), _law(p[k[0] - low : k[-1] + 1 - low])
 
 
-def normal_law(mean: float, sd: float, most: int) -> np.ndarray:
-    """Normal densities at 0, ..., most - 1, for bins of width 1; all at the mean if nothing varies."""
-    k = np.arange(max(most, 1))
-    return _law(np.exp(-(((k - mean) / sd) ** 2) / 2) / sd / math.sqrt(2 * math.pi)) if sd > 0 else _law((k == round(mean)).astype(float))
+def normal_law(mean: float, var: float, most: int) -> tuple[int, np.ndarray]:
+    """(first value, Normal densities from there on, for bins of width 1), cut off at ``most``; all at the mean if nothing varies.
+
+    A window with more events than bins takes from ``var``, which then may be below 0: that is no variance either.
+    """
+    if var <= 0:
+        return round(mean), np.ones(1)
+    k, sd = _span(mean, var, most), math.sqrt(var)
+    return int(k[0]), _law(np.exp(-(((k - mean) / sd) ** 2) / 2) / sd / math.sqrt(2 * math.pi))
 
 
-def pmf_summary(pmf: np.ndarray, raw: float, alpha: float, u: float) -> tuple[float, float, float, float, float]:
-    """(lower, upper, mean, p, randomised p) of a mass function over 0, 1, 2, ..."""
+def pmf_summary(pmf: np.ndarray, raw: float, alpha: float, u: float, start: int = 0) -> tuple[float, float, float, float, float]:
+    """(lower, upper, mean, p, randomised p) of a mass function over start, start + 1, ..."""
     cdf = np.cumsum(pmf)
-    low, high = (int(min(np.searchsorted(cdf, q - 1e-12), len(pmf) - 1)) for q in (alpha / 2, 1 - alpha / 2))
-    mean = float(np.arange(len(pmf)) @ pmf)
-    at = max(0, math.ceil(raw))
+    low, high = (start + int(min(np.searchsorted(cdf, q - 1e-12), len(pmf) - 1)) for q in (alpha / 2, 1 - alpha / 2))
+    mean = start + float(np.arange(len(pmf)) @ pmf)
+    at = math.ceil(raw) - start
+    if at < 0:
+        return low, high, mean, float(pmf.sum()), float(pmf.sum())
     if at >= len(pmf):
         return low, high, mean, 0.0, 0.0
     return low, high, mean, float(pmf[at:].sum()), float(u * pmf[at] + pmf[at + 1 :].sum())

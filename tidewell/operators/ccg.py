@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -74,9 +73,12 @@ def poisson_test(raw: DataFrame, mean: DataFrame, alpha: float = 0.05, seed: int
         for pdf in batches:
             rows = []
             for n, mu, u in zip(pdf["raw"], pdf["mu"], pdf["u"], strict=True):
-                above = 1 - numeric.poisson_cdf(n, mu)
-                at = numeric.poisson_pmf(n, mu)
-                rows.append((numeric.poisson_ppf(alpha / 2, mu), numeric.poisson_ppf(1 - alpha / 2, mu), above + at, above + u * at))
+                low, masses = numeric.poisson_masses(mu)
+                cdf = np.cumsum(masses)
+                lower, upper = (low + int(min(np.searchsorted(cdf, q), len(cdf) - 1)) for q in (alpha / 2, 1 - alpha / 2))
+                above = numeric.above(low, masses, n)
+                at = numeric.above(low, masses, n - 1) - above
+                rows.append((lower, upper, above + at, above + u * at))
             yield pdf.drop(columns="u").assign(**dict(zip(("ci_lo", "ci_hi", "p", "p_rnd"), np.array(rows, float).reshape(-1, 4).T, strict=True)))
 
     both = raw.join(mean, ["src", "dst", "lag"]).select("src", "dst", "lag", "raw", "mu", uniform("src", "dst", "lag", seed).alias("u"))
@@ -92,18 +94,19 @@ def mass_test(raw: DataFrame, windows: DataFrame, delta: int, law: str = "binom"
     kinds = windows.groupBy("src", "dst", "lag", "m", "n").agg(F.count("*").cast("int").alias("times"))
     packed = kinds.groupBy("src", "dst", "lag").agg(F.array_sort(F.collect_list(F.struct("m", "n", "times"))).alias("windows"))
 
-    def mass(ws: list) -> np.ndarray:
+    def mass(ws: list) -> tuple[int, np.ndarray]:
         if law == "binom":
-            return numeric.joint_binom_pmf([(w["m"], w["n"], w["times"]) for w in ws], delta)
+            return numeric.joint_binom_masses([(w["m"], w["n"], w["times"]) for w in ws], delta)
         most = sum((w["m"] + w["n"]) * w["times"] for w in ws)
         mean = sum(w["m"] * w["n"] * w["times"] for w in ws) / delta
         if law == "poisson":
             return numeric.poisson_law(mean, most)
-        return numeric.normal_law(mean, math.sqrt(sum(w["m"] / delta * (1 - w["m"] / delta) * w["n"] * w["times"] for w in ws)), most)
+        return numeric.normal_law(mean, sum(w["m"] / delta * (1 - w["m"] / delta) * w["n"] * w["times"] for w in ws), most)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [numeric.pmf_summary(mass(ws if ws is not None else []), n, alpha, u) for n, u, ws in zip(pdf["raw"], pdf["u"], pdf["windows"], strict=True)]
+            laws = (mass(ws if ws is not None else []) for ws in pdf["windows"])
+            rows = [numeric.pmf_summary(p, n, alpha, u, start) for n, u, (start, p) in zip(pdf["raw"], pdf["u"], laws, strict=True)]
             yield pdf.drop(columns=["u", "windows"]).assign(**dict(zip(("ci_lo", "ci_hi", "mean", "p", "p_rnd"), np.array(rows, float).reshape(-1, 5).T, strict=True)))
 
     both = raw.join(packed, ["src", "dst", "lag"], "left").select("src", "dst", "lag", "raw", uniform("src", "dst", "lag", seed).alias("u"), "windows")

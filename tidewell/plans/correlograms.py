@@ -368,7 +368,7 @@ def f3(t: Tables) -> DataFrame:
     """Poisson and Binomial tails of each pair's synchrony: mean and rate from the jitter windows."""
     @F.pandas_udf("double")
     def poisson(n: pd.Series, mu: pd.Series) -> pd.Series:
-        return pd.Series([1 - numeric.poisson_cdf(int(a) - 1, b) for a, b in zip(n, mu, strict=True)])
+        return pd.Series([numeric.above(*numeric.poisson_masses(b), int(a) - 1) for a, b in zip(n, mu, strict=True)])
 
     @F.pandas_udf("double")
     def binomial(s: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
