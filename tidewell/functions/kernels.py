@@ -50,6 +50,14 @@ def triangle(x: np.ndarray, c: np.ndarray, y: np.ndarray, half: int, scale: floa
     return scale * (early + late)
 
 
+def ramp(x: np.ndarray, c: np.ndarray, y: np.ndarray, low: int, high: int, rising: bool) -> np.ndarray:
+    """The sum over low < d <= high of what rises from 0 at ``low`` to 1 at ``high``, or falls from 1 to 0; in whole numbers until the end."""
+    n, s, (first, last) = running(c), running(c * x), between(x, y, low, high)
+    m = n[last] - n[first]
+    d = m * y - (s[last] - s[first])
+    return (d - m * low if rising else m * high - d) / (high - low)
+
+
 def log_running(log_terms: np.ndarray) -> np.ndarray:
     """Logarithms of running sums, from those of the terms; the first is that of nothing."""
     return np.concatenate([[-np.inf], np.logaddexp.accumulate(log_terms)]) if len(log_terms) else np.full(1, -np.inf)

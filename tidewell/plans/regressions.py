@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions import numeric
+from tidewell.functions import kernels, numeric
 from tidewell.functions.columns import sql_norm_cdf, sql_uniform
 from tidewell.operators import baselines, binning, design, fit, graph, multivariate, pairs, posterior, select, testing, trains
 from tidewell.plans.basics import rates
@@ -484,13 +485,14 @@ SELECT yr.src, yr.dst, round(sum(2 + 0.5 * coalesce(sq, 0)), 5) AS square, round
 FROM yr LEFT JOIN iv USING (src, dst, trial_id, y_us) LEFT JOIN it USING (src, dst, trial_id, y_us) LEFT JOIN ii USING (src, dst, trial_id, y_us) LEFT JOIN ie USING (src, dst, trial_id, y_us) GROUP BY yr.src, yr.dst""")
 def k29(t: Tables) -> DataFrame:
     """Summed intensity 2 + 0.5 g at every y event: kernels of half an hour, a quarter of an hour late; the exponential at once."""
-    out = design.y_rows(t.points, t.pairs)
-    d = F.col("d") / UNIT
-    for kind in ("square", "triangle", "inverse_triangle", "exponential"):
-        late, high = (0.0, DAY) if kind == "exponential" else (0.25, HOUR)
-        g = design.around(t.points, t.pairs, 0, high, fit.kernel_value(kind, d, 0.5, late), kind)
-        out = out.join(g, design.KEYS, "left").withColumn(kind, 2 + 0.5 * F.coalesce(kind, F.lit(0.0)))
-    kinds = ("square", "triangle", "inverse_triangle", "exponential")
+    low, high = HOUR // 4, HOUR // 4 + HOUR // 2
+    named = {
+        "square": partial(kernels.count, low=low, high=high), "triangle": partial(kernels.ramp, low=low, high=high, rising=False),
+        "inverse_triangle": partial(kernels.ramp, low=low, high=high, rising=True), "exponential": partial(kernels.exponential, rate=2.0, unit=UNIT),
+    }
+    out = trains.regressors(t.points, t.pairs, named)
+    kinds = tuple(named)
+    out = out.withColumns({k: 2 + 0.5 * F.col(k) for k in kinds})
     return rounded(out.groupBy("src", "dst").agg(*[F.sum(k).alias(k) for k in kinds]), *kinds, digits=5)
 
 
