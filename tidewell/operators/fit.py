@@ -247,12 +247,11 @@ def time_rescaling(y_bins: DataFrame, intensity: DataFrame, keys: tuple[str, ...
     Haslinger's correction has it.
     """
     upto = Window.partitionBy(*keys, "trial_id").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    clipped = F.least(F.greatest("lam", F.lit(-10.0)), F.lit(10.0))
-    curve = intensity.select(*keys, "trial_id", "bin", clipped.alias("lam"), F.sum("lam").over(upto).alias("area"))
+    curve = intensity.select(*keys, "trial_id", "bin", "lam", F.sum("lam").over(upto).alias("area"))
     at = y_bins.join(curve, [*keys, "trial_id", "bin"])
     order = Window.partitionBy(*keys, "trial_id").orderBy("t_us")
     r = uniform(*keys, "trial_id", "t_us", seed)
-    last = -F.ln(1 - r * (1 - F.exp(-F.col("lam"))))
+    last = -F.ln(1 - r * (1 - F.exp(-F.greatest("lam", F.lit(-10.0)))))
     between = F.col("area") - F.col("lam") - F.lag("area").over(order)
     # both events in one bin: no whole bin lies between them
     tau = F.greatest(between, F.lit(0.0)) + last

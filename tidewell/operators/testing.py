@@ -176,7 +176,9 @@ def bootstrap_errors(sample: DataFrame, reps: int, alpha: float = 0.05, seed: in
 def ecdf(values: DataFrame, n_bins: int, keys: tuple[str, ...] = (), value: str = "p", alpha: float = 0.05) -> DataFrame:
     """(keys, bin, q, ecdf, band): share of values <= q on a grid of n_bins over [0, 1], with the Kolmogorov-Smirnov band;
     no rows without values."""
-    b = F.greatest(F.ceil(F.col(value) * n_bins), F.lit(1)).cast("int").alias("bin")
+    b = F.ceil(F.col(value) * n_bins)
+    b = b - (F.col(value) <= (b - 1) / n_bins).cast("int") + (F.col(value) > b / n_bins).cast("int")  # the product may round past a whole number
+    b = F.greatest(b, F.lit(1)).cast("int").alias("bin")
     n = values.where(F.col(value).isNotNull()).groupBy(*keys, b).agg(F.count("*").alias("n"))
     frame = (n.select(*keys).distinct() if keys else values.sparkSession.range(1).select()).withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(n_bins))))
     full = frame.join(n, [*keys, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
