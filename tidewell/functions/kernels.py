@@ -34,6 +34,12 @@ def count(x: np.ndarray, c: np.ndarray, y: np.ndarray, low: int, high: int, scal
     return scale * (n[last] - n[first])
 
 
+def delay(x: np.ndarray, c: np.ndarray, y: np.ndarray, low: int, high: int) -> np.ndarray:
+    """The sum of d over the events with low < d <= high, in whole numbers."""
+    n, s, (first, last) = running(c), running(c * x), between(x, y, low, high)
+    return (n[last] - n[first]) * y - (s[last] - s[first])
+
+
 def window_count(x: np.ndarray, c: np.ndarray, y: np.ndarray, width: int, scale: float) -> np.ndarray:
     """scale x the number of events in y's own window [k width, (k + 1) width)."""
     n, start = running(c), y // width * width

@@ -12,20 +12,24 @@ from pyspark.sql import functions as F
 from tidewell.functions import numeric
 from tidewell.operators.ccg import poisson_test
 from tidewell.operators.timejoin import delays
-from tidewell.operators.trains import against, surrogate_synchrony
+from tidewell.operators.trains import against, met, surrogate_synchrony, totals
 
 
 def synchrony(points: DataFrame, pairs: DataFrame, delta: int, low: int | None = None, high: int | None = None, x_points: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """(src, dst, trial_id, keys, n): how many (x, y) have abs(y - x) <= delta; x inside [low, high) if given.
 
-    Trials of a pair without any are not in the result. ``x_points`` with its extra ``keys`` replaces the x side.
+    Trials of a pair without any are not in the result. Trains meet as arrays, and no two events as rows; only where
+    ``x_points`` with its extra ``keys`` replaces the x side are its rows joined.
     """
-    x = (points if x_points is None else x_points).select(F.col("unit_id").alias("src"), "trial_id", *keys, "t_us")
+    if x_points is None:
+        inside = (None, None) if low is None else (low, high)
+        return totals(points, pairs.select("src", "dst"), {"n": met(-delta - 1, delta, *inside)}).where("n > 0")
+    x = x_points.select(F.col("unit_id").alias("src"), "trial_id", *keys, "t_us")
     if low is not None:
         x = x.where((F.col("t_us") >= low) & (F.col("t_us") < high))
     y = points.select(F.col("unit_id").alias("dst"), "trial_id", "t_us")
-    met = delays(x.join(pairs, "src"), y, -delta - 1, delta, ("dst", "trial_id"))
-    return met.groupBy("src", "dst", "trial_id", *keys).agg(F.count("*").alias("n"))
+    near = delays(x.join(pairs, "src"), y, -delta - 1, delta, ("dst", "trial_id"))
+    return near.groupBy("src", "dst", "trial_id", *keys).agg(F.count("*").alias("n"))
 
 
 def binned_synchrony(bins: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.columns import corr, sql_corr, sql_uniform
-from tidewell.operators import binning, graph, pairs, select, series, timejoin
+from tidewell.operators import binning, graph, pairs, select, series, timejoin, trains
 from tidewell.plans.catalog import BIN, BINS, LENGTH, Tables, query, rounded
 from tidewell.sources import files
 from tidewell.sources.adapters import DAY, HOUR
@@ -140,7 +140,8 @@ def c2(t: Tables) -> DataFrame:
 @query("c3_delay_join", """ SELECT src, dst, count(*) AS n, CAST(sum(y.t_us - x.t_us) AS BIGINT) AS total FROM pairs JOIN points x ON x.unit_id = src
  JOIN points y ON y.unit_id = dst AND y.trial_id = x.trial_id AND y.t_us - x.t_us > 0 AND y.t_us - x.t_us <= 3600000000 GROUP BY ALL""")
 def c3(t: Tables) -> DataFrame:
-    return timejoin.pair_delays(t.points, t.pairs, 0, LENGTH).groupBy("src", "dst").agg(F.count("*").alias("n"), F.sum("d").alias("total"))
+    made = trains.totals(t.points, t.pairs, {"n": trains.met(0, LENGTH), "total": trains.delay(0, LENGTH)}).where("n > 0")
+    return made.groupBy("src", "dst").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
 @query("c4_attributes", EDGE_SQL, ("edges",))
