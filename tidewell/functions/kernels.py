@@ -11,6 +11,8 @@ import math
 
 import numpy as np
 
+from tidewell.functions.numeric import bspline
+
 #: Terms of the power series of the Gaussian; a quarter of a width from a centre the rest is below 1e-14.
 TERMS = 15
 #: Slots of half a width: up to this many apart, all delays lie within 5 widths; one further, some do.
@@ -64,6 +66,30 @@ def ramp(x: np.ndarray, c: np.ndarray, y: np.ndarray, low: int, high: int, risin
     return (d - m * low if rising else m * high - d) / (high - low)
 
 
+def splines(x: np.ndarray, c: np.ndarray, y: np.ndarray, length: int, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(how many events have 0 < d <= length, the sums of every cubic B-spline of d / length over them), for sorted y.
+
+    Between two knots the bases are cubics, so sums are those of the powers of x, from running sums around the stretch of
+    ``length`` in which y lies.
+    """
+    edges = np.rint(inner * length).astype(np.int64)  # the bases join smoothly, so either side of a knot will do
+    at = np.array([0.1, 0.4, 0.6, 0.9])
+    cubics = [np.linalg.solve(np.vander(at, increasing=True), bspline(inner, (a + at * (b - a)) / length)) for a, b in zip(edges, edges[1:])]
+    out, n, stretch = np.zeros((len(y), cubics[0].shape[1])), count(x, c, y, 0, length, 1), y // length
+    for k in np.unique(stretch[n > 0]).tolist():
+        lo, hi = np.searchsorted(stretch, [k, k + 1])
+        near = slice(np.searchsorted(x, (k - 1) * length, "left"), np.searchsorted(x, (k + 1) * length, "left"))
+        here, q = y[lo:hi], (x[near] - k * length) / length
+        sums = [running(c[near] * q**m) for m in range(4)]
+        for cubic, a, b in zip(cubics, edges, edges[1:]):
+            first, last = between(x[near], here, a, b)
+            m0, m1, m2, m3 = (s[last] - s[first] for s in sums)
+            v, w = (here - k * length - a) / length, (b - a) / length
+            powers = [m0, (v * m0 - m1) / w, (v * v * m0 - 2 * v * m1 + m2) / w**2, (v**3 * m0 - 3 * v * v * m1 + 3 * v * m2 - m3) / w**3]
+            out[lo:hi] += np.stack(powers, axis=1) @ cubic
+    return n, out
+
+
 def log_running(log_terms: np.ndarray) -> np.ndarray:
     """Logarithms of running sums, from those of the terms; the first is that of nothing."""
     return np.concatenate([[-np.inf], np.logaddexp.accumulate(log_terms)]) if len(log_terms) else np.full(1, -np.inf)

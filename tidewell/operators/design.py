@@ -20,9 +20,8 @@ from pyspark.sql.window import Window
 
 from tidewell.functions import kernels
 from tidewell.functions.columns import norm_cdf, uniform
-from tidewell.functions.numeric import bspline
 from tidewell.operators.timejoin import delays
-from tidewell.operators.trains import PARTNERS, gaussian, gaussian_by_width, own_square, regressors, square_filter, trains
+from tidewell.operators.trains import HELD, PARTNERS, gaussian, gaussian_by_width, own_square, paired, regressors, square_filter, trains
 
 KEYS = ["src", "dst", "trial_id", "y_us"]
 
@@ -120,21 +119,24 @@ def bspline_filter(points: DataFrame, pairs: DataFrame, inner: list[float], leng
     """(src, dst, trial_id, y_us, basis): sums of every spline basis over the delays in (0, length].
 
     ``inner``: knots on [0, 1] as shares of the length. The last ``drop`` bases are left out, so the filter ends at 0.
-    Bases are evaluated batch by batch; the sums per event are built-in.
+    y events without x in reach have no row. Trains meet as arrays (kernels.splines), not as joined events.
     """
-    ts = np.array(inner)
+    ts, k = np.array(inner), len(inner) + 2 - drop
+    bases = [f"b{i}" for i in range(k)]
 
-    @F.pandas_udf("array<double>")
-    def bases(share: pd.Series) -> pd.Series:
-        b = bspline(ts, share.to_numpy())
-        return pd.Series(list(b[:, : b.shape[1] - drop]))
-
-    t = trains(points)
-    x = t.select(F.col("unit_id").alias("src"), "trial_id", "t_us", F.col("c").alias("cx")).join(pairs, "src")
-    met = delays(x, t.select(F.col("unit_id").alias("dst"), "trial_id", "t_us"), 0, length, ("dst", "trial_id"))
-    k = len(inner) + 2 - drop
-    valued = met.withColumn("b", bases(F.col("d") / float(length)))
-    return valued.groupBy(*KEYS).agg(F.array(*[F.sum(F.col("b")[i] * F.col("cx")) for i in range(k)]).alias("basis"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                if r.x is None:
+                    continue
+                n, sums = kernels.splines(r.x, r.cx, r.y, length, ts)
+                met = np.flatnonzero(n)
+                for i in range(0, len(met), HELD):
+                    few = met[i : i + HELD]
+                    yield pd.DataFrame({"src": r.src, "dst": r.dst, "trial_id": r.trial_id, "y_us": r.y[few]} | dict(zip(bases, sums[few].T)))
+
+    rows = paired(points, pairs).mapInPandas(run, ", ".join(["src long, dst long, trial_id long, y_us long", *[f"{b} double" for b in bases]]))
+    return rows.select(*KEYS, F.array(*bases).alias("basis"))
 
 
 def centred(rows: DataFrame, means: DataFrame, name: str) -> DataFrame:
