@@ -282,6 +282,8 @@ def newton(x: np.ndarray, weight: np.ndarray, integral: np.ndarray, offset: np.n
 #: Multiples of a Newton step that a line search tries at once, beside 1 / (1 + decrement), which is always safe.
 LENGTHS = [1024.0, 256.0, 64.0, 16.0, 4.0, 2.0, 1.0, 0.5, 0.25, 0.125, 2.0**-4, 2.0**-6, 2.0**-8, 2.0**-11]
 ENDLESS, UNSETTLED = "the likelihood rises without end", "not settled"
+#: Rows of a fit that are worked on at once: what a fit holds beside its design does not grow with it.
+ROWS = 50_000
 
 
 def newton_direction(grad: np.ndarray, hess: np.ndarray, n: float) -> tuple[np.ndarray | None, float]:
@@ -340,11 +342,13 @@ def newton_best(x: np.ndarray, weight: np.ndarray, integral: np.ndarray, steps:
     b[0] = n / integral[0] - min(0.0, float(offset.min()))
     lightest, note = float(weight.min()), UNSETTLED
     out = {"beta": None, "hessian": None, "nll": None, "n_iter": 0, "converged": False, "note": None}
+    some = [slice(i, i + ROWS) for i in range(0, len(x), ROWS)]
     for it in range(steps + 1):
         lam = x @ b + offset
-        z = x / lam[:, None]
-        value = float(-(weight * np.log(lam)).sum() + b @ integral)
-        grad, hess = integral - weight @ z, (z * weight[:, None]).T @ z
+        value, grad, hess = float(b @ integral), integral.astype(float), np.zeros((k, k))
+        for at in some:
+            z, w = x[at] / lam[at, None], weight[at]
+            value, grad, hess = value - float((w * np.log(lam[at])).sum()), grad - w @ z, hess + (z * w[:, None]).T @ z
         out["n_iter"] = it
         what, step, safe = newton_next(grad, hess, n, lightest, epsilon)
         if what == "end":
@@ -356,10 +360,12 @@ def newton_best(x: np.ndarray, weight: np.ndarray, integral: np.ndarray, steps:
         if what == "search":
             fall = x @ step
             lengths = np.array([*LENGTHS, safe])
-            to = lam[:, None] - lengths * fall[:, None]
-            with np.errstate(invalid="ignore", divide="ignore"):
-                logs = np.where(to > 0, -np.log(np.where(to > 0, to, 1.0)), np.inf)
-            values = weight @ logs + b @ integral - lengths * (step @ integral)
+            values = b @ integral - lengths * (step @ integral)
+            for at in some:
+                for i, s in enumerate(lengths):
+                    if values[i] < np.inf:
+                        to = lam[at] - s * fall[at]
+                        values[i] = values[i] - weight[at] @ np.log(to) if to.min() > 0 else np.inf
             relative = weight * fall / lam
             length = newton_length(values, lengths, value, float(step @ integral), float(np.maximum(relative, 0).sum()), float(np.abs(relative).sum()))
             if length is None:

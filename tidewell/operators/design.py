@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from tidewell.functions import kernels
 from tidewell.functions.columns import norm_cdf, uniform
 from tidewell.operators.timejoin import delays
-from tidewell.operators.trains import HELD, PARTNERS, gaussian, gaussian_by_width, own_square, paired, regressors, square_filter, trains
+from tidewell.operators.trains import HELD, PARTNERS, Kernel, gaussian, gaussian_by_width, own_square, paired, regressors, square_filter, trains
 
 KEYS = ["src", "dst", "trial_id", "y_us"]
 
@@ -183,6 +183,52 @@ def width_designs(points: DataFrame, pairs: DataFrame, n_trials: int, trial: int
     return rows.select(*KEYS, "w", "const", "filter", *own, each).select(*KEYS, "w", "e.width", "const", "e.nuisance", "filter", *own)
 
 
+def standard_columns(points: DataFrame, pairs: DataFrame, n_trials: int, trial: int, length: int, widths: list[int] | None, unit: float, self_coupling: bool = False) -> tuple[dict[str, Kernel], DataFrame]:
+    """(kernels, pairs with ``means``) of the same designs for trains.whole and trains.blocks, which make no row an event: a
+    nuisance for each of ``widths`` or, without any, for the pairs' own, then the filter, then y's own."""
+    area, own = n_trials * trial / unit, ["own"] if self_coupling else []
+    named = {f"n{w}": gaussian(w, unit) for w in widths} if widths else {"nuisance": gaussian_by_width(unit)}
+    lost = F.when(F.col("t_us") > trial - length, length - (trial - F.col("t_us"))).otherwise(0)
+    sums = points.groupBy(F.col("unit_id").alias("src")).agg(*[F.sum(_gaussian_inside(w, trial)).alias(f"n{w}") for w in widths or []], F.sum((length - lost) / unit).alias("filter"))
+    known = pairs.join(sums, "src", "left")
+    if not widths:
+        known = known.join(gaussian_integral_by_width(points, pairs, trial).withColumnRenamed("integral", "nuisance"), ["src", "dst"], "left")
+    if own:
+        known = known.join(sums.select(F.col("src").alias("dst"), F.col("filter").alias("own")), "dst", "left")
+    means = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) / area for c in [*named, "filter", *own]])
+    named |= {"filter": square_filter(length)} | ({"own": own_square(length)} if own else {})
+    return named, known.select(*pairs.columns, means.alias("means"))
+
+
+def drives(points: DataFrame, others: DataFrame, n_trials: int, trial: int, width: int, unit: float) -> DataFrame:
+    """(dst, trial_id, drive): the Gaussian kernel of all of a target's ``others`` (src, dst) together, less its mean over all time,
+    at each of the target's instants, as one array in their order."""
+    kernel, area = gaussian(width, unit), n_trials * trial / unit
+    mean = others.join(gaussian_integral(points, width, trial), "src").groupBy("dst").agg((F.sum("integral") / area).alias("mean"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                v = np.zeros(len(r.y)) if r.x is None else kernel(r.x, r.cx, r.y)
+                yield pd.DataFrame({"dst": [r.dst], "trial_id": [r.trial_id], "src": [r.src], "v": [v]})
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        one = pdf.sort_values("src")
+        return pd.DataFrame({"dst": one["dst"].iloc[:1], "trial_id": one["trial_id"].iloc[0], "v": [np.sum(one["v"].to_list(), axis=0)]})
+
+    each = paired(points, others).mapInPandas(run, "dst long, trial_id long, src long, v array<double>")
+    sums = each.groupBy("dst", "trial_id").applyInPandas(added, "dst long, trial_id long, v array<double>").join(mean, "dst", "left")
+    known = packed_counts(points).join(sums, ["dst", "trial_id"], "left")
+    at = F.coalesce("v", F.array_repeat(F.lit(0.0), F.col("m").cast("int")))
+    less = F.coalesce("mean", F.lit(0.0))
+    return known.select("dst", "trial_id", F.transform(at, lambda v: v - less).alias("drive"))
+
+
+def packed_counts(points: DataFrame) -> DataFrame:
+    """(dst, trial_id, m): how many instants a train has."""
+    return points.groupBy(F.col("unit_id").alias("dst"), "trial_id").agg(F.count_distinct("t_us").alias("m"))
+
+
 #: A kernel over bins: the first offset and the weights from there on.
 BinKernel = tuple[int, np.ndarray]
 

@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewell.functions import kernels
 from tidewell.functions.columns import uniform
 from tidewell.functions.numeric import newton_best
+from tidewell.operators import design as designs
 from tidewell.operators import trains
-from tidewell.operators.newton import FIT, Columns, minimise
+from tidewell.operators.newton import FIT, Columns, Packed, minimise
 from tidewell.operators.testing import wald_p
 from tidewell.sources.shared import settle
 
@@ -83,6 +85,43 @@ def newton_by_sums(rows: DataFrame, keys: list[str], columns: list[str], totals:
     return minimise(Columns(rows, keys, columns, batch), keys, begun.select(*keys, "total", rate.alias("beta")), **options)
 
 
+def by_size(points: DataFrame, pairs: DataFrame, most_rows: int = MOST_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """(pairs whose target has at most ``most_rows`` events, the others if there are any)."""
+    n = points.groupBy(F.col("unit_id").alias("dst")).agg(F.count("*").alias("n"))
+    if (n.agg(F.max("n")).first()[0] or 0) <= most_rows:
+        return pairs, None
+    large = n.where(F.col("n") > most_rows)
+    return pairs.join(large, "dst", "left_anti"), pairs.join(large, "dst", "left_semi")
+
+
+def standard_fits(points: DataFrame, pairs: DataFrame, n_trials: int, trial: int, length: int, widths: list[int] | None, unit: float, self_coupling: bool = False, most_rows: int = MOST_ROWS) -> DataFrame:
+    """(src, dst, width, beta, hessian, nll, n_iter, converged, note): the standard design fitted to every pair, at each of
+    ``widths`` or, without any, at the pairs' own.
+
+    A pair's design is made in the task that fits it, from packed trains: no row is written, sent or kept for an event. Pairs
+    whose target has more than ``most_rows`` events are fitted by sums over the design's rows, by the same steps.
+    """
+    small, large = by_size(points, pairs, most_rows)
+    named, known = designs.standard_columns(points, small, n_trials, trial, length, widths, unit, self_coupling)
+    n, total = len(widths or [0]), np.array([n_trials * trial / unit, 0.0, 0.0, 0.0][: 4 if self_coupling else 3])
+
+    def made(pdf: pd.DataFrame) -> list[dict]:
+        x, w = trains.whole(pdf, named)
+        each = widths or [pdf["width"].iloc[0]]
+        of = lambda i: x if n == 1 else x[:, [0, 1 + i, *range(1 + n, x.shape[1])]]
+        return [{"width": width} | _row(newton_best(of(i), w, total)) for i, width in enumerate(each)]
+
+    found = trains.by_pair(points, known, made, f"width long, {FIT}")
+    if large is None:
+        return found
+    columns = ["const", "nuisance", "filter", *(["own"] if self_coupling else [])]
+    if widths:
+        rows = designs.width_designs(points, large, n_trials, trial, length, widths, unit, self_coupling)
+    else:
+        rows = designs.standard_design(points, large, n_trials, trial, length, None, unit, self_coupling).join(large.select("src", "dst", "width"), ["src", "dst"])
+    return found.unionByName(fit_by_key(rows, ["src", "dst", "width"], columns, total.tolist(), most_rows).withColumn("width", F.col("width").cast("long")))
+
+
 def inference(fits: DataFrame, index: int) -> DataFrame:
     """(src, dst, h, se, pval): coefficient ``index`` of three with its standard error from the inverse Hessian.
 
@@ -119,6 +158,14 @@ def pooled_fit(design: DataFrame, keys: list[str], columns: list[str], totals: D
     return newton_by_sums(settle(design), keys, columns, totals, **options)
 
 
+def pooled_blocks(blocks: DataFrame, keys: list[str], k: int, totals: DataFrame, batch: Callable[[DataFrame, int], DataFrame] | None = None, **options) -> DataFrame:
+    """The same from designs in blocks (trains.blocks) of ``k`` coefficients: a step reads a row a block, not a row an event."""
+    rows = settle(blocks)
+    begun = rows.groupBy(*keys).agg(F.sum("n").alias("n")).join(totals, keys)
+    start = begun.select(*keys, "total", F.concat(F.array(F.col("n") / F.col("total")[0]), _array([0.0] * (k - 1))).alias("beta"))
+    return minimise(Packed(rows, keys, k, batch), keys, start, **options)
+
+
 def trial_batch(share: float, seed: int = 0) -> Callable[[DataFrame, int], DataFrame]:
     """A step's sample of trials, chosen by hash, with weights that make up for the rest."""
     return lambda rows, step: rows.where(uniform("trial_id", F.lit(step), seed) < share).withColumn("w", F.col("w") / share)
@@ -153,6 +200,39 @@ def membership_nlls(design: DataFrame, groups: dict[int, float], portions: dict[
     return small.select(*keys, "group_id", (F.col("nll") - prior).alias("score")).where("score is not null")
 
 
+def standard_membership_nlls(points: DataFrame, pairs: DataFrame, n_trials: int, trial: int, length: int, width: int, unit: float, groups: dict[int, float], portions: dict[int, float],
+                             drive: DataFrame | None = None, most_rows: int = MOST_ROWS) -> DataFrame:
+    """membership_nlls of the standard design, which is made in the task that fits a pair, from packed trains.
+
+    ``drive``: dst, trial_id, drive - an array of what comes on top of the nuisance at each of y's instants, in their order. Pairs
+    whose target has more than ``most_rows`` events go by the design's rows.
+    """
+    small, large = by_size(points, pairs, most_rows)
+    named, known = designs.standard_columns(points, small, n_trials, trial, length, [width], unit)
+    total = np.array([n_trials * trial / unit, 0.0])
+
+    def made(pdf: pd.DataFrame) -> list[dict]:
+        x, w = trains.whole(pdf, named)
+        x, f = x[:, :2], x[:, 2]
+        if "drive" in pdf.columns:
+            x[:, 1] += np.concatenate(pdf["drive"].to_list())
+        if x[:, 1].min() >= 0 or x[:, 1].max() <= 0:  # no best coefficient
+            x[:, 1] = 0.0
+        return [{"group_id": g, "score": newton_best(x, w, total, offset=h * f)["nll"]} for g, h in groups.items()]
+
+    prior = F.element_at(F.create_map(*[F.lit(v) for g in groups for v in (g, float(np.log(portions[g])))]), F.col("group_id"))
+    found = trains.by_pair(points, known, made, "group_id int, score double", drive)
+    found = found.select("src", "dst", "group_id", (F.col("score") - prior).alias("score")).where("score is not null")
+    if large is None:
+        return found
+    rows = designs.standard_design(points, large, n_trials, trial, length, width, unit)
+    if drive is not None:
+        y = trains.packed(points).select(F.col("unit_id").alias("dst"), "trial_id", F.col("ts").alias("y_us"))
+        each = y.join(drive, ["dst", "trial_id"]).select("dst", "trial_id", F.explode(F.arrays_zip("y_us", "drive")).alias("e")).select("dst", "trial_id", "e.*")
+        rows = rows.join(each, ["dst", "trial_id", "y_us"]).withColumn("nuisance", F.col("nuisance") + F.col("drive"))
+    return found.unionByName(membership_nlls(rows, groups, portions, total.tolist(), most_rows))
+
+
 def update_membership(pairs: DataFrame, scores: DataFrame, sample: bool = False, seed: int = 0) -> DataFrame:
     """(src, dst, group_id): each pair's group with the least score, or one drawn from exp(-score) by a hash.
 
@@ -193,11 +273,12 @@ def _nearer(around: np.ndarray):
 FIRST_RATES, MORE_RATES = np.geomspace(0.02, 2000.0, 24), 9
 
 
-def fit_exponential(points: DataFrame, pairs: DataFrame, trial: int, unit: float, n_trials: int, precision: float = 5e-3, rates: np.ndarray = FIRST_RATES, **options) -> DataFrame:
+def fit_exponential(points: DataFrame, pairs: DataFrame, trial: int, unit: float, n_trials: int, precision: float = 5e-3, rates: np.ndarray = FIRST_RATES, most_rows: int = MOST_ROWS, **options) -> DataFrame:
     """(src, dst, beta0, alpha, rate, nll, n_iter, converged): intensity beta0 + alpha sum exp(-rate d), with the decay rate fitted too.
 
-    In rounds: a rate is a key of the fits, so all pairs are fitted at all of a round's rates at once, each fit with every
-    intensity positive and of any size. The next round's rates lie between the neighbours of a pair's best one, until these
+    In rounds: all pairs are fitted at all of a round's rates at once, each fit with every intensity positive. A pair's trains are
+    one task's, which makes a rate's column, fits it and goes on to the next; pairs whose target has more than ``most_rows``
+    events have a row an event and rate, with the rate as a key of the fits. The next round's rates lie between the neighbours of a pair's best one, until these
     are ``precision`` apart in ln(rate). ``converged``: the best rate is none at the ends of the first round's, and the fit
     has settled. Pairs without events of either unit are not in the result. Without a best fit at any rate they have nulls.
     """
@@ -205,15 +286,33 @@ def fit_exponential(points: DataFrame, pairs: DataFrame, trial: int, unit: float
     tried = pairs.select("src", "dst", F.explode(_array(rates.tolist())).alias("width"))
     found, gap, n = None, float(np.log(rates[1] / rates[0])), 0
     named = {"decay": trains.exponential_by_width(unit)}
+    small, large = by_size(points, pairs.select("src", "dst"), most_rows)
+    none, total = np.zeros(0, np.int64), np.array([area, 0.0])
+
+    def made(pdf: pd.DataFrame) -> list[dict]:
+        w, out = np.concatenate(pdf["cy"].to_list()).astype(float), []
+        x = np.ones((len(w), 2))
+        met = [(none, none, y) if xs is None else (xs, cx, y) for xs, cx, y in zip(pdf["x"], pdf["cx"], pdf["y"], strict=True)]
+        for rate in pdf["means"].iloc[0]:
+            x[:, 1] = np.concatenate([kernels.exponential(*trial_of, rate["width"], unit) for trial_of in met]) - rate["mean"]
+            out.append({"width": rate["width"]} | _row(newton_best(x, w, total, **options)))
+        return out
+
     while True:
         n += 1
         tried = settle(tried)
         rest = (trial - F.col("t_us")) / unit
         wanted = points.withColumnRenamed("unit_id", "src").join(tried.select("src", "width").distinct(), "src")
         mean = wanted.groupBy("src", "width").agg((F.sum((1 - F.exp(-F.col("width") * rest)) / F.col("width")) / area).alias("mean"))
-        rows = trains.regressors(points, tried, named).join(mean, ["src", "width"])
-        rows = rows.select("src", "dst", "width", F.lit(1.0).alias("const"), (F.col("decay") - F.col("mean")).alias("decay"), "w")
-        fits = fit_by_key(rows, ["src", "dst", "width"], ["const", "decay"], [area, 0.0], **options).join(tried.join(mean, ["src", "width"]), ["src", "dst", "width"])
+        known = settle(tried.join(mean, ["src", "width"]))
+        every = F.array_sort(F.collect_list(F.struct("width", "mean"))).alias("means")
+        fits = trains.by_pair(points, known.join(small, ["src", "dst"], "left_semi").groupBy("src", "dst").agg(every), made, f"width double, {FIT}")
+        if large is not None:
+            some = known.join(large, ["src", "dst"], "left_semi")
+            rows = trains.regressors(points, some.select("src", "dst", "width"), named).join(mean, ["src", "width"])
+            rows = rows.select("src", "dst", "width", F.lit(1.0).alias("const"), (F.col("decay") - F.col("mean")).alias("decay"), "w")
+            fits = fits.unionByName(fit_by_key(rows, ["src", "dst", "width"], ["const", "decay"], [area, 0.0], most_rows, **options))
+        fits = fits.join(known, ["src", "dst", "width"])
         beta0 = F.col("beta")[0] - F.col("beta")[1] * F.col("mean")
         here = fits.select("src", "dst", F.col("width").alias("rate"), beta0.alias("beta0"), F.col("beta")[1].alias("alpha"), "nll", "converged")
         every = here if found is None else found.unionByName(here)

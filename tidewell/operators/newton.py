@@ -72,6 +72,57 @@ class Columns:
         return rows.groupBy(*self.keys).agg(F.array(*sums).alias("b"))
 
 
+class Packed:
+    """Designs in blocks (keys, x, w), as trains.blocks makes them: a constant and ``k`` - 1 columns. A block's sums are made in
+    one go, so a step reads no row an event."""
+
+    def __init__(self, rows: DataFrame, keys: list[str], k: int, batch: Callable[[DataFrame, int], DataFrame] | None = None) -> None:
+        self.rows, self.keys, self.k, self.batch = rows, keys, k, batch
+
+    def _sums(self, state: DataFrame, n_keys: int, step: int, of: Callable[..., np.ndarray], places: int, least: int, name: str) -> DataFrame:
+        """Sums ``of(x, w, coefficients)`` over a key's blocks; the first ``least`` places are minima."""
+        keys, k = self.keys, self.k
+        rows = (self.rows if self.batch is None else self.batch(self.rows, step)).select(*keys, "x", "w")
+        kinds = dict(rows.dtypes)
+        values = [f"v{i}" for i in range(places)]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                made = []
+                for r in pdf.itertuples(index=False):
+                    x = np.frombuffer(r.x, float).reshape(-1, k)
+                    made.append([getattr(r, c) for c in keys] + of(np.column_stack([np.ones(len(x)), x[:, 1:]]), x[:, 0] * r.w, r).tolist())
+                yield pd.DataFrame(made, columns=[*keys, *values])
+
+        fields = ", ".join([*[f"`{c}` {kinds[c]}" for c in keys], *[f"{v} double" for v in values]])
+        met = beside(rows, state, keys, n_keys).mapInPandas(run, fields)
+        return met.groupBy(*keys).agg(F.array(*[(F.min if i < least else F.sum)(v) for i, v in enumerate(values)]).alias(name))
+
+    def measure(self, state: DataFrame, n_keys: int, step: int) -> DataFrame:
+        """As Columns.measure."""
+        k = self.k
+
+        def of(x: np.ndarray, w: np.ndarray, c) -> np.ndarray:
+            lam = x @ np.asarray(c.beta)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                z = x / lam[:, None]
+                return np.concatenate([[lam.min(), w.min(), w.sum(), -(w * np.log(lam)).sum()], w @ z, ((z * w[:, None]).T @ z)[upper(k)]])
+
+        return self._sums(state.select(*self.keys, "beta"), n_keys, step, of, 4 + k + k * (k + 1) // 2, 2, "a")
+
+    def search(self, state: DataFrame, n_keys: int, step: int) -> DataFrame:
+        """As Columns.search."""
+        def of(x: np.ndarray, w: np.ndarray, c) -> np.ndarray:
+            lam, fall = x @ np.asarray(c.beta), x @ np.asarray(c.step)
+            relative, values = w * fall / lam, []
+            for s in [*LENGTHS, c.safe, 0.0]:
+                to = lam - s * fall
+                values.append(-(w @ np.log(to)) if to.min() > 0 else np.inf)
+            return np.array([np.maximum(relative, 0).sum(), np.abs(relative).sum(), *values])
+
+        return self._sums(state.select(*self.keys, "beta", "step", "safe"), n_keys, step, of, len(LENGTHS) + 4, 0, "b")
+
+
 def _measured(r: dict, steps: int, epsilon: float, flat: float | None) -> dict:
     """A key's row after its sums at its coefficients."""
     a, beta, total = np.array(r["a"], float), np.array(r["beta"], float), np.array(r["total"], float)

@@ -145,7 +145,7 @@ def k10b(t: Tables) -> DataFrame:
 
 
 def fitted(t: Tables) -> DataFrame:
-    return fit.fit_by_key(standard(t), ["src", "dst"], COLUMNS, integral(t))
+    return fit.standard_fits(t.points, t.pairs, t.n_trials, DAY, LENGTH, [WIDTH], UNIT).drop("width")
 
 
 @query("k11_fit")
@@ -159,8 +159,7 @@ def k11(t: Tables) -> DataFrame:
 SELECT src, dst, greatest(coalesce(max(g), 0), 2 * pi() - max(a) + min(a)) < pi() AS converged, 0.0::DOUBLE AS g0, 0.0::DOUBLE AS g1, 0.0::DOUBLE AS g2 FROM gp GROUP BY ALL""")
 def k11b(t: Tables) -> DataFrame:
     """Which fits converge, and their gradients, from rows that joins and sums evaluate, as shares of their terms."""
-    d = fit.settle(standard(t))
-    fits = fit.settle(fit.fit_by_key(d, ["src", "dst"], COLUMNS, integral(t)))
+    d, fits = standard(t), fit.settle(fitted(t))
     g = fit.gradient_at(d, ["src", "dst"], COLUMNS, fits.select("src", "dst", "beta"), integral(t))
     scale = d.groupBy("src", "dst").agg(*[F.sum(F.col("w") * F.abs(c)).alias(f"a{i}") for i, c in enumerate(COLUMNS)])
     both = fits.join(g, ["src", "dst"], "left").join(scale, ["src", "dst"])
@@ -177,6 +176,16 @@ def grouped_design(t: Tables) -> DataFrame:
     return standard(t).join(cells, ["src", "dst", "trial_id"])
 
 
+def grouped_blocks(t: Tables, membership: DataFrame) -> DataFrame:
+    """The same in blocks, for fits of many rows."""
+    named, known = design.standard_columns(t.points, t.pairs, t.n_trials, DAY, LENGTH, [WIDTH], UNIT)
+    return trains.blocks(t.points, known, named, membership.where("group_id is not null").select("src", "dst", "trial_id", "group_id"))
+
+
+def group_fits(t: Tables, *keys: str, **options) -> DataFrame:
+    return fit.pooled_blocks(grouped_blocks(t, t.membership), list(keys), len(COLUMNS), group_totals(t, *keys), **options)
+
+
 def group_totals(t: Tables, *keys: str) -> DataFrame:
     """(keys, total): the integrals of a pooled model, from the number of cells that it holds."""
     cells = t.membership.where("group_id is not null").groupBy(*keys).agg(F.count("*").alias("cells"))
@@ -186,7 +195,7 @@ def group_totals(t: Tables, *keys: str) -> DataFrame:
 @query("k12_pooled_fit")
 def k12(t: Tables) -> DataFrame:
     """One model a group over all its cells: every step is one aggregation for all five."""
-    fits = fit.pooled_fit(grouped_design(t), ["group_id"], COLUMNS, group_totals(t, "group_id"))
+    fits = group_fits(t, "group_id")
     return fits.select("group_id", "beta", "nll", "n_iter", "converged", "note")
 
 
@@ -195,8 +204,8 @@ def k12(t: Tables) -> DataFrame:
 an AS (SELECT group_id, atan2(filter, nuisance) AS a FROM gz), gp AS (SELECT group_id, a - lag(a) OVER (PARTITION BY group_id ORDER BY a) AS g, a FROM an)
 SELECT group_id, greatest(coalesce(max(g), 0), 2 * pi() - max(a) + min(a)) < pi() AS converged, 0.0::DOUBLE AS g0, 0.0::DOUBLE AS g1, 0.0::DOUBLE AS g2 FROM gp GROUP BY ALL""", ("membership",))
 def k12b(t: Tables) -> DataFrame:
-    d, totals = fit.settle(grouped_design(t)), group_totals(t, "group_id")
-    fits = fit.pooled_fit(d, ["group_id"], COLUMNS, totals)
+    d, totals = grouped_design(t), group_totals(t, "group_id")
+    fits = group_fits(t, "group_id")
     g = fit.gradient_at(d, ["group_id"], COLUMNS, fits.select("group_id", "beta"), [0.0, 0.0, 0.0]).join(totals, "group_id")
     scale = d.groupBy("group_id").agg(*[F.sum(F.col("w") * F.abs(c)).alias(f"a{i}") for i, c in enumerate(COLUMNS)])
     both = fits.select("group_id", "converged").join(g, "group_id", "left").join(scale, "group_id")
@@ -208,20 +217,20 @@ def k12b(t: Tables) -> DataFrame:
 def k12c(t: Tables) -> DataFrame:
     """A model for every trial and group."""
     keys = ["trial_id", "group_id"]
-    return fit.pooled_fit(grouped_design(t), keys, COLUMNS, group_totals(t, *keys)).select(*keys, "beta", "nll", "n_iter", "converged", "note")
+    return group_fits(t, *keys).select(*keys, "beta", "nll", "n_iter", "converged", "note")
 
 
 @query("k12_pair_group_fits")
 def k12d(t: Tables) -> DataFrame:
     """A model for every pair and group."""
     keys = ["src", "dst", "group_id"]
-    return fit.pooled_fit(grouped_design(t), keys, COLUMNS, group_totals(t, *keys)).select(*keys, "beta", "nll", "n_iter", "converged", "note")
+    return group_fits(t, *keys).select(*keys, "beta", "nll", "n_iter", "converged", "note")
 
 
 @query("k13_batch_fit")
 def k13(t: Tables) -> DataFrame:
     """Half of the trials a step; a fit ends when the mean nll of its batches changes by less than a share of 1e-3."""
-    fits = fit.pooled_fit(grouped_design(t), ["group_id"], COLUMNS, group_totals(t, "group_id"), batch=fit.trial_batch(0.5), flat=1e-3)
+    fits = group_fits(t, "group_id", batch=fit.trial_batch(0.5), flat=1e-3)
     return fits.select("group_id", "beta", "nll", "n_iter", "converged", "note")
 
 
@@ -252,14 +261,13 @@ def k17(t: Tables) -> DataFrame:
 @query("k18_posterior")
 def k18(t: Tables) -> DataFrame:
     """Posterior of every pair's coefficients and kernel width (hours), from 1 to 8 hours."""
-    d = design.width_designs(t.points, t.pairs, t.n_trials, DAY, LENGTH, [int(w) * BIN for w in WIDTHS], UNIT)
-    return posterior.posterior(d.withColumn("width", F.col("width") / HOUR), COLUMNS, integral(t), samples=1000)
+    return posterior.standard_posterior(t.points, t.pairs, t.n_trials, DAY, LENGTH, [int(w) * BIN for w in WIDTHS], UNIT, HOUR, samples=1000)
 
 
 @query("k18_posterior_fixed_width")
 def k18b(t: Tables) -> DataFrame:
     """The same with the kernel width of two hours held fixed."""
-    return posterior.posterior(standard(t).withColumn("width", F.lit(WIDTH / HOUR)), COLUMNS, integral(t), samples=1000)
+    return posterior.standard_posterior(t.points, t.pairs, t.n_trials, DAY, LENGTH, [WIDTH], UNIT, HOUR, samples=1000)
 
 
 @query("k19_filters")
@@ -366,11 +374,9 @@ def k23b(t: Tables) -> DataFrame:
 def refits(t: Tables, self_coupling: bool) -> DataFrame:
     """(src, dst, width): the width with the least negative log-likelihood of the full fit.
 
-    All widths' regressors are made at once; a width is a key of the fits.
+    All widths' regressors are made at once, in the task that fits the pair.
     """
-    d = design.width_designs(t.points, t.pairs, t.n_trials, DAY, LENGTH, [int(w) * BIN for w in WIDTHS], UNIT, self_coupling)
-    columns = [*COLUMNS, "own"] if self_coupling else COLUMNS
-    fits = fit.fit_by_key(d, ["src", "dst", "width"], columns, [*integral(t), 0.0][: len(columns)])
+    fits = fit.standard_fits(t.points, t.pairs, t.n_trials, DAY, LENGTH, [int(w) * BIN for w in WIDTHS], UNIT, self_coupling)
     return fits.groupBy("src", "dst").agg(F.min_by(F.col("width") / HOUR, F.struct("nll", "width")).alias("width"))
 
 
@@ -390,9 +396,13 @@ def k24(t: Tables) -> DataFrame:
     return t.membership
 
 
+def member_nlls(t: Tables, heights: dict[int, float], shares: dict[int, float], drive: DataFrame | None = None) -> DataFrame:
+    return fit.standard_membership_nlls(t.points, t.pairs, t.n_trials, DAY, LENGTH, WIDTH, UNIT, heights, shares, drive)
+
+
 def scores(t: Tables) -> DataFrame:
     shares = {r.group_id: r.portion for r in fit.portions(t.membership).collect()}
-    return fit.membership_nlls(standard(t), group_heights(), shares, integral(t)[:2])
+    return member_nlls(t, group_heights(), shares)
 
 
 @query("k25_update_membership")
@@ -409,13 +419,8 @@ def k25b(t: Tables) -> DataFrame:
 def k26(t: Tables) -> DataFrame:
     """As k25, with every unit of y's probe as an extra slow source: their summed activity is the nuisance."""
     others = t.units.select(F.col("unit_id").alias("dst"), "probe").join(t.units.select(F.col("unit_id").alias("other"), "probe"), "probe").where("dst <> other").select(F.col("other").alias("src"), "dst")
-    rows, area = design.gaussian_kernel(t.points, others, WIDTH, DAY, UNIT)
-    slow = rows.groupBy("dst", "trial_id", "y_us").agg(F.sum("nuisance").alias("drive"))
-    mean = others.join(area, "src").groupBy("dst").agg((F.sum("integral") / integral(t)[0]).alias("mean"))
-    d = standard(t).join(slow, ["dst", "trial_id", "y_us"], "left").join(mean, "dst", "left")
-    d = d.withColumn("nuisance", F.col("nuisance") + F.coalesce("drive", F.lit(0.0)) - F.coalesce("mean", F.lit(0.0))).drop("drive", "mean")
     shares = {r.group_id: r.portion for r in fit.portions(t.membership).collect()}
-    best = fit.update_membership(t.pairs, fit.membership_nlls(d, group_heights(), shares, integral(t)[:2]))
+    best = fit.update_membership(t.pairs, member_nlls(t, group_heights(), shares, design.drives(t.points, others, t.n_trials, DAY, WIDTH, UNIT)))
     return best.withColumn("group_id", F.coalesce("group_id", F.lit(0)))
 
 
@@ -641,8 +646,8 @@ def w1(t: Tables) -> DataFrame:
     """Active units, ordered pairs between probes, a kernel width a probe pair, one design, a fit a pair, Wald tests,
     adjusted p, edges with attributes; ``width`` in hours."""
     wanted = fit.settle(network(t))
-    d = design.standard_design(t.points, wanted.select("src", "dst", "width"), t.n_trials, DAY, LENGTH, None, UNIT)
-    found = fit.inference(fit.fit_by_key(d, ["src", "dst"], COLUMNS, integral(t)), 2)
+    fits = fit.standard_fits(t.points, wanted.select("src", "dst", "width"), t.n_trials, DAY, LENGTH, None, UNIT)
+    found = fit.inference(fits, 2)
     tested = testing.adjust(found.withColumnRenamed("pval", "p")).withColumn("significant", F.coalesce(F.col("bh") < 0.05, F.lit(False)))
     width = wanted.select("src", "dst", (F.col("width") / HOUR).alias("width"))
     return pairs.with_attributes(tested, t.units).drop("by", "bonferroni").join(width, ["src", "dst"])
@@ -651,13 +656,12 @@ def w1(t: Tables) -> DataFrame:
 @query("w3_membership_rounds")
 def w3(t: Tables) -> DataFrame:
     """Two rounds of pooled filters and updated memberships: (group_id, height, portion) at the end."""
-    member, d = t.membership, fit.settle(standard(t))
+    member = t.membership
     for _ in range(2):
-        cells = member.where("group_id is not null").select("src", "dst", "trial_id", "group_id")
-        totals = cells.groupBy("group_id").agg(F.array(F.count("*") * HOURS, F.lit(0.0), F.lit(0.0)).alias("total"))
-        pooled = fit.pooled_fit(d.join(cells, ["src", "dst", "trial_id"]), ["group_id"], COLUMNS, totals)
+        totals = member.where("group_id is not null").groupBy("group_id").agg(F.array(F.count("*") * HOURS, F.lit(0.0), F.lit(0.0)).alias("total"))
+        pooled = fit.pooled_blocks(grouped_blocks(t, member), ["group_id"], len(COLUMNS), totals)
         shares = {r.group_id: r.portion for r in fit.portions(member).collect()}
         heights = {r.group_id: r.h for r in pooled.select("group_id", F.col("beta")[2].alias("h")).collect()}  # five groups
-        best = fit.update_membership(t.pairs, fit.membership_nlls(d, heights, shares, integral(t)[:2]))
+        best = fit.update_membership(t.pairs, member_nlls(t, heights, shares))
         member = fit.settle(t.membership.drop("group_id").join(best, ["src", "dst"]))
     return t.spark.createDataFrame([(g, h, shares[g]) for g, h in sorted(heights.items())], "group_id int, height double, portion double")
