@@ -247,7 +247,9 @@ def k15(t: Tables) -> DataFrame:
 
 @query("k16_multivariate_fit")
 def k16(t: Tables) -> DataFrame:
-    return multivariate.fit_multivariate(standard(t).select("dst", "trial_id", "y_us", "w", "src", "filter"), ["filter"], [integral(t)[0], 0.0])
+    area = integral(t)[0]
+    sums = design.square_integral(t.points, LENGTH, DAY, UNIT).select("src", F.array(F.col("integral") / area).alias("means"))
+    return multivariate.fit_trains(t.points, t.pairs.join(sums, "src"), {"filter": trains.square_filter(LENGTH)}, [area, 0.0])
 
 
 @query("k17_nll", DESIGN + f""", b AS (SELECT dst, sum(w) / (24.0 * (SELECT count(*) FROM trials)) AS b0 FROM (SELECT DISTINCT dst, trial_id, y_us, w FROM yr) GROUP BY ALL)
