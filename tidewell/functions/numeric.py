@@ -19,11 +19,100 @@ def uniform_of(*parts: int) -> float:
     return int(hashlib.md5("/".join(map(str, parts)).encode()).hexdigest()[:8], 16) / float(1 << 32)
 
 
+#: Of MD5: turns of each step, and constants; the order in which the words of a block are taken.
+TURNS = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
+SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+TAKEN = [i % 16 for i in range(16)] + [(5 * i + 1) % 16 for i in range(16)] + [(3 * i + 5) % 16 for i in range(16)] + [7 * i % 16 for i in range(16)]
+#: Messages that are hashed at once, so that all that is at work stays near the processor.
+HASHED = 8192
+
+
+def md5_first(words: list[np.ndarray | int], n: int) -> np.ndarray:
+    """The first four bytes of the MD5 digests of ``n`` messages of one block, as big-endian numbers. ``words``: the 16 words of
+    the blocks, each an array, or a number where all messages agree."""
+    a, b, c, d = (np.full(n, v, np.uint32) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    f, t = np.empty(n, np.uint32), np.empty(n, np.uint32)
+    for i in range(61):  # the last three steps make the other words
+        kind = i // 16
+        if kind == 0:
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+        elif kind == 1:
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+        elif kind == 2:
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+        else:
+            np.bitwise_not(d, out=f)
+            f |= b
+            f ^= c
+        f += a
+        word, turn = words[TAKEN[i]], TURNS[kind][i % 4]
+        if isinstance(word, int):
+            f += np.uint32((SINES[i] + word) & 0xFFFFFFFF)
+        else:
+            f += word
+            f += np.uint32(SINES[i])
+        np.left_shift(f, np.uint32(turn), out=t)
+        f >>= np.uint32(32 - turn)
+        f |= t
+        f += b
+        a, b, c, d, f = d, f, b, c, a
+    b += np.uint32(0x67452301)
+    return b.byteswap()
+
+
+class Uniforms:
+    """functions.columns.uniform of many heads, each to be joined by '/' to any tail. Heads become words of MD5 blocks once; a
+    tail is then set into them, at the place where each head ends."""
+
+    def __init__(self, heads: list[str]) -> None:
+        raw = [f"{h}/".encode() for h in heads]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.n, self.order = len(raw), np.argsort(sizes, kind="stable")
+        lengths, starts = np.unique(sizes[self.order], return_index=True)
+        self.alike = [(int(size), slice(a, b)) for size, a, b in zip(lengths, starts.tolist(), np.append(starts, self.n)[1:].tolist(), strict=True)]
+        chars = np.zeros((self.n, -(-int(sizes.max(initial=0)) // 4) * 4), np.uint8)
+        for size, at in self.alike:
+            chars[at, :size] = np.frombuffer(b"".join([raw[i] for i in self.order[at].tolist()]), np.uint8).reshape(-1, size)
+        self.head = np.ascontiguousarray(chars.view("<u4").T)
+
+    def __call__(self, tails: list[str]) -> np.ndarray:
+        """(tail x head)."""
+        out, many = np.empty((len(tails), self.n)), max(1, HASHED // max(1, self.n))
+        for i in range(0, len(tails) if self.n else 0, many):
+            some = [t.encode() for t in tails[i : i + many]]
+            small = len(some) * self.n < HASHED // 16 or self.alike[-1][0] + max(map(len, some)) > 55  # or more than a block
+            out[i : i + many, self.order] = self._each(some) if small else self._together(some)
+        return out / float(1 << 32)
+
+    def _each(self, tails: list[bytes]) -> np.ndarray:
+        rows = np.ascontiguousarray(self.head.T).view(np.uint8)
+        heads = [row.tobytes() for size, at in self.alike for row in rows[at, :size]]
+        return np.frombuffer(b"".join([hashlib.md5(h + t).digest()[:4] for t in tails for h in heads]), ">u4").reshape(len(tails), -1)
+
+    def _together(self, tails: list[bytes]) -> np.ndarray:
+        used = (self.alike[-1][0] + max(map(len, tails))) // 4 + 1
+        words = np.zeros((used + 1, len(tails), self.n), np.uint32)  # the last: lengths in bits
+        words[: len(self.head)] = self.head[:, None]
+        for j, tail in enumerate(tails):
+            for size, at in self.alike:
+                rest = np.frombuffer((bytes(size) + tail + b"\x80").ljust(4 * used, b"\0"), "<u4")
+                words[size // 4 : used, j, at] |= rest[size // 4 :, None]
+                words[used, j, at] = 8 * (size + len(tail))
+        words, out = words.reshape(used + 1, -1), []
+        for i in range(0, words.shape[1], HASHED):
+            few = words[:, i : i + HASHED]
+            out.append(md5_first([*few[:used], *[0] * (14 - used), few[used], 0], few.shape[1]))
+        return np.concatenate(out).reshape(len(tails), -1)
+
+
 def uniforms_of(heads: list[str], tails: list[str]) -> np.ndarray:
     """functions.columns.uniform of every tail (row) after every head (column), each joined by '/'."""
-    heads, tails, md5 = [f"{h}/".encode() for h in heads], [t.encode() for t in tails], hashlib.md5
-    raw = b"".join([md5(h + t).digest()[:4] for t in tails for h in heads])
-    return np.frombuffer(raw, ">u4").reshape(len(tails), len(heads)) / float(1 << 32)
+    return Uniforms(heads)(tails)
 
 
 def norm_cdf(x: float) -> float:
@@ -284,6 +373,8 @@ LENGTHS = [1024.0, 256.0, 64.0, 16.0, 4.0, 2.0, 1.0, 0.5, 0.25, 0.125, 2.0**-4,
 ENDLESS, UNSETTLED = "the likelihood rises without end", "not settled"
 #: Rows of a fit that are worked on at once: what a fit holds beside its design does not grow with it.
 ROWS = 50_000
+#: The same in newton_many, where they stay near the processor.
+AT_WORK = 16_000
 
 
 def newton_direction(grad: np.ndarray, hess: np.ndarray, n: float) -> tuple[np.ndarray | None, float]:
@@ -399,7 +490,8 @@ def newton_exp(x: np.ndarray, y: np.ndarray, exposure: np.ndarray, steps: int =
 def newton_many(x: np.ndarray, weight: np.ndarray, time: float, steps: int = 60, rate: float = 0.9, epsilon: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """(coefficients, converged) of many fits with the same events: ``x`` is fit x column x event, a constant comes first.
 
-    Steps are those of newton(); fits that have converged are left alone.
+    Steps are those of newton(); fits that have converged are left alone. A fit's events are worked on some at a time, in
+    memory that is taken once.
     """
     fits, k = x.shape[0], x.shape[1] + 1
     b, done = np.full((fits, k), 0.1), np.zeros(fits, bool)
@@ -407,15 +499,35 @@ def newton_many(x: np.ndarray, weight: np.ndarray, time: float, steps: int = 60,
     grad, hess = np.empty((fits, k)), np.empty((fits, k, k))
     total = np.zeros(k)
     total[0] = time
+    some = [slice(i, i + AT_WORK) for i in range(0, x.shape[2], AT_WORK)]
+    lam, share, turned = np.empty((3, AT_WORK))
     for _ in range(steps):
         open_ = np.flatnonzero(~done)
         if not len(open_):
             break
         for i in open_.tolist():
-            z = np.vstack([np.ones(x.shape[2]), x[i]])
-            lam = b[i] @ z
-            z = np.where(lam > 0, z / np.where(lam > 0, lam, 1), 0)
-            grad[i], hess[i] = total - z @ weight, (z * weight) @ z.T
+            g, h = total.copy(), np.zeros((k, k))
+            for at in some:
+                z, w = x[i, :, at], weight[at]
+                r, v, u = lam[: len(w)], share[: len(w)], turned[: len(w)]
+                np.matmul(b[i, 1:], z, out=r)
+                r += b[i, 0]
+                if r.min() > 0:
+                    np.divide(1.0, r, out=r)
+                else:
+                    np.divide(1.0, r, out=r, where=r > 0)
+                    np.maximum(r, 0.0, out=r)  # what is not positive was left as it is
+                np.multiply(w, r, out=v)
+                g[0] -= v.sum()
+                g[1:] -= z @ v
+                v *= r
+                h[0, 0] += v.sum()
+                for p in range(k - 1):  # a product of two thin matrices takes three times as long
+                    np.multiply(z[p], v, out=u)
+                    h[0, p + 1] += u.sum()
+                    for q in range(p, k - 1):
+                        h[p + 1, q + 1] += u @ z[q]
+            grad[i], hess[i] = g, np.triu(h) + np.triu(h, 1).T
         ridge = np.where(np.linalg.matrix_rank(hess[open_]) == k, 0, 0.01)
         step = np.linalg.solve(hess[open_] + ridge[:, None, None] * np.eye(k), grad[open_][..., None])[..., 0]
         size = np.abs(step).sum(axis=1)
