@@ -56,3 +56,37 @@ def test_a_source_is_drawn_once_for_its_targets(spark, monkeypatch, tmp_path):
     assert len(got) == 9 * 6 and (got.groupby("dst").rep.nunique() == 6).all() and got.groupby("rep").h.agg(np.ptp).max() < 1e-9  # the same targets
     lines = open(log).read().splitlines()
     assert len(lines) == len(set(lines)) > 0 and {int(x.split()[1]) for x in lines} == {1, 2, 3, 4, 5}
+
+
+@pytest.mark.parametrize(("n_x", "n_y"), [(0, 5), (3, 0), (40, 60), (9000, 300)])
+def test_steps_hold_what_is_near_each_train(n_x, n_y):
+    rng = np.random.default_rng(n_x)
+    ys = [np.unique(rng.integers(0, 20_000, n_y)) for _ in range(3)]
+    cys = [rng.integers(1, 4, len(y)) for y in ys]
+    x, c = np.sort(rng.integers(-500, 20_500, (4, n_x)), axis=1), rng.integers(1, 4, (4, n_x))
+    got = kernels.Steps(ys, cys, 35).near(x, c)
+    assert got.shape == (4, 3)
+    for j, (y, cy) in enumerate(zip(ys, cys, strict=True)):
+        for i in range(4):
+            assert got[i, j] == c[i] @ (abs(x[i][:, None] - y) <= 35) @ cy
+
+
+def test_jitter_p_shuffles_no_pair_of_trains(spark, data):
+    """Its own count had each target's train sent once for every source; x is now counted beside its surrogates."""
+    from tidewell.plans.catalog import QUERIES
+
+    for name in ("f2_jitter_p", "f2_basic_jitter_p"):
+        plan = QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInPandas") == 3, name  # surrogates, their sums, p
+
+
+def test_tables_of_any_size_count_alike(spark, monkeypatch):
+    p = spark.createDataFrame(trains_of(6, True), "unit_id long, trial_id long, t_us long")
+    pairs = spark.createDataFrame([(s, d) for s in (1, 2) for d in (3, 8, 9)], "src long, dst long")
+    made = lambda: {(r.src, r.dst): bytes(r.n) for r in trains.surrogate_synchrony(p, pairs, 20_000, 30, 500, own=True).collect()}
+    want = made()
+    monkeypatch.setattr(trains, "TABLES", 1)
+    monkeypatch.setattr(kernels, "LOOKED", 7)
+    assert made() == want and len(want) == 6
+    own = trains.totals(p, pairs, {"n": trains.met(-501, 500)}).groupBy("src", "dst").sum("n").collect()
+    assert {(r.src, r.dst): r["sum(n)"] for r in own} == {k: np.frombuffer(v, "<i8")[0] for k, v in want.items()}

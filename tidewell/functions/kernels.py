@@ -188,6 +188,8 @@ def gaussian(x: np.ndarray, c: np.ndarray, y: np.ndarray, width: int, scale: flo
 #: (the rest is below 1e-15), terms of that of exp(uv) at the ends (1e-11 of a density of 3e-6), slots and y events
 #: worked on at once.
 FINE, WITHIN, SERIES, ENDS, SLOTS, POWERS = 8, 39, 10, 4, 256, 4096
+#: Of Steps: events looked up at once.
+LOOKED = 8192
 #: Pairs of events up to which trains meet event by event, as that is less work than the slots.
 BRIEF = 4_000
 
@@ -286,6 +288,32 @@ class Targets:
         out[:, at] += total
 
 
+class Steps:
+    """How many events of each of several trains ``ys`` are at most ``delta`` from a time: steps at which a count changes, in
+    order, and a row of counts after each."""
+
+    def __init__(self, ys: list[np.ndarray], cys: list[np.ndarray], delta: int) -> None:
+        edges = np.concatenate([*[y - delta for y in ys], *[y + delta + 1 for y in ys]])
+        steps, whose = np.concatenate([*cys, *[-c for c in cys]]), np.tile(np.repeat(np.arange(len(ys)), [len(y) for y in ys]), 2)
+        order = np.argsort(edges, kind="stable")
+        self.edges, self.after = edges[order], np.zeros((len(edges) + 1, len(ys)))
+        self.after[1 + np.arange(len(edges)), whose[order]] = steps[order]
+        np.cumsum(self.after, axis=0, out=self.after)
+
+    def near(self, x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """(line x train): their sums over the events of each line of x, whose times are sorted, ``c`` at each. Whole numbers."""
+        c, out = np.broadcast_to(np.asarray(c, float), x.shape), np.empty((len(x), self.after.shape[1]))
+        some = max(1, LOOKED // max(1, x.shape[1]))
+        for i in range(0, len(x), some):
+            at, n = x[i : i + some], c[i : i + some]
+            total = 0.0
+            for j in range(0, x.shape[1], LOOKED):
+                rows = self.after[np.searchsorted(self.edges, at[:, j : j + LOOKED], "right")]
+                total = total + np.matmul(n[:, None, j : j + LOOKED], rows)[:, 0]
+            out[i : i + some] = total
+        return out
+
+
 def _runs(first: np.ndarray, end: np.ndarray, weight: np.ndarray, lines: int, n: int) -> np.ndarray:
     """(line x place): the weights whose run from ``first`` up to before ``end`` holds a place, of ``n`` - 1 places in each line."""
     steps = np.bincount(first, weight, lines * n)
