@@ -404,17 +404,19 @@ def gram(bins: DataFrame, pairs: DataFrame, widths: list[float], length: int, n_
     return _centred_sums(every, ["src", "dst"], F.lit(float(n_bins * n_trials)))
 
 
-def pooled_width(bins: DataFrame, pairs: DataFrame, group: list[str], widths: list[float], length: int, n_bins: int, cells: int = 2000, seed: int = 0) -> DataFrame:
-    """(group, width, gain, n_cells): for each group of pairs the kernel width with the highest plug-in log-likelihood of a
-    sample of its (pair, trial) cells, as if these were the trials of one pair.
+def pooled_width(bins: DataFrame, pairs: DataFrame, group: list[str], widths: list[float], length: int, n_bins: int, cells: int | None = None, seed: int = 0) -> DataFrame:
+    """(group, width, gain, n_cells): for each group of pairs the kernel width with the highest plug-in log-likelihood of its
+    (pair, trial) cells in which both trains have events, as if these were the trials of one pair.
 
-    ``pairs``: src, dst and the columns of ``group``. Cells in which both trains have events are sampled by a hash, about
-    ``cells`` in each group. ``gain``: over the next best width. Ties go to the narrower width.
+    ``pairs``: src, dst and the columns of ``group``. All cells are summed, unless about ``cells`` in each group are asked for,
+    which a hash picks. ``gain``: over the next best width. Ties go to the narrower width.
     """
     active = bins.groupBy("unit_id", "trial_id").agg(F.sum("n").alias("s_y"))
-    both = pairs.join(active.select(F.col("unit_id").alias("src"), "trial_id"), "src").join(active.withColumnRenamed("unit_id", "dst"), ["dst", "trial_id"])
-    share = both.groupBy(*group).agg((cells / F.count("*")).alias("share"))
-    picked = both.join(share, group).where(uniform("src", "dst", "trial_id", seed) < F.col("share")).select(*group, "src", "dst", "trial_id", "s_y")
+    picked = pairs.join(active.select(F.col("unit_id").alias("src"), "trial_id"), "src").join(active.withColumnRenamed("unit_id", "dst"), ["dst", "trial_id"])
+    if cells is not None:
+        share = picked.groupBy(*group).agg((cells / F.count("*")).alias("share"))
+        picked = picked.join(share, group).where(uniform("src", "dst", "trial_id", seed) < F.col("share"))
+    picked = picked.select(*group, "src", "dst", "trial_id", "s_y")
     some = bins.join(picked.select(F.col("src").alias("unit_id"), "trial_id").distinct(), ["unit_id", "trial_id"], "left_semi")
     own = picked.join(unit_sums(some, widths, length, n_bins), ["src", "trial_id"])
     met = own.join(pair_sums(bins, picked.select("src", "dst").distinct(), widths, length, n_bins), ["src", "dst", "trial_id", "width"])
